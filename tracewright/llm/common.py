@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,11 @@ class Scratch:
         p = self._path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def free_shuffles(self) -> None:
+        """Let the driver notice that the shuffle files of finished steps are of no more use."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that save() made and that no later plan reads."""
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

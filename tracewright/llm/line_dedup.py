@@ -110,8 +110,8 @@ def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return [*out, docs.where((F.col("doc_id") < cuts[-1]) | F.col("doc_id").isNull())]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """doc_id, text (without the dropped lines), n_lines, n_dropped and `body`, for each row.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (without the dropped lines), n_lines, n_dropped and the columns `keep`, for each row.
 
     A line whose key at least `min_docs` documents hold stays only in the document with the
     largest id that holds it (there, all its copies stay). Rows that share an id count as one
@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
     runs = LineRuns(spark, min_docs)
     for part in _batches(docs, batches):
         runs.add(line_keys(part, min_chars).select("doc_id", *HASH).distinct())  # a document holds a key once
@@ -135,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     whole = docs.withColumn("body", F.xxhash64("text")).alias("d")
     joined = whole.join(
         gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.body") == F.col("g.body")), "left"
-    ).select("d.doc_id", "d.text", "d.body", "g.gone")
+    ).select("d.doc_id", "d.text", "d.rest", "g.gone")
     all_lines = split_lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     return joined.withColumn("lines", all_lines).select(
@@ -145,5 +145,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size(F.col("gone")), F.lit(0)).cast("long").alias("n_dropped"),
-        "body",
+        *(F.col("rest").getField(c).alias(c) for c in keep),
     )

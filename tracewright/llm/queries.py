@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, quality, toxicity
+from . import ann, byte_bpe, chat_format, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
 from .common import table
 
 
@@ -66,10 +66,65 @@ FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY k.doc_id
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    each = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "tokens", *each, "rate", "copies")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a
+), top AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, top.component_id, e.vec_id = top.component_id AS kept
+FROM embeddings e JOIN top ON top.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -81,5 +136,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op5_quality, op9_byte_bpe, op10_toxicity)}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_line_dedup, op3_mixing, op4_substring_dedup, op5_quality,
+        op6_ngram_join, op7_embedding_dedup, op8_ann, op9_byte_bpe, op10_toxicity,
+    )
+}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op8_ann": OP8_SQL}
