@@ -18,7 +18,6 @@ from ..plans.compiler import Condition, Pattern
 from .predicates import BINDING, bindings
 
 CITED = "array<struct<clause: int, fact_kind: string, fact_id: int>>"
-_NONE = "_none"
 
 
 def holds(condition: Condition, has: dict[int, Column]) -> Column:
@@ -62,16 +61,23 @@ def candidates(p: Pattern, facts: dict[int, Column]) -> Column:
         bound.append(clause)
         return F.filter(F.transform(made, add), lambda c: c[field(clause)].isNotNull())
 
+    def next_after(step: int):
+        return lambda c: F.get(F.filter(facts[step], lambda b: b["ord"].isNull() | (b["ord"] >= c["upto"])), F.lit(0))
+
     for step in p.sequence[1:] if p.sequence else ():
-        made = extend(made, step, lambda c, s=step: F.get(F.filter(facts[s], lambda b: b["ord"].isNull() | (b["ord"] >= c["upto"])), F.lit(0)), True)
+        made = extend(made, step, next_after(step), True)
     if p.same_call:
         fixed = [m for m in p.same_call if m in bound]
         free = [m for m in p.same_call if m not in bound]
         if len(fixed) > 1:
             made = F.filter(made, lambda c: reduce(lambda a, b: a & b, [c[field(fixed[0])]["call_id"] == c[field(m)]["call_id"] for m in fixed[1:]]))
         target = (lambda c: c[field(fixed[0])]["call_id"]) if fixed else (lambda c: F.get(facts[min(p.same_call)], F.lit(0))["call_id"])
+
+        def in_call(member: int):
+            return lambda c: F.get(F.filter(facts[member], lambda b: b["call_id"] == target(c)), F.lit(0))
+
         for m in sorted(free):
-            made = extend(made, m, lambda c, m=m: F.get(F.filter(facts[m], lambda b: b["call_id"] == target(c)), F.lit(0)), False)
+            made = extend(made, m, in_call(m), False)
 
     wanted = sorted({*p.positive_leaves(), anchor, *(p.sequence or ()), *(p.same_call or ())})
     cited = F.transform(
@@ -113,16 +119,12 @@ def find_candidates(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
         found = rows.select("trace_id", F.posexplode(candidates(p, facts)).alias("candidate_pos", "bindings"))
         flagged = [i for i, c in enumerate(p.clauses) if c.unresolved]
         none = F.array().cast("array<struct<clause: int, attribute: string>>")
-        unresolved = F.concat(
-            none,
-            *(
-                F.when(
-                    F.exists("bindings", lambda b, i=i: b["clause"] == i),
-                    F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(a).alias("attribute")) for a in p.clauses[i].unresolved)),
-                ).otherwise(none)
-                for i in flagged
-            ),
-        )
+
+        def flags(i: int) -> Column:
+            named = F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(a).alias("attribute")) for a in p.clauses[i].unresolved))
+            return F.when(F.exists("bindings", lambda b: b["clause"] == i), named).otherwise(none)
+
+        unresolved = F.concat(none, *map(flags, flagged))
         return found.select(
             "trace_id", F.lit(pos).alias("pattern_pos"), F.lit(p.id).alias("pattern_id"), F.lit(p.version).alias("pattern_version"),
             "candidate_pos", "bindings", unresolved.alias("unresolved"),
