@@ -12,8 +12,9 @@ they differ in at most k elements. The feature domain is hashed into partitions:
 
 Equal sets are collapsed first. Every bucket of a signature links its members to its
 smallest one; candidates are verified on the sets themselves. Then only pairs in one bucket
-whose members are not yet connected remain, and all of them are verified: no link between
-different components is lost, and pairs inside a component need no check.
+whose members are not yet connected remain. Sizes and sketches rule most of them out for
+certain, and all others are verified: no link between different components is lost, and
+pairs inside a component need no check.
 """
 
 from __future__ import annotations
@@ -129,17 +130,78 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>")
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, s: the distinct shingles of each row."""
+MOST_SKETCH_BITS = 1 << 15
+
+
+def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Parities of the elements in m bins, as 64-bit words; m is a power of two that fits the difference allowed.
+
+    Two sketches differ in at most as many bins as their sets in elements, so a pair whose
+    sketches differ more than the similarity allows is no match: nothing is lost by leaving
+    it out. The larger of two sketches folds into the smaller one's size.
+    """
+    allowed = 2 * len(s) * (den - num) // (den + num)
+    m = 64
+    while m < min(4 * allowed, MOST_SKETCH_BITS):
+        m *= 2
+    parity = np.bincount((s & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_match(n: tuple[str, str], k: tuple[str, str], num: int, den: int):
+    """False only for pairs that sizes or sketches rule out. n, k: the columns of the sizes and sketches."""
+    (na, nb), (ka, kb) = (map(F.col, n)), (map(F.col, k))
+    words = F.least(F.size(ka), F.size(kb))
+
+    def folded(x):
+        return F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    bins = F.aggregate(F.zip_with(folded(ka), folded(kb), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * bins <= (den - num) * (na + nb))
+
+
+def sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, k, s: the size, sketch and distinct shingles of each row."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                s = [x.view(np.int64) for x in _per_text(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.list_(pa.int64()))], ["doc_id", "s"])
+                s = list(_per_text(part.column("text"), n))
+                lists = pa.list_(pa.int64())
+                columns = [part.column("doc_id"), pa.array(map(len, s), pa.int64()), pa.array([sketch(x, num, den) for x in s], lists), pa.array([x.view(np.int64) for x in s], lists)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k array<long>, s array<long>")
+
+
+def crossing(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may match, of members (sig, c, doc_id, n, k) of one bucket and different components.
+
+    Components meet before members do. One with a single member in the bucket meets others
+    with its sketch, so hopeless pairs are never made.
+    """
+    one = F.struct("doc_id", "n", "k")
+    groups = placed.groupBy("sig", "c").agg(F.count("*").alias("size"), F.min(one).alias("m"))
+    groups = groups.select("sig", "c", F.when(F.col("size") == 1, F.col("m")).alias("m"))
+    x = groups.select("sig", F.col("c").alias("ca"), F.col("m").alias("ma"))
+    y = groups.select(F.col("sig").alias("_sig"), F.col("c").alias("cb"), F.col("m").alias("mb"))
+    may = _may_match(("ma.n", "mb.n"), ("ma.k", "mb.k"), num, den)
+    met = x.join(y, (F.col("sig") == F.col("_sig")) & (F.col("ca") < F.col("cb")) & F.coalesce(may, F.lit(True))).drop("_sig")
+    single = met.where("ma IS NOT NULL AND mb IS NOT NULL").select(F.col("ma.doc_id").alias("a"), F.col("mb.doc_id").alias("b"))
+
+    def expand(rows: DataFrame, c: str, m: str, other: str) -> DataFrame:
+        """Replace a component without a single member by each of its members that the other one may match."""
+        known, many = rows.where(F.col(m).isNotNull()), rows.where(F.col(m).isNull()).drop(m)
+        of = placed.select(F.col("sig").alias("_sig"), F.col("c").alias("_c"), one.alias(m))
+        may = _may_match((f"{m}.n", f"{other}.n"), (f"{m}.k", f"{other}.k"), num, den)
+        on = (F.col("sig") == F.col("_sig")) & (F.col(c) == F.col("_c")) & F.coalesce(may, F.lit(True))
+        return known.unionByName(many.join(of, on).drop("_sig", "_c"))
+
+    several = expand(expand(met.where("ma IS NULL OR mb IS NULL"), "ca", "ma", "mb"), "cb", "mb", "ma")
+    several = several.select(F.col("ma.doc_id").alias("a"), F.col("mb.doc_id").alias("b"))
+    pairs = single.unionByName(several)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
@@ -183,7 +245,7 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
 
     ids = scratch.save(members.select("doc_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    of = scratch.save(sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), n), "sets")
+    of = scratch.save(sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), n, num, den), "sets")
 
     first = scratch.save(members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = scratch.save(verified(first, of, num, den), "links")
@@ -192,15 +254,9 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
         "sig", "doc_id", F.coalesce("component", "doc_id").alias("c")
     )
     mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    placed = scratch.save(placed.join(mixed, "sig", "left_semi"), "placed")
-    groups = placed.select("sig", "c").distinct()
-    crossing = (
-        groups.withColumnRenamed("c", "ca").join(groups.withColumnRenamed("c", "cb"), "sig").where("ca < cb")
-        .join(placed.select("sig", F.col("c").alias("ca"), F.col("doc_id").alias("a")), ["sig", "ca"])
-        .join(placed.select("sig", F.col("c").alias("cb"), F.col("doc_id").alias("b")), ["sig", "cb"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    rest = scratch.save(verified(crossing.join(first, ["a", "b"], "left_anti"), of, num, den), "links")
+    placed = placed.join(mixed, "sig", "left_semi").join(of.select("doc_id", "n", "k"), "doc_id")
+    pairs = crossing(scratch.save(placed, "placed"), num, den)
+    rest = scratch.save(verified(pairs.join(first, ["a", "b"], "left_anti"), of, num, den), "links")
 
     # Rows that share an id are one document: its classes are linked.
     several = out.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
