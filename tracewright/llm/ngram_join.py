@@ -134,7 +134,7 @@ MOST_SKETCH_BITS = 1 << 15
 
 
 def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Parities of the elements in m bins, as 64-bit words; m is a power of two that fits the difference allowed.
+    """Parities of the elements in m bins, as 64-bit words; m is a power of two, about 16 times the difference allowed.
 
     Two sketches differ in at most as many bins as their sets in elements, so a pair whose
     sketches differ more than the similarity allows is no match: nothing is lost by leaving
@@ -142,7 +142,7 @@ def sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """
     allowed = 2 * len(s) * (den - num) // (den + num)
     m = 64
-    while m < min(4 * allowed, MOST_SKETCH_BITS):
+    while m < min(16 * allowed, MOST_SKETCH_BITS):
         m *= 2
     parity = np.bincount((s & _U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
