@@ -154,11 +154,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[size]
 
 
-def _hash_slice(data: np.ndarray, first: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a slice; `first`: offsets at which a new text begins."""
+def _hash_slice(data: np.ndarray, first: np.ndarray, classes: np.ndarray, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of a slice; `first`: offsets at which a new text begins. With
+    stems, one more column for each: the hash of a word's first so many bytes, 0 if it has no more."""
     kind = classes[data]
     if not len(kind):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, 1 + len(stems)), np.uint64)
     cut = np.empty(len(kind) + 1, bool)
     cut[0] = cut[-1] = True
     np.not_equal(kind[1:], kind[:-1], out=cut[1:-1])
@@ -176,10 +177,23 @@ def _hash_slice(data: np.ndarray, first: np.ndarray, classes: np.ndarray) -> tup
 
         for i in np.flatnonzero(length > LONG_WORD):
             out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return starts, ends, out
+    columns = [out]
+    for size in stems:
+        stem = starts + np.minimum(length, size)
+        h = mix((prefix[stem] - prefix[starts]) * down[starts] + _U(size << 32))
+        columns.append(np.where(length > size, h, _U(0)))
+    return starts, np.stack(columns, axis=1)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of word_columns() without stems, in one dimension, and the word offsets."""
+    h, w = word_columns(data, offsets, classes, fold)
+    return h[:, 0], w
+
+
+def word_columns(
+    data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORD_CLASS, fold: bool = True, stems: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, and the n + 1 word offsets of the texts.
 
     A word is a run of bytes of one non-zero class; with `fold`, A-Z count as a-z. The hash
@@ -193,7 +207,7 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORD_CLAS
         if j - i > 1 or end - at <= 2 * SLICE_BYTES:
             part = FOLD[data[at:end]] if fold else data[at:end]
             first = offsets[i:j] - at
-            starts, _, h = _hash_slice(part, first, classes)
+            starts, h = _hash_slice(part, first, classes, stems)
             counts[i:j] = np.diff(np.searchsorted(starts, np.append(first, end - at)))
             out.append(h)
             continue
@@ -206,11 +220,12 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = WORD_CLAS
                     break
                 stop = min(stop + 4096, end)
             part = FOLD[data[at:stop]] if fold else data[at:stop]
-            h = _hash_slice(part, np.zeros(1, np.int64), classes)[2]
+            h = _hash_slice(part, np.zeros(1, np.int64), classes, stems)[1]
             counts[i] += len(h)
             out.append(h)
             at = stop
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
+    h = np.concatenate(out) if out else np.zeros((0, 1 + len(stems)), np.uint64)
+    return h, np.concatenate([[0], np.cumsum(counts)])
 
 
 def hash_words(text: str, classes: np.ndarray = WORD_CLASS, fold: bool = True) -> np.ndarray:

@@ -17,7 +17,7 @@ def features(column: pa.Array, bits: int = BITS):
     """For groups of rows: first row, row starts, features, values. A row's vector is log(1 + count), at fixed length."""
     for first, h, w in token_slices(column, fold=False):
         n = len(w) - 1
-        index, row = ngrams(h, w, bits, same=True)
+        index, row = ngrams(h[:, 0], w, bits, same=True)
         starts, feature, count = sparse(index, row, bits, n)
         value = np.log1p(count)
         norm = np.sqrt(np.bincount(np.repeat(np.arange(n), np.diff(starts)), value * value, n))

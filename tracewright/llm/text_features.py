@@ -11,16 +11,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN_CLASS, held_out, mix, pieces, text_buffer, words
+from .common import TOKEN_CLASS, held_out, mix, pieces, text_buffer, word_columns
 
 _U = np.uint64
 
 
-def token_slices(column: pa.Array, fold: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For groups of rows: the first row, token hashes and token offsets. Tokens are runs of letters and digits, or of signs."""
+def token_slices(column: pa.Array, fold: bool, stems: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For groups of rows: the first row, token hashes (one column, and one for each stem) and token
+    offsets. Tokens are runs of letters and digits, or of signs."""
     data, offsets = text_buffer(column)
     for i, j in pieces(offsets, 4 << 20):
-        h, w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TOKEN_CLASS, fold)
+        h, w = word_columns(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TOKEN_CLASS, fold, stems)
         yield i, h, w
 
 

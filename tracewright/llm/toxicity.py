@@ -4,7 +4,7 @@ Voters (lexicons and patterns) look at a bounded sample of labelled documents ou
 held-out fold. A generative label model estimates, by expectation maximisation, how often
 each voter fires on toxic and on clean documents, and from the residual covariance how far
 voters repeat each other; correlated voters share their say. The posterior labels train a
-linear classifier over hashed words, which scores every document.
+linear classifier over hashed words and stems, which scores every document.
 
 Labels serve in two places only: the share of toxic documents, and the lexicons of words
 that are mined from the labelled sample (dealt to several voters).
@@ -23,7 +23,8 @@ from .common import TOKEN_CLASS, hash_words, held_out, mix
 from .text_features import Ftrl, fit_in_one_task, sparse, token_slices, training_rows
 
 BITS, MOST_ROWS, THRESHOLD = 20, 12_000, 0.3
-MINED_VOTERS, MIN_SUPPORT, MIN_LIFT, MAX_MINED = 6, 4, 8.0, 512
+STEMS = (4, 5, 6)  # bytes: inflected forms share the start of the word
+MINED_VOTERS, MIN_SUPPORT, MIN_LIFT, MAX_MINED, MIN_FORMS = 6, 4, 40.0, 2_048, 3
 
 # Small seed lexicons of common English insults, by kind, and phrase patterns.
 LEXICONS = {
@@ -60,7 +61,8 @@ def votes(h: np.ndarray, w: np.ndarray, lexicons: list[np.ndarray]) -> np.ndarra
     row = np.repeat(np.arange(n), np.diff(w))
     out = []
     for lex in lexicons:
-        out.append(np.bincount(row[np.isin(h, lex)], minlength=n) > 0)
+        out.append(np.bincount(row[np.isin(h, lex).any(axis=1)], minlength=n) > 0)
+    h = h[:, 0]
     fired = {name: np.zeros(n, bool) for name in PATTERNS}
     for length, phrases in _phrases().items():
         if len(h) >= length:
@@ -70,17 +72,49 @@ def votes(h: np.ndarray, w: np.ndarray, lexicons: list[np.ndarray]) -> np.ndarra
     return np.stack([*out, *fired.values()], axis=1)
 
 
+def present(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words and stems, and their rows."""
+    row = np.repeat(np.arange(len(w) - 1), np.diff(w))
+    there = h != 0
+    return h[there], np.broadcast_to(row[:, None], h.shape)[there]
+
+
+def distinct_texts(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows that start a group of near copies: those that share the smallest hash of a pair of words count once."""
+    pairs = mix(h[:-1, 0] * np.uint64(3) + h[1:, 0])
+    least = [pairs[a : b - 1].min() if b - a > 1 else (h[a, 0] if b > a else np.uint64(0)) for a, b in zip(w[:-1], w[1:])]
+    return np.sort(np.unique(np.array(least, np.uint64), return_index=True)[1])
+
+
+def _select(h: np.ndarray, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = [h[w[i] : w[i + 1]] for i in rows]
+    return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
 def mine(h: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Words that toxic documents hold far more often than clean ones, dealt to several voters."""
-    n = len(y)
+    """Words that toxic documents hold far more often than clean ones, and stems that several such words share, dealt to voters."""
+    rows = distinct_texts(h, w)
+    h, w = _select(h, w, rows)
+    y, n = y[rows], len(rows)
+
+    def telling(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word, code = np.unique(h, return_inverse=True)
+        pair = np.unique(code.astype(np.int64) * n + row)
+        bad = np.bincount(pair // n, y[pair % n], len(word))
+        clean = np.bincount(pair // n, minlength=len(word)) - bad
+        lift = (bad / (y.sum() + 1)) / ((clean + 0.5) / (n - y.sum() + 1))
+        found = np.flatnonzero((bad >= MIN_SUPPORT) & (lift >= MIN_LIFT))
+        found = found[np.argsort(-bad[found], kind="stable")][:MAX_MINED]
+        return word[found], bad[found]
+
     row = np.repeat(np.arange(n), np.diff(w))
-    word, code = np.unique(h, return_inverse=True)
-    pair = np.unique(code.astype(np.int64) * n + row)
-    bad = np.bincount(pair // n, y[pair % n], len(word))
-    all_ = np.bincount(pair // n, minlength=len(word))
-    lift = ((bad + 0.1) / (y.sum() + 1)) / ((all_ - bad + 0.5) / (n - y.sum() + 1))
-    found = np.flatnonzero((bad >= MIN_SUPPORT) & (lift >= MIN_LIFT))
-    found = word[found[np.argsort(-bad[found], kind="stable")][:MAX_MINED]]
+    found = telling(h[:, 0], row)[0]
+    of_found = h[np.isin(h[:, 0], found)]
+    pairs = np.unique(np.concatenate([of_found[:, [0, k]] for k in range(1, h.shape[1])]), axis=0)
+    stem, forms = np.unique(pairs[pairs[:, 1] != 0, 1], return_counts=True)
+    likely = np.isin(h[:, 1:], stem[forms >= MIN_FORMS])
+    stems = telling(h[:, 1:][likely], np.broadcast_to(row[:, None], likely.shape)[likely])[0]
+    found = np.concatenate([found, stems])
     return [found[k::MINED_VOTERS] for k in range(MINED_VOTERS)]
 
 
@@ -88,8 +122,9 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarr
     """Posterior of each row, and each voter's (rate on toxic, rate on clean, share of its say).
 
     Voters fire independently given the label, but for the correlation that the residuals
-    show: a voter's log-likelihood ratio counts by one over one plus its summed positive
-    correlations with the others.
+    show: when several fire, each one's log-likelihood ratio counts by one over one plus its
+    summed positive correlations with the others. The strongest voter's own word counts in
+    full: company cannot make it weaker.
     """
     v = v.astype(float)
     post = np.where(v.any(axis=1), 0.9, 0.02)
@@ -106,7 +141,8 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarr
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + corr.sum(axis=1))
         fire, miss = np.log(r1 / r0), np.log((1 - r1) / (1 - r0))
-        logit = np.log(prior / (1 - prior)) + (v * fire + (1 - v) * miss) @ share
+        said = np.maximum((v * fire).max(axis=1), (v * fire) @ share)
+        logit = np.log(prior / (1 - prior)) + said + ((1 - v) * miss) @ share
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, np.stack([r1, r0, share])
 
@@ -116,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
 
     def fit(_, texts, y):
         out = io.BytesIO()
-        slices = list(token_slices(texts, fold=True))
+        slices = list(token_slices(texts, True, STEMS))
         if not len(y):
             np.savez(out, feature=np.zeros(0, np.int64), weight=np.zeros(1), voters=np.zeros((3, 0)))
             return out.getvalue()
@@ -125,9 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         seeds = [hash_words(x, TOKEN_CLASS) for x in LEXICONS.values()]
         v = votes(h, w, [*seeds, *mine(h, w, y)])
         post, voters = label_model(v, prior=min(0.5, max(0.005, y.mean())))
-        row = np.repeat(np.arange(len(y)), np.diff(w))
-        starts, index, _ = sparse((h >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(y))
-        weights = Ftrl(bits, alpha=0.5, l1=2.0, l2=0.1, epochs=4).fit(starts, index, np.ones(len(index)), post)
+        flat, row = present(h, w)
+        starts, index, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(y))
+        weights = Ftrl(bits, alpha=0.5, l1=1.0, l2=0.01, epochs=5).fit(starts, index, np.ones(len(index)), post)
         feature = np.flatnonzero(weights[:-1])
         np.savez(out, feature=feature, weight=weights[[*feature, -1]], voters=voters)
         return out.getvalue()
@@ -148,12 +184,12 @@ def scorer(model: dict[str, np.ndarray], bits: int = BITS):
 
     def run(texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
-        for first, h, w in token_slices(texts, fold=True):
+        for first, h, w in token_slices(texts, True, STEMS):
             n = len(w) - 1
+            h, row = present(h, w)
             f = (h >> np.uint64(64 - bits)).astype(np.int64)
             used = weights[f] != 0
-            row = np.repeat(np.arange(n), np.diff(w))[used]
-            starts, f, _ = sparse(f[used], row, bits, n)
+            starts, f, _ = sparse(f[used], row[used], bits, n)
             out[first : first + n] = np.bincount(np.repeat(np.arange(n), np.diff(starts)), weights[f], n)
         return 1 / (1 + np.exp(-np.clip(out + weights[-1], -500, 500)))
 
