@@ -58,7 +58,8 @@ def selector(data: Column) -> Column:
 
 def raw(data: Column) -> Column:
     """Bytes; null for an odd number of digits or other characters."""
-    return F.try_to_binary(F.regexp_replace(data, "^0x", ""), F.lit("hex"))
+    d = F.regexp_replace(data, "^0x", "")
+    return F.when(F.length(d) % 2 == 0, F.try_to_binary(d, F.lit("hex")))
 
 
 # The call kinds of a trace, and the class by which patterns name them.
