@@ -10,11 +10,11 @@ they differ in at most k elements. The feature domain is hashed into partitions:
   parts each, and a signature for every pair of parts.
 * k = 0: equal sets only, which are one class already.
 
-Equal sets are collapsed first. Every bucket of a signature links its members to its
-smallest one; candidates are verified on the sets themselves. Then only pairs in one bucket
-whose members are not yet connected remain. Sizes and sketches rule most of them out for
-certain, and all others are verified: no link between different components is lost, and
-pairs inside a component need no check.
+Equal sets are collapsed first. Each document meets the smallest members of its buckets, and
+is compared with the one that it meets most often. Then only pairs in one bucket whose
+members are not yet connected remain. Sizes and sketches rule most of them out for certain,
+and all others are verified on the sets themselves: no link between different components is
+lost, and pairs inside a component need no check.
 """
 
 from __future__ import annotations
@@ -160,56 +160,108 @@ def _may_match(n: tuple[str, str], k: tuple[str, str], num: int, den: int):
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * bins <= (den - num) * (na + nb))
 
 
-def sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, k, s: the size, sketch and distinct shingles of each row."""
+SHORT_BITS = 512
+
+
+def short_sketch(s: np.ndarray) -> np.ndarray:
+    """A sketch of one size for all sets, so that distances between sketches obey the triangle inequality."""
+    parity = np.bincount((s & _U(SHORT_BITS - 1)).astype(np.int64), minlength=SHORT_BITS) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, k, k8: the number of shingles, the sketch and the short sketch of each row."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                made = [(len(s), sketch(s, num, den), short_sketch(s)) for s in _per_text(part.column("text"), n)]
+                types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+                columns = [part.column("doc_id"), *(pa.array([x[i] for x in made], t) for i, t in enumerate(types))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k", "k8"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k array<long>, k8 array<long>")
+
+
+def sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, s: the distinct shingles of each row."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                s = list(_per_text(part.column("text"), n))
-                lists = pa.list_(pa.int64())
-                columns = [part.column("doc_id"), pa.array(map(len, s), pa.int64()), pa.array([sketch(x, num, den) for x in s], lists), pa.array([x.view(np.int64) for x in s], lists)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k", "s"])
+                s = pa.array([x.view(np.int64) for x in _per_text(part.column("text"), n)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), s], ["doc_id", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids. Few ids are broadcast; more than BROADCAST_IDS are joined by a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k array<long>, s array<long>")
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-def crossing(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that may match, of members (sig, c, doc_id, n, k) of one bucket and different components.
 
-    Components meet before members do. One with a single member in the bucket meets others
-    with its sketch, so hopeless pairs are never made.
+def _distance(x: str, y: str):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, b: t + b)
+
+
+def summaries(placed: DataFrame, of: DataFrame) -> DataFrame:
+    """For each component: c, size, lo, hi (of its sets' sizes), k8 of its first member, and r: how far its members are from that.
+
+    placed: doc_id, c. A component's first member is the document that names it.
+    """
+    own = placed.join(of.select("doc_id", "n", "k8"), "doc_id")
+    first = of.select(F.col("doc_id").alias("c"), F.col("k8").alias("_k8"))
+    far = own.join(first, "c").select("c", "n", _distance("k8", "_k8").alias("r"))
+    ranges = far.groupBy("c").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("r"))
+    return ranges.join(first.withColumnRenamed("_k8", "k8"), "c")
+
+
+def crossing(buckets: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of components (ca, cb) of one bucket, of which some members may match; ca is the smaller one.
+
+    By the triangle inequality, members of two components differ at least as much as their
+    first members' short sketches, less both radii. Buckets carry short sketches only.
     """
-    one = F.struct("doc_id", "n", "k")
-    groups = placed.groupBy("sig", "c").agg(F.count("*").alias("size"), F.min(one).alias("m"))
-    groups = groups.select("sig", "c", F.when(F.col("size") == 1, F.col("m")).alias("m"))
-    x = groups.select("sig", F.col("c").alias("ca"), F.col("m").alias("ma"))
-    y = groups.select(F.col("sig").alias("_sig"), F.col("c").alias("cb"), F.col("m").alias("mb"))
-    may = _may_match(("ma.n", "mb.n"), ("ma.k", "mb.k"), num, den)
-    met = x.join(y, (F.col("sig") == F.col("_sig")) & (F.col("ca") < F.col("cb")) & F.coalesce(may, F.lit(True))).drop("_sig")
-    single = met.where("ma IS NOT NULL AND mb IS NOT NULL").select(F.col("ma.doc_id").alias("a"), F.col("mb.doc_id").alias("b"))
-
-    def expand(rows: DataFrame, c: str, m: str, other: str) -> DataFrame:
-        """Replace a component without a single member by each of its members that the other one may match."""
-        known, many = rows.where(F.col(m).isNotNull()), rows.where(F.col(m).isNull()).drop(m)
-        of = placed.select(F.col("sig").alias("_sig"), F.col("c").alias("_c"), one.alias(m))
-        may = _may_match((f"{m}.n", f"{other}.n"), (f"{m}.k", f"{other}.k"), num, den)
-        on = (F.col("sig") == F.col("_sig")) & (F.col(c) == F.col("_c")) & F.coalesce(may, F.lit(True))
-        return known.unionByName(many.join(of, on).drop("_sig", "_c"))
-
-    several = expand(expand(met.where("ma IS NULL OR mb IS NULL"), "ca", "ma", "mb"), "cb", "mb", "ma")
-    several = several.select(F.col("ma.doc_id").alias("a"), F.col("mb.doc_id").alias("b"))
-    pairs = single.unionByName(several)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = buckets.join(about, "c")
+    x = rows.select("sig", *(F.col(c).alias(f"{c}a") for c in ("c", "size", "lo", "hi", "r", "k8")))
+    y = rows.select(F.col("sig").alias("_sig"), *(F.col(c).alias(f"{c}b") for c in ("c", "size", "lo", "hi", "r", "k8")))
+    sizes = (den * F.col("hia") >= num * F.col("lob")) & (den * F.col("hib") >= num * F.col("loa"))
+    bins = _distance("k8a", "k8b") - F.col("ra") - F.col("rb")
+    may = sizes & ((den + num) * bins <= (den - num) * (F.col("hia") + F.col("hib")))
+    met = x.join(y, (F.col("sig") == F.col("_sig")) & (F.col("ca") < F.col("cb")) & may)
+    swap = F.col("sizea") > F.col("sizeb")
+    pick = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
+    return met.select(pick("ca", "cb").alias("ca"), pick("cb", "ca").alias("cb")).distinct()
+
+
+def members_of(pairs: DataFrame, placed: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of documents (a, b) from pairs of components, without those that sizes and sketches rule out."""
+    own = placed.join(of.select("doc_id", "n", "k"), "doc_id")
+    x = own.select(F.col("c").alias("ca"), F.struct("doc_id", "n", "k").alias("x"))
+    y = own.select(F.col("c").alias("_cb"), F.struct("doc_id", "n", "k").alias("y"))
+    may = _may_match(("x.n", "y.n"), ("x.k", "y.k"), num, den)
+    met = pairs.join(x, "ca").join(y, (F.col("cb") == F.col("_cb")) & may)
+    a, b = F.col("x.doc_id"), F.col("y.doc_id")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def plausible(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't rule out."""
+    x = of.select(F.col("doc_id").alias("a"), F.struct("n", "k").alias("x"))
+    y = of.select(F.col("doc_id").alias("b"), F.struct("n", "k").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(_may_match(("x.n", "y.n"), ("x.k", "y.k"), num, den)).select("a", "b")
 
 
 def verified(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     x, y = of.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), of.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    sized = both.where(den * F.least(F.size("x"), F.size("y")) >= num * F.greatest(F.size("x"), F.size("y")))
-    common = sized.withColumn("i", F.size(F.array_intersect("x", "y")))
+    common = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     return common.where(den * F.col("i") >= num * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
@@ -225,7 +277,8 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
     base = scratch.save(signed(docs, n, num, den), "signed")
     key = ["d1", "d2", "n_shingles"]
     some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
+    # Written first, so that the join below is of two plain shuffles, which a very large class can be split in.
+    classes = scratch.save(some.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
     out = scratch.save(
         base.select("doc_id", *key).join(classes, key, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "docs"
@@ -238,25 +291,42 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
         shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("sig")
         met = rows.join(shared, "sig").join(copies, "doc_id", "left").select("sig", F.coalesce("class_id", "doc_id").alias("doc_id"))
         shares.append(scratch.save(met.distinct(), "met"))
+        del rows, shared, met
         scratch.free_shuffles()
+    scratch.drop(base)
     met = reduce(DataFrame.unionAll, shares)
     centers = met.groupBy("sig").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top")).where("center <> top")
     members = scratch.save(met.join(centers.select("sig", "center"), "sig"), "members")
 
-    ids = scratch.save(members.select("doc_id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    of = scratch.save(sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), n, num, den), "sets")
+    of = scratch.save(sketches(only(docs, scratch.save(members.select("doc_id").distinct(), "ids")), n, num, den), "sketches")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        own = scratch.save(sets(only(docs, scratch.save(ends(pairs), "ids")), n), "sets")
+        return scratch.save(verified(pairs, own, num, den), "links")
 
-    first = scratch.save(members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = scratch.save(verified(first, of, num, den), "links")
+    # One pair for each document: the center that it meets most often, if that may match.
+    often = members.where("doc_id <> center").groupBy("doc_id", "center").agg(F.count("*").alias("times"))
+    best = often.groupBy("doc_id").agg(F.max_by("center", F.struct("times", -F.col("center"))).alias("a"))
+    first = scratch.save(plausible(best.select("a", F.col("doc_id").alias("b")), of, num, den), "pairs")
+    links = check(first)
     found = components(links, scratch)
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "sig", "doc_id", F.coalesce("component", "doc_id").alias("c")
-    )
-    mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    placed = placed.join(mixed, "sig", "left_semi").join(of.select("doc_id", "n", "k"), "doc_id")
-    pairs = crossing(scratch.save(placed, "placed"), num, den)
-    rest = scratch.save(verified(pairs.join(first, ["a", "b"], "left_anti"), of, num, den), "links")
+    named = found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "c")
+    placed = scratch.save(of.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("c")), "placed")
+    buckets = members.select("sig", "doc_id").join(placed, "doc_id").select("sig", "c").distinct()
+    mixed = buckets.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+    buckets = scratch.save(buckets.join(mixed, "sig", "left_semi"), "buckets")
+    about = scratch.save(summaries(placed, of), "components")
+    shares = []
+    for share in range(SHARES):
+        shares.append(scratch.save(crossing(buckets.where(F.pmod("sig", F.lit(SHARES)) == share), about, num, den), "crossing"))
+        scratch.free_shuffles()
+    crossed = scratch.save(reduce(DataFrame.unionAll, shares).distinct(), "crossing")
+    shares = []
+    for share in range(SHARES):
+        own = crossed.where(F.pmod(F.xxhash64("ca", "cb"), F.lit(SHARES)) == share)
+        shares.append(scratch.save(members_of(own, placed, of, num, den).join(first, ["a", "b"], "left_anti"), "pairs"))
+        scratch.free_shuffles()
+    rest = check(reduce(DataFrame.unionAll, shares))
 
     # Rows that share an id are one document: its classes are linked.
     several = out.where("class_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a <> z")
