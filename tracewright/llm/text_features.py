@@ -112,4 +112,5 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[int], pa.Array, np.nd
         model = fit(t["doc_id"].to_pylist(), t["text"].combine_chunks(), t["y"].to_numpy().astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return bytes(sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()["model"])
+    row = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(row["model"]) if row else fit([], pa.array([], pa.string()), np.zeros(0))

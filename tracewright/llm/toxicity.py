@@ -79,10 +79,10 @@ def present(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[there], np.broadcast_to(row[:, None], h.shape)[there]
 
 
-def distinct_texts(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Rows that start a group of near copies: those that share the smallest hash of a pair of words count once."""
-    pairs = mix(h[:-1, 0] * np.uint64(3) + h[1:, 0])
-    least = [pairs[a : b - 1].min() if b - a > 1 else (h[a, 0] if b > a else np.uint64(0)) for a, b in zip(w[:-1], w[1:])]
+def distinct_texts(h: np.ndarray, w: np.ndarray, n: int = 8) -> np.ndarray:
+    """Rows that start a group of near copies: texts that share the smallest hash of n words in a row count once."""
+    runs = _sequence(h[:, 0], n) if len(h) >= n else np.zeros(0, np.uint64)
+    least = [runs[a : b - n + 1].min() if b - a >= n else mix(h[a:b, 0]).sum(dtype=np.uint64) for a, b in zip(w[:-1], w[1:])]
     return np.sort(np.unique(np.array(least, np.uint64), return_index=True)[1])
 
 
