@@ -110,14 +110,16 @@ def encode(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, overl
                 )
 
     def seams(batches):
-        """Boundaries inside the overlaps. A window's last pre-token may be cut short, so its end is no boundary."""
+        """Boundaries inside the overlaps. A window's last pre-token may be cut short, so its end is no
+        boundary. Blanks look ahead: a piece that ends with them would be split otherwise alone than
+        in its text, so no seam comes after a blank."""
         for b in batches:
             left, right = [], []
             for at, text in zip(b.column("at").to_pylist(), b.column("text")):
                 text = text.as_py()
                 ends = np.array([0, *boundaries(text, pattern)][:-1], np.int64)
                 left.append(ends[ends <= overlap] + at)
-                right.append(ends[ends >= len(text) - overlap] + at)
+                right.append(np.array([e + at for e in ends[ends >= len(text) - overlap] if e and not text[e - 1].isspace()], np.int64))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], [*b.schema.names, "left", "right"]
             )
