@@ -44,12 +44,12 @@ def test_boundaries_resynchronise():
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    rows, labels = corpus(160)
+    rows, labels = corpus(500)
     rng = random.Random(8)
     shared = "This license line stands in very many of the documents."
     rows = [(i, f"{t}\n{shared}" if i % 3 == 0 else t) for i, t in rows]
     near = prose(rng, 120)
-    rows += [(1000 + k, near + f" end{k}") for k in range(6)] + [(1100 + k, near) for k in range(2)] + ODD
+    rows += [(1000 + k, near + f" end{k}") for k in range(6)] + [(1100 + k, near) for k in range(2)] + ODD + [(None, "a few plain words, without an id")]
     root = tmp_path_factory.mktemp("tables")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], schema).write.parquet(f"{root}/documents.parquet")

@@ -210,14 +210,15 @@ def _distance(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, b: t + b)
 
 
-def summaries(placed: DataFrame, of: DataFrame) -> DataFrame:
+def summaries(placed: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
     """For each component: c, size, lo, hi (of its sets' sizes), k8 of its first member, and r: how far its members are from that.
 
     placed: doc_id, c. A component's first member is the document that names it.
     """
     own = placed.join(of.select("doc_id", "n", "k8"), "doc_id")
     first = of.select(F.col("doc_id").alias("c"), F.col("k8").alias("_k8"))
-    far = own.join(first, "c").select("c", "n", _distance("k8", "_k8").alias("r"))
+    # Written between join and group: so a very large component can be split in the one, and is summed up before the other.
+    far = scratch.save(own.join(first, "c").select("c", "n", _distance("k8", "_k8").alias("r")), "far")
     ranges = far.groupBy("c").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("r").alias("r"))
     return ranges.join(first.withColumnRenamed("_k8", "k8"), "c")
 
@@ -315,7 +316,7 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
     buckets = members.select("sig", "doc_id").join(placed, "doc_id").select("sig", "c").distinct()
     mixed = buckets.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     buckets = scratch.save(buckets.join(mixed, "sig", "left_semi"), "buckets")
-    about = scratch.save(summaries(placed, of), "components")
+    about = scratch.save(summaries(placed, of, scratch), "components")
     shares = []
     for share in range(SHARES):
         shares.append(scratch.save(crossing(buckets.where(F.pmod("sig", F.lit(SHARES)) == share), about, num, den), "crossing"))

@@ -57,8 +57,10 @@ class Ftrl:
     epochs: int = 4
 
     def fit(self, starts: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Weights; the last one is the bias. y: labels, or probabilities, from 0 to 1."""
+        """Weights; the last one is the bias. y: labels, or probabilities, from 0 to 1. The bias starts from their mean."""
         n = (1 << self.bits) + 1
+        mean = np.clip(y.mean(), 0.01, 0.99)
+        prior = np.log(mean / (1 - mean))
         z, s = np.zeros(n), np.zeros(n)
 
         def weights(f, l1):
@@ -69,14 +71,14 @@ class Ftrl:
             for i in range(len(y)):
                 f, x = index[starts[i] : starts[i + 1]], value[starts[i] : starts[i + 1]]
                 w, b = weights(f, self.l1), weights(bias, 0.0)
-                g = 1 / (1 + np.exp(-np.clip(w @ x + b[0], -35, 35))) - y[i]
+                g = 1 / (1 + np.exp(-np.clip(w @ x + b[0] + prior, -35, 35))) - y[i]
                 for k, wk, gk in ((f, w, g * x), (bias, b, np.array([g]))):
                     more = np.sqrt(s[k] + gk * gk)
                     z[k] += gk - (more - np.sqrt(s[k])) / self.alpha * wk
                     s[k] += gk * gk
         every = np.arange(n)
         out = weights(every, self.l1)
-        out[-1] = weights(bias, 0.0)[0]
+        out[-1] = weights(bias, 0.0)[0] + prior
         return out
 
 
