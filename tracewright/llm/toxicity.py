@@ -112,8 +112,8 @@ def mine(h: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     of_found = h[np.isin(h[:, 0], found)]
     pairs = np.unique(np.concatenate([of_found[:, [0, k]] for k in range(1, h.shape[1])]), axis=0)
     stem, forms = np.unique(pairs[pairs[:, 1] != 0, 1], return_counts=True)
-    likely = np.isin(h[:, 1:], stem[forms >= MIN_FORMS])
-    stems = telling(h[:, 1:][likely], np.broadcast_to(row[:, None], likely.shape)[likely])[0]
+    likely = [np.isin(h[:, k], stem[forms >= MIN_FORMS]) for k in range(1, h.shape[1])]
+    stems = telling(np.concatenate([h[x, k + 1] for k, x in enumerate(likely)]), np.concatenate([row[x] for x in likely]))[0]
     found = np.concatenate([found, stems])
     return [found[k::MINED_VOTERS] for k in range(MINED_VOTERS)]
 
@@ -161,9 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
         seeds = [hash_words(x, TOKEN_CLASS) for x in LEXICONS.values()]
         v = votes(h, w, [*seeds, *mine(h, w, y)])
         post, voters = label_model(v, prior=min(0.5, max(0.005, y.mean())))
-        flat, row = present(h, w)
-        starts, index, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(y))
-        weights = Ftrl(bits, alpha=0.5, l1=1.0, l2=0.01, epochs=5).fit(starts, index, np.ones(len(index)), post)
+        del h
+        starts, index = [np.zeros(1, np.int64)], []
+        for _, own, own_w in slices:  # slice by slice: all occurrences at once would take a gigabyte
+            flat, row = present(own, own_w)
+            s, f, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(own_w) - 1)
+            starts.append(s[1:] + starts[-1][-1])
+            index.append(f.astype(np.int32))
+        starts, index = np.concatenate(starts), np.concatenate(index)
+        weights = Ftrl(bits, alpha=0.5, l1=1.0, l2=0.01, epochs=5).fit(starts, index, np.ones(len(index), np.float32), post)
         feature = np.flatnonzero(weights[:-1])
         np.savez(out, feature=feature, weight=weights[[*feature, -1]], voters=voters)
         return out.getvalue()
