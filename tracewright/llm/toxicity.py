@@ -86,16 +86,15 @@ def distinct_texts(h: np.ndarray, w: np.ndarray, n: int = 8) -> np.ndarray:
     return np.sort(np.unique(np.array(least, np.uint64), return_index=True)[1])
 
 
-def _select(h: np.ndarray, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own = [h[w[i] : w[i + 1]] for i in rows]
-    return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
-
-
 def mine(h: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Words that toxic documents hold far more often than clean ones, and stems that several such words share, dealt to voters."""
     rows = distinct_texts(h, w)
-    h, w = _select(h, w, rows)
-    y, n = y[rows], len(rows)
+    number = np.full(len(y), -1)
+    number[rows] = np.arange(len(rows))
+    y, n, row = y[rows], len(rows), np.repeat(number, np.diff(w))
+    keep = row >= 0
+    row = row[keep]
+    column = lambda k: h[keep, k]  # noqa: E731  one at a time: they are large
 
     def telling(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word, code = np.unique(h, return_inverse=True)
@@ -107,13 +106,17 @@ def mine(h: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         found = found[np.argsort(-bad[found], kind="stable")][:MAX_MINED]
         return word[found], bad[found]
 
-    row = np.repeat(np.arange(n), np.diff(w))
-    found = telling(h[:, 0], row)[0]
-    of_found = h[np.isin(h[:, 0], found)]
-    pairs = np.unique(np.concatenate([of_found[:, [0, k]] for k in range(1, h.shape[1])]), axis=0)
+    found = telling(column(0), row)[0]
+    telling_words = np.isin(column(0), found)
+    words_found = column(0)[telling_words]
+    pairs = np.unique(np.concatenate([np.stack([words_found, column(k)[telling_words]], axis=1) for k in range(1, h.shape[1])]), axis=0)
     stem, forms = np.unique(pairs[pairs[:, 1] != 0, 1], return_counts=True)
-    likely = [np.isin(h[:, k], stem[forms >= MIN_FORMS]) for k in range(1, h.shape[1])]
-    stems = telling(np.concatenate([h[x, k + 1] for k, x in enumerate(likely)]), np.concatenate([row[x] for x in likely]))[0]
+    stem, likely = stem[forms >= MIN_FORMS], []
+    for k in range(1, h.shape[1]):
+        own = column(k)
+        hit = np.isin(own, stem)
+        likely.append((own[hit], row[hit]))
+    stems = telling(np.concatenate([x for x, _ in likely]), np.concatenate([r for _, r in likely]))[0]
     found = np.concatenate([found, stems])
     return [found[k::MINED_VOTERS] for k in range(MINED_VOTERS)]
 
@@ -158,13 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
             return out.getvalue()
         h = np.concatenate([s[1] for s in slices])
         w = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s[2]) for s in slices]))])
+        del slices  # the hashes are the largest thing here; one copy is enough
         seeds = [hash_words(x, TOKEN_CLASS) for x in LEXICONS.values()]
         v = votes(h, w, [*seeds, *mine(h, w, y)])
         post, voters = label_model(v, prior=min(0.5, max(0.005, y.mean())))
-        del h
         starts, index = [np.zeros(1, np.int64)], []
-        for _, own, own_w in slices:  # slice by slice: all occurrences at once would take a gigabyte
-            flat, row = present(own, own_w)
+        for i in range(0, len(y), 256):  # a few texts at a time: all occurrences at once would take a gigabyte
+            own_w = w[i : i + 257]
+            flat, row = present(h[own_w[0] : own_w[-1]], own_w - own_w[0])
             s, f, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(own_w) - 1)
             starts.append(s[1:] + starts[-1][-1])
             index.append(f.astype(np.int32))
