@@ -4,10 +4,11 @@ Sizes fall into bands [l, r] with r the largest size that can match l. A set giv
 for its own band and the next, so two sets that match always share a band instance. There,
 they differ in at most k elements. The feature domain is hashed into partitions:
 
-* k >= 16: k + 1 + 2 partitions, one signature for each. At least three agree, so a set with
-  at most two empty partitions may leave those out.
-* k < 16: n1 = ceil((k + 1) / 2) groups, in one of which at most one element differs; three
-  parts each, and a signature for every pair of parts.
+* k >= 16: k + 1 + e partitions, one signature for each. At least 1 + e agree, so a set with at
+  most e empty partitions may leave those out: empty ones would bring strangers together.
+* k < 16: n1 = ceil((k + 1) / 2) + 1 groups, in two of which at most one element differs; three
+  parts each, and a signature for every pair of parts. A set in which at most one group has an
+  empty pair may leave that out.
 * k = 0: equal sets only, which are one class already.
 
 Equal sets are collapsed first. Each document meets the smallest members of its buckets, and
@@ -19,6 +20,7 @@ lost, and pairs inside a component need no check.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -31,7 +33,7 @@ from .common import Scratch, mix, text_buffer, words
 from .components import components
 
 NGRAM, NUM, DEN = 3, 90, 100
-EXTRA, SHARES = 2, 4
+EXTRA, SHARES = 1, 4
 BROADCAST_IDS = 500_000  # ids of 8 bytes; beyond it, a shuffle join
 _U = np.uint64
 
@@ -59,12 +61,24 @@ class PartEnum:
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
         self.r = bands(num, den, 1 << 10)
+        self._known: dict[int, tuple[int, int, int]] = {}
 
-    def _instance(self, band: int) -> tuple[int, int]:
-        """The number of this band and the largest difference of two sets up to its size."""
+    def _instance(self, band: int) -> tuple[int, int, int]:
+        """The number of this band, the largest difference of two sets up to its size, and the extra
+        partitions: about as many as leave hardly any set with more empty partitions than that."""
         while band >= len(self.r):
             self.r = bands(self.num, self.den, int(self.r[-1]) * 2)
-        return band, int(2 * self.r[band] * (self.den - self.num) // (self.den + self.num))
+        if band not in self._known:
+            k = int(2 * self.r[band] * (self.den - self.num) // (self.den + self.num))
+            least = int(self.r[band - 2]) + 1 if band > 1 else 1
+            extra = 2
+            for _ in range(20):
+                empty = (k + 1 + extra) * math.exp(-least / (k + 1 + extra))
+                if extra >= (more := math.ceil(empty + 4 * math.sqrt(empty)) + 1):
+                    break
+                extra = more
+            self._known[band] = band, k, extra
+        return self._known[band]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         while len(s) > self.r[-1]:
@@ -73,23 +87,26 @@ class PartEnum:
         value = mix(s + _U(0x51ED270B))
         return np.concatenate([self._of(s, value, *self._instance(b)) for b in (band, band + 1)])
 
-    def _of(self, s: np.ndarray, value: np.ndarray, band: int, k: int) -> np.ndarray:
+    def _of(self, s: np.ndarray, value: np.ndarray, band: int, k: int, extra: int) -> np.ndarray:
         if k == 0:
             return np.zeros(0, np.uint64)
         flat = k >= 16
-        n = k + 1 + EXTRA if flat else 3 * ((k + 2) // 2)
+        n = k + 1 + extra if flat else 3 * ((k + 2) // 2 + EXTRA)
         part = ((s >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, part, value)
         number = np.arange(n, dtype=np.uint64)
+        empty = np.bincount(part, minlength=n) == 0
         if flat:
-            empty = np.bincount(part, minlength=n) == 0
-            if empty.sum() <= EXTRA:
+            if empty.sum() <= extra:
                 sums, number = sums[~empty], number[~empty]
         else:
             a = np.concatenate([np.arange(0, n, 3) + i for i, _ in combinations(range(3), 2)])
             b = np.concatenate([np.arange(0, n, 3) + j for _, j in combinations(range(3), 2)])
+            void = empty[a] & empty[b]
             sums, number = mix(sums[a] + _U(1)) + sums[b], number[a] * _U(n) + number[b]
+            if len(np.unique(a[void] // 3)) <= EXTRA:
+                sums, number = sums[~void], number[~void]
         return mix(mix(sums) + _U(band * 0x9E3779B97F4A7C15 % (1 << 64)) + number)
 
 
