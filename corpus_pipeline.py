@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the rates that meet the target weights; none comes more than once."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), most=1.0)
+    """Documents at the rates that meet the target weights of clean and poor ones; none comes more than once."""
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), mixing.CLEANED, most=1.0)
     return mixing.apply(docs, mixed).select(*COLUMNS)
 
 

@@ -98,6 +98,12 @@ def test_run_is_the_stages_in_order(spark, tables):
     assert set(corpus_pipeline.run(spark, tables).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
 
 
+def test_run_keeps_clean_documents(spark, tables):
+    clean = {i for i, good, bad in corpus(500)[1] if good and not bad}
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, tables).select("doc_id").collect()}
+    assert len(clean & kept) > 0.95 * len(clean), (len(clean & kept), len(clean))
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
     assert ngram_join.NGRAM == 3 and line_dedup.MIN_DOCS == 3 and byte_bpe.WINDOW > byte_bpe.OVERLAP

@@ -140,3 +140,11 @@ def test_mixing_of_odd_rows(spark, documents):
     assert out.columns == docs.columns
     assert mixing.mix(docs.where("false"), table).count() == 0
     assert mixing.mix(docs, table.where("false")).count() == len(rows) + len(ODD)
+
+
+def test_scarce_domain_does_not_limit_a_bounded_mix(spark):
+    soft = spark.createDataFrame([(i, 10, [1.0, 0.0, 0.0] if i < 200 else [0.0, 1.0, 0.0] if i < 260 else [0.0, 0.0, 1.0]) for i in range(261)], "doc_id long, tokens long, p array<double>")
+    rated, target = mixing.fit_rates(soft, [0.9, 0.07, 0.03], mixing.Scratch(spark), most=1.0)
+    rate = {r["doc_id"]: r["rate"] for r in rated.collect()}
+    assert min(rate[i] for i in range(200)) > 0.99 and rate[260] > 0.99 and max(rate[i] for i in range(200, 260)) < 0.3
+    assert target[0] == 2000 and target[2] == 10

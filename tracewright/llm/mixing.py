@@ -22,6 +22,7 @@ from .common import WHITESPACE, Scratch, held_out
 # Production parameters. Domains come from the labelled table: (quality, toxic).
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "poor": "quality = 0", "toxic": "quality = 1 AND toxic = 1"}
 TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
+CLEANED = {d: DOMAINS[d] for d in ("clean", "poor")}  # what is left once toxic documents are gone
 MOST_ROWS, VOCABULARY, MIN_SUPPORT = 6_000, 2_048, 5
 ROUNDS, STEPS, TOLERANCE = 12, 5, 1e-4
 LEAST_WEIGHT = 1.0
@@ -95,14 +96,17 @@ def posteriors(docs: DataFrame, vocabulary: DataFrame, base: list[float]) -> Dat
 def fit_rates(soft: DataFrame, weights: list[float], scratch: Scratch, most: float | None = None) -> tuple[DataFrame, list[float]]:
     """(soft with `rate`, the targets in tokens). The targets are the largest totals in the given
     proportions that need no domain's expected tokens more than once. Rates are projected to
-    0 and above, and to `most` and below where it is given."""
+    0 and above, and to `most` and below where it is given. No document can then make up for a
+    scarce domain, so the domain of the largest weight sets the scale and a scarcer one gives all it has."""
     n = len(weights)
     t = [F.col("tokens") * F.get("p", F.lit(k)) for k in range(n)]
     stats = soft.agg(*(F.sum(x).alias(f"t{k}") for k, x in enumerate(t)), *(F.sum(t[j] * F.get("p", F.lit(k))).alias(f"g{j}_{k}") for j in range(n) for k in range(n))).first()
     have = [stats[f"t{k}"] or 0.0 for k in range(n)]
     share = [w / sum(weights) for w in weights]
-    total = min((h / s for h, s in zip(have, share) if s > 0 and h > 0), default=0.0)
-    target = [total * s for s in share]
+    sizes = [(s, h / s) for h, s in zip(have, share) if s > 0 and h > 0]
+    scale = (min(x for _, x in sizes) if most is None else max(sizes)[1]) if sizes else 0.0
+    target = [min(h, scale * s) for h, s in zip(have, share)]
+    total = sum(target)
     if not total:
         return soft.withColumn("rate", F.lit(0.0) if sum(have) else F.lit(1.0)), target
     # With A_kd = tokens_d * p_dk and steps taken per token, the curvature is G = A D A'; its
@@ -142,15 +146,17 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, targets: dict[str, float] = TARGETS, most: float | None = None
+    docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = None, targets: dict[str, float] = TARGETS, most: float | None = None
 ) -> DataFrame:
     """doc_id, body, tokens, p, rate, copies for each distinct (doc_id, text) of docs.
 
     Null and empty text has no tokens: its posterior is the prior, and its rate follows. A
     null id is an id like another. Documents with equal posteriors get equal rates; repeated
     rows share one row. Without labels all domains have even priors and no tokens tell them
-    apart. Empty docs give no rows. Other columns are ignored.
+    apart. Empty docs give no rows. Other columns are ignored. Domains are DOMAINS unless given;
+    with `most` they are CLEANED, as such a mix follows the removal of toxic documents.
     """
+    domains = domains or (DOMAINS if most is None else CLEANED)
     scratch = Scratch(docs.sparkSession)
     vocabulary, base = classifier(docs, labels, domains, scratch)
     soft = scratch.save(posteriors(docs, vocabulary, base), "posteriors")
