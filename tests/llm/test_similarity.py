@@ -189,3 +189,19 @@ def test_repeated_passages(spark, documents):
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(documents(rows + clean), spans).collect()}
     assert all(cut[i] == t for i, t in clean) and len(cut[planted[0][1]]) < len(dict(rows)[planted[0][1]]) - 200
     assert substring_dedup.repeated_spans(documents(rows).where("false")).count() == 0
+
+
+def _random_text(rng, n, least=3, most=9):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most))) for _ in range(n))
+
+
+def test_short_repeats_from_several_documents_are_no_passage(spark, documents):
+    rng = random.Random(4)
+    whole = _random_text(rng, 200)
+    parts = [whole[i : i + 85] for i in range(0, len(whole) - 85, 15)]
+    rows = [(i, f"{_random_text(rng, 30)} {part} {_random_text(rng, 30)}") for i, part in enumerate(parts[::3] + parts[1::3] + parts[2::3])]
+    # Neighbours of 85 bytes overlap in 70, so no two documents share 96.
+    rows.append((1000, whole))
+    spans = substring_dedup.repeated_spans(documents(rows))
+    assert spans.count() == 0
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(documents(rows), spans).collect()} == dict(rows)

@@ -3,9 +3,10 @@
 The rolling hash of a position depends on the last 32 bytes only, and a position is a cut
 if its hash is small, and if no other such position lies within the last MIN_CHUNK bytes.
 So cuts follow the content: text inserted before a passage does not shift the cuts inside it.
-Chunks are compared by digest over all documents. A chunk that several documents hold is a
-repeat in all but the one with the smallest id; repeats that touch make a span, and spans of
-at least MIN_SPAN bytes are reported.
+The bytes before each cut are compared by digest over all documents, and the document with the
+smallest id keeps them. Where another holds them too, both texts are compared byte by byte
+around the cut; what is equal and at least MIN_SPAN bytes long is a repeat, and repeats that
+touch make a span.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_WORD, _BYTE, _powers, mix, text_buffer
+from .common import LONG_WORD, Scratch, _BYTE, _powers, mix, text_buffer
 
 MEAN_CHUNK, MIN_CHUNK, MIN_SPAN = 24, 8, 96  # bytes
 WINDOW, SEGMENT = 32, 1 << 20
@@ -46,6 +47,13 @@ def cuts(data: np.ndarray, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK) -> np
     return p[keep]
 
 
+def _digests(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(part))
+    prefix = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * up[: len(part)], out=prefix[1:])
+    return mix((prefix[j] - prefix[i]) * down[i] + (j - i).astype(np.uint64))
+
+
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit digests of chunks: a mixed polynomial for short ones, xxh3 for the others."""
     import xxhash
@@ -54,62 +62,151 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     segment = starts // SEGMENT
     for s in np.unique(segment):
         own, at = np.flatnonzero(segment == s), int(s) * SEGMENT
-        part = data[at : at + SEGMENT]
-        up, down = _powers(len(part))
-        prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=prefix[1:])
-        i, j = starts[own] - at, ends[own] - at
-        out[own] = mix((prefix[j] - prefix[i]) * down[i] + (j - i).astype(np.uint64))
+        out[own] = _digests(data[at : at + SEGMENT], starts[own] - at, ends[own] - at)
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return out
 
 
-def chunks(docs: DataFrame, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK) -> DataFrame:
-    """doc_id, digest, at, bytes for each chunk of each text."""
+def before(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """64-bit digests of the `size` bytes before each of the ends, all of which are `size` or more."""
+    out = np.zeros(len(ends), np.uint64)
+    segment = (ends - 1) // SEGMENT
+    for s in np.unique(segment):
+        own, at = np.flatnonzero(segment == s), max(0, int(s) * SEGMENT - size)
+        j = ends[own] - at
+        out[own] = _digests(data[at : int(s + 1) * SEGMENT], j - size, j)
+    return out
+
+
+def marks(docs: DataFrame, mean: int, least: int, size: int) -> DataFrame:
+    """doc_id, digest (of the `size` bytes before the cut), at, back and ahead (bytes to the cuts
+    around it) for each cut of each text."""
 
     def run(batches):
         for b in batches:
             for r in range(0, b.num_rows, 128):
                 part = b.slice(r, 128)
                 data, offsets = text_buffer(part.column("text"))
-                ids, h, at, size = [], [], [], []
+                ids, h, at, back, ahead = [], [], [], [], []
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     own = data[offsets[i] : offsets[i + 1]]
                     ends = cuts(own, mean, least)
-                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                    ids.append(np.full(len(ends), doc, np.int64))
-                    h.append(digests(own, starts, ends).view(np.int64))
-                    at.append(starts.astype(np.int32)), size.append((ends - starts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, h, at, size)], ["doc_id", "digest", "at", "bytes"])
+                    gaps = np.diff(ends, prepend=0, append=len(own))
+                    keep = ends >= size
+                    ids.append(np.full(int(keep.sum()), doc, np.int64))
+                    h.append(before(own, ends[keep], size).view(np.int64))
+                    at.append(ends[keep].astype(np.int32))
+                    back.append(gaps[:-1][keep].astype(np.int32)), ahead.append(gaps[1:][keep].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, h, at, back, ahead)], ["doc_id", "digest", "at", "back", "ahead"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest long, at int, back int, ahead int")
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest long, at int, bytes int")
+
+def _contexts(size: int, least: int):
+    """The bytes around each mark of a text. A passage through the mark ends before the next cuts
+    that are no marks, so they reach that far and enough for `least` bytes; between two marks with
+    one first document, they reach so far that their stretches overlap."""
+    kinds = "doc_id long, digest long, first_doc long, at int, lead binary, tail binary"
+    most = 4096
+
+    def run(batches):
+        for b in batches:
+            rows, held = [], 0
+            for doc, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("c")):
+                raw, c = text.as_py().encode(), found.values
+                digest, first, at, back, ahead = (c.field(k).to_numpy() for k in ("digest", "first_doc", "at", "back", "ahead"))
+                fits = np.flatnonzero(at <= len(raw))
+                # Rows that share an id may have other texts: a mark is only one where its digest is found.
+                fits = fits[before(np.frombuffer(raw, np.uint8), at[fits].astype(np.int64), size).view(np.int64) == digest[fits]]
+                digest, first, at, back, ahead = (v[fits] for v in (digest, first, at, back, ahead))
+                follows = (at[1:] - back[1:] == at[:-1]) & (first[1:] == first[:-1])
+                lead = np.where(np.append(False, follows)[: len(at)] & (first != doc), size, np.maximum(back + size, least))
+                tail = np.where(np.append(follows, False)[: len(at)] & (first != doc), ahead, np.maximum(ahead, least - size))
+                seen = set()
+                for h, f, x, left, right in zip(*(v.tolist() for v in (digest, first, at, lead, tail))):
+                    if f == doc:
+                        if h in seen:
+                            continue
+                        seen.add(h)
+                    rows.append((doc, h, f, x, raw[max(0, x - left) : x], raw[x : _whole(raw, min(len(raw), x + right))]))
+                    held += len(rows[-1][4]) + len(rows[-1][5])
+                    if len(rows) >= most or held > 1 << 22:
+                        yield _batch(rows, kinds)
+                        rows, held = [], 0
+            yield _batch(rows, kinds)
+
+    return run, kinds
+
+
+def _batch(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    names, types = zip(*(k.split(" ") for k in kinds.split(", ")))
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), arrow[t]) for x, t in zip(columns, types)], list(names))
+
+
+def _equal(a: bytes, b: bytes, back: bool = False) -> int:
+    """How many bytes are equal from the start, or from the end with `back`."""
+    n = min(len(a), len(b))
+    if back:
+        a, b = a[len(a) - n :][::-1], b[len(b) - n :][::-1]
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # a[:low] is equal, a[:high] is not
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
+def _stretches(batches):
+    """The stretch around a mark that both documents hold, whole characters only, and the shift between them."""
+    for b in batches:
+        rows = []
+        columns = (b.column(k).to_pylist() for k in ("doc_id", "at", "first_doc", "first_at", "lead", "tail", "first_lead", "first_tail"))
+        for doc, at, first, first_at, lead, tail, first_lead, first_tail in zip(*columns):
+            raw, zero = lead + tail, at - len(lead)
+            i, j = len(lead) - _equal(lead, first_lead, True), len(lead) + _equal(tail, first_tail)
+            i = _whole(raw, i)
+            while i < j < len(raw) and raw[j] & 0xC0 == 0x80:
+                j -= 1
+            if j > i:
+                rows.append((doc, first, first_at - at, zero + i, zero + j))
+        yield _batch(rows, STRETCHES)
+
+
+def _joined(stretches: list[tuple]) -> list[tuple]:
+    """Sorted stretches (key, start, end), those that touch and share a key made one."""
+    out: list[tuple] = []
+    for key, start, end in stretches:
+        if out and out[-1][0] == key and start <= out[-1][2]:
+            out[-1] = (key, out[-1][1], max(end, out[-1][2]))
+        else:
+            out.append((key, start, end))
+    return out
 
 
 def _spans(least: int):
-    kinds = "doc_id long, n_spans int, repeated_bytes long, span_starts array<int>, span_ends array<int>, first_doc_ids array<long>"
+    """Spans of stretches that reach `least` bytes with one document at one shift."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, found in zip(b.column("doc_id").to_pylist(), b.column("c")):
-                c = found.values
-                at, size, first = (c.field(k).to_numpy() for k in ("at", "bytes", "first_doc"))
-                new = np.flatnonzero(np.diff(at, prepend=-1) != np.concatenate([[-1], size[:-1]])) if len(at) else at
-                new = np.union1d([0], new)
-                last = np.append(new[1:], len(at)) - 1
-                starts, ends = at[new], at[last] + size[last]
-                long = ends - starts >= least
-                if long.any():
-                    inside = np.repeat(long, last - new + 1)
-                    firsts = np.unique(first[inside])
-                    rows.append((doc, int(long.sum()), int((ends - starts)[long].sum()), starts[long], ends[long], firsts))
-            names = ["doc_id", "n_spans", "repeated_bytes", "span_starts", "span_ends", "first_doc_ids"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types)], names)
+                first, shift, start, end = (found.values.field(k).to_pylist() for k in ("first_doc", "shift", "start", "end"))
+                long = [x for x in _joined(list(zip(zip(first, shift), start, end))) if x[2] - x[1] >= least]
+                spans = _joined(sorted((0, i, j) for _, i, j in long))
+                if spans:
+                    firsts = sorted({f for (f, _), _, _ in long})
+                    rows.append((doc, len(spans), sum(j - i for _, i, j in spans), [i for _, i, _ in spans], [j for _, _, j in spans], firsts))
+            yield _batch(rows, SPANS)
 
-    return run, kinds
+    return run
+
+
+STRETCHES = "doc_id long, first_doc long, shift int, start int, end int"
+SPANS = "doc_id long, n_spans int, repeated_bytes long, span_starts array<int>, span_ends array<int>, first_doc_ids array<long>"
 
 
 def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = MIN_CHUNK, least_span: int = MIN_SPAN) -> DataFrame:
@@ -121,15 +218,23 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = M
     (a passage in several of them is no repeat), with the spans of all. Other columns are
     ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    size = min(least_span // 2, LONG_WORD)
     repeated = (
-        chunks(docs, mean, least_chunk).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        marks(docs, mean, least_chunk, size).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where("first_doc <> last_doc").select("digest", "first_doc")
     )
-    found = chunks(docs, mean, least_chunk).join(repeated, "digest").where("doc_id <> first_doc")
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes", "first_doc"))).alias("c"))
-    run, kinds = _spans(least_span)
-    return per_doc.mapInArrow(run, kinds)
+    hits = scratch.save(marks(docs, mean, least_chunk, size).join(repeated, "digest"), "marks")
+    scratch.free_shuffles()
+    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "digest", "first_doc", "back", "ahead"))).alias("c"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(per_doc, "doc_id").select("doc_id", "text", "c")
+    around = scratch.save(texts.mapInArrow(*_contexts(size, least_span)), "contexts")
+    scratch.free_shuffles()
+    kept = around.where("doc_id = first_doc").select("digest", *(F.col(c).alias(f"first_{c}") for c in ("at", "lead", "tail")))
+    found = around.where("doc_id <> first_doc").join(kept, "digest").mapInArrow(_stretches, STRETCHES)
+    stretches = F.array_sort(F.collect_set(F.struct("first_doc", "shift", "start", "end")))
+    return found.groupBy("doc_id").agg(stretches.alias("c")).mapInArrow(_spans(least_span), SPANS)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
