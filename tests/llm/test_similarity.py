@@ -205,3 +205,17 @@ def test_short_repeats_from_several_documents_are_no_passage(spark, documents):
     spans = substring_dedup.repeated_spans(documents(rows))
     assert spans.count() == 0
     assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(documents(rows), spans).collect()} == dict(rows)
+
+
+def test_passages_are_found_to_their_edges(spark, documents):
+    rng = random.Random(6)
+    rows, at = [], {}
+    for p in range(150):
+        passage = _random_text(rng, 51, 2, 5)
+        for k, edge in enumerate("\u00e9\u00e8"):  # two characters that share their first byte
+            head = f"{_random_text(rng, 20)}{'xy'[k]}"
+            rows.append((2 * p + k, f"{head}{passage}{edge}{_random_text(rng, 20)}"))
+            at[2 * p + k] = (len(head), len(head) + len(passage))
+    got = {r["doc_id"]: (r["span_starts"], r["span_ends"], r["first_doc_ids"]) for r in substring_dedup.repeated_spans(documents(rows)).collect()}
+    assert set(got) <= {2 * p + 1 for p in range(150)} and len(got) >= 149
+    assert all(got[i] == ([at[i][0]], [at[i][1]], [i - 1]) for i in got)
