@@ -148,3 +148,16 @@ def test_scarce_domain_does_not_limit_a_bounded_mix(spark):
     rate = {r["doc_id"]: r["rate"] for r in rated.collect()}
     assert min(rate[i] for i in range(200)) > 0.99 and rate[260] > 0.99 and max(rate[i] for i in range(200, 260)) < 0.3
     assert target[0] == 2000 and target[2] == 10
+
+
+def test_rates_go_on_until_nothing_is_left_to_gain(spark, recwarn):
+    rng = np.random.default_rng(3)
+    p, tokens, weights = rng.dirichlet([0.3] * 3, 2000), rng.integers(1, 400, 2000), [0.9, 0.07, 0.03]
+    soft = spark.createDataFrame([(i, int(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    rated, target = mixing.fit_rates(soft, weights, mixing.Scratch(spark))
+    rate = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
+    gap = np.abs((rate * tokens) @ p - target).max() / sum(target)
+    assert gap < mixing.TOLERANCE and not [w for w in recwarn if "mixing" in str(w.message)]
+    even = spark.createDataFrame([(i, 10, [0.5, 0.5]) for i in range(20)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="mixing: totals miss their targets"):
+        mixing.fit_rates(even, [0.9, 0.1], mixing.Scratch(spark))
