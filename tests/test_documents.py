@@ -1,11 +1,14 @@
 import copy
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from traces import CORPUS, OTHER, SENDER, TRANSFER, VICTIM, call, document, log, text, topic, word, write
 
 from tracewright.functions import hexcodec
-from tracewright.model import to_relations
+from tracewright.functions.hexcodec import KIND_CLASSES
+from tracewright.model import CALL, columns_of, to_relations
 from tracewright.operators.enrich import enrich_traces
 from tracewright.sources.calltracer import convert, ingest_call_tracer
 from tracewright.sources.documents import IngestionError, errors_of, flatten, in_memory, ingest, read_files, traces_of
@@ -137,8 +140,54 @@ def test_call_tracer(spark):
     assert {r["trace_id"]: r["error_kind"] for r in rows} == {word(9): None, "bad": "MalformedInput"}
 
 
-def test_fold_and_loop_agree(spark):
-    raw = ingest(in_memory(spark, {n: d for n, (d, _) in CORPUS.items()})).drop("error_kind", "error")
-    a = enrich_traces(raw).select("trace_id", "calls").orderBy("trace_id").collect()
-    b = enrich_traces(raw, fold_limit=0).select("trace_id", "calls").orderBy("trace_id").collect()
-    assert a == b and any(c["reentrant"] for r in a for c in r["calls"])
+def _plain_facts(calls):
+    """reentrant, classes above and context of each call, walking up in a loop."""
+    out = []
+    for c in calls:
+        above, up = [], c["parent_id"]
+        while up is not None:
+            above.append(calls[up])
+            up = calls[up]["parent_id"]
+        own = c
+        while own["kind"] in ("DelegateCall", "CallCode") and own["parent_id"] is not None:
+            own = calls[own["parent_id"]]
+        parent_kind = above[0]["kind"] if above else None
+        out.append((c["to_addr"] is not None and any(a["to_addr"] == c["to_addr"] for a in above), {a["kind"] for a in above}, parent_kind, own["to_addr"] or own["from_addr"]))
+    return out
+
+
+def test_facts_about_calls_above(spark):
+    """Small and very large traces, rows without an id, repeated rows: each row keeps its place, and plain code gives the same."""
+    rng, kinds = random.Random(4), ["Call", "DelegateCall", "CallCode", "Create", "StaticCall", "Selfdestruct"]
+
+    def trace(n, parent):
+        return [
+            {"call_id": i, "parent_id": None if i == 0 else parent(i), "kind": "Call" if i == 0 else rng.choice(kinds), "from_addr": f"0x{rng.randint(0, 9)}", "to_addr": rng.choice([None, f"0x{rng.randint(0, n)}"])}
+            for i in range(n)
+        ]
+
+    chain, wide, bush = trace(1000, lambda i: i - 1), trace(5000, lambda i: 0), trace(700, lambda i: rng.randrange(i))
+    given = [(None, bush), (None, bush), ("chain", chain), ("wide", wide), ("small", bush[:9]), ("small", bush[:9]), ("empty", []), ("none", None)]
+    slim = spark.createDataFrame(given, "trace_id string, calls array<struct<call_id: int, parent_id: int, kind: string, from_addr: string, to_addr: string>>")
+    whole = slim.select("trace_id", slim.calls.cast("array<struct<call_id: int, parent_id: int, kind: string, from_addr: string, to_addr: string>>").alias("calls"))
+    rest = ("depth", "value_hex", "gas_limit", "gas_used", "succeeded", "selector")
+    padded = whole.withColumn("calls", F.transform("calls", lambda c: F.struct(*(c[x] if x not in rest else F.lit(None).alias(x) for x in columns_of(CALL)))))
+    got = enrich_traces(padded).collect()
+    assert sorted(str(r["trace_id"]) for r in got) == sorted(str(t) for t, _ in given)
+    wanted = {t: c and _plain_facts(c) for t, c in given}
+    names = {1 << i: k for i, k in enumerate(dict.fromkeys(KIND_CLASSES.values()))}
+    for r in got:
+        if r["calls"] is None:
+            assert wanted[r["trace_id"]] is None
+            continue
+        found = [(c["reentrant"], {n for b, n in names.items() if c["above"] & b}, c["parent_kind"], c["context"]) for c in r["calls"]]
+        assert found == [(a, {KIND_CLASSES[k] for k in above}, up, ctx) for a, above, up, ctx in wanted[r["trace_id"]] or []]
+
+
+def test_half_a_surrogate_pair_is_one_bad_document(spark):
+    """An escape that no UTF-8 text can hold spoils its own document only."""
+    whole = text(ROOT)
+    bad = {"status": whole.replace('"success"', r'"\ud800"'), "kind": whole.replace('"kind": "call"', r'"kind": "\udfff"'), "field": whole.replace('"block"', r'"\ud800"'), "good": whole}
+    got = {r["trace_id"]: (r["error_kind"], r["error"]) for r in ingest(in_memory(spark, bad)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"status": "MalformedField", "kind": "UnsupportedFeature", "field": "MalformedInput", "good": None}
+    assert "?" in got["status"][1]

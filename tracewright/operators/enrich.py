@@ -1,85 +1,76 @@
-"""Facts about a call that depend on the calls above it: one fold over each trace.
+"""Facts about a call that depend on the calls above it.
 
-A parent comes before its children, so one pass in id order is enough. The fold copies its
-state at each step; traces of over FOLD_LIMIT calls go through a loop with constant-time
-steps instead. Both give the same rows.
+They are found by walking up, all calls of a batch of traces a step at a time, so the cost is
+the sum of the calls' depths whatever the shape and size of a trace. One Arrow function gives
+the numbers; texts are looked up from them in columns. Each trace keeps its row, so ids play no
+part: they may be null or come twice.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions.hexcodec import KIND_CLASSES, class_bit, kind_bit
+from ..functions.hexcodec import kind_bit
 from ..model import CALL, columns_of
 
-FOLD_LIMIT = 512
-_STATE = "array<struct<targets: array<string>, classes: int, kind: string, context: string, reentrant: boolean, above: int, parent_kind: string>>"
-FACTS_TYPE = "array<struct<reentrant: boolean, above: int, parent_kind: string, context: string>>"
 BORROWED = ("DelegateCall", "CallCode")
+ADDED = ("reentrant", "above", "parent_kind", "context")
+_WALKED = pa.struct([("reentrant", pa.bool_()), ("above", pa.int32()), ("context_of", pa.int32())])
+
+
+def walk_up(parent: np.ndarray, target: np.ndarray, bits: np.ndarray, borrowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each call: does a call above have its target (-1: none), the bits of all calls above, and
+    the call whose storage it works on. parent: -1 for a root."""
+    n = len(parent)
+    reentrant, above, at = np.zeros(n, bool), np.zeros(n, np.int32), parent.copy()
+    left = np.flatnonzero(at >= 0)
+    while len(left):
+        up = at[left]
+        reentrant[left] |= (target[up] == target[left]) & (target[left] >= 0)
+        above[left] |= bits[up]
+        at[left] = parent[up]
+        left = left[at[left] >= 0]
+    context = np.where(borrowed & (parent >= 0), parent, np.arange(n))
+    while ((further := context[context]) != context).any():
+        context = further
+    return reentrant, above, context
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(_WALKED)))
+def _walked(calls: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(calls), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    flat, start = calls.flatten(), np.repeat(first[:-1], size)
+    field = lambda k, empty: pc.fill_null(flat.field(k), empty).to_numpy(zero_copy_only=False)
+    parent = field("parent_id", -1).astype(np.int64)
+    parent = np.where(parent >= 0, parent + start, -1)
+    target = pc.fill_null(flat.field("to_addr").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    reentrant, above, context = walk_up(parent, target, field("bit", 0).astype(np.int32), field("borrowed", False).astype(bool))
+    parts = [pa.array(reentrant), pa.array(above, pa.int32()), pa.array((context - start).astype(np.int32))]
+    found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(_WALKED)))
+    return pc.if_else(pc.is_valid(calls), found, pa.scalar(None, pa.list_(_WALKED))) if calls.null_count else found
+
+
+def enrich_traces(traces: DataFrame) -> DataFrame:
+    """Trace rows whose calls have, besides their own fields, reentrant, above (classes of the calls
+    above, as bits), parent_kind and context. Ids of calls are dense, from 0."""
+    slim = F.transform(
+        "calls",
+        lambda c: F.struct(c["parent_id"].alias("parent_id"), c["to_addr"].alias("to_addr"), kind_bit(c["kind"]).alias("bit"), F.coalesce(c["kind"].isin(*BORROWED), F.lit(False)).alias("borrowed")),
+    )
+
+    def merged(c: Column, f: Column) -> Column:
+        own = F.get("calls", f["context_of"])
+        facts = f["reentrant"], f["above"], F.get("calls", c["parent_id"])["kind"], F.coalesce(own["to_addr"], own["from_addr"])
+        return F.struct(*(c[x].alias(x) for x in columns_of(CALL)), *(x.alias(name) for x, name in zip(facts, ADDED)))
 
-
-def fold(calls: Column) -> Column:
-    """reentrant, above (classes of strict ancestors, as bits), parent_kind, context for each call of an array."""
-
-    def step(acc: Column, c: Column) -> Column:
-        up = F.get(acc, c["parent_id"])
-        none = F.array().cast("array<string>")
-        own = F.when(c["to_addr"].isNotNull(), F.array(c["to_addr"])).otherwise(none)
-        targets = F.coalesce(up["targets"], none)
-        borrowed = c["kind"].isin(*BORROWED)
-        return F.array_append(
-            acc,
-            F.struct(
-                F.array_union(targets, own).alias("targets"),
-                F.coalesce(up["classes"], F.lit(0)).bitwiseOR(kind_bit(c["kind"])).alias("classes"),
-                c["kind"].alias("kind"),
-                F.when(borrowed, F.coalesce(up["context"], c["to_addr"], c["from_addr"])).otherwise(F.coalesce(c["to_addr"], c["from_addr"])).alias("context"),
-                F.coalesce(F.array_contains(targets, c["to_addr"]), F.lit(False)).alias("reentrant"),
-                F.coalesce(up["classes"], F.lit(0)).alias("above"),
-                up["kind"].alias("parent_kind"),
-            ),
-        )
-
-    folded = F.aggregate(calls, F.array().cast(_STATE), step)
-    return F.transform(folded, lambda s: F.struct(*(s[x].alias(x) for x in ("reentrant", "above", "parent_kind", "context"))))
-
-
-def _loop(batches):
-    bits = {kind: class_bit(known) for kind, known in KIND_CLASSES.items()}
-    for b in batches:
-        out = []
-        for calls in b.column("c"):
-            seen, rows = [], []
-            for c in calls.as_py():
-                parent, to = c["parent_id"], c["to_addr"]
-                up = seen[parent] if parent is not None else None
-                # A list of targets is shared with the parent unless this call adds one.
-                above = up[0] if up else frozenset()
-                context = (to or c["from_addr"]) if c["kind"] not in BORROWED or not up else up[3]
-                rows.append({"reentrant": to is not None and to in above, "above": up[1] if up else 0, "parent_kind": up[2] if up else None, "context": context})
-                targets = above if to is None or to in above else above | {to}
-                seen.append((targets, (up[1] if up else 0) | bits.get(c["kind"], 0), c["kind"], context))
-            out.append(rows)
-        kind = pa.list_(pa.struct([("reentrant", pa.bool_()), ("above", pa.int32()), ("parent_kind", pa.string()), ("context", pa.string())]))
-        yield pa.RecordBatch.from_arrays([b.column("trace_id"), pa.array(out, kind)], ["trace_id", "f"])
-
-
-def enrich_traces(traces: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Trace rows whose calls have, besides their own fields, reentrant, above, parent_kind and context. Ids are dense, from 0."""
-
-    def merged(facts: Column) -> Column:
-        added = ("reentrant", "above", "parent_kind", "context")
-        return F.zip_with("calls", facts, lambda c, f: F.struct(*(c[x].alias(x) for x in columns_of(CALL)), *(f[x].alias(x) for x in added)))
-
-    short = traces.where(F.size("calls") <= fold_limit).withColumn("calls", merged(fold(F.col("calls"))))
-    long = traces.where(F.size("calls") > fold_limit)
     names = traces.columns
-    slim = long.select("trace_id", F.transform("calls", lambda c: F.struct(*(c[x].alias(x) for x in ("parent_id", "to_addr", "from_addr", "kind")))).alias("c"))
-    facts = slim.mapInArrow(_loop, f"trace_id {dict(traces.dtypes)['trace_id']}, f {FACTS_TYPE}")
-    looped = long.join(facts, "trace_id").withColumn("calls", merged(F.col("f"))).select(*names)
-    return short.unionByName(looped)
+    return traces.withColumn("_walked", _walked(slim)).withColumn("calls", F.zip_with("calls", "_walked", merged)).select(*names)
 
 
 def enriched_calls(traces: DataFrame) -> DataFrame:

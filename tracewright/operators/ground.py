@@ -2,7 +2,8 @@
 
 Every clause is evaluated afresh; nothing of a candidate is believed but which facts it
 cites. The outcome of each clause, of the sequence and of the call grouping gives one of
-three states: uncertainty beats failure, failure beats success.
+three states: uncertainty beats failure, failure beats success. All patterns are matched and
+verified in one projection of the trace rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import Clause, Pattern
 from .fingerprint import candidate_id
 from .match import CITED, candidates, with_facts
+from .metrics import OUTCOMES
 from .predicates import bindings
 
 VERIFIED, FAILED, UNAVAILABLE, UNSUPPORTED = "Verified", "Failed", "Unavailable", "Unsupported"
@@ -158,37 +160,63 @@ def _status(p: Pattern, chain: Column, sequence: Column, same_call: Column) -> C
     )
 
 
-def _facts(traces: DataFrame, p: Pattern) -> tuple[DataFrame, dict[int, Column | None]]:
-    """The clauses evaluated by the registered verifiers."""
+def _check(patterns: list[Pattern]) -> None:
     if not VERIFIERS:
         raise UnsupportedVerifier("no verifiers are registered")
-    for i in range(len(p.clauses)):
-        p.polarity(i)  # a contradiction is an error, whatever the traces
-    made = {f"_seen{i}": VERIFIERS[c.kind](c) for i, c in enumerate(p.clauses) if c.kind in VERIFIERS}
-    return traces.withColumns(made), {i: F.col(f"_seen{i}") if f"_seen{i}" in made else None for i in range(len(p.clauses))}
-
-
-def _findings(rows: DataFrame, pos: int, p: Pattern, cited: Column, facts: dict[int, Column | None]) -> DataFrame:
-    """rows with `cited` (array<CITED>) to one row for each candidate."""
-    each = F.transform(cited, lambda c: F.struct(c.alias("bindings"), grounding(p, facts, c).alias("g")))
-    found = rows.select("trace_id", F.posexplode(each).alias("candidate_pos", "c"))
-    return found.select(
-        "trace_id", F.lit(pos).alias("pattern_pos"), F.lit(p.id).alias("pattern_id"), F.lit(p.version).alias("pattern_version"),
-        F.lit(p.family).alias("pattern_family"), F.lit(p.severity).alias("pattern_severity"),
-        "candidate_pos", "c.bindings", "c.g.*",
-    )
+    for p in patterns:
+        for i in range(len(p.clauses)):
+            p.polarity(i)  # a contradiction is an error, whatever the traces
+
+
+def _findings(pos: int, p: Pattern, cited: Column, facts: dict[int, Column | None]) -> Column:
+    """An array with the finding of each candidate."""
+
+    def finding(c: Column, i: Column) -> Column:
+        g = grounding(p, facts, c)
+        named = {"pattern_pos": pos, "pattern_id": p.id, "pattern_version": p.version, "pattern_family": p.family, "pattern_severity": p.severity}
+        return F.struct(*(F.lit(v).alias(k) for k, v in named.items()), i.alias("candidate_pos"), c.alias("bindings"), g.alias("g"))
+
+    return F.transform(cited, finding)
+
+
+_FLAT = ("trace_id", "f.pattern_pos", "f.pattern_id", "f.pattern_version", "f.pattern_family", "f.pattern_severity", "f.candidate_pos", "f.bindings", "f.g.*")
+
+
+def _found(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Trace rows with the findings of pattern i in column _found{i}."""
+    _check(patterns)
+    rows, facts = with_facts(traces, [p.check_bounds() for p in patterns])
+    # Where a verifier is the function that matching uses, its column is there already.
+    others = {f"_seen{i}_{k}": VERIFIERS[c.kind](c) for i, p in enumerate(patterns) for k, c in enumerate(p.clauses) if VERIFIERS.get(c.kind, bindings) is not bindings}
+    rows = rows.withColumns({f"_cited{i}": candidates(p, facts[i]) for i, p in enumerate(patterns)} | others)
+
+    def seen(i: int, k: int, c: Clause) -> Column | None:
+        return None if c.kind not in VERIFIERS else F.col(f"_seen{i}_{k}") if f"_seen{i}_{k}" in others else facts[i][k]
+
+    return rows.withColumns(
+        {f"_found{i}": _findings(i, p, F.col(f"_cited{i}"), {k: seen(i, k, c) for k, c in enumerate(p.clauses)}) for i, p in enumerate(patterns)}
+    )
 
 
 def match_and_ground(traces: DataFrame, patterns: list[Pattern], ids: bool = True) -> DataFrame:
-    """One row for each candidate of each pattern, with its grounding. No shuffle."""
+    """One row for each candidate of each pattern, with its grounding: one projection of the traces, no shuffle."""
+    found = _found(traces, patterns).select("trace_id", F.explode(F.concat(*(f"_found{i}" for i in range(len(patterns))))).alias("f"))
+    return candidate_id(found.select(*_FLAT)) if ids else found.select(*_FLAT)
 
-    def one(pos: int, p: Pattern) -> DataFrame:
-        rows, facts = with_facts(traces, p)
-        rows, seen = _facts(rows.withColumn("_cited", candidates(p, facts)).where(F.size("_cited") > 0), p)
-        return _findings(rows, pos, p, F.col("_cited"), seen)
 
-    out = reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(patterns)])
-    return candidate_id(out) if ids else out
+def outcomes(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """trace_id, pattern_pos, pattern_family, candidates, actual for each trace and pattern: the number
+    of candidates and their strongest status, no-match if there are none. One projection, no shuffle."""
+
+    def one(i: int, p: Pattern) -> Column:
+        statuses = F.transform(f"_found{i}", lambda f: f["g"]["status"])
+        best = F.lit(OUTCOMES[-1])
+        for o in reversed(OUTCOMES[:-1]):
+            best = F.when(F.array_contains(statuses, o), o).otherwise(best)
+        family = F.when(F.size(statuses) > 0, p.family)
+        return F.struct(F.lit(i).alias("pattern_pos"), family.alias("pattern_family"), F.size(statuses).cast("long").alias("candidates"), best.alias("actual"))
+
+    return _found(traces, patterns).select("trace_id", F.inline(F.array(*(one(i, p) for i, p in enumerate(patterns)))))
 
 
 class GroundingError(ValueError):
@@ -218,8 +246,15 @@ def ground(traces: DataFrame, patterns: list[Pattern], given: DataFrame, strict:
     whole = F.forall("_cited", lambda c: F.forall(c, there))
     if strict and not rows.where(~whole).isEmpty():
         raise GroundingError("a candidate cites a fact that its trace does not hold")
-    out = []
+    _check(patterns)
+
+    def of(pos: int, p: Pattern) -> Column:
+        known = [i for i, c in enumerate(p.clauses) if c.kind in VERIFIERS]
+        made = F.struct(F.lit(0).alias("_"), *(VERIFIERS[p.clauses[i].kind](p.clauses[i]).alias(f"f{i}") for i in known))
+        # A one-element transform computes the facts once, and only for the row's own pattern.
+        return F.flatten(F.transform(F.array(made), lambda f: _findings(pos, p, F.col("_cited"), {i: f[f"f{i}"] if i in known else None for i in range(len(p.clauses))})))
+
+    found = F.when(F.lit(False), F.lit(None))
     for pos, p in enumerate(patterns):
-        own, facts = _facts(rows.where(whole & (F.col("pattern_id") == p.id) & (F.col("pattern_version") == p.version)).drop("pattern_id", "pattern_version"), p)
-        out.append(_findings(own, pos, p, F.col("_cited"), facts))
-    return candidate_id(reduce(DataFrame.unionByName, out))
+        found = found.when((F.col("pattern_id") == p.id) & (F.col("pattern_version") == p.version), of(pos, p))
+    return candidate_id(rows.where(whole).select("trace_id", F.explode(found).alias("f")).select(*_FLAT))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compiler import Condition, Pattern
+from ..plans.compiler import Clause, Condition, Pattern
 from .predicates import BINDING, bindings
 
 CITED = "array<struct<clause: int, fact_kind: string, fact_id: int>>"
@@ -97,37 +97,46 @@ def candidates(p: Pattern, facts: dict[int, Column]) -> Column:
     return F.when(condition, cited).otherwise(F.array().cast(f"array<{CITED}>"))
 
 
-def facts_of(p: Pattern) -> dict[int, Column]:
-    return {i: bindings(c) for i, c in enumerate(p.clauses)}
+def with_facts(traces: DataFrame, patterns: list[Pattern]) -> tuple[DataFrame, list[dict[int, Column]]]:
+    """Each clause evaluated once for each trace, as a column, and each pattern's columns. Clauses that
+    ask the same share one, whichever pattern they belong to."""
+    names: dict[str, str] = {}
+    made: dict[str, Column] = {}
 
+    def name(c: Clause) -> str:
+        asked = repr((c.kind, sorted(c.attributes.items(), key=str), sorted(c.unresolved)))
+        if asked not in names:
+            names[asked] = f"_facts{len(names)}"
+            made[names[asked]] = bindings(c)
+        return names[asked]
 
-def with_facts(traces: DataFrame, p: Pattern) -> tuple[DataFrame, dict[int, Column]]:
-    """Each clause evaluated once for each trace, as a column, and those columns."""
-    names = {i: f"_facts{i}" for i in range(len(p.clauses))}
-    return traces.withColumns({names[i]: f for i, f in facts_of(p).items()}), {i: F.col(n) for i, n in names.items()}
+    columns = [{i: F.col(name(c)) for i, c in enumerate(p.clauses)} for p in patterns]
+    return traces.withColumns(made), columns
 
 
 def find_candidates(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """trace_id, pattern_pos, pattern_id, pattern_version, candidate_pos, bindings, unresolved for enriched trace rows.
 
-    Sorted by (pattern_pos, candidate_pos), the rows of a trace are in the order in which a
-    single-trace run finds them.
+    One projection, whatever the number of patterns. The rows of a trace come in the order of
+    (pattern_pos, candidate_pos), in which a single-trace run finds them.
     """
+    rows, facts = with_facts(traces, [p.check_bounds() for p in patterns])
+    none = F.array().cast("array<struct<clause: int, attribute: string>>")
 
-    def one(pos: int, p: Pattern) -> DataFrame:
-        rows, facts = with_facts(traces, p.check_bounds())
-        found = rows.select("trace_id", F.posexplode(candidates(p, facts)).alias("candidate_pos", "bindings"))
+    def one(pos: int, p: Pattern) -> Column:
         flagged = [i for i, c in enumerate(p.clauses) if c.unresolved]
-        none = F.array().cast("array<struct<clause: int, attribute: string>>")
 
-        def flags(i: int) -> Column:
+        def flags(cited: Column, i: int) -> Column:
             named = F.array(*(F.struct(F.lit(i).alias("clause"), F.lit(a).alias("attribute")) for a in p.clauses[i].unresolved))
-            return F.when(F.exists("bindings", lambda b: b["clause"] == i), named).otherwise(none)
+            return F.when(F.exists(cited, lambda b: b["clause"] == i), named).otherwise(none)
 
-        unresolved = F.concat(none, *map(flags, flagged))
-        return found.select(
-            "trace_id", F.lit(pos).alias("pattern_pos"), F.lit(p.id).alias("pattern_id"), F.lit(p.version).alias("pattern_version"),
-            "candidate_pos", "bindings", unresolved.alias("unresolved"),
+        return F.transform(
+            candidates(p, facts[pos]),
+            lambda cited, i: F.struct(
+                F.lit(pos).alias("pattern_pos"), F.lit(p.id).alias("pattern_id"), F.lit(p.version).alias("pattern_version"),
+                i.alias("candidate_pos"), cited.alias("bindings"), F.concat(none, *(flags(cited, k) for k in flagged)).alias("unresolved"),
+            ),
         )
 
-    return reduce(DataFrame.unionByName, [one(i, p) for i, p in enumerate(patterns)])
+    found = rows.withColumns({f"_found{i}": one(i, p) for i, p in enumerate(patterns)})
+    return found.select("trace_id", F.inline(F.concat(*(f"_found{i}" for i in range(len(patterns))))))

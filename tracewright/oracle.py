@@ -176,10 +176,10 @@ CANDIDATES = {
 _PLACED = "SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY place) - 1 AS INTEGER) AS candidate_pos, b AS bindings FROM cand"
 _IDS = {"sequence": "in_sequence", "same_call": "in_same_call"}
 _VERSION = {"delegatecall_storage_collision": 2}
-_CLAUSES = {"classic_reentrancy": 2, "oracle_manipulation": 2, "unchecked_external_call": 2, "constraint_and": 2, "constraint_or": 2, "sequence": 3, "same_call": 2}
+_CLAUSES = {"classic_reentrancy": 2, "oracle_manipulation": 2, "unchecked_external_call": 2, "constraint_and": 2, "constraint_or": 2, "sequence": 3, "same_call": 2, "proxy_upgrade_self_write": 2}
 _NOTES = {
     "classic_reentrancy": " sequence ordering confirmed.", "oracle_manipulation": " sequence ordering could not be confirmed.",
-    "sequence": " sequence ordering confirmed.", "same_call": " same_call correlation confirmed.",
+    "sequence": " sequence ordering confirmed.", "same_call": " same_call correlation confirmed.", "proxy_upgrade_self_write": " same_call correlation confirmed.",
 }
 #: Where not all candidates are grounded: status, verified clauses, reasons.
 _STATUS = {
@@ -187,6 +187,14 @@ _STATUS = {
     "constraint_or": ("CASE WHEN b LIKE '%Log%' THEN 'grounded' ELSE 'abstain' END", "CASE WHEN b LIKE '%Log%' THEN 2 ELSE 1 END", "CASE WHEN b LIKE '%Log%' THEN 0 ELSE 1 END"),
 }
 
+# The example patterns, over traces whose selector 3 is the one that they look for.
+CANDIDATES |= {
+    "unauthorized_upgrade_to": """SELECT trace_id, call_id AS place, '0:Call:' || call_id AS b FROM ec a WHERE class = 'External' AND sel = 3
+  AND NOT EXISTS (SELECT 1 FROM calls x WHERE x.trace_id = a.trace_id AND x.class = 'External' AND x.sel = 3 AND x.from_n = x.sender)""",
+    "proxy_upgrade_self_write": """SELECT a.trace_id, a.call_id AS place, '0:Call:' || a.call_id || ';1:StorageChange:' || x.id AS b
+  FROM ec a JOIN st x ON x.trace_id = a.trace_id AND x.call_id = a.call_id AND x.changed AND x.slot = 0 WHERE a.class = 'External' AND a.sel = 3""",
+}
+
 for _name, _rows in CANDIDATES.items():
     _of = f", cand AS ({_rows})"
     _key = f"candidates_{_name}" if not _name.startswith(("constraint_", "global_", "sequence", "same_call")) else _name
@@ -200,6 +208,51 @@ for _name, _rows in CANDIDATES.items():
         _of,
     )
 
+_HASHED = ("unsafe_selfdestruct", "classic_reentrancy")
+ORACLE_SQL["candidate_ids"] = _sql(
+    """SELECT trace_id, id AS pattern_id, candidate_pos, lpad(lower(to_hex(CAST(
+  list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(bytes, lambda x: CAST(x AS HUGEINT))), lambda h, x: xor(h, x) * 1099511628211 % 18446744073709551616)
+AS UBIGINT))), 16, '0') AS candidate_id FROM m""",
+    f""", cand AS ({" UNION ALL ".join(f"SELECT '{p}' AS id, * FROM ({CANDIDATES[p]}) t{i}" for i, p in enumerate(_HASHED))}), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY id, trace_id ORDER BY place) - 1 AS INTEGER) AS candidate_pos FROM cand
+), m AS (
+  SELECT trace_id, id, candidate_pos, list_concat(list_concat(list_transform(string_split(id, ''), lambda x: ascii(x)), [255, 1, 0, 0, 0, 0, 0, 0, 0]),
+    flatten(list_transform(string_split(b, ';'), lambda p: list_concat(list_concat([CAST(split_part(p, ':', 1) AS INTEGER), 0, 0, 0, 0, 0, 0, 0],
+      list_transform(string_split(split_part(p, ':', 2) || '(' || split_part(p, ':', 2) || 'Id(' || split_part(p, ':', 3) || '))', ''), lambda x: ascii(x))), [255])))) AS bytes
+  FROM placed
+)""",
+)
+
+_DOCUMENTS = """, d AS (
+  SELECT trace_id, (SELECT count(*) FROM c WHERE c.trace_id = tx.trace_id) AS n_calls, (SELECT count(*) FROM st WHERE st.trace_id = tx.trace_id) AS n_changes,
+         (SELECT count(*) FROM lg WHERE lg.trace_id = tx.trace_id) AS n_logs, (SELECT count(*) FROM tt WHERE tt.trace_id = tx.trace_id) AS n_transfers,
+         (SELECT count(*) FROM c WHERE c.trace_id = tx.trace_id AND c.kind = 'StaticCall') AS n_static FROM tx
+), e AS (
+  SELECT *, CASE WHEN trace_id % 16 IN (1, 8) THEN 'MalformedInput' WHEN trace_id % 16 = 2 THEN 'UnsupportedFeature'
+    WHEN trace_id % 16 = 3 AND n_logs > 1 THEN 'DuplicateLogIndex' WHEN trace_id % 16 = 4 AND n_changes > 0 THEN 'InvalidStorageOwnership'
+    WHEN trace_id % 16 IN (5, 7) THEN 'MalformedField' WHEN trace_id % 16 = 6 AND n_static > 0 THEN 'ArenaConstruction' ELSE 'none' END AS error_kind FROM d
+)"""
+ORACLE_SQL["ingest_outcomes"] = _sql(
+    "SELECT trace_id, error_kind, " + ", ".join(f"CAST(CASE WHEN error_kind = 'none' THEN {n} ELSE -1 END AS INTEGER) AS {n}" for n in ("n_calls", "n_changes", "n_logs", "n_transfers")) + " FROM e",
+    _DOCUMENTS,
+)
+ORACLE_SQL["ingest_calls"] = _sql(
+    """SELECT k.trace_id, k.call_id, CASE WHEN k.call_id > 0 THEN 0 ELSE -1 END AS parent_id, k.kind, CASE WHEN k.call_id > 0 THEN 1 ELSE 0 END AS depth, k.succeeded,
+  '0x' || lpad(lower(to_hex(k.sel)), 8, '0') AS selector, lpad(lower(to_hex(k.amount)), 32, '0') AS value_hex,
+  '0x' || lpad(lower(to_hex(CASE WHEN k.kind IN ('DelegateCall', 'CallCode') THEN r.to_n ELSE k.to_n END)), 40, '0') AS context
+FROM k JOIN e USING (trace_id) JOIN c r ON r.trace_id = k.trace_id AND r.call_id = 0 WHERE e.error_kind = 'none'""",
+    _DOCUMENTS,
+)
+ORACLE_SQL["evidence_chain"] = _sql(
+    """SELECT trace_id, candidate_pos, clause, name, outcome, CASE WHEN outcome = 'Verified' THEN fact END AS fact, category FROM (
+  SELECT p.*, q.clause, q.name, CASE WHEN q.clause = 0 OR b LIKE '%Log%' THEN 'Verified' ELSE 'Unavailable' END AS outcome,
+         CASE WHEN q.clause = 0 THEN split_part(split_part(b, ';', 1), ':', 3) ELSE split_part(split_part(b, ';', 2), ':', 3) END AS fact,
+         CASE WHEN q.clause = 1 AND b NOT LIKE '%Log%' THEN 'missing-fact' END AS category
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY place) - 1 AS INTEGER) AS candidate_pos FROM cand) p
+  CROSS JOIN (VALUES (0, 'gone'), (1, 'sent')) q(clause, name))""",
+    f", cand AS ({CANDIDATES['constraint_or']})",
+)
+
 ORACLE_SQL["grounding_fabricated"] = _sql(
     """SELECT trace_id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.trace_id = tx.trace_id AND class = 'SelfDestruct' AND succeeded) THEN 'ungrounded' ELSE 'abstain' END AS status,
   0 AS required_verified FROM tx"""

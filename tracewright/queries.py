@@ -15,13 +15,14 @@ from .functions.hexcodec import kind_class
 from .model import Relations, to_relations
 from .operators import integrity, metrics
 from .operators.enrich import enriched_calls
-from .operators.ground import ground, match_and_ground
+from .operators.ground import ground, match_and_ground, outcomes
 from .operators.match import find_candidates
 from .operators.predicates import SOURCES, select_facts
 from .operators.taxonomy import DEFAULT
 from .plans.compiler import Pattern, compile_pattern
 from .sources import lens
-from .sources.library import SHIPPED, load_pattern_file, load_patterns
+from .sources.documents import ingest, traces_of
+from .sources.library import EXAMPLES, SHIPPED, load_pattern_file, load_patterns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,8 +82,6 @@ def _predicate_query(name: str, predicate: str) -> Query:
         calls = enriched_calls(lens.traces(spark, sf_dir)) if deep else r.calls
         facts = {"calls": calls, "storage_changes": r.storage_changes, "logs": r.logs, "token_transfers": r.token_transfers}
         own = r.tx if clause.kind == "transaction" else facts[SOURCES[clause.kind].array]
-        if clause.kind == "transaction":  # a transaction without calls is no trace
-            own = own.join(r.root_calls().select("trace_id"), "trace_id", "left_semi")
         found = select_facts(clause, own, r.tx, r.calls, r.token_transfers)
         return found.withColumn("ord", F.coalesce("ord", F.lit(-1)))  # -1: a fact of the transaction, without a place in order
 
@@ -180,6 +179,46 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.trace_summary(lens.raw_traces(spark, sf_dir)).drop("tx_hash", "block_number", "chain_id")
 
 
+# ------------------------------------------------------------------ documents
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lens's traces as documents, some of them broken on purpose, read back."""
+    rows = lens.raw_traces(spark, sf_dir)
+    k = F.col("trace_id") % 16
+    static = F.transform("calls", lambda c: F.when(c["kind"] == "StaticCall", c.withField("value_hex", F.lit("0" * 31 + "1"))).otherwise(c))
+    odd = F.transform("calls", lambda c: F.when(c["call_id"] == 0, c.withField("kind", F.lit("jump"))).otherwise(c))
+    twice = F.transform("logs", lambda x: x.withField("log_index", F.lit(7).cast("long")))
+    broken = rows.withColumns(
+        {"calls": F.when(k == 2, odd).when(k == 6, static).otherwise(F.col("calls")), "logs": F.when(k == 3, twice).otherwise(F.col("logs"))}
+    )
+    doc = F.col("doc")
+    spoiled = (
+        F.when(k == 1, F.substring(doc, 1, F.length(doc) - 1))
+        .when(k == 4, F.regexp_replace(doc, '"contract":"0x0', '"contract":"0xf'))
+        .when(k == 5, F.regexp_replace(doc, '"nonce":"0x0"', '"nonce":"0xzz"'))
+        .when(k == 7, F.regexp_replace(doc, '"status":"[a-z]*"', r'"status":"\\\\ud800"'))  # half of a surrogate pair
+        .when(k == 8, F.regexp_replace(doc, '"block":', '"more":1,"block":'))
+        .otherwise(doc)
+    )
+    return ingest(lens.documents(broken).withColumn("doc", spoiled))
+
+
+@query("ingest_outcomes")
+def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = {"calls": "n_calls", "storage_changes": "n_changes", "logs": "n_logs", "token_transfers": "n_transfers"}
+    good = F.col("error_kind").isNull()
+    return _ingested(spark, sf_dir).select(
+        F.col("trace_id").cast("long").alias("trace_id"), F.coalesce("error_kind", F.lit("none")).alias("error_kind"), *(F.when(good, F.size(k)).otherwise(-1).alias(v) for k, v in sizes.items())
+    )
+
+
+@query("ingest_calls")
+def ingest_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = enriched_calls(traces_of(_ingested(spark, sf_dir)))
+    return calls.select(F.col("trace_id").cast("long").alias("trace_id"), "call_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "kind", "depth", "succeeded", "selector", "value_hex", "context")
+
+
 # ------------------------------------------------------------------ matching and grounding
 
 _TRANSFER = lens.TRANSFER_TOPIC
@@ -209,16 +248,16 @@ def _flat(bindings) -> F.Column:
     return F.array_join(F.transform(bindings, lambda b: F.concat_ws(":", b["clause"].cast("string"), b["fact_kind"], b["fact_id"].cast("string"))), ";")
 
 
-def _candidate_query(p: Callable[[], Pattern]) -> Query:
+def _candidate_query(p: Callable[[], Pattern], source: Query = lens.traces) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return find_candidates(lens.traces(spark, sf_dir), [p()]).select("trace_id", "candidate_pos", _flat("bindings").alias("bindings"))
+        return find_candidates(source(spark, sf_dir), [p()]).select("trace_id", "candidate_pos", _flat("bindings").alias("bindings"))
 
     return run
 
 
-def _grounding_query(p: Callable[[], Pattern]) -> Query:
+def _grounding_query(p: Callable[[], Pattern], source: Query = lens.traces) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = match_and_ground(lens.traces(spark, sf_dir), [p()], ids=False)
+        found = match_and_ground(source(spark, sf_dir), [p()], ids=False)
         return found.select("trace_id", "candidate_pos", "status", "required_total", "required_verified", "explanation", F.size("abstain_reasons").alias("n_reasons"))
 
     return run
@@ -232,6 +271,26 @@ for _path in sorted(SHIPPED.glob("*.rcdsl")):
     QUERIES[f"grounding_{_path.stem}"] = _grounding_query(lambda p=_path: load_pattern_file(p))
 
 
+def _upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces whose selector 3 is the one that the example patterns look for."""
+    renamed = F.transform("calls", lambda c: c.withField("selector", F.when(c["selector"] == "0x00000003", "0x3659cea8").otherwise(c["selector"])))
+    return lens.traces(spark, sf_dir).withColumn("calls", renamed)
+
+
+for _path in sorted(EXAMPLES.glob("*.rcdsl")):
+    QUERIES[f"candidates_{_path.stem}"] = _candidate_query(lambda p=_path: load_pattern_file(p), _upgrades)
+    QUERIES[f"grounding_{_path.stem}"] = _grounding_query(lambda p=_path: load_pattern_file(p), _upgrades)
+
+
+@query("evidence_chain")
+def evidence_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each clause of each candidate: what was verified, by which fact, and why a finding abstains."""
+    found = match_and_ground(lens.traces(spark, sf_dir), [compile_pattern(PATTERNS["constraint_or"])], ids=False)
+    links = found.select("trace_id", "candidate_pos", "abstain_reasons", F.explode("chain").alias("e"))
+    why = F.get(F.filter("abstain_reasons", lambda r: r["clause"] == F.col("e.clause")), F.lit(0))["category"]
+    return links.select("trace_id", "candidate_pos", "e.clause", "e.name", "e.outcome", F.col("e.fact.fact_id").cast("string").alias("fact"), why.alias("category"))
+
+
 @query("grounding_fabricated")
 def grounding_fabricated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made-up candidate for each trace that cites its root call: grounded nowhere, as a root is no self-destruct."""
@@ -253,8 +312,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("candidate_ids")
 def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match_and_ground(lens.traces(spark, sf_dir), [load_pattern_file(SHIPPED / "unsafe_selfdestruct.rcdsl")])
-    return found.select("trace_id", "candidate_pos", "candidate_id")
+    """The names of candidates with one citation and with two."""
+    found = match_and_ground(lens.traces(spark, sf_dir), [load_pattern_file(SHIPPED / f"{p}.rcdsl") for p in ("unsafe_selfdestruct", "classic_reentrancy")])
+    return found.select("trace_id", "pattern_id", "candidate_pos", "candidate_id")
 
 
 # ------------------------------------------------------------------ taxonomy and metrics
@@ -270,25 +330,33 @@ def taxonomy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED = ("unsafe_selfdestruct", "delegatecall_reachable_selfdestruct", "unchecked_external_call", "oracle_manipulation")
 
 
+def _scored() -> list[Pattern]:
+    return [load_pattern_file(SHIPPED / f"{p}.rcdsl") for p in SCORED]
+
+
 def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trace with every pattern of SCORED; what is expected follows from their numbers, and one in five is not scored."""
-    traces = lens.traces(spark, sf_dir)
-    patterns = [load_pattern_file(SHIPPED / f"{p}.rcdsl") for p in SCORED]
-    best = metrics.strongest(match_and_ground(traces, patterns, ids=False), "trace_id", "pattern_pos", "pattern_family")
+    rows = outcomes(lens.traces(spark, sf_dir), _scored())
     names = F.array(*map(F.lit, SCORED))
-    every = traces.select("trace_id", F.explode(F.array(*(F.lit(i) for i in range(len(SCORED))))).alias("pattern_pos"))
-    rows = every.join(best, ["trace_id", "pattern_pos"], "left")
     expected = F.get(F.array(*map(F.lit, metrics.OUTCOMES)), ((F.col("trace_id") + F.col("pattern_pos")) % 5).cast("int"))
     return rows.select(
         (F.col("trace_id") * len(SCORED) + F.col("pattern_pos")).alias("seq"), F.col("trace_id").alias("case_id"), F.get(names, F.col("pattern_pos")).alias("pattern_id"),
-        F.col("pattern_family").alias("family"), F.coalesce("candidates", F.lit(0)).alias("candidates"), expected.alias("expected"),
-        F.coalesce("actual", F.lit("no-match")).alias("actual"),
+        F.col("pattern_family").alias("family"), "candidates", expected.alias("expected"), "actual",
     )
 
 
 @query("outcome_strongest")
 def outcome_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_results(spark, sf_dir).select("case_id", "pattern_id", "candidates", "actual")
+    """By grouping findings, as a suite does; scored_results has the same without a shuffle."""
+    traces = lens.traces(spark, sf_dir)
+    best = metrics.strongest(match_and_ground(traces, _scored(), ids=False), "trace_id", "pattern_pos")
+    every = traces.select("trace_id", F.explode(F.array(*(F.lit(i) for i in range(len(SCORED))))).alias("pattern_pos"))
+    rows = every.join(best, ["trace_id", "pattern_pos"], "left")
+    names = F.array(*map(F.lit, SCORED))
+    return rows.select(
+        F.col("trace_id").alias("case_id"), F.get(names, F.col("pattern_pos")).alias("pattern_id"), F.coalesce("candidates", F.lit(0)).alias("candidates"),
+        F.coalesce("actual", F.lit("no-match")).alias("actual"),
+    )
 
 
 @query("confusion_matrix")

@@ -225,7 +225,7 @@ def flatten_batches(read):
                     facts["calls"] = [exact(c, ("gas_limit", "gas_used")) for c in facts["calls"]]
                     found = facts | {"error_kind": None, "error": None}
                 except IngestionError as e:
-                    found = {"tx": None, "calls": None, "storage_changes": None, "logs": None, "error_kind": e.kind, "error": e.detail}
+                    found = {"tx": None, "calls": None, "storage_changes": None, "logs": None, "error_kind": e.kind, "error": e.detail.encode(errors="replace").decode()}
                 for k in columns:
                     columns[k].append(found[k])
             types = {"tx": _arrow(TX), "calls": pa.list_(_arrow(CALL)), "storage_changes": pa.list_(_arrow(STORAGE)), "logs": pa.list_(_arrow(LOG))}

@@ -1,19 +1,22 @@
 """Execution traces derived from order tables.
 
 Orders are transactions and their lines are calls, so the engine can run on any star schema
-of that kind, at any size. Addresses are small numbers, so that calls re-enter often.
+of that kind, at any size. Addresses are small numbers, so that calls re-enter often. An
+order's lines are gathered into one row, in order; all else is said about that row, so lines
+are read and shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CALL, LOG, STORAGE, TX, Relations, columns_of, to_traces
-from ..operators.enrich import enrich_traces
+from ..model import TX, Relations, array_type, columns_of, struct_type, to_relations
+from ..operators.enrich import BORROWED, enrich_traces
 from .documents import TRANSFER_TOPIC, decode_transfers
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+REST = ["l_quantity", "l_returnflag", "l_linestatus"]
 # Fixed values of the lens.
 KINDS = ["Call"] * 5 + ["StaticCall", "DelegateCall", "CallCode", "Create", "Selfdestruct"]
 OTHER_TOPIC = "0x" + "1" * 64
@@ -31,83 +34,102 @@ def _word(c: Column) -> Column:
     return F.concat(F.lit("0x"), _hex(c, 64))
 
 
-def relations(spark: SparkSession, sf_dir: str) -> Relations:
+def _to(line: Column) -> Column:
+    return _address(line["l_suppkey"] % 4)
+
+
+def _call(x: Column, n: Column) -> Column:
+    parent = F.when(n == 0, F.lit(None)).when(x["l_linenumber"] % 2 == 0, n - 1).otherwise(F.floor((n - 1) / 2)).cast("int")
+    kind = F.when(n == 0, "Call").otherwise(F.get(F.array(*map(F.lit, KINDS)), (x["l_partkey"] % 10).cast("int")))
+    value = F.when((x["l_suppkey"] % 2 == 1) & (kind != "StaticCall"), F.floor(x["l_quantity"])).otherwise(0)
+    fields = {
+        "call_id": n, "parent_id": parent, "kind": kind, "depth": F.lit(None).cast("int"),
+        "from_addr": F.when(n == 0, _address(F.col("o_custkey") % 7)).otherwise(_to(F.get("lines", parent))), "to_addr": _to(x),
+        "value_hex": _hex(value, 32), "gas_limit": F.lit(0).cast("decimal(20,0)"), "gas_used": F.lit(0).cast("decimal(20,0)"),
+        "succeeded": x["l_linestatus"] == "F", "selector": F.concat(F.lit("0x"), _hex(x["l_partkey"] % 16, 8)),
+    }
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+
+def _storage_change(x: Column, i: Column) -> Column:
+    before = F.floor(x["l_quantity"]).cast("long")
+    fields = {
+        "id": i, "call_id": x["n"], "contract": _to(x), "slot": _word(x["l_partkey"] % 3),
+        "before": _word(before), "after": _word(before + x["l_suppkey"] % 2),
+    }
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+
+def _log(x: Column, i: Column) -> Column:
+    topics = [F.when(x["l_suppkey"] % 2 == 0, TRANSFER_TOPIC).otherwise(OTHER_TOPIC), _word(x["l_suppkey"] % 7), _word(x["l_linenumber"] % 7)]
+    fields = {
+        "id": i, "call_id": x["n"], "address": _to(x),
+        "topics": F.when(x["l_partkey"] % 3 == 0, F.array(*topics[:2])).otherwise(F.array(*topics)),
+        "data": F.when(x["l_partkey"] % 3 == 1, _hex(F.floor(x["l_quantity"]), 64)).otherwise(_hex(F.floor(x["l_quantity"]), 62)),
+        "log_index": x["n"].cast("long"),
+    }
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+
+def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace rows: one for each order with lines."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    in_order = Window.partitionBy("l_orderkey").orderBy(*ORDER)
-    n = F.col("call_id")
-    kinds = F.array(*map(F.lit, KINDS))
-    kind = F.when(n == 0, "Call").otherwise(F.get(kinds, (F.col("l_partkey") % 10).cast("int")))
-    base = lines.select(
-        F.col("l_orderkey").alias("trace_id"), (F.row_number().over(in_order) - 1).alias("call_id"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus",
-    ).withColumns(
-        {
-            "parent_id": F.when(n == 0, F.lit(None)).when(F.col("l_linenumber") % 2 == 0, n - 1).otherwise(F.floor((n - 1) / 2)).cast("int"),
-            "kind": kind,
-            "to_addr": _address(F.col("l_suppkey") % 4),
-        }
-    )
-    sender = orders.select(F.col("o_orderkey").alias("trace_id"), _address(F.col("o_custkey") % 7).alias("sender"))
-    parents = base.select("trace_id", F.col("call_id").alias("parent_id"), F.col("to_addr").alias("parent_to"))
-    joined = base.join(parents, ["trace_id", "parent_id"], "left").join(sender, "trace_id")
-    value = F.when((F.col("l_suppkey") % 2 == 1) & (F.col("kind") != "StaticCall"), F.floor("l_quantity")).otherwise(0)
-    calls = joined.withColumns(
-        {
-            "from_addr": F.when(n == 0, F.col("sender")).otherwise(F.col("parent_to")),
-            "value_hex": _hex(value, 32),
-            "succeeded": F.col("l_linestatus") == "F",
-            "selector": F.concat(F.lit("0x"), _hex(F.col("l_partkey") % 16, 8)),
-            "gas_limit": F.lit(0).cast("decimal(20,0)"),
-            "gas_used": F.lit(0).cast("decimal(20,0)"),
-            "depth": F.lit(None).cast("int"),
-        }
-    )
-    by_call = Window.partitionBy("trace_id").orderBy("call_id")
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("id", F.row_number().over(by_call) - 1)
-
-    before = F.floor("l_quantity").cast("long")
-    changes = numbered(base.where("l_returnflag = 'R'")).withColumns(
-        {
-            "contract": F.col("to_addr"),
-            "slot": _word(F.col("l_partkey") % 3),
-            "before": _word(before),
-            "after": _word(before + F.col("l_suppkey") % 2),
-        }
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey IS NOT NULL")
+    gathered = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ORDER, *REST))).alias("lines"))
+    gathered = gathered.withColumn("lines", F.transform("lines", lambda x, n: F.struct(n.alias("n"), *(x[c].alias(c) for c in (*ORDER, *REST)))))
+    rows = gathered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    tx = {
+        "tx_hash": _word(F.col("o_orderkey")), "from_addr": _address(F.col("o_custkey") % 7), "to_addr": F.lit(None).cast("string"),
+        "value_hex": F.lit("0" * 32), "nonce": F.lit(0), "gas_used": F.floor("o_totalprice"),
+        "status": F.when(F.col("o_orderstatus") == "F", "Reverted").otherwise("Success"), "block_number": F.col("o_orderkey"),
+        "block_ts": F.unix_timestamp("o_orderdate"), "chain_id": F.lit(1), "base_fee_hex": F.lit(None).cast("string"), "source": F.lit("orders"),
+    }
+
+    def flagged(flag: str) -> Column:
+        return F.filter("lines", lambda x: x["l_returnflag"] == flag)
+
+    made = rows.select(
+        F.col("o_orderkey").alias("trace_id"),
+        F.struct(*(tx[k].alias(k) for k in columns_of(TX))).cast(struct_type(TX)).alias("tx"),
+        F.transform("lines", _call).cast(array_type("calls")).alias("calls"),
+        F.transform(flagged("R"), _storage_change).cast(array_type("storage_changes")).alias("storage_changes"),
+        F.transform(flagged("A"), _log).cast(array_type("logs")).alias("logs"),
     )
-    topics = [F.when(F.col("l_suppkey") % 2 == 0, TRANSFER_TOPIC).otherwise(OTHER_TOPIC), _word(F.col("l_suppkey") % 7), _word(F.col("l_linenumber") % 7)]
-    logs = numbered(base.where("l_returnflag = 'A'")).withColumns(
-        {
-            "address": F.col("to_addr"),
-            "topics": F.when(F.col("l_partkey") % 3 == 0, F.array(*topics[:2])).otherwise(F.array(*topics)),
-            "data": F.when(F.col("l_partkey") % 3 == 1, _hex(F.floor("l_quantity"), 64)).otherwise(_hex(F.floor("l_quantity"), 62)),
-            "log_index": F.col("call_id").cast("long"),
-        }
-    )
-    tx = orders.select(
-        F.col("o_orderkey").alias("trace_id"), _word(F.col("o_orderkey")).alias("tx_hash"), _address(F.col("o_custkey") % 7).alias("from_addr"),
-        F.lit(None).cast("string").alias("to_addr"), F.lit("0" * 32).alias("value_hex"), F.lit(0).cast("decimal(20,0)").alias("nonce"),
-        F.floor("o_totalprice").cast("decimal(20,0)").alias("gas_used"), F.when(F.col("o_orderstatus") == "F", "Reverted").otherwise("Success").alias("status"),
-        F.col("o_orderkey").cast("decimal(20,0)").alias("block_number"), F.unix_timestamp("o_orderdate").cast("decimal(20,0)").alias("block_ts"),
-        F.lit(1).cast("decimal(20,0)").alias("chain_id"), F.lit(None).cast("string").alias("base_fee_hex"), F.lit("orders").alias("source"),
-    )
-    logs = logs.select("trace_id", *columns_of(LOG))
-    transfers = (
-        logs.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(*columns_of(LOG)))).alias("logs"))
-        .select("trace_id", F.inline(decode_transfers(F.col("logs"))))
-    )
-    return Relations(
-        tx.select("trace_id", *columns_of(TX)), calls.select("trace_id", *columns_of(CALL)),
-        changes.select("trace_id", *columns_of(STORAGE)), logs, transfers,
-    )
+    return made.withColumn("token_transfers", decode_transfers(F.col("logs")))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace rows, enriched. Lines are shuffled once, by trace."""
+    """Trace rows, enriched."""
     return enrich_traces(raw_traces(spark, sf_dir))
 
 
-def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_traces(relations(spark, sf_dir))
+def relations(spark: SparkSession, sf_dir: str) -> Relations:
+    return to_relations(raw_traces(spark, sf_dir))
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """Trace rows as documents (trace_id, doc): all calls but the first are the first one's own calls."""
+
+    def frame(c: Column) -> list[Column]:
+        context = F.when(c["kind"].isin(*BORROWED), F.get("calls", F.lit(0))["to_addr"]).otherwise(c["to_addr"])
+        changes = F.transform(
+            F.filter("storage_changes", lambda s: s["call_id"] == c["call_id"]),
+            lambda s: F.struct(context.alias("contract"), s["slot"].alias("slot"), s["before"].alias("before"), s["after"].alias("after")),
+        )
+        logs = F.transform(
+            F.filter("logs", lambda x: x["call_id"] == c["call_id"]),
+            lambda x: F.struct(x["address"].alias("address"), x["topics"].alias("topics"), F.concat(F.lit("0x"), x["data"]).alias("data"), F.concat(F.lit("0x"), F.hex(x["log_index"])).alias("logIndex")),
+        )
+        named = {
+            "kind": F.lower(c["kind"]), "from": c["from_addr"], "to": c["to_addr"], "value": F.concat(F.lit("0x"), c["value_hex"]), "gasLimit": F.lit("0x0"), "gasUsed": F.lit("0x0"),
+            "succeeded": c["succeeded"], "input": c["selector"], "storageChanges": changes, "logs": logs,
+        }
+        return [v.alias(k) for k, v in named.items()]
+
+    inner = F.transform(F.slice("calls", F.lit(2), F.size("calls")), lambda c: F.struct(*frame(c)))
+    t = F.col("tx")
+    transaction = {"hash": t["tx_hash"], "from": t["from_addr"], "value": F.lit("0x0"), "nonce": F.lit("0x0"), "gasUsed": F.concat(F.lit("0x"), F.hex(t["gas_used"].cast("long"))), "status": F.lower(t["status"])}
+    block = {"number": F.concat(F.lit("0x"), F.hex(t["block_number"].cast("long"))), "timestamp": F.lit("0x0"), "chainId": F.lit("0x1")}
+    root = F.struct(*frame(F.get("calls", F.lit(0))), inner.alias("calls"))
+    doc = F.struct(F.struct(*(v.alias(k) for k, v in transaction.items())).alias("transaction"), F.struct(*(v.alias(k) for k, v in block.items())).alias("block"), root.alias("root"))
+    return rows.select("trace_id", F.to_json(doc).alias("doc"))
