@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 
 from tracewright.llm import mixing, quality, toxicity
 from tracewright.llm.common import WORD_CLASS, hash_words, held_out, words
-from tracewright.llm.text_features import Ftrl
+from tracewright.llm.text_features import Ftrl, bounded_sample, labelled
 
 from .conftest import prose
 
@@ -86,22 +87,107 @@ def test_held_out_labels_are_never_read(spark, documents):
         assert a == b
 
 
+def plain_em(v, prior, rounds):
+    """Independent voters, one document at a time."""
+    post = [0.9 if any(row) else 0.02 for row in v]
+    for _ in range(rounds):
+        n1, n0 = sum(post), len(v) - sum(post)
+        r1 = [min(0.999, max(1e-5, (sum(p for p, row in zip(post, v) if row[j]) + prior) / (n1 + 2 * prior + 1))) for j in range(len(v[0]))]
+        r0 = [min(0.999, max(1e-5, (sum(1 - p for p, row in zip(post, v) if row[j]) + 0.01) / (n0 + 1.02))) for j in range(len(v[0]))]
+        post = []
+        for row in v:
+            odds = prior / (1 - prior)
+            for j, fired in enumerate(row):
+                odds *= r1[j] / r0[j] if fired else (1 - r1[j]) / (1 - r0[j])
+            post.append(odds / (1 + odds))
+    return post, r1, r0
+
+
 def test_label_model():
     rng = np.random.default_rng(1)
     y = rng.random(3000) < 0.2
     fire = np.array([[0.7, 0.01], [0.5, 0.02], [0.4, 0.001], [0.01, 0.01]])
     v = rng.random((3000, 4)) < np.where(y[:, None], fire[:, 0], fire[:, 1])
-    post, voters = toxicity.label_model(v, 0.2)
+    post, model = toxicity.label_model(v, 0.2)
     assert ((post > 0.5) == y)[v[:, :3].any(axis=1)].mean() > 0.85
-    assert np.abs(voters[0, :3] - fire[:3, 0]).max() < 0.15
-    doubled, shares = toxicity.label_model(np.column_stack([v, v[:, 0]]), 0.2)
-    assert shares[2, 0] < 0.7 and shares[2, 4] < 0.7 and shares[2, 2] > shares[2, 0]
+    assert np.abs(model["toxic"][:3] - fire[:3, 0]).max() < 0.15
+    # Without dependences it is plain expectation maximisation; patterns with counts stand for their rows.
+    plain, r1, r0 = plain_em(v.tolist(), 0.2, 20)
+    alone, model = toxicity.label_model(v, 0.2, rounds=20, tree=False)
+    assert np.allclose(alone, plain) and np.allclose(model["toxic"], r1) and np.allclose(model["clean"], r0)
+    patterns, which, count = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    grouped, _ = toxicity.label_model(patterns, 0.2, count)
+    assert np.allclose(grouped[which.ravel()], post)
+
+
+def test_a_voter_that_repeats_another_adds_nothing():
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.2
+    v = rng.random((4000, 5)) < np.where(y[:, None], [0.6, 0.5, 0.4, 0.5, 0.5], 0.05)
+    once, _ = toxicity.label_model(v, 0.2)
+    thrice = np.column_stack([v, v[:, 0], v[:, 0]])
+    tree, model = toxicity.label_model(thrice, 0.2)
+    independent, _ = toxicity.label_model(thrice, 0.2, tree=False)
+    assert np.abs(once - tree).mean() < 0.01 < 0.05 < np.abs(once - independent).mean()
+    assert ((tree > 0.5) == y).mean() > 0.93 > 0.9 > ((independent > 0.5) == y).mean()
+    assert (model["with_parent"] > 0.9).sum() == 2  # two edges join the three equal ones
 
 
 def test_patterns_vote():
-    h, w = next((h, w) for _, h, w in toxicity.token_slices(pa.array(["You are a fool", "you, are a", "I will find you!", "fine"]), True, toxicity.STEMS))
-    v = toxicity.votes(h, w, [hash_words("fool")])
-    assert v.tolist() == [[True, True, False], [False, False, False], [False, False, True], [False, False, False]]
+    texts = ["You are a fool", "you, are a", "I will find you!", "fine", "fool fool scum"]
+    h, w = next((h, w) for _, h, w in toxicity.token_slices(pa.array(texts), True, toxicity.STEMS))
+    none = np.zeros(0, np.uint64)
+    v = toxicity.votes(h, w, [hash_words("fine"), none, none, none])
+    fired = [[name for name, x in zip(toxicity.VOTERS, row) if x] for row in v]
+    assert fired == [["insult", "second_person"], [], ["threat"], ["mined_words"], ["insult", "contempt", "several_words", "repetition"]]
+
+
+def test_ftrl_steps_and_dot_products_are_those_of_plain_code(spark, documents):
+    """The learner against a loop over numbers, and scores against sums over a dictionary."""
+    rows, labels = corpus(60)
+    table = spark.createDataFrame(labels, LABELS)
+    model = quality.train(documents(rows), table, bits=10)
+    sample = {r["place"]: r for r in bounded_sample(documents(rows), labelled(table, "quality", 1000), 1000).collect()}
+    make = lambda text: next((f.tolist(), v.tolist()) for _, _, f, v in quality.features(pa.array([text]), 10))
+    ftrl, z, s, ys = Ftrl(10), {}, {}, [sample[p]["y"] for p in sorted(sample)]
+    prior = math.log(np.mean(ys) / (1 - np.mean(ys)))
+
+    def weight(k, l1):
+        if abs(z.get(k, 0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((ftrl.beta + math.sqrt(s[k])) / ftrl.alpha + ftrl.l2)
+
+    for _ in range(ftrl.epochs):
+        for p in sorted(sample):
+            f, x = make(sample[p]["text"])
+            f, x, l1 = [*f, "bias"], [*np.float32(x).astype(float), 1.0], [*[ftrl.l1] * len(f), 0.0]
+            w = [weight(k, one) for k, one in zip(f, l1)]
+            g = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(w, x)) + prior))) - sample[p]["y"]
+            for k, wk, xk in zip(f, w, x):
+                old = s.get(k, 0.0)
+                s[k] = old + (g * xk) ** 2
+                z[k] = z.get(k, 0.0) + g * xk - (math.sqrt(s[k]) - math.sqrt(old)) / ftrl.alpha * wk
+    plain = {k: weight(k, ftrl.l1) for k in z if k != "bias"}
+    plain["bias"] = weight("bias", 0.0) + prior
+    assert np.allclose([plain.get(k, 0.0) for k in model["feature"].tolist()], model["weight"][:-1], atol=1e-5)
+    assert abs(plain["bias"] - model["weight"][-1]) < 1e-5
+    for r in quality.score(documents(rows), model, 10).collect():
+        f, x = make(dict(rows)[r["doc_id"]])
+        assert abs(r["score"] - 1 / (1 + math.exp(-sum(plain.get(k, 0.0) * v for k, v in zip(f, x)) - plain["bias"]))) < 1e-4
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    table = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, 1, 0)], LABELS)
+    ids = labelled(table, "quality", 100)
+    many = spark.range(50_000).selectExpr("1L AS doc_id", "concat('text ', id % 40000) AS text")
+    assert bounded_sample(many, ids, 100).count() == 100
+    again = bounded_sample(many.repartition(13), ids, 100)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in bounded_sample(many, ids, 100).collect()}
+    same = spark.range(50_000).selectExpr("1L AS doc_id", "'one text' AS text")
+    assert bounded_sample(same, ids, 100).count() == 1
+    long = spark.createDataFrame([(i, "word " * 100_000 + str(k)) for i in (1, 3, 4) for k in range(4)] + [(3, None), (4, "x" * 3_000_000)], "doc_id long, text string")
+    got = [len(r["text"] or "") for r in bounded_sample(long, ids, 100, most_bytes=2_100_000).collect()]
+    assert 4 <= len(got) <= 5 and sum(got) <= 2_100_000
 
 
 def test_mixing_meets_targets(spark, documents):

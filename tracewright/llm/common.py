@@ -21,9 +21,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a temporary one if all runs on one machine; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,6 +36,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/tracewright/{uuid.uuid4().hex}"
         self._n = 0
         path = self._path(self.root)
@@ -68,6 +71,16 @@ class Scratch:
             self.remove(folder)
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let whole documents go to Python by the thousand at most: Spark's 10,000 texts at once would take hundreds of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, Scratch, held_out
+from .text_features import bounded_sample
 
 # Production parameters. Domains come from the labelled table: (quality, toxic).
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "poor": "quality = 0", "toxic": "quality = 1 AND toxic = 1"}
@@ -38,7 +39,7 @@ def tokens(text: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, domains: dict[str, str], most: int) -> DataFrame:
-    """At most `most` labelled documents (those with the smallest hashes): doc_id, text, k (the domain's place)."""
+    """A sample of labelled documents, bounded in rows and bytes: text, k (the domain's place)."""
     place = reduce(lambda out, p: out.when(F.expr(p[1]), p[0]), list(enumerate(domains.values())), F.when(F.lit(False), 0))
     ids = (
         labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -46,14 +47,14 @@ def sample(docs: DataFrame, labels: DataFrame, domains: dict[str, str], most: in
         .select("doc_id", place.alias("k")).where("k IS NOT NULL")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `most` pairs of numbers
+    return bounded_sample(docs, ids, most)
 
 
 def classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str], scratch: Scratch) -> tuple[DataFrame, list[float]]:
     """A naive Bayes model of which tokens a document holds: at most VOCABULARY tokens (h, w0,
     w1, ...), and each domain's log-likelihood, prior included, of a text that holds none."""
     n = len(domains)
-    rows = scratch.save(sample(docs, labels, domains, MOST_ROWS).select("doc_id", "k", F.array_distinct(tokens(F.col("text"))).alias("tokens")), "sample")
+    rows = scratch.save(sample(docs, labels, domains, MOST_ROWS).select("k", F.array_distinct(tokens(F.col("text"))).alias("tokens")), "sample")
     sizes = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     prior = [math.log((sizes.get(k, 0) + 1) / (total + n)) for k in range(n)]

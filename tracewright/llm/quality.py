@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
-from .text_features import Ftrl, fit_in_one_task, ngrams, sparse, token_slices, training_rows
+from .common import Scratch, held_out
+from .text_features import Ftrl, bounded_sample, dense, labelled, learn, lists, ngrams, sparse, token_slices
 
 BITS, MOST_ROWS, THRESHOLD, SCALE = 18, 8_000, 0.7, 8.0
 
@@ -24,29 +24,33 @@ def features(column: pa.Array, bits: int = BITS):
         yield first, starts, feature, value * np.repeat(SCALE / np.maximum(norm, 1e-12), np.diff(starts))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS) -> np.ndarray:
-    """Weights from at most `most_rows` labelled documents outside the held-out fold; zeros if there are none."""
+def featured(sample: DataFrame, bits: int = BITS) -> DataFrame:
+    """place, y, index, value: the features of each document of a sample."""
 
-    def fit(_, texts, y):
-        starts, index, value = [np.zeros(1, np.int64)], [], []
-        for _, s, f, v in features(texts, bits):
-            starts.append(s[1:] + starts[-1][-1])
-            index.append(f)
-            value.append(v)
-        if not len(y):
-            return np.zeros((1 << bits) + 1, np.float32).tobytes()
-        return Ftrl(bits).fit(np.concatenate(starts), np.concatenate(index), np.concatenate(value), y).astype(np.float32).tobytes()
+    def run(batches):
+        for b in batches:
+            for first, starts, f, v in features(b.column("text"), bits):
+                own = b.slice(first, len(starts) - 1)
+                columns = [own.column("place"), own.column("y"), lists(starts, f.astype(np.int32), pa.int32()), lists(starts, v.astype(np.float32), pa.float32())]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "y", "index", "value"])
 
-    return np.frombuffer(fit_in_one_task(training_rows(docs, labels, label, most_rows), fit), np.float32)
+    return sample.select("place", "y", "text").mapInArrow(run, "place int, y int, index array<int>, value array<float>")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS) -> dict[str, np.ndarray]:
+    """Weights from at most `most_rows` labelled documents outside the held-out fold; zeros if there are none."""
+    scratch = Scratch(docs.sparkSession)
+    sample = bounded_sample(docs, labelled(labels, label, most_rows), most_rows)
+    return learn(scratch.save(featured(sample, bits), "features"), Ftrl(bits))
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: dict[str, np.ndarray], bits: int = BITS) -> DataFrame:
     """doc_id, score for each row, over the whole text. Null and empty text scores as the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        w = dense(shared.value, bits)
         for b in batches:
-            w = shared.value
             out = np.zeros(b.num_rows)
             for first, starts, f, v in features(b.column("text"), bits):
                 n = len(starts) - 1
@@ -60,9 +64,10 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    Null text is empty text; a null id is not held out; repeated rows are scored each; equal
-    scores get equal predictions. With no labelled rows every score is 0.5. Other columns,
-    lang and source among them, are ignored.
+    Null text is empty text; a null id is not held out; repeated rows are scored each, and equal
+    texts get equal scores. Very long texts are scored whole, a slice at a time; those of over
+    LONGEST bytes take no part in the training. An empty table gives no rows; with no labelled
+    rows every score is 0.5. Other columns, lang and source among them, are ignored.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

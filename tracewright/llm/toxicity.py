@@ -1,30 +1,30 @@
 """Toxicity by weak supervision.
 
-Voters (lexicons and patterns) look at a bounded sample of labelled documents outside the
-held-out fold. A generative label model estimates, by expectation maximisation, how often
-each voter fires on toxic and on clean documents, and from the residual covariance how far
-voters repeat each other; correlated voters share their say. The posterior labels train a
-linear classifier over hashed words and stems, which scores every document.
-
-Labels serve in two places only: the share of toxic documents, and the lexicons of words
-that are mined from the labelled sample (dealt to several voters).
+Voters look at a bounded sample of labelled documents outside the held-out fold. They differ
+in kind: seed lexicons, phrase patterns, mined words, mined stems of three lengths, and
+repetition. A generative label model estimates, by expectation maximisation, how often each
+voter fires on toxic and on clean documents, and which other voter it goes with: given the
+label, voters form a tree of dependences, so that a voter that only repeats another adds
+nothing. The posterior labels train a linear classifier over hashed words and stems, which
+scores every document.
+
+Labels serve in two places only: the share of toxic documents, and the mining of lexicons
+(the corpus has languages for which there are no seeds).
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN_CLASS, hash_words, held_out, mix
-from .text_features import Ftrl, fit_in_one_task, sparse, token_slices, training_rows
+from .common import TOKEN_CLASS, Scratch, hash_words, held_out, mix
+from .text_features import Ftrl, bounded_sample, dense, labelled, learn, lists, sparse, token_slices
 
 BITS, MOST_ROWS, THRESHOLD = 20, 12_000, 0.3
 STEMS = (4, 5, 6)  # bytes: inflected forms share the start of the word
-MINED_VOTERS, MIN_SUPPORT, MIN_LIFT, MAX_MINED, MIN_FORMS = 6, 4, 40.0, 2_048, 3
+MIN_SUPPORT, MIN_LIFT, MIN_FORMS, RUN, LEAN = 4, 40.0, 3, 8, 1.0
 
 # Small seed lexicons of common English insults, by kind, and phrase patterns.
 LEXICONS = {
@@ -36,6 +36,7 @@ PATTERNS = {
     "second_person": ["you are a", "you are an", "you are such", "you are so", "shut up"],
     "threat": ["kill you", "hurt you", "hate you", "go die", "i will find you"],
 }
+VOTERS = [*LEXICONS, *PATTERNS, "mined_words", *(f"mined_stems_{k}" for k in STEMS), "several_words", "repetition"]
 
 
 def _phrases() -> dict[int, np.ndarray]:
@@ -55,21 +56,29 @@ def _sequence(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def votes(h: np.ndarray, w: np.ndarray, lexicons: list[np.ndarray]) -> np.ndarray:
-    """One row for each text, one column for each voter: does it fire?"""
+def votes(h: np.ndarray, w: np.ndarray, mined: list[np.ndarray]) -> np.ndarray:
+    """One row for each text, one column for each of VOTERS: does it fire? mined: words, and stems of each length."""
     n = len(w) - 1
     row = np.repeat(np.arange(n), np.diff(w))
-    out = []
-    for lex in lexicons:
-        out.append(np.bincount(row[np.isin(h, lex).any(axis=1)], minlength=n) > 0)
-    h = h[:, 0]
+    word = h[:, 0]
+    seeds = [hash_words(x, TOKEN_CLASS) for x in LEXICONS.values()]
+
+    def fires(hit: np.ndarray) -> np.ndarray:
+        return np.bincount(row[hit], minlength=n) > 0
+
+    lexicons = [fires(np.isin(word, lex)) for lex in seeds]
     fired = {name: np.zeros(n, bool) for name in PATTERNS}
     for length, phrases in _phrases().items():
-        if len(h) >= length:
-            seq, inside = _sequence(h, length), row[: len(h) - length + 1] == row[length - 1 :]
+        if len(word) >= length:
+            seq, inside = _sequence(word, length), row[: len(word) - length + 1] == row[length - 1 :]
             for name, code in phrases:
                 fired[name] |= np.bincount(row[: len(seq)][(seq == code) & inside], minlength=n) > 0
-    return np.stack([*out, *fired.values()], axis=1)
+    hits = [np.isin(word, mined[0]), *(np.isin(h[:, k], mined[k]) for k in range(1, h.shape[1]))]
+    told = np.isin(word, np.concatenate([*seeds, mined[0]]))
+    words_in_row = np.unique(np.stack([row[told].astype(np.uint64), word[told]], axis=1), axis=0)
+    several = np.bincount(words_in_row[:, 0].astype(np.int64), minlength=n) > 1
+    again = np.bincount(row[told], minlength=n) > np.bincount(words_in_row[:, 0].astype(np.int64), minlength=n)
+    return np.stack([*lexicons, *fired.values(), *map(fires, hits), several, again], axis=1)
 
 
 def present(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,118 +88,167 @@ def present(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[there], np.broadcast_to(row[:, None], h.shape)[there]
 
 
-def distinct_texts(h: np.ndarray, w: np.ndarray, n: int = 8) -> np.ndarray:
-    """Rows that start a group of near copies: texts that share the smallest hash of n words in a row count once."""
+def least_runs(h: np.ndarray, w: np.ndarray, n: int = RUN) -> np.ndarray:
+    """The smallest hash of n words in a row of each text, which near copies share."""
     runs = _sequence(h[:, 0], n) if len(h) >= n else np.zeros(0, np.uint64)
     least = [runs[a : b - n + 1].min() if b - a >= n else mix(h[a:b, 0]).sum(dtype=np.uint64) for a, b in zip(w[:-1], w[1:])]
-    return np.sort(np.unique(np.array(least, np.uint64), return_index=True)[1])
-
-
-def mine(h: np.ndarray, w: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Words that toxic documents hold far more often than clean ones, and stems that several such words share, dealt to voters."""
-    rows = distinct_texts(h, w)
-    number = np.full(len(y), -1)
-    number[rows] = np.arange(len(rows))
-    y, n, row = y[rows], len(rows), np.repeat(number, np.diff(w))
-    keep = row >= 0
-    row = row[keep]
-    column = lambda k: h[keep, k]  # noqa: E731  one at a time: they are large
-
-    def telling(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        word, code = np.unique(h, return_inverse=True)
-        pair = np.unique(code.astype(np.int64) * n + row)
-        bad = np.bincount(pair // n, y[pair % n], len(word))
-        clean = np.bincount(pair // n, minlength=len(word)) - bad
-        lift = (bad / (y.sum() + 1)) / ((clean + 0.5) / (n - y.sum() + 1))
-        found = np.flatnonzero((bad >= MIN_SUPPORT) & (lift >= MIN_LIFT))
-        found = found[np.argsort(-bad[found], kind="stable")][:MAX_MINED]
-        return word[found], bad[found]
-
-    found = telling(column(0), row)[0]
-    telling_words = np.isin(column(0), found)
-    words_found = column(0)[telling_words]
-    pairs = np.unique(np.concatenate([np.stack([words_found, column(k)[telling_words]], axis=1) for k in range(1, h.shape[1])]), axis=0)
-    stem, forms = np.unique(pairs[pairs[:, 1] != 0, 1], return_counts=True)
-    stem, likely = stem[forms >= MIN_FORMS], []
-    for k in range(1, h.shape[1]):
-        own = column(k)
-        hit = np.isin(own, stem)
-        likely.append((own[hit], row[hit]))
-    stems = telling(np.concatenate([x for x, _ in likely]), np.concatenate([r for _, r in likely]))[0]
-    found = np.concatenate([found, stems])
-    return [found[k::MINED_VOTERS] for k in range(MINED_VOTERS)]
-
-
-def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each row, and each voter's (rate on toxic, rate on clean, share of its say).
-
-    Voters fire independently given the label, but for the correlation that the residuals
-    show: when several fire, each one's log-likelihood ratio counts by one over one plus its
-    summed positive correlations with the others. The strongest voter's own word counts in
-    full: company cannot make it weaker.
+    return np.array(least, np.uint64)
+
+
+def _over_texts(rows: DataFrame, names: tuple[str, ...], schema: str, of) -> DataFrame:
+    """An Arrow pass over texts, slice by slice: of(part of the batch, token hashes, token offsets) gives arrays in the schema's order."""
+    made = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for first, h, w in token_slices(b.column("text"), True, STEMS):
+                yield pa.RecordBatch.from_arrays(of(b.slice(first, len(w) - 1), h, w), made)
+
+    return rows.select(*names, "text").mapInArrow(run, schema)
+
+
+def _counts(code: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and clean texts (rows) that hold each of n codes."""
+    pair = np.unique(code.astype(np.int64) * len(y) + row)
+    bad = np.bincount(pair // len(y), y[pair % len(y)], n).astype(np.int64)
+    return bad, np.bincount(pair // len(y), minlength=n) - bad
+
+
+def mine(sample: DataFrame) -> list[np.ndarray]:
+    """Words that toxic documents hold far more often than clean ones, and the stems, of each length, that several such words share.
+
+    sample: place, y, text. Near copies count once. All counts are groupings; what comes home
+    are the telling words and stems, each of them in MIN_SUPPORT of the sample's documents.
     """
-    v = v.astype(float)
+    first = _over_texts(sample, ("place",), "place int, least long", lambda b, h, w: [b.column("place"), pa.array(least_runs(h, w).view(np.int64))])
+    rows = sample.join(F.broadcast(first.groupBy("least").agg(F.min("place").alias("place")).select("place")), "place")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
+
+    def telling(counts: DataFrame) -> Column:
+        lift = (F.col("bad") / (size["bad"] + 1)) / ((F.col("clean") + 0.5) / (size["n"] - size["bad"] + 1))
+        return (F.col("bad") >= MIN_SUPPORT) & (lift >= MIN_LIFT)
+
+    def word_counts(b: pa.RecordBatch, h: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+        word, at, code = np.unique(h[:, 0], return_index=True, return_inverse=True)
+        bad, clean = _counts(code, np.repeat(np.arange(b.num_rows), np.diff(w)), b.column("y").to_numpy(), len(word))
+        stems = lists(np.arange(len(word) + 1) * len(STEMS), h[at, 1:].ravel().view(np.int64), pa.int64())
+        return [pa.array(word.view(np.int64)), stems, pa.array(bad), pa.array(clean)]
+
+    sums = [F.sum(c).alias(c) for c in ("bad", "clean")]
+    counted = _over_texts(rows, ("y",), "word long, stems array<long>, bad long, clean long", word_counts).groupBy("word").agg(F.first("stems").alias("stems"), *sums)
+    found = counted.where(telling(counted)).select("word", "stems").collect()
+    forms: dict[tuple[int, int], int] = {}
+    for r in found:
+        for k, stem in enumerate(r["stems"]):
+            if stem:
+                forms[k, stem] = forms.get((k, stem), 0) + 1
+    likely = [np.sort(np.array([s for (j, s), n in forms.items() if j == k and n >= MIN_FORMS], np.int64).view(np.uint64)) for k in range(len(STEMS))]
+
+    def stem_counts(b: pa.RecordBatch, h: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+        row, y, parts = np.repeat(np.arange(b.num_rows), np.diff(w)), b.column("y").to_numpy(), []
+        for k, stems in enumerate(likely):
+            hit = np.isin(h[:, k + 1], stems)
+            parts.append((np.full(len(stems), k, np.int32), stems, *_counts(np.searchsorted(stems, h[hit, k + 1]), row[hit], y, len(stems))))
+        k, stem, bad, clean = map(np.concatenate, zip(*parts))
+        return [pa.array(k), pa.array(stem.view(np.int64)), pa.array(bad), pa.array(clean)]
+
+    stems = _over_texts(rows, ("y",), "k int, stem long, bad long, clean long", stem_counts).groupBy("k", "stem").agg(*sums)
+    kept = stems.where(telling(stems)).select("k", "stem").collect()
+    hashes = [[r["word"] for r in found], *([r["stem"] for r in kept if r["k"] == k] for k in range(len(STEMS)))]
+    return [np.sort(np.array(x, np.int64).view(np.uint64)) for x in hashes]
+
+
+def _tree(v: np.ndarray, w: np.ndarray) -> list[int]:
+    """For each voter the one that it depends on (-1 for the first): the spanning tree of the largest mutual information, rows weighing w."""
+    n, total = v.shape[1], w.sum() + 1e-9
+    both = v.T @ (v * w[:, None]) / total
+    one, gain = np.diag(both), np.zeros((n, n))
+    for joint, x, y in (
+        (both, one, one), (one[:, None] - both, one, 1 - one), (one[None, :] - both, 1 - one, one), (1 - one[:, None] - one[None, :] + both, 1 - one, 1 - one),
+    ):
+        joint, even = np.maximum(joint, 1e-12), np.maximum(x[:, None] * y[None, :], 1e-12)
+        gain += joint * np.log(joint / even)
+    up, best, of, left = [-1] * n, gain[0].copy(), [0] * n, set(range(1, n))
+    while left:
+        j = max(sorted(left), key=lambda x: best[x])
+        up[j] = of[j]
+        left.remove(j)
+        for x in left:
+            if gain[j, x] > best[x]:
+                best[x], of[x] = gain[j, x], j
+    return up
+
+
+def label_model(v: np.ndarray, prior: float, count: np.ndarray | None = None, rounds: int = 50, tree: bool = True) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posterior of each row of votes (each standing for `count` documents), and what was estimated.
+
+    Expectation maximisation of P(votes, label) = P(label) * product of P(vote | vote of its
+    parent in the tree, label). The tree is the one of toxic documents (voters fire too rarely on
+    clean ones to tell), and what a parent says leans to the voter's own rate as LEAN documents
+    would have it. Without `tree` all voters are independent given the label. Returned with it: rates of firing on toxic and clean documents (accuracies follow from
+    them), each voter's parent, and its correlation with the parent given the label.
+    """
+    v = np.asarray(v, float)
+    count = np.ones(len(v)) if count is None else np.asarray(count, float)
     post = np.where(v.any(axis=1), 0.9, 0.02)
-    share = np.ones(v.shape[1])
+    n, floor = v.shape[1], (prior, 0.01)  # what a voter's rate leans to, in documents
+    up = [-1] * n
     for _ in range(rounds):
-        n1, n0 = post.sum(), (1 - post).sum()
-        r1 = (post @ v + prior) / (n1 + 2 * prior + 1)
-        r0 = ((1 - post) @ v + 0.01) / (n0 + 1)
-        r1, r0 = np.clip(r1, 1e-4, 0.999), np.clip(r0, 1e-5, 0.999)
-        rest = v - post[:, None] * r1 - (1 - post)[:, None] * r0
-        cov = rest.T @ rest / max(1, len(v))
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.clip(cov / sd[:, None] / sd, 0, 1)
-        np.fill_diagonal(corr, 0)
-        share = 1 / (1 + corr.sum(axis=1))
-        fire, miss = np.log(r1 / r0), np.log((1 - r1) / (1 - r0))
-        said = np.maximum((v * fire).max(axis=1), (v * fire) @ share)
-        logit = np.log(prior / (1 - prior)) + said + ((1 - v) * miss) @ share
+        weights = [count * post, count * (1 - post)]
+        up = _tree(v, weights[0]) if tree and n > 1 else up
+        logs, rates, together = [], [], np.zeros(n)
+        for w, lean in zip(weights, floor):
+            total = w.sum()
+            rate = np.clip((w @ v + lean) / (total + 2 * lean + 1), 1e-5, 0.999)
+            rates.append(rate)
+            log = np.zeros(len(v))
+            for j in range(n):
+                if up[j] < 0:
+                    p = np.full(len(v), rate[j])
+                else:
+                    above = v[:, up[j]]
+                    given = [((w * m) @ v[:, j] + LEAN * rate[j]) / ((w * m).sum() + LEAN) for m in (1 - above, above)]
+                    p = np.clip(np.where(above > 0, given[1], given[0]), 1e-5, 1 - 1e-5)
+                    together[j] += (given[1] - given[0]) * total / count.sum()
+                log += np.where(v[:, j] > 0, np.log(p), np.log(1 - p))
+            logs.append(log)
+        logit = np.log(prior / (1 - prior)) + logs[0] - logs[1]
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, np.stack([r1, r0, share])
+    return post, {"toxic": rates[0], "clean": rates[1], "parent": np.array(up), "with_parent": together}
+
+
+def _mask(v: np.ndarray) -> np.ndarray:
+    return v.astype(np.int64) @ (1 << np.arange(v.shape[1], dtype=np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS, bits: int = BITS) -> dict[str, np.ndarray]:
-    """The model: weights of the linear classifier, and the voters' rates."""
-
-    def fit(_, texts, y):
-        out = io.BytesIO()
-        slices = list(token_slices(texts, True, STEMS))
-        if not len(y):
-            np.savez(out, feature=np.zeros(0, np.int64), weight=np.zeros(1), voters=np.zeros((3, 0)))
-            return out.getvalue()
-        h = np.concatenate([s[1] for s in slices])
-        w = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s[2]) for s in slices]))])
-        del slices  # the hashes are the largest thing here; one copy is enough
-        seeds = [hash_words(x, TOKEN_CLASS) for x in LEXICONS.values()]
-        v = votes(h, w, [*seeds, *mine(h, w, y)])
-        post, voters = label_model(v, prior=min(0.5, max(0.005, y.mean())))
-        starts, index = [np.zeros(1, np.int64)], []
-        for i in range(0, len(y), 256):  # a few texts at a time: all occurrences at once would take a gigabyte
-            own_w = w[i : i + 257]
-            flat, row = present(h[own_w[0] : own_w[-1]], own_w - own_w[0])
-            s, f, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, len(own_w) - 1)
-            starts.append(s[1:] + starts[-1][-1])
-            index.append(f.astype(np.int32))
-        starts, index = np.concatenate(starts), np.concatenate(index)
-        weights = Ftrl(bits, alpha=0.5, l1=1.0, l2=0.01, epochs=5).fit(starts, index, np.ones(len(index), np.float32), post)
-        feature = np.flatnonzero(weights[:-1])
-        np.savez(out, feature=feature, weight=weights[[*feature, -1]], voters=voters)
-        return out.getvalue()
-
-    got = np.load(io.BytesIO(fit_in_one_task(training_rows(docs, labels, label, most_rows), fit)))
-    return {k: got[k] for k in got.files}
-
-
-def _dense(model: dict[str, np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((1 << bits) + 1, np.float32)
-    out[model["feature"]], out[-1] = model["weight"][:-1], model["weight"][-1]
-    return out
+    """Weights of the linear classifier.
+
+    Votes and features of the sample are made in many tasks. What comes home is how many
+    documents have each pattern of votes; the label model is fitted on that.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    sample = scratch.save(bounded_sample(docs, labelled(labels, label, most_rows), most_rows), "sample")
+    shared = spark.sparkContext.broadcast(mine(sample))
+
+    def featured(b: pa.RecordBatch, h: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+        flat, row = present(h, w)
+        starts, f, _ = sparse((flat >> np.uint64(64 - bits)).astype(np.int64), row, bits, b.num_rows)
+        return [b.column("place"), b.column("y"), pa.array(_mask(votes(h, w, shared.value))), lists(starts, f.astype(np.int32), pa.int32())]
+
+    rows = scratch.save(_over_texts(sample, ("place", "y"), "place int, y int, votes long, index array<int>", featured), "features")
+    seen = rows.groupBy("votes").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).orderBy("votes").collect()  # at most a row for each document of the sample
+    mask, n = np.array([r["votes"] for r in seen], np.int64), np.array([r["n"] for r in seen], float)
+    share = min(0.5, max(0.005, sum(r["bad"] for r in seen) / max(1, n.sum())))
+    post = label_model((mask[:, None] >> np.arange(len(VOTERS))) & 1, share, n)[0] if len(mask) else mask
+    judged = spark.createDataFrame([(int(m), float(p)) for m, p in zip(mask, post)], "votes long, p double")
+    return learn(rows.join(F.broadcast(judged), "votes").select("place", F.col("p").alias("y"), "index"), Ftrl(bits, alpha=0.5, l1=1.0, l2=0.01, epochs=5))
 
 
 def scorer(model: dict[str, np.ndarray], bits: int = BITS):
     """A function of an Arrow text column: probability that each text is toxic, over its whole length."""
-    weights = _dense(model, bits)
+    weights = dense(model, bits)
 
     def run(texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -225,8 +283,10 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], bits: int = BITS, keep:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    Null text is empty text; a null id is not held out; repeated rows are scored each. With
-    no labelled rows every score is 0.5. Other columns, lang and source among them, are ignored.
+    Null text is empty text; a null id is not held out; repeated rows are scored each, and equal
+    texts get equal scores. Very long texts are scored whole, a slice at a time; those of over
+    LONGEST bytes take no part in the training. An empty table gives no rows; with no labelled
+    rows every score is 0.5. Other columns, lang and source among them, are ignored.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
