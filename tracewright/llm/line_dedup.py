@@ -19,6 +19,7 @@ from .common import WHITESPACE, Scratch, ascii_lower, parallelism
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
+HEAVY = 1024  # keys that hold over one in so many of all lines: fewer than so many keys, whatever the input
 HASH = ["h1", "h2"]
 
 
@@ -98,6 +99,11 @@ class LineRuns:
             self._forget(old)
         return self._merged(self.runs).where(F.col("n_docs") >= self.min_docs)
 
+    def drop(self) -> None:
+        """Forget all runs."""
+        self._forget(self.runs)
+        self.levels = []
+
 
 def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
     """The documents in n ranges of ids, the largest ids first; null ids go with the smallest."""
@@ -116,8 +122,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A line whose key at least `min_docs` documents hold stays only in the document with the
     largest id that holds it (there, all its copies stay). Rows that share an id count as one
     document but are returned one by one; all rows without an id count as one document, with
-    an id below any other. Null and empty text is one empty line. Other columns are ignored.
-    An empty table gives no rows.
+    an id below any other. Null and empty text is one empty line; of very long texts every
+    line counts. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
@@ -125,13 +131,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     for part in _batches(docs, batches):
         runs.add(line_keys(part, min_chars).select("doc_id", *HASH).distinct())  # a document holds a key once
     hot = runs.compact()
+    # Lines of the few heaviest keys find them by broadcast. They go through the join below with keys
+    # that match nothing and differ from line to line, so that no task gets all lines of a key.
+    total = hot.agg(F.sum("n_docs")).first()[0] or 0
+    heavy = hot.where(F.col("n_docs") * HEAVY > total).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("max_doc").alias("top"))
     lines = line_keys(docs, min_chars)
+    lines = lines.join(F.broadcast(heavy), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    spread = F.when(F.col("top").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "body", "pos"))
+    lines = lines.select("doc_id", "body", "pos", "top", spread.alias("h1"), F.when(F.col("top").isNull(), F.col("h2")).alias("h2"))
+    last = F.coalesce("top", "max_doc")
     gone = (
-        lines.join(hot, HASH)
-        .where(F.col("max_doc").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("max_doc"))))
+        lines.join(hot, HASH, "left")
+        .where(last.isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < last)))
         .groupBy("doc_id", "body")
         .agg(F.collect_set("pos").alias("gone"))
     )
+    gone = runs.scratch.save(gone, "gone")
+    runs.drop()
     whole = docs.withColumn("body", F.xxhash64("text")).alias("d")
     joined = whole.join(
         gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.body") == F.col("g.body")), "left"
