@@ -11,9 +11,10 @@ they differ in at most k elements. The feature domain is hashed into partitions:
   empty pair may leave that out.
 * k = 0: equal sets only, which are one class already.
 
-Equal sets are collapsed first. Each document meets the smallest members of its buckets, and
-is compared with the one that it meets most often. Then only pairs in one bucket whose
-members are not yet connected remain. Sizes and sketches rule most of them out for certain,
+Equal sets are collapsed first. In a few rounds each document meets the hubs of its buckets, and
+is compared with the one that it meets most often: that joins large groups of near copies with
+as many comparisons as documents. Then only pairs in one bucket whose members are not yet
+connected remain. Sizes and sketches rule most of them out for certain,
 and all others are verified on the sets themselves: no link between different components is
 lost, and pairs inside a component need no check.
 """
@@ -33,7 +34,7 @@ from .common import Scratch, mix, text_buffer, words
 from .components import components
 
 NGRAM, NUM, DEN = 3, 90, 100
-EXTRA, SHARES = 1, 4
+EXTRA, SHARES, ROUNDS = 1, 4, 4
 BROADCAST_IDS = 500_000  # ids of 8 bytes; beyond it, a shuffle join
 _U = np.uint64
 
@@ -177,7 +178,7 @@ def _may_match(n: tuple[str, str], k: tuple[str, str], num: int, den: int):
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * bins <= (den - num) * (na + nb))
 
 
-SHORT_BITS = 512
+SHORT_BITS = 1024
 
 
 def short_sketch(s: np.ndarray) -> np.ndarray:
@@ -240,6 +241,21 @@ def summaries(placed: DataFrame, of: DataFrame, scratch: Scratch) -> DataFrame:
     return ranges.join(first.withColumnRenamed("_k8", "k8"), "c")
 
 
+def meetings(members: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components: for each document at most one, the hub that it
+    meets most often. A bucket's hub is its member with the most crowded buckets, in later turns a random one.
+
+    members: sig, doc_id, crowd. Pairs are as many as documents at most, whatever the size of buckets.
+    """
+    weight = F.struct(F.col("crowd"), -F.col("doc_id")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "doc_id"), -F.col("doc_id"))
+    rows = members.join(placed, "doc_id")
+    hubs = rows.groupBy("sig").agg(F.max_by(F.struct("doc_id", "c"), weight).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    met = rows.join(hubs.select("sig", F.col("hub.doc_id").alias("hub"), F.col("hub.c").alias("_c")), "sig").where("c <> _c")
+    often = met.groupBy("doc_id", "hub").agg(F.count("*").alias("times"))
+    best = often.groupBy("doc_id").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
+    return best.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+
 def crossing(buckets: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of components (ca, cb) of one bucket, of which some members may match; ca is the smaller one.
 
@@ -313,23 +329,28 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
         scratch.free_shuffles()
     scratch.drop(base)
     met = reduce(DataFrame.unionAll, shares)
-    centers = met.groupBy("sig").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top")).where("center <> top")
-    members = scratch.save(met.join(centers.select("sig", "center"), "sig"), "members")
-
-    of = scratch.save(sketches(only(docs, scratch.save(members.select("doc_id").distinct(), "ids")), n, num, den), "sketches")
+    several = met.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.save(met.join(several, "sig"), "members")
+    # How crowded a document's buckets are. Of near copies, the one with the fewest changes of its own has the most.
+    crowds = members.groupBy("doc_id").agg(F.sum("n").alias("crowd"))
+    of = scratch.save(sketches(only(docs, scratch.save(crowds.select("doc_id"), "ids")), n, num, den), "sketches")
+    members = scratch.save(members.drop("n").join(crowds, "doc_id"), "members")
 
     def check(pairs: DataFrame) -> DataFrame:
         own = scratch.save(sets(only(docs, scratch.save(ends(pairs), "ids")), n), "sets")
         return scratch.save(verified(pairs, own, num, den), "links")
 
-    # One pair for each document: the center that it meets most often, if that may match.
-    often = members.where("doc_id <> center").groupBy("doc_id", "center").agg(F.count("*").alias("times"))
-    best = often.groupBy("doc_id").agg(F.max_by("center", F.struct("times", -F.col("center"))).alias("a"))
-    first = scratch.save(plausible(best.select("a", F.col("doc_id").alias("b")), of, num, den), "pairs")
-    links = check(first)
-    found = components(links, scratch)
-    named = found.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "c")
-    placed = scratch.save(of.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("c")), "placed")
+    # Rounds of one pair for each document at most. What they link needs no more checks inside.
+    placed = of.select("doc_id", F.col("doc_id").alias("c"))
+    tried = links = spark.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS):
+        pairs = scratch.save(plausible(meetings(members, placed, turn).join(tried, ["a", "b"], "left_anti"), of, num, den), "pairs")
+        if pairs.isEmpty():
+            break
+        tried, links = tried.unionAll(pairs), links.unionAll(check(pairs))
+        named = components(links, scratch).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "c")
+        placed = scratch.save(of.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("c", "doc_id").alias("c")), "placed")
+        scratch.free_shuffles()
     buckets = members.select("sig", "doc_id").join(placed, "doc_id").select("sig", "c").distinct()
     mixed = buckets.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
     buckets = scratch.save(buckets.join(mixed, "sig", "left_semi"), "buckets")
@@ -342,7 +363,7 @@ def link(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int = DEN) -> tup
     shares = []
     for share in range(SHARES):
         own = crossed.where(F.pmod(F.xxhash64("ca", "cb"), F.lit(SHARES)) == share)
-        shares.append(scratch.save(members_of(own, placed, of, num, den).join(first, ["a", "b"], "left_anti"), "pairs"))
+        shares.append(scratch.save(members_of(own, placed, of, num, den).join(tried, ["a", "b"], "left_anti"), "pairs"))
         scratch.free_shuffles()
     rest = check(reduce(DataFrame.unionAll, shares))
 
