@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from tracewright.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
@@ -17,8 +19,39 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.tiktoken")
 
 
+LIBRARY = tiktoken.Encoding("library", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
+
+
 def reference(text):
-    return byte_bpe.encoder(PATH, P.PATTERN).encode_ordinary(text or "")
+    return LIBRARY.encode_ordinary(text or "")
+
+
+def plain_merge(piece, ranks):
+    """Every pair is looked at before each merge."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merging_equals_plain_code(monkeypatch):
+    rng, ranks = random.Random(3), byte_bpe.load_ranks(PATH)
+    pieces = [bytes(rng.choice(b"aehinort ") for _ in range(rng.randint(1, 40))) for _ in range(300)] + ["é漢🙂".encode(), b"\xff\x00a", b"aaaaaaa"]
+    for long in (128, 0):
+        monkeypatch.setattr(byte_bpe, "LONG_PIECE", long)
+        assert all(byte_bpe.merge(p, ranks) == ([ranks[p]] if p in ranks else plain_merge(p, ranks)) for p in pieces)
+
+
+def test_ordinary_documents_cross_seams():
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    cut = [list(byte_bpe.windows_of(len(t), byte_bpe.WINDOW, byte_bpe.OVERLAP)) for (t,) in texts]
+    assert sum(len(c) > 1 for c in cut) > 0.8 * len(texts)
+    stitched = [byte_bpe.stitch([byte_bpe.encode_window(t[a:b], a, last, byte_bpe.OVERLAP, PATH, P.PATTERN) for a, b, last in c]) for (t,), c in zip(texts[:200], cut)]
+    met = [i for i, ids in enumerate(stitched) if ids is not None]
+    assert len(met) > 0.95 * 200 and all(stitched[i] == np.array(reference(texts[i][0]), "<u4").tobytes() for i in met)
 
 
 def test_encoding_equals_the_library(documents):
@@ -27,8 +60,8 @@ def test_encoding_equals_the_library(documents):
     rows = [(i, junk(rng.randint(0, 300))) for i in range(60)] + [(100 + i, prose(rng, 200)) for i in range(10)]
     rows += [(200, None), (201, ""), (202, "a" * 5_000), (203, " " * 3_000), (204, "x y " * 2_000), (None, "no id"), (None, "no id, and long " * 40), (1, rows[1][1]), (205, junk(4_000)), (205, junk(4_000)), (206, rows[-1][1]), (206, rows[-1][1])]
     wanted = sorted((str(i), hashlib.sha256(np.array(reference(t), "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
-    for window, overlap in ((65_536, 512), (100, 24), (40, 8)):
-        got = byte_bpe.digests(byte_bpe.encode(documents(rows), PATH, P.PATTERN, window, overlap), PATH, P.PATTERN).collect()
+    for window, overlap, spread in ((512, 64, 1 << 18), (100, 24, 150), (40, 12, 0)):
+        got = byte_bpe.digests(byte_bpe.encode(documents(rows), PATH, P.PATTERN, window, overlap, spread), PATH).collect()
         assert sorted((str(r["doc_id"]), r["ids_sha256"], r["decoded_sha256"]) for r in got) == wanted, window
     assert byte_bpe.encode(documents(rows).where("false"), PATH, P.PATTERN).count() == 0
 

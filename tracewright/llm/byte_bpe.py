@@ -1,12 +1,14 @@
 """Byte-level BPE by overlapping chunks.
 
-Long texts are cut into windows that overlap. Windows are pre-tokenised in parallel, each
-from its own left edge. Two neighbours are stitched at the first position of their overlap
-where both have a pre-token boundary: the pattern never looks behind, so from there on both
-give the same pre-tokens. The pieces between stitches are encoded, and their ids joined in
-order. A text with a seam where no boundary resynchronises (a run longer than the overlap)
-is encoded whole. Texts up to one window long need no seam. Decoding concatenates the
-tokens' raw bytes.
+Texts are cut into short windows that overlap. Each window is pre-tokenised on its own, from its
+own left edge, and its pre-tokens are encoded by merging bytes. Two neighbours are stitched at the
+first position of their overlap where both have a pre-token boundary: the pattern never looks
+behind, so from there on both give the same pre-tokens, and no id depends on where windows lie.
+Where no boundary resynchronises (a run longer than the overlap) the text is cut anew, into
+windows and overlaps eight times as long. Decoding concatenates the tokens' raw bytes.
+
+The windows of texts of over SPREAD code points are dealt out to many tasks and meet again as
+ids; those of other texts stay in the task that has the text. The steps are the same.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, OVERLAP = 65_536, 512  # code points
+from .common import small_batches
+
+WINDOW, OVERLAP = 512, 64  # code points
+GROWTH, SPREAD = 8, 1 << 18
+LOOK = 4  # more characters than the pattern looks at beyond a pre-token
+CACHED, CACHED_CHARS = 1 << 17, 64  # pre-tokens whose ids a task keeps, and the longest of them
+LONG_PIECE, _NONE = 128, 1 << 62
 
 
 @lru_cache(maxsize=4)
@@ -32,10 +43,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str):
-    import tiktoken
-
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in load_ranks(path).items()}
 
 
 @lru_cache(maxsize=4)
@@ -50,129 +59,206 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in _pretokens(pattern).finditer(text)]
 
 
-def encode_piece(text: str, path: str, pattern: str) -> np.ndarray:
-    """Ids of a text that starts at a pre-token boundary."""
-    enc = encoder(path, pattern)
-    try:
-        ids = enc.encode_ordinary(text)
-    except BaseException as e:  # the library's matcher gives up on runs of about a million blanks
-        if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
-            raise
-        ids = [i for m in _pretokens(pattern).finditer(text) for i in enc._core_bpe.encode_single_piece(m[0].encode())]
-    return np.array(ids, dtype="<u4")
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one pre-token: of all neighbours the pair of the lowest rank is joined, the leftmost first, until none has a rank."""
+    if (whole := ranks.get(piece)) is not None:
+        return [whole]
+    if len(piece) > LONG_PIECE:
+        return _merge_long(piece, ranks)
+    get, ends = ranks.get, list(range(1, len(piece) + 1))
+    pairs = [get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) < _NONE:
+        i = pairs.index(low)
+        del ends[i], pairs[i]
+        start, end = ends[i - 1] if i else 0, ends[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[start : ends[i + 1]], _NONE)
+        if i:
+            pairs[i - 1] = get(piece[ends[i - 2] if i > 1 else 0 : end], _NONE)
+    return [ranks[piece[i:j]] for i, j in zip([0, *ends], ends)]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap of pairs, for pieces of any length."""
+    n = len(piece)
+    after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
+    left = [(rank, i) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+    heapify(left)
+    while left:
+        rank, i = heappop(left)
+        if gone[i] or (j := after[i]) >= n or ranks.get(piece[i : after[j]]) != rank:
+            continue  # one of the pair has been joined with another since
+        gone[j], end = 1, after[j]
+        after[i] = end
+        if end < n:
+            before[end] = i
+            if (new := ranks.get(piece[i : after[end]])) is not None:
+                heappush(left, (new, i))
+        if (k := before[i]) >= 0 and (new := ranks.get(piece[k:end])) is not None:
+            heappush(left, (new, k))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return out
+
+
+class _Encoded(dict):
+    """Pre-token to its ids, as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.ranks = load_ranks(path)
+
+    def __missing__(self, piece: str) -> bytes:
+        found = merge(piece.encode(), self.ranks)
+        ids = pack(f"<{len(found)}I", *found)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
 
+@lru_cache(maxsize=4)
+def _encoded(path: str) -> _Encoded:
+    return _Encoded(path)
 
-def decode(ids: np.ndarray, path: str, pattern: str) -> bytes:
-    return encoder(path, pattern).decode_bytes(ids.tolist())
 
+class Chunk(NamedTuple):
+    """A window's ids, and where pre-tokens end in its overlaps: positions in the text, and the bytes of ids up to there."""
 
-_ENCODED = "doc_id long, body long, n_chars long, ids binary"
-_WINDOWS = "doc_id long, body long, k int, last int, at long, text string, left array<long>, right array<long>"
+    head: list[int]
+    head_at: list[int]
+    tail: list[int]
+    tail_at: list[int]
+    ids: bytes
 
 
-def _windows_of(text: str, window: int, overlap: int) -> Iterator[tuple[int, int, int]]:
-    """k, start and end of each window; neighbours share `overlap` code points."""
-    n = max(1, -(-(len(text) - overlap) // (window - overlap)))
+def windows_of(length: int, window: int, overlap: int) -> Iterator[tuple[int, int, bool]]:
+    """Start, end, and whether it is the last, of each window; neighbours share `overlap` code points, at most half a window."""
+    n = max(1, -(-(length - overlap) // (window - overlap)))
     for k in range(n):
         at = k * (window - overlap)
-        yield k, at, min(len(text), at + window)
+        yield at, min(length, at + window), k == n - 1
+
+
+def encode_window(text: str, at: int, last: bool, overlap: int, path: str, pattern: str) -> Chunk:
+    """Pre-tokenise and encode one window, which starts at `at` of its text.
+
+    A boundary less than LOOK characters from a window's right edge may be none in the whole text.
+    """
+    found = _pretokens(pattern).findall(text)
+    coded = list(map(_encoded(path).__getitem__, found))
+    ids, end = b"".join(coded), at + len(text)
+    head, head_at, pos, size = [at], [0], at, 0
+    for piece, code in zip(found, coded):
+        pos, size = pos + len(piece), size + len(code)
+        if pos > at + overlap:
+            break
+        head.append(pos), head_at.append(size)
+    tail, tail_at, pos, size = [], [], end, len(ids)
+    for piece, code in zip(reversed(found), reversed(coded)):
+        if last or pos < end - overlap:
+            break
+        if pos <= end - LOOK:
+            tail.append(pos), tail_at.append(size)
+        pos, size = pos - len(piece), size - len(code)
+    return Chunk(head, head_at, tail, tail_at, ids)
+
+
+def stitch(chunks: list[Chunk]) -> bytes | None:
+    """The ids of a text from its windows' ids; None if two neighbours have no boundary in common."""
+    parts, start = [], 0
+    for one, other in zip(chunks, chunks[1:]):
+        shared = set(one.tail) & set(other.head)
+        if not shared:
+            return None
+        seam = min(shared)
+        parts.append(one.ids[start : one.tail_at[one.tail.index(seam)]])
+        start = other.head_at[other.head.index(seam)]
+    return b"".join([*parts, chunks[-1].ids[start:]])
+
+
+def encode_text(text: str, path: str, pattern: str, window: int = WINDOW, overlap: int = OVERLAP) -> bytes:
+    """Ids of a text by windows; where two don't meet, by larger ones."""
+    while True:
+        ids = stitch([encode_window(text[at:end], at, last, overlap, path, pattern) for at, end, last in windows_of(len(text), window, overlap)])
+        if ids is not None:
+            return ids
+        window, overlap = GROWTH * window, GROWTH * overlap
+
+
+def decode(ids: np.ndarray, path: str) -> bytes:
+    return b"".join(map(_tokens(path).__getitem__, ids.tolist()))
+
+
+_ENCODED = "doc_id long, body long, n_chars long, ids binary"
+_CHUNKS = "head array<long>, head_at array<long>, tail array<long>, tail_at array<long>, ids binary"
+_KINDS = (pa.list_(pa.int64()),) * 4 + (pa.binary(),)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """doc_id, body (hash of the text), n_chars and ids (little-endian unsigned 32-bit) for each row.
 
-    Null text is empty text; it has no ids. Rows that share an id are encoded each; equal
-    long rows (same id and text) are encoded once and returned as often as they came. Other
-    columns are ignored.
+    Null text is empty text; it has no ids. Rows that share an id are encoded each; equal rows of
+    very long texts (same id and text) are encoded once and returned as often as they came. Other
+    columns are ignored. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = docs.where(F.char_length("text") <= window)
-    long = docs.where(F.char_length("text") > window)
+    body = F.xxhash64("text").alias("body")
 
-    def whole(batches):
+    def whole(batches, window=window, overlap=overlap):
         for b in batches:
             texts = b.column("text")
-            ids = [encode_piece(t.as_py(), path, pattern).tobytes() for t in texts]
+            ids = [encode_text(t.as_py(), path, pattern, window, overlap) for t in texts]
             lengths = pc.utf8_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("body"), lengths, pa.array(ids, pa.binary())], ["doc_id", "body", "n_chars", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body"), lengths, pa.array(ids, pa.binary())], ["doc_id", "body", "n_chars", "ids"])
 
     def cut(batches):
         for b in batches:
-            for doc, body, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), b.column("text")):
+            for doc, own, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), b.column("text")):
                 text = text.as_py()
-                last = max(k for k, _, _ in _windows_of(text, window, overlap))
-                rows = [(doc, body, k, last, at, text[at:end]) for k, at, end in _windows_of(text, window, overlap)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()))],
-                    ["doc_id", "body", "k", "last", "at", "text"],
-                )
-
-    def seams(batches):
-        """Boundaries inside the overlaps. A window's last pre-token may be cut short, so its end is no
-        boundary. Blanks look ahead: a piece that ends with them would be split otherwise alone than
-        in its text, so no seam comes after a blank."""
+                rows = list(windows_of(len(text), window, overlap))
+                for i in range(0, len(rows), 1024):
+                    at, ends, last = zip(*rows[i : i + 1024])
+                    n = len(at)
+                    columns = [pa.array([doc] * n, pa.int64()), pa.array([own] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(last), pa.array([text[x:y] for x, y in zip(at, ends)], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "at", "last", "text"])
+
+    def chunks(batches):
         for b in batches:
-            left, right = [], []
-            for at, text in zip(b.column("at").to_pylist(), b.column("text")):
-                text = text.as_py()
-                ends = np.array([0, *boundaries(text, pattern)][:-1], np.int64)
-                left.append(ends[ends <= overlap] + at)
-                right.append(np.array([e + at for e in ends[ends >= len(text) - overlap] if e and not text[e - 1].isspace()], np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], [*b.schema.names, "left", "right"]
-            )
+            made = [encode_window(t, at, last, overlap, path, pattern) for t, at, last in zip(*(b.column(c).to_pylist() for c in ("text", "at", "last")))]
+            columns = [pa.array([c[i] for c in made], kind) for i, kind in enumerate(_KINDS)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "body", "at")), *columns], ["doc_id", "body", "at", *Chunk._fields])
 
     def stitched(batches):
         for b in batches:
-            ids = []
-            for at, text, start, stop in zip(*(b.column(c).to_pylist() for c in ("at", "text", "start", "stop"))):
-                ids.append(encode_piece(text[start - at : stop - at if stop is not None else None], path, pattern).tobytes())
-            keep = [b.column(c) for c in ("doc_id", "body", "k")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.binary())], ["doc_id", "body", "k", "ids"])
+            ids = [stitch([Chunk(*(c[f] for f in Chunk._fields)) for c in own.as_py()]) for own in b.column("c")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body"), pa.array(ids, pa.binary())], ["doc_id", "body", "ids"])
 
-    body = F.xxhash64("text").alias("body")
-    one = short.select("doc_id", body, "text").mapInArrow(whole, _ENCODED)
-
-    copies = long.groupBy("doc_id", body).agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("n_chars", F.char_length("text").cast("long"))
-    windows = copies.select("doc_id", "body", "text").mapInArrow(cut, "doc_id long, body long, k int, last int, at long, text string")
-    windows = windows.repartition("doc_id", "body", "k").mapInArrow(seams, _WINDOWS)
-    key = ["doc_id", "body", "k"]
-    after = windows.select("doc_id", "body", (F.col("k") - 1).alias("k"), F.col("left").alias("next_left"))
-    before = windows.select("doc_id", "body", (F.col("k") + 1).alias("k"), F.col("right").alias("last_right"))
-    seam = lambda a, b: F.array_min(F.array_intersect(a, b))
-
-    def met(x, y):
-        return F.col(f"w.{x}").eqNullSafe(F.col(f"{y}.{x}"))
-
-    joined = (
-        windows.alias("w")
-        .join(after.alias("a"), [met(c, "a") for c in key], "left")
-        .join(before.alias("b"), [met(c, "b") for c in key], "left")
-        .select(
-            *(f"w.{c}" for c in [*key, "last", "at", "text"]),
-            F.when(F.col("w.k") == 0, F.lit(0).cast("long")).otherwise(seam(F.col("w.left"), F.col("b.last_right"))).alias("start"),
-            seam(F.col("w.right"), F.col("a.next_left")).alias("stop"),
-        )
-    )
-    broken = F.col("start").isNull() | (F.col("stop").isNull() & (F.col("k") < F.col("last"))) | (F.col("stop") < F.col("start"))
-    unseamed = joined.where(broken).select("doc_id", "body").distinct()
-
-    def of(x, y):
-        return [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "body")]
-
-    parts = joined.alias("x").join(unseamed.alias("y"), of("x", "y"), "left_anti").mapInArrow(stitched, "doc_id long, body long, k int, ids binary")
-    joined_ids = parts.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    joined_ids = joined_ids.select("doc_id", "body", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
-    rest = copies.alias("x").join(unseamed.alias("y"), of("x", "y"), "left_semi").select("doc_id", "body", "text").mapInArrow(whole, _ENCODED)
-    many = joined_ids.unionByName(rest.select("doc_id", "body", "ids"))
-    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    many = each.alias("x").join(many.alias("y"), of("x", "y")).select("x.doc_id", "x.body", "x.n_chars", "y.ids")
-    return one.unionByName(many)
-
-
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    one = docs.where(F.char_length("text") <= spread).select("doc_id", body, "text").mapInArrow(whole, _ENCODED)
+
+    long = docs.where(F.char_length("text") > spread).groupBy("doc_id", body).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    windows = long.select("doc_id", "body", "text").mapInArrow(cut, "doc_id long, body long, at long, last boolean, text string")
+    dealt = windows.repartition(F.xxhash64("doc_id", "body", "at")).mapInArrow(chunks, f"doc_id long, body long, at long, {_CHUNKS}")
+    own = dealt.groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("at", *Chunk._fields))).alias("c"))
+    met = own.mapInArrow(stitched, "doc_id long, body long, ids binary")
+
+    def same(x: str, y: str):
+        return [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in ("doc_id", "body")]
+
+    larger = lambda batches: whole(batches, GROWTH * window, GROWTH * overlap)
+    each = long.alias("x").join(met.alias("y"), same("x", "y")).select("x.*", "y.ids")
+    good = each.where("ids IS NOT NULL").select("doc_id", "body", F.char_length("text").cast("long").alias("n_chars"), "ids", "copies")
+    broken = each.where("ids IS NULL")
+    again = broken.select("doc_id", "body", F.explode(F.array_repeat("text", F.col("copies").cast("int"))).alias("text")).mapInArrow(larger, _ENCODED)
+    many = good.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "body", "n_chars", "ids")
+    return one.unionByName(many).unionByName(again)
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 from the ids alone."""
 
     def read(batches):
@@ -180,7 +266,7 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = []
             for ids in b.column("ids"):
                 raw = ids.as_py()
-                back = decode(np.frombuffer(raw, "<u4"), path, pattern)
+                back = decode(np.frombuffer(raw, "<u4"), path)
                 rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, a, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -73,7 +73,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("body")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,24 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT link.b, reach.root FROM reach JOIN link ON reach.id = link.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(root) FROM reach WHERE reach.id = s.doc_id) AS component_id FROM s
+"""
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -129,7 +147,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,4 +161,4 @@ QUERIES = {
         op6_ngram_join, op7_embedding_dedup, op8_ann, op9_byte_bpe, op10_toxicity,
     )
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op8_ann": OP8_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_ann": OP8_SQL}
