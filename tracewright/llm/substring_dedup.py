@@ -4,9 +4,10 @@ The rolling hash of a position depends on the last 32 bytes only, and a position
 if its hash is small, and if no other such position lies within the last MIN_CHUNK bytes.
 So cuts follow the content: text inserted before a passage does not shift the cuts inside it.
 The bytes before each cut are compared by digest over all documents, and the document with the
-smallest id keeps them. Where another holds them too, both texts are compared byte by byte
-around the cut; what is equal and at least MIN_SPAN bytes long is a repeat, and repeats that
-touch make a span.
+smallest id keeps them. Cuts of a text that one other text holds at one shift, each within reach
+of the next, are a run. The first of them is compared byte by byte and so is what comes before
+and after the run, as far as both texts agree; those between need equal digests at that very
+shift. What is at least MIN_SPAN bytes long is a repeat, and repeats that touch make a span.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import LONG_WORD, Scratch, _BYTE, _powers, mix, text_buffer
 
 MEAN_CHUNK, MIN_CHUNK, MIN_SPAN = 24, 8, 96  # bytes
 WINDOW, SEGMENT = 32, 1 << 20
+REACH, PAD = 256, 4  # bytes compared beyond a run's ends, and bytes of the run before its end (a character's length)
+BROADCAST_IDS = 500_000  # ids of 8 bytes; beyond it, a shuffle join
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
 
 
@@ -32,18 +35,15 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, mean: int = MEAN_CHUNK, least: int = MIN_CHUNK) -> np.ndarray:
-    """Ends of the chunks of one text. Texts over SEGMENT bytes are also cut at each multiple of it."""
+    """Ends of the chunks of one text. Slices of SEGMENT bytes only bound the memory; no cut depends on them."""
     found = []
     for at in range(0, len(data), SEGMENT):
         before = min(at, WINDOW)
-        h = gear(data[at - before : at + SEGMENT])[before:]
-        p = np.flatnonzero(h < np.uint32((1 << 32) // mean)) + at + 1
-        found += [p, [min(at + SEGMENT, len(data))]]
-    p = np.unique(np.concatenate(found).astype(np.int64)) if found else np.zeros(0, np.int64)
+        found.append(np.flatnonzero(gear(data[at - before : at + SEGMENT])[before:] < np.uint32((1 << 32) // mean)) + at + 1)
+    p = np.unique(np.append(np.concatenate(found), len(data)).astype(np.int64)) if found else np.zeros(0, np.int64)
     keep = np.diff(p, prepend=-least) >= least
     if len(p):
         keep[-1] = True
-        keep |= p % SEGMENT == 0
     return p[keep]
 
 
@@ -79,64 +79,71 @@ def before(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def marks(docs: DataFrame, mean: int, least: int, size: int) -> DataFrame:
-    """doc_id, digest (of the `size` bytes before the cut), at, back and ahead (bytes to the cuts
-    around it) for each cut of each text."""
+def marks(texts: DataFrame, mean: int, least: int, size: int) -> DataFrame:
+    """digest (of the `size` bytes before a cut), doc_id, t, at for each cut of each text; of cuts of one text with equal digests the first."""
 
     def run(batches):
         for b in batches:
             for r in range(0, b.num_rows, 128):
                 part = b.slice(r, 128)
                 data, offsets = text_buffer(part.column("text"))
-                ids, h, at, back, ahead = [], [], [], [], []
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
+                ids, own_t, h, at = [], [], [], []
+                for i, (doc, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("t").to_pylist())):
                     own = data[offsets[i] : offsets[i + 1]]
                     ends = cuts(own, mean, least)
-                    gaps = np.diff(ends, prepend=0, append=len(own))
-                    keep = ends >= size
-                    ids.append(np.full(int(keep.sum()), doc, np.int64))
-                    h.append(before(own, ends[keep], size).view(np.int64))
-                    at.append(ends[keep].astype(np.int32))
-                    back.append(gaps[:-1][keep].astype(np.int32)), ahead.append(gaps[1:][keep].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, h, at, back, ahead)], ["doc_id", "digest", "at", "back", "ahead"])
+                    ends = ends[ends >= size]
+                    digest, first = np.unique(before(own, ends, size), return_index=True)
+                    h.append(digest.view(np.int64)), at.append(ends[first].astype(np.int32))
+                    ids.append(np.full(len(digest), doc, np.int64)), own_t.append(np.full(len(digest), t, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, ids, own_t, at)], ["digest", "doc_id", "t", "at"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, digest long, at int, back int, ahead int")
+    return texts.select("doc_id", "t", "text").mapInArrow(run, "digest long, doc_id long, t long, at int")
 
 
-def _contexts(size: int, least: int):
-    """The bytes around each mark of a text. A passage through the mark ends before the next cuts
-    that are no marks, so they reach that far and enough for `least` bytes; between two marks with
-    one first document, they reach so far that their stretches overlap."""
-    kinds = "doc_id long, digest long, first_doc long, at int, lead binary, tail binary"
-    most = 4096
+RUNS = "doc_id long, t long, first_doc long, first_t long, shift int, start int, end int"
+
+
+def _runs(size: int):
+    """Marks of a text that one other text holds at one shift, and of which each covers bytes up to the one before: a run."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, t, found in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("c")):
+                at, first, first_t, first_at = (found.values.field(k).to_numpy() for k in ("at", "first_doc", "first_t", "first_at"))
+                other = first != doc
+                at, first, first_t, shift = at[other], first[other], first_t[other], (first_at - at)[other]
+                order = np.lexsort((at, shift, first_t, first))
+                at, first, first_t, shift = at[order], first[order], first_t[order], shift[order]
+                same = (first[1:] == first[:-1]) & (first_t[1:] == first_t[:-1]) & (shift[1:] == shift[:-1]) & (np.diff(at) <= size)
+                starts, ends = np.flatnonzero(np.append(True, ~same)[: len(at)]), np.flatnonzero(np.append(~same, True)[: len(at)])
+                rows += zip([doc] * len(starts), [t] * len(starts), *(x[starts].tolist() for x in (first, first_t, shift, at)), at[ends].tolist())
+            yield _batch(rows, RUNS)
+
+    return run
+
+
+CONTEXTS = "doc_id long, t long, at int, side int, body long, bytes binary"
+
+
+def _contexts(size: int):
+    """The bytes around the ends of runs: before and in a run's first mark (side 0), and after its last one (side 1)."""
 
     def run(batches):
         for b in batches:
-            rows, held = [], 0
-            for doc, text, found in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("c")):
-                raw, c = text.as_py().encode(), found.values
-                digest, first, at, back, ahead = (c.field(k).to_numpy() for k in ("digest", "first_doc", "at", "back", "ahead"))
-                fits = np.flatnonzero(at <= len(raw))
-                # Rows that share an id may have other texts: a mark is only one where its digest is found.
-                fits = fits[before(np.frombuffer(raw, np.uint8), at[fits].astype(np.int64), size).view(np.int64) == digest[fits]]
-                digest, first, at, back, ahead = (v[fits] for v in (digest, first, at, back, ahead))
-                follows = (at[1:] - back[1:] == at[:-1]) & (first[1:] == first[:-1])
-                lead = np.where(np.append(False, follows)[: len(at)] & (first != doc), size, np.maximum(back + size, least))
-                tail = np.where(np.append(follows, False)[: len(at)] & (first != doc), ahead, np.maximum(ahead, least - size))
-                seen = set()
-                for h, f, x, left, right in zip(*(v.tolist() for v in (digest, first, at, lead, tail))):
-                    if f == doc:
-                        if h in seen:
-                            continue
-                        seen.add(h)
-                    rows.append((doc, h, f, x, raw[max(0, x - left) : x], raw[x : _whole(raw, min(len(raw), x + right))]))
-                    held += len(rows[-1][4]) + len(rows[-1][5])
-                    if len(rows) >= most or held > 1 << 22:
-                        yield _batch(rows, kinds)
-                        rows, held = [], 0
-            yield _batch(rows, kinds)
-
-    return run, kinds
+            rows = []
+            for doc, t, body, text, asked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "body")), b.column("text"), b.column("c").to_pylist()):
+                raw = text.as_py().encode()
+                for a in asked:
+                    at, side = a["at"], a["side"]
+                    piece = raw[max(0, at - size - REACH) : at] if side == 0 else raw[at - PAD : _whole(raw, min(len(raw), at + REACH))]
+                    rows.append((doc, t, at, side, body, piece))
+                if len(rows) > 4096:
+                    yield _batch(rows, CONTEXTS)
+                    rows = []
+            yield _batch(rows, CONTEXTS)
+
+    return run
 
 
 def _batch(rows: list[tuple], kinds: str) -> pa.RecordBatch:
@@ -160,20 +167,30 @@ def _equal(a: bytes, b: bytes, back: bool = False) -> int:
     return low
 
 
-def _stretches(batches):
-    """The stretch around a mark that both documents hold, whole characters only, and the shift between them."""
-    for b in batches:
-        rows = []
-        columns = (b.column(k).to_pylist() for k in ("doc_id", "at", "first_doc", "first_at", "lead", "tail", "first_lead", "first_tail"))
-        for doc, at, first, first_at, lead, tail, first_lead, first_tail in zip(*columns):
-            raw, zero = lead + tail, at - len(lead)
-            i, j = len(lead) - _equal(lead, first_lead, True), len(lead) + _equal(tail, first_tail)
-            i = _whole(raw, i)
-            while i < j < len(raw) and raw[j] & 0xC0 == 0x80:
-                j -= 1
-            if j > i:
-                rows.append((doc, first, first_at - at, zero + i, zero + j))
-        yield _batch(rows, STRETCHES)
+EDGES = "doc_id long, body long, first_doc long, first_t long, shift int, start int, end int, side int, edge int"
+
+
+def _edges(size: int):
+    """How far a run goes on in both texts, byte by byte, in whole characters. Runs whose first mark differs give nothing."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            names = ("doc_id", "body", "first_doc", "first_t", "shift", "start", "end", "side", "bytes", "first_bytes")
+            for *key, start, end, side, own, other in zip(*(b.column(c).to_pylist() for c in names)):
+                n = _equal(own, other, back=side == 0)
+                if n < (size if side == 0 else PAD):
+                    continue
+                if side == 0:
+                    edge = start - len(own) + _whole(own, len(own) - n)
+                else:
+                    while n < len(own) and own[n] & 0xC0 == 0x80:
+                        n -= 1
+                    edge = end - PAD + n
+                rows.append((*key, start, end, side, edge))
+            yield _batch(rows, EDGES)
+
+    return run
 
 
 def _joined(stretches: list[tuple]) -> list[tuple]:
@@ -188,53 +205,76 @@ def _joined(stretches: list[tuple]) -> list[tuple]:
 
 
 def _spans(least: int):
-    """Spans of stretches that reach `least` bytes with one document at one shift."""
+    """Spans of runs that reach `least` bytes with one text at one shift."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, found in zip(b.column("doc_id").to_pylist(), b.column("c")):
-                first, shift, start, end = (found.values.field(k).to_pylist() for k in ("first_doc", "shift", "start", "end"))
-                long = [x for x in _joined(list(zip(zip(first, shift), start, end))) if x[2] - x[1] >= least]
+            for doc, body, found in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), b.column("c").to_pylist()):
+                edges = {(e["first_doc"], e["first_t"], e["shift"], e["start"], e["end"], e["side"]): e["edge"] for e in found}
+                whole = sorted((k[:3], edge, edges[*k[:5], 1]) for k, edge in edges.items() if k[5] == 0 and (*k[:5], 1) in edges)
+                long = [x for x in _joined(whole) if x[2] - x[1] >= least]
                 spans = _joined(sorted((0, i, j) for _, i, j in long))
                 if spans:
-                    firsts = sorted({f for (f, _), _, _ in long})
-                    rows.append((doc, len(spans), sum(j - i for _, i, j in spans), [i for _, i, _ in spans], [j for _, _, j in spans], firsts))
+                    firsts = sorted({k[0] for k, _, _ in long})
+                    rows.append((doc, body, len(spans), sum(j - i for _, i, j in spans), [i for _, i, _ in spans], [j for _, _, j in spans], firsts))
             yield _batch(rows, SPANS)
 
     return run
 
 
-STRETCHES = "doc_id long, first_doc long, shift int, start int, end int"
-SPANS = "doc_id long, n_spans int, repeated_bytes long, span_starts array<int>, span_ends array<int>, first_doc_ids array<long>"
+SPANS = "doc_id long, body long, n_spans int, repeated_bytes long, span_starts array<int>, span_ends array<int>, first_doc_ids array<long>"
 
 
-def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = MIN_CHUNK, least_span: int = MIN_SPAN) -> DataFrame:
-    """One row for each document with repeated passages: doc_id, n_spans, repeated_bytes,
-    span_starts, span_ends (byte offsets in UTF-8), first_doc_ids (documents that keep them).
+def _texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, t, body, text of each text once. t tells apart the texts of ids that come more than once, and is 0 for the others."""
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("body"), "text")
+    several = scratch.save(keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("many")), "ids")
+    n = several.count()
+    if not n:
+        return keyed.select("doc_id", F.lit(0).cast("long").alias("t"), "body", "text")
+    marked = keyed.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left")
+    one = marked.where("many IS NULL").select("doc_id", F.lit(0).cast("long").alias("t"), "body", "text")
+    return one.unionByName(marked.where("many").select("doc_id", F.col("body").alias("t"), "body", "text").dropDuplicates(["doc_id", "t"]))
 
-    Whole texts are chunked. Repeats inside one document only don't count. Rows without an id
-    are left out, null and empty texts have no chunks, rows that share an id are one document
-    (a passage in several of them is no repeat), with the spans of all. Other columns are
-    ignored.
+
+def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = MIN_CHUNK, least_span: int = MIN_SPAN) -> DataFrame:
+    """One row for each text with repeated passages: doc_id, body (hash of the text), n_spans,
+    repeated_bytes, span_starts, span_ends (byte offsets in UTF-8), first_doc_ids (documents that
+    keep them).
+
+    Whole texts are chunked, very long ones too, a slice at a time. Repeats inside one document
+    don't count. Rows without an id are left out, null and empty texts have no chunks. Rows that
+    share an id are texts of one document (a passage in several of them is no repeat), each with
+    its own spans; equal rows give one row. A digest that several texts of the smallest document
+    hold is compared with one of them. An empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    texts = _texts(docs.select("doc_id", "text"), scratch)
     size = min(least_span // 2, LONG_WORD)
-    repeated = (
-        marks(docs, mean, least_chunk, size).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        .where("first_doc <> last_doc").select("digest", "first_doc")
-    )
-    hits = scratch.save(marks(docs, mean, least_chunk, size).join(repeated, "digest"), "marks")
+    found = marks(texts, mean, least_chunk, size)
+    firsts = found.groupBy("digest").agg(
+        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("t", "doc_id").alias("first_t"), F.min_by("at", "doc_id").alias("first_at")
+    )
+    # Written first, so that the join is of two plain shuffles, which a digest that very many texts hold can be split in.
+    repeated = scratch.save(firsts.where("first_doc <> last_doc").drop("last_doc"), "digests")
+    scratch.free_shuffles()
+    hits = scratch.save(found.join(repeated, "digest").where("doc_id <> first_doc").drop("digest"), "hits")
     scratch.free_shuffles()
-    per_doc = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "digest", "first_doc", "back", "ahead"))).alias("c"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(per_doc, "doc_id").select("doc_id", "text", "c")
-    around = scratch.save(texts.mapInArrow(*_contexts(size, least_span)), "contexts")
+    per_text = hits.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "first_doc", "first_t", "first_at")).alias("c"))
+    runs = scratch.save(per_text.mapInArrow(_runs(size), RUNS), "runs")
+
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
+    edges = runs.select("*", ends.alias("e")).select(*runs.columns, "e.side", "e.at", (F.col("e.at") + F.col("shift")).alias("first_at"))
+    asked = edges.select("doc_id", "t", "at", "side").unionAll(edges.select("first_doc", "first_t", "first_at", "side")).distinct()
+    per_text = asked.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("at", "side"))).alias("c"))
+    contexts = scratch.save(texts.join(per_text, ["doc_id", "t"]).mapInArrow(_contexts(size), CONTEXTS), "contexts")
     scratch.free_shuffles()
-    kept = around.where("doc_id = first_doc").select("digest", *(F.col(c).alias(f"first_{c}") for c in ("at", "lead", "tail")))
-    found = around.where("doc_id <> first_doc").join(kept, "digest").mapInArrow(_stretches, STRETCHES)
-    stretches = F.array_sort(F.collect_set(F.struct("first_doc", "shift", "start", "end")))
-    return found.groupBy("doc_id").agg(stretches.alias("c")).mapInArrow(_spans(least_span), SPANS)
+    theirs = contexts.select(F.col("doc_id").alias("first_doc"), F.col("t").alias("first_t"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
+    with_own = edges.join(contexts, ["doc_id", "t", "at", "side"])
+    compared = with_own.join(theirs, ["first_doc", "first_t", "first_at", "side"]).mapInArrow(_edges(size), EDGES)
+    whole = F.collect_list(F.struct("first_doc", "first_t", "shift", "start", "end", "side", "edge"))
+    return compared.groupBy("doc_id", "body").agg(whole.alias("c")).mapInArrow(_spans(least_span), SPANS)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -249,15 +289,14 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 if raw is not None and starts:
                     raw, at, out = raw.encode(), 0, []
                     for s, e in zip(starts, ends):
-                        s, e = _whole(raw, s), _whole(raw, e)
                         out.append(raw[at:s])
                         at = max(at, e)
                     raw = b"".join([*out, raw[at:]]).decode()
                 texts.append(raw)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    extra = spans.select(F.col("doc_id").alias("_doc"), F.col("span_starts").alias("_starts"), F.col("span_ends").alias("_ends"))
-    joined = docs.join(extra, docs["doc_id"] == extra["_doc"], "left").drop("_doc")
+    extra = spans.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), F.col("span_starts").alias("_starts"), F.col("span_ends").alias("_ends"))
+    joined = docs.join(extra, (docs["doc_id"] == extra["_doc"]) & (F.xxhash64(docs["text"]) == extra["_body"]), "left").drop("_doc", "_body")
     return joined.mapInArrow(run, docs.schema)
 
 
