@@ -139,8 +139,8 @@ def test_nearest(spark):
         near = sorted((-cosine(by_id[q], v), i) for i, v, _ in rows if i != q and usable(v) and len(v) == len(by_id[q]))[:5]
         wanted += [(q, k + 1, i, round(-c, 9)) for k, (c, i) in enumerate(near)]
     df = vectors(spark, rows)
-    for size, batch in ((16_384, 512), (20, 3)):
-        got = ann.nearest(df, df.where("vec_id % 10 = 0"), rows=size, batch=batch).collect()
+    for size in (65_536, 20):
+        got = ann.nearest(df, df.where("vec_id % 10 = 0"), rows=size).collect()
         pairs = {(r["query_id"], r["vec_id"]) for r in got}
         hits = len(pairs & {(q, i) for q, _, i, _ in wanted})
         assert hits >= 0.95 * len(wanted)
@@ -219,3 +219,42 @@ def test_passages_are_found_to_their_edges(spark, documents):
     got = {r["doc_id"]: (r["span_starts"], r["span_ends"], r["first_doc_ids"]) for r in substring_dedup.repeated_spans(documents(rows)).collect()}
     assert set(got) <= {2 * p + 1 for p in range(150)} and len(got) >= 149
     assert all(got[i] == ([at[i][0]], [at[i][1]], [i - 1]) for i in got)
+
+
+def test_texts_that_share_an_id_have_spans_of_their_own(spark, documents):
+    rng = random.Random(12)
+    passage = _random_text(rng, 60)
+    rows = [(1, f"{_random_text(rng, 30)} {passage}"), (2, f"{passage} {_random_text(rng, 40)}"), (2, _random_text(rng, 200)), (2, f"{_random_text(rng, 90)} {passage}")]
+    rows += [rows[1]] * 3 + [(3, passage), (3, passage)]
+    spans = substring_dedup.repeated_spans(documents(rows))
+    assert sorted((r["doc_id"], r["first_doc_ids"]) for r in spans.collect()) == [(2, [1]), (2, [1]), (3, [1])]
+    kept = sorted((r["doc_id"], r["text"].strip()) for r in substring_dedup.remove_spans(documents(rows), spans).collect())
+    assert kept == sorted((i, t if i == 1 else t.replace(passage, "").strip()) for i, t in rows)
+
+
+def test_spans_against_plain_code(spark, documents):
+    """Random texts of pieces: each span's bytes stand in a document that keeps them, and each long passage that two documents share is found."""
+    rng = random.Random(13)
+    shared = [_random_text(rng, rng.randint(8, 70)) for _ in range(25)]
+    rows = [(i, " ".join(rng.choice(shared) if rng.random() < 0.3 else _random_text(rng, rng.randint(1, 20)) for _ in range(rng.randint(1, 8)))) for i in range(120)]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_spans(documents(rows)).collect()}
+    texts = {i: t.encode() for i, t in rows}
+    for i, r in got.items():
+        assert all(f < i for f in r["first_doc_ids"])
+        for a, b in zip(r["span_starts"], r["span_ends"]):
+            # Every stretch of MIN_SPAN bytes of a span stands in one of the documents, but for the places where two passages meet.
+            inside = [any(texts[i][x : x + 48] in texts[f] for f in r["first_doc_ids"]) for x in range(a, max(a + 1, b - 48), 16)]
+            assert b - a >= substring_dedup.MIN_SPAN and sum(inside) > 0.8 * len(inside)
+    missed = total = 0
+    for p in shared:
+        p = p.encode()
+        holders = sorted(i for i, t in texts.items() if p in t)
+        if len(p) < 300:
+            continue
+        for i in holders[1:]:
+            total += 1
+            at, cover = texts[i].find(p), 0
+            for a, b in zip(got[i]["span_starts"], got[i]["span_ends"]) if i in got else ():
+                cover += max(0, min(b, at + len(p)) - max(a, at))
+            missed += cover < len(p)
+    assert total > 50 and missed <= 0.02 * total

@@ -6,7 +6,7 @@ alike and rounded to four bit planes, estimates an inner product from the popula
 of the planes against the packed signs. The estimate has an error bound; only vectors whose
 upper bound reaches the k-th best lower bound are compared exactly.
 
-Queries and vectors meet in cells of one block of each. Blocks have bounded size.
+Each vector goes to one block of bounded size, is coded there once, and all queries pass by it.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import as_doubles, matrix, units, usable
+from .common import parallelism
+from .vectors import by_length, matrix, units, usable
 
 CODE_BITS, PLANES, EPSILON, SEED = 256, 4, 3.0, 11
-ROWS, QUERIES, CENTRE_ROWS = 16_384, 512, 4_096
+ROWS, LEAST_ROWS, CENTRE_ROWS = 65_536, 1_024, 4_096  # vectors of a block at most; fewer while there are cores to spare
 
 
 def rotation(d: int) -> np.ndarray:
@@ -66,57 +67,81 @@ class Codes:
 
 
 def _search(k: int, centre: dict[int, np.ndarray]):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            ids, x = left["vec_id"].to_numpy(), matrix(left["e"].chunk(0))
-            codes = Codes(x, centre.get(x.shape[1], np.zeros(x.shape[1])))
-            scaled = x / np.abs(x).max(axis=1, keepdims=True)
-            norm = np.sqrt((scaled * scaled).sum(axis=1))
-            for query, e in zip(right["query_id"].to_numpy(), matrix(right["e"].chunk(0))):
-                e = e / np.abs(e).max()
-                size = np.sqrt((e * e).sum())
-                inner, off = codes.estimate(e / size)
-                inner[ids == query] = -np.inf
-                lower = inner - off
-                least = np.partition(lower, -k)[-k] if len(ids) > k else -np.inf
-                near = np.flatnonzero((inner + off >= least) & (ids != query))
-                cosine = (scaled[near] * e).sum(axis=1) / (norm[near] * size)
-                best = np.lexsort((ids[near], -cosine))[:k]
-                out += [(query, ids[near[i]], cosine[i]) for i in best]
-        q, v, s = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+    """Rows come by place: first a block of vectors (kind 0), which is coded once, then all queries (kind 1), a batch at a time."""
+
+    def top(codes: Codes, ids: np.ndarray, scaled: np.ndarray, norm: np.ndarray, query: int, e: np.ndarray) -> list[tuple]:
+        e = e / np.abs(e).max()
+        size = np.sqrt((e * e).sum())
+        inner, off = codes.estimate(e / size)
+        inner[ids == query] = -np.inf
+        lower = inner - off
+        least = np.partition(lower, -k)[-k] if len(ids) > k else -np.inf
+        near = np.flatnonzero((inner + off >= least) & (ids != query))
+        cosine = (scaled[near] * e).sum(axis=1) / (norm[near] * size)
+        return [(query, ids[near[i]], cosine[i]) for i in np.lexsort((ids[near], -cosine))[:k]]
+
+    def run(batches):
+        at, parts, coded = None, [], None
+        for b in batches:
+            place, kind, d = (b.column(c).to_numpy() for c in ("place", "kind", "d"))
+            out: list[tuple] = []
+            cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0) | (np.diff(d) != 0)) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if i == j:
+                    continue
+                ids, x = b.column("id").slice(i, j - i).to_numpy(), matrix(b.column("e").slice(i, j - i))
+                if (own := (int(place[i]), int(d[i]))) != at:
+                    at, parts, coded = own, [], None
+                if kind[i] == 0:
+                    parts.append((ids, x))
+                elif coded is None and parts:
+                    all_ids, all_x = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
+                    scaled = all_x / np.abs(all_x).max(axis=1, keepdims=True)
+                    coded = Codes(all_x, centre.get(at[1], np.zeros(at[1]))), all_ids, scaled, np.sqrt((scaled * scaled).sum(axis=1))
+                    parts = []
+                if kind[i] == 1 and coded:
+                    for query, e in zip(ids.tolist(), x):
+                        out += top(*coded, query, e)
+            q, v, s = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
 def centres(rows: DataFrame) -> dict[int, np.ndarray]:
     """The mean direction of each vector length, over at most CENTRE_ROWS rows (those with the smallest hashes). It is one vector."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).toArrow().combine_chunks()
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_ROWS).select("e").toArrow().combine_chunks()
     if not some.num_rows:
         return {}
-    from .vectors import by_length
-
     return {d: units(x).mean(axis=0) for d, _, x in by_length(some["e"].chunk(0))}
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS, batch: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rows: int = ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of `vectors` by cosine for each row of `queries`.
 
     A query's own id is no candidate. Ties go to the smaller vec_id. Vectors that are null,
     empty, zero, or hold null or non-finite components, and rows without an id, take no part;
     vectors of another length are no candidates. Rows of `vectors` that share an id are
-    candidates each; of queries that share an id the smallest vector counts. Other columns
-    are ignored.
+    candidates each; of queries that share an id the smallest vector counts. Empty tables give
+    no rows. Other columns are ignored.
+
+    Each vector goes to one block, and all queries to each block: vectors are the larger table.
     """
-    live = as_doubles(vectors).where(usable(F.col("e")) & F.col("vec_id").isNotNull()).withColumn("d", F.size("e"))
-    asked = as_doubles(queries).where(usable(F.col("e")) & F.col("vec_id").isNotNull())
-    asked = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("e").alias("e")).withColumn("d", F.size("e"))
-    n, m = max(1, -(-live.count() // rows)), max(1, -(-asked.count() // batch))
-    left = live.select("vec_id", "e", "d", F.pmod(F.xxhash64("vec_id", "e"), n).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qb"))
-    right = asked.select("query_id", "e", "d", F.pmod(F.xxhash64("query_id"), m).cast("int").alias("qb"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("rb"))
-    cell = ["d", "rb", "qb"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_search(k, centres(live)), "query_id long, vec_id long, score double")
+
+    def usable_rows(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", F.col("embedding").alias("e")).where(usable(F.col("e")) & F.col("vec_id").isNotNull()).withColumn("d", F.size("e"))
+
+    live = usable_rows(vectors)
+    # Of equal vectors only those with the smallest ids can be an answer: k of them, and perhaps the query itself.
+    first = F.dense_rank().over(Window.partitionBy("e").orderBy("vec_id"))
+    candidates = live.withColumn("_n", first).where(F.col("_n") <= k + 1).drop("_n")
+    asked = usable_rows(queries).groupBy("vec_id").agg(F.min("e").alias("e")).withColumn("d", F.size("e"))
+    found = live.count()
+    spark = vectors.sparkSession
+    n = max(1, -(-found // rows), min(parallelism(spark), -(-found // LEAST_ROWS)))
+    left = candidates.select(F.pmod(F.xxhash64("vec_id", "e"), n).cast("int").alias("place"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "d", "e")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "d", "e")
+    dealt = left.unionByName(right).repartition(n, "place").sortWithinPartitions("place", "d", "kind", "id")
+    best = dealt.mapInArrow(_search(k, centres(live)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
