@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.hexcodec import kind_bit
-from ..model import CALL, columns_of
+from ..model import CALL, columns_of, rows_of
 
 BORROWED = ("DelegateCall", "CallCode")
 ADDED = ("reentrant", "above", "parent_kind", "context")
@@ -75,4 +75,4 @@ def enrich_traces(traces: DataFrame) -> DataFrame:
 
 def enriched_calls(traces: DataFrame) -> DataFrame:
     """One row for each call of enriched trace rows."""
-    return traces.select("trace_id", F.inline("calls"))
+    return traces.select("trace_id", rows_of("calls"))

@@ -179,7 +179,7 @@ def _findings(pos: int, p: Pattern, cited: Column, facts: dict[int, Column | Non
     return F.transform(cited, finding)
 
 
-_FLAT = ("trace_id", "f.pattern_pos", "f.pattern_id", "f.pattern_version", "f.pattern_family", "f.pattern_severity", "f.candidate_pos", "f.bindings", "f.g.*")
+_FLAT = ("trace_id", "pattern_pos", "pattern_id", "pattern_version", "pattern_family", "pattern_severity", "candidate_pos", "bindings", "g.*")
 
 
 def _found(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
@@ -200,7 +200,7 @@ def _found(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
 def match_and_ground(traces: DataFrame, patterns: list[Pattern], ids: bool = True) -> DataFrame:
     """One row for each candidate of each pattern, with its grounding: one projection of the traces, no shuffle."""
-    found = _found(traces, patterns).select("trace_id", F.explode(F.concat(*(f"_found{i}" for i in range(len(patterns))))).alias("f"))
+    found = _found(traces, patterns).select("trace_id", F.inline(F.concat(*(f"_found{i}" for i in range(len(patterns))))))
     return candidate_id(found.select(*_FLAT)) if ids else found.select(*_FLAT)
 
 
@@ -257,4 +257,4 @@ def ground(traces: DataFrame, patterns: list[Pattern], given: DataFrame, strict:
     found = F.when(F.lit(False), F.lit(None))
     for pos, p in enumerate(patterns):
         found = found.when((F.col("pattern_id") == p.id) & (F.col("pattern_version") == p.version), of(pos, p))
-    return candidate_id(rows.where(whole).select("trace_id", F.explode(found).alias("f")).select(*_FLAT))
+    return candidate_id(rows.where(whole).select("trace_id", F.inline(found)).select(*_FLAT))
