@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(docs, path, P.PATTERN), path, P.PATTERN)
+    return byte_bpe.digests(byte_bpe.encode(docs, path, P.PATTERN), path)
 
 
 STAGES = [
