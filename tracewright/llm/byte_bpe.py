@@ -1,7 +1,8 @@
 """Byte-level BPE by overlapping chunks.
 
 Texts are cut into short windows that overlap. Each window is pre-tokenised on its own, from its
-own left edge, and its pre-tokens are encoded by merging bytes. Two neighbours are stitched at the
+own left edge, and its pre-tokens are encoded one by one (their bytes are merged by a library,
+which knows nothing of texts and windows). Two neighbours are stitched at the
 first position of their overlap where both have a pre-token boundary: the pattern never looks
 behind, so from there on both give the same pre-tokens, and no id depends on where windows lie.
 Where no boundary resynchronises (a run longer than the overlap) the text is cut anew, into
@@ -17,7 +18,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 from struct import pack
 from typing import NamedTuple
 
@@ -32,8 +32,7 @@ from .common import small_batches
 WINDOW, OVERLAP = 512, 64  # code points
 GROWTH, SPREAD = 8, 1 << 18
 LOOK = 4  # more characters than the pattern looks at beyond a pre-token
-CACHED, CACHED_CHARS = 1 << 17, 64  # pre-tokens whose ids a task keeps, and the longest of them
-LONG_PIECE, _NONE = 128, 1 << 62
+CACHED, CACHED_CHARS = 1 << 16, 64  # pre-tokens whose ids a task keeps, and the longest of them
 
 
 @lru_cache(maxsize=4)
@@ -59,48 +58,16 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in _pretokens(pattern).finditer(text)]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+@lru_cache(maxsize=4)
+def _merger(path: str):
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def merge(piece: str, path: str) -> list[int]:
     """Ids of one pre-token: of all neighbours the pair of the lowest rank is joined, the leftmost first, until none has a rank."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    if len(piece) > LONG_PIECE:
-        return _merge_long(piece, ranks)
-    get, ends = ranks.get, list(range(1, len(piece) + 1))
-    pairs = [get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
-    while pairs and (low := min(pairs)) < _NONE:
-        i = pairs.index(low)
-        del ends[i], pairs[i]
-        start, end = ends[i - 1] if i else 0, ends[i]
-        if i < len(pairs):
-            pairs[i] = get(piece[start : ends[i + 1]], _NONE)
-        if i:
-            pairs[i - 1] = get(piece[ends[i - 2] if i > 1 else 0 : end], _NONE)
-    return [ranks[piece[i:j]] for i, j in zip([0, *ends], ends)]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same with a heap of pairs, for pieces of any length."""
-    n = len(piece)
-    after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-    left = [(rank, i) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
-    heapify(left)
-    while left:
-        rank, i = heappop(left)
-        if gone[i] or (j := after[i]) >= n or ranks.get(piece[i : after[j]]) != rank:
-            continue  # one of the pair has been joined with another since
-        gone[j], end = 1, after[j]
-        after[i] = end
-        if end < n:
-            before[end] = i
-            if (new := ranks.get(piece[i : after[end]])) is not None:
-                heappush(left, (new, i))
-        if (k := before[i]) >= 0 and (new := ranks.get(piece[k:end])) is not None:
-            heappush(left, (new, k))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+    return _merger(path)._encode_single_piece(piece)
 
 
 class _Encoded(dict):
@@ -108,10 +75,10 @@ class _Encoded(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.ranks = load_ranks(path)
+        self.path = path
 
     def __missing__(self, piece: str) -> bytes:
-        found = merge(piece.encode(), self.ranks)
+        found = merge(piece, self.path)
         ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
