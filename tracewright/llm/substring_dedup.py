@@ -21,7 +21,7 @@ from .common import LONG_WORD, Scratch, _BYTE, _powers, mix, text_buffer
 
 MEAN_CHUNK, MIN_CHUNK, MIN_SPAN = 24, 8, 96  # bytes
 WINDOW, SEGMENT = 32, 1 << 20
-REACH, PAD = 256, 4  # bytes compared beyond a run's ends, and bytes of the run before its end (a character's length)
+PAD = 4  # bytes of a run before its end that are compared once more: the length of a character
 BROADCAST_IDS = 500_000  # ids of 8 bytes; beyond it, a shuffle join
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
 
@@ -80,44 +80,50 @@ def before(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 
 
 def marks(texts: DataFrame, mean: int, least: int, size: int) -> DataFrame:
-    """digest (of the `size` bytes before a cut), doc_id, t, at for each cut of each text; of cuts of one text with equal digests the first."""
+    """digest (of the `size` bytes before a cut), doc_id, t, at, gaps (bytes to the cuts before and
+    after, in two halves) for each cut of each text; of cuts of one text with equal digests the first."""
 
     def run(batches):
         for b in batches:
             for r in range(0, b.num_rows, 128):
                 part = b.slice(r, 128)
                 data, offsets = text_buffer(part.column("text"))
-                ids, own_t, h, at = [], [], [], []
+                ids, own_t, h, at, gaps = [], [], [], [], []
                 for i, (doc, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("t").to_pylist())):
                     own = data[offsets[i] : offsets[i + 1]]
                     ends = cuts(own, mean, least)
-                    ends = ends[ends >= size]
+                    gap = np.minimum(np.diff(ends, prepend=0, append=len(own)), 0x7FFF)
+                    keep = ends >= size
+                    ends, gap = ends[keep], ((gap[:-1] << 16) | gap[1:])[keep]
                     digest, first = np.unique(before(own, ends, size), return_index=True)
+                    gaps.append(gap[first].astype(np.int32))
                     h.append(digest.view(np.int64)), at.append(ends[first].astype(np.int32))
                     ids.append(np.full(len(digest), doc, np.int64)), own_t.append(np.full(len(digest), t, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, ids, own_t, at)], ["digest", "doc_id", "t", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, ids, own_t, at, gaps)], ["digest", "doc_id", "t", "at", "gaps"])
 
-    return texts.select("doc_id", "t", "text").mapInArrow(run, "digest long, doc_id long, t long, at int")
+    return texts.select("doc_id", "t", "text").mapInArrow(run, "digest long, doc_id long, t long, at int, gaps int")
 
 
-RUNS = "doc_id long, t long, first_doc long, first_t long, shift int, start int, end int"
+RUNS = "doc_id long, t long, first_doc long, first_t long, shift int, start int, end int, back int, ahead int"
 
 
-def _runs(size: int):
-    """Marks of a text that one other text holds at one shift, and of which each covers bytes up to the one before: a run."""
+def _runs(size: int, least: int):
+    """Marks of a text that one other text holds at one shift, and of which each covers bytes up to the
+    one before: a run. back, ahead: how far it can go on, which is to the next cuts that are no marks,
+    or enough for `least` bytes where they are marks of other documents."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, t, found in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("c")):
-                at, first, first_t, first_at = (found.values.field(k).to_numpy() for k in ("at", "first_doc", "first_t", "first_at"))
-                other = first != doc
-                at, first, first_t, shift = at[other], first[other], first_t[other], (first_at - at)[other]
+                at, first, first_t, first_at, gaps = (found.values.field(k).to_numpy() for k in ("at", "first_doc", "first_t", "first_at", "gaps"))
+                shift = first_at - at
                 order = np.lexsort((at, shift, first_t, first))
-                at, first, first_t, shift = at[order], first[order], first_t[order], shift[order]
+                at, first, first_t, shift, gaps = at[order], first[order], first_t[order], shift[order], gaps[order]
                 same = (first[1:] == first[:-1]) & (first_t[1:] == first_t[:-1]) & (shift[1:] == shift[:-1]) & (np.diff(at) <= size)
                 starts, ends = np.flatnonzero(np.append(True, ~same)[: len(at)]), np.flatnonzero(np.append(~same, True)[: len(at)])
-                rows += zip([doc] * len(starts), [t] * len(starts), *(x[starts].tolist() for x in (first, first_t, shift, at)), at[ends].tolist())
+                back, ahead = np.maximum(gaps[starts] >> 16, least - size), np.maximum(gaps[ends] & 0x7FFF, least - size)
+                rows += zip([doc] * len(starts), [t] * len(starts), *(x[starts].tolist() for x in (first, first_t, shift, at)), at[ends].tolist(), back.tolist(), ahead.tolist())
             yield _batch(rows, RUNS)
 
     return run
@@ -135,8 +141,8 @@ def _contexts(size: int):
             for doc, t, body, text, asked in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "body")), b.column("text"), b.column("c").to_pylist()):
                 raw = text.as_py().encode()
                 for a in asked:
-                    at, side = a["at"], a["side"]
-                    piece = raw[max(0, at - size - REACH) : at] if side == 0 else raw[at - PAD : _whole(raw, min(len(raw), at + REACH))]
+                    at, side, reach = a["at"], a["side"], a["reach"]
+                    piece = raw[max(0, at - size - reach) : at] if side == 0 else raw[at - PAD : _whole(raw, min(len(raw), at + reach))]
                     rows.append((doc, t, at, side, body, piece))
                 if len(rows) > 4096:
                     yield _batch(rows, CONTEXTS)
@@ -246,28 +252,32 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = M
     Whole texts are chunked, very long ones too, a slice at a time. Repeats inside one document
     don't count. Rows without an id are left out, null and empty texts have no chunks. Rows that
     share an id are texts of one document (a passage in several of them is no repeat), each with
-    its own spans; equal rows give one row. A digest that several texts of the smallest document
-    hold is compared with one of them. An empty table gives no rows. Other columns are ignored.
+    its own spans; equal rows give one row. What several texts of the smallest document hold is
+    compared with the one of the smallest hash. An empty table gives no rows. Other columns are
+    ignored.
     """
     scratch = Scratch(docs.sparkSession)
     texts = _texts(docs.select("doc_id", "text"), scratch)
     size = min(least_span // 2, LONG_WORD)
     found = marks(texts, mean, least_chunk, size)
-    firsts = found.groupBy("digest").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("t", "doc_id").alias("first_t"), F.min_by("at", "doc_id").alias("first_at")
-    )
-    # Written first, so that the join is of two plain shuffles, which a digest that very many texts hold can be split in.
-    repeated = scratch.save(firsts.where("first_doc <> last_doc").drop("last_doc"), "digests")
+    holders = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    # Tables of digests are written first, so that joins are of two plain shuffles, which a digest that very many texts hold can be split in.
+    repeated = scratch.save(holders.where("first_doc <> last_doc").drop("last_doc"), "digests")
     scratch.free_shuffles()
-    hits = scratch.save(found.join(repeated, "digest").where("doc_id <> first_doc").drop("digest"), "hits")
+    hits = scratch.save(found.join(repeated, "digest"), "hits")
+    scratch.free_shuffles()
+    first = hits.where("doc_id = first_doc").groupBy("digest").agg(F.min(F.struct("t", "at")).alias("f"))
+    first = scratch.save(first.select("digest", F.col("f.t").alias("first_t"), F.col("f.at").alias("first_at")), "firsts")
+    others = hits.where("doc_id <> first_doc").join(first, "digest")
+    per_text = others.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "first_doc", "first_t", "first_at", "gaps")).alias("c"))
+    runs = scratch.save(per_text.mapInArrow(_runs(size, least_span), RUNS), "runs")
     scratch.free_shuffles()
-    per_text = hits.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "first_doc", "first_t", "first_at")).alias("c"))
-    runs = scratch.save(per_text.mapInArrow(_runs(size), RUNS), "runs")
 
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
-    edges = runs.select("*", ends.alias("e")).select(*runs.columns, "e.side", "e.at", (F.col("e.at") + F.col("shift")).alias("first_at"))
-    asked = edges.select("doc_id", "t", "at", "side").unionAll(edges.select("first_doc", "first_t", "first_at", "side")).distinct()
-    per_text = asked.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("at", "side"))).alias("c"))
+    sides = (F.struct(F.lit(i).alias("side"), F.col(at).alias("at"), F.col(reach).alias("reach")) for i, (at, reach) in enumerate((("start", "back"), ("end", "ahead"))))
+    edges = runs.select("*", F.explode(F.array(*sides)).alias("e")).select(*runs.columns[:-2], "e.*", (F.col("e.at") + F.col("shift")).alias("first_at"))
+    asked = edges.select("doc_id", "t", "at", "side", "reach").unionAll(edges.select("first_doc", "first_t", "first_at", "side", "reach"))
+    asked = asked.groupBy("doc_id", "t", "at", "side").agg(F.max("reach").alias("reach"))
+    per_text = asked.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("at", "side", "reach"))).alias("c"))
     contexts = scratch.save(texts.join(per_text, ["doc_id", "t"]).mapInArrow(_contexts(size), CONTEXTS), "contexts")
     scratch.free_shuffles()
     theirs = contexts.select(F.col("doc_id").alias("first_doc"), F.col("t").alias("first_t"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
