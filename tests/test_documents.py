@@ -11,7 +11,7 @@ from tracewright.functions.hexcodec import KIND_CLASSES
 from tracewright.model import CALL, columns_of, to_relations
 from tracewright.operators.enrich import enrich_traces
 from tracewright.sources.calltracer import convert, ingest_call_tracer
-from tracewright.sources.documents import IngestionError, errors_of, flatten, in_memory, ingest, read_files, traces_of
+from tracewright.sources.documents import Files, IngestionError, errors_of, flatten, in_memory, ingest, ingest_from, read_files, traces_of
 
 ROOT = call("call", SENDER, VICTIM, writes=[write(VICTIM)], logs=[log(VICTIM, [word(1)], "0x00", 3)])
 
@@ -191,3 +191,17 @@ def test_half_a_surrogate_pair_is_one_bad_document(spark):
     got = {r["trace_id"]: (r["error_kind"], r["error"]) for r in ingest(in_memory(spark, bad)).collect()}
     assert {k: v[0] for k, v in got.items()} == {"status": "MalformedField", "kind": "UnsupportedFeature", "field": "MalformedInput", "good": None}
     assert "?" in got["status"][1]
+
+
+def test_sources(spark, tmp_path):
+    """A missing path is an unavailable source; any class with documents() is one."""
+    with pytest.raises(IngestionError, match="SourceUnavailable"):
+        ingest_from(spark, Files(str(tmp_path / "nothing")))
+    (tmp_path / "a.json").write_text(text(ROOT))
+
+    class Twice:
+        def documents(self, spark):
+            rows = Files(str(tmp_path)).documents(spark)
+            return rows.unionAll(rows)
+
+    assert [r["error_kind"] for r in ingest_from(spark, Twice()).collect()] == [None, None]

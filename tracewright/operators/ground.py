@@ -146,6 +146,7 @@ def _status(p: Pattern, chain: Column, sequence: Column, same_call: Column) -> C
         return F.when(g == VERIFIED, f" {text} confirmed.").otherwise(f" {text} could not be confirmed.") if used else F.lit("")
 
     total, verified = count(True), count(True, True)
+    # The sentence of the explanation.
     explanation = F.concat(
         F.lit(f"pattern `{p.id}` v{p.version}: "), status, F.lit(" ("), verified.cast("string"), F.lit("/"), total.cast("string"),
         F.lit(" required evidence clauses verified)."), note(sequence, "sequence ordering", p.sequence), note(same_call, "same_call correlation", p.same_call),

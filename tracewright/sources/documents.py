@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
+from typing import Protocol
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -277,10 +280,41 @@ def errors_of(ingested: DataFrame) -> DataFrame:
     return ingested.where(F.col("error_kind").isNotNull()).select("trace_id", "error_kind", "error")
 
 
+class TraceSource(Protocol):
+    """Anything that gives documents: (trace_id, doc)."""
+
+    def documents(self, spark: SparkSession) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Files:
+    """One document for each file of a path or pattern: trace_id is the file's path."""
+
+    path: str
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.text(self.path, wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), F.col("value").alias("doc"))
+        except AnalysisException as e:
+            raise IngestionError("SourceUnavailable", str(e).splitlines()[0]) from None
+
+
+@dataclass(frozen=True)
+class InMemory:
+    texts: dict[str, str]
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.texts.items()), "trace_id string, doc string")
+
+
+def ingest_from(spark: SparkSession, source: TraceSource, read=flatten) -> DataFrame:
+    """The documents of a source, ingested."""
+    return ingest(source.documents(spark), read)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One document for each file: trace_id is the file's path."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), F.col("value").alias("doc"))
+    return Files(path).documents(spark)
 
 
 def in_memory(spark: SparkSession, documents: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(documents.items()), "trace_id string, doc string")
+    return InMemory(documents).documents(spark)
