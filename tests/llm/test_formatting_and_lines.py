@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import chat_format, line_dedup
@@ -91,3 +92,14 @@ def test_runs_settle_and_compact(spark):
         runs.add(keys((d, 3, 3)))
     assert len(runs.levels) >= 2
     assert sorted((r["h1"], r["max_doc"]) for r in runs.compact().collect()) == [(1, 9), (2, 9), (3, 7)]
+
+
+@pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 0])
+def test_heavy_lines_are_dropped_alike_and_no_table_is_left(spark, documents, monkeypatch, heavy):
+    """With and without the broadcast of the heaviest keys."""
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    common = "this very common line stands in all of the documents"
+    rows = [(i, f"line number {i} of its own\n{common}\nsecond line shared by some, {i % 7}") for i in range(60)] + [(None, common), (3, common), (99, None)]
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(documents(rows)).collect()), key=repr)
+    assert got == plain_dedup(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
