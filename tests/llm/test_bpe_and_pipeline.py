@@ -124,6 +124,15 @@ def test_stages_against_plain_code(spark, tables, tmp_path):
             assert sorted(r["ids_sha256"] for r in docs.collect()) == wanted
 
 
+def test_stages_take_odd_rows_extra_columns_and_empty_tables(spark, tables, documents):
+    rows, _ = corpus(40)
+    docs = documents(rows + ODD + [rows[0], rows[0]])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, tables)
+        assert k == 4 or out.columns == corpus_pipeline.COLUMNS
+        assert out.count() > 0 and stage(spark, docs.where("false"), tables).count() == 0
+
+
 def test_run_is_the_stages_in_order(spark, tables):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "mixing", "byte-level BPE"]
     assert set(corpus_pipeline.run(spark, tables).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

@@ -265,12 +265,15 @@ def repeated_spans(docs: DataFrame, mean: int = MEAN_CHUNK, least_chunk: int = M
     repeated = scratch.save(holders.where("first_doc <> last_doc").drop("last_doc"), "digests")
     scratch.free_shuffles()
     hits = scratch.save(found.join(repeated, "digest"), "hits")
+    scratch.drop(repeated)
     scratch.free_shuffles()
     first = hits.where("doc_id = first_doc").groupBy("digest").agg(F.min(F.struct("t", "at")).alias("f"))
     first = scratch.save(first.select("digest", F.col("f.t").alias("first_t"), F.col("f.at").alias("first_at")), "firsts")
     others = hits.where("doc_id <> first_doc").join(first, "digest")
     per_text = others.groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "first_doc", "first_t", "first_at", "gaps")).alias("c"))
     runs = scratch.save(per_text.mapInArrow(_runs(size, least_span), RUNS), "runs")
+    scratch.drop(hits)
+    scratch.drop(first)
     scratch.free_shuffles()
 
     sides = (F.struct(F.lit(i).alias("side"), F.col(at).alias("at"), F.col(reach).alias("reach")) for i, (at, reach) in enumerate((("start", "back"), ("end", "ahead"))))
