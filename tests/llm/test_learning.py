@@ -216,6 +216,31 @@ def test_mixing_meets_targets(spark, documents):
     assert sum(i in kept for i in clean) > 0.95 * len(clean) and len(kept) < len(rows)
 
 
+def test_posteriors_are_those_of_plain_code(spark, documents):
+    rows, labels = corpus(240)
+    got = {r["doc_id"]: r["p"] for r in mixing.mix(documents(rows), spark.createDataFrame(labels, LABELS)).collect()}
+    place = {i: 1 if not q else 2 if b else 0 for i, q, b in labels}  # the order of mixing.DOMAINS
+    sample = [(place[i], set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    sizes = [sum(k == d for d, _ in sample) for k in range(3)]
+    held: dict = {}
+    for d, words in sample:
+        for w in words:
+            held.setdefault(w, [0, 0, 0])[d] += 1
+    vocabulary = []
+    for w, n in held.items():
+        if sum(n) >= mixing.MIN_SUPPORT:
+            rate = [(x + 0.1) / (size + 1) for x, size in zip(n, sizes)]
+            present = [math.log(r / (1 - r)) for r in rate]
+            weight = [x - sum(present) / 3 for x in present]
+            if (told := max(map(abs, weight))) >= mixing.LEAST_WEIGHT:
+                vocabulary.append((-told * math.sqrt(sum(n)), w, weight, [math.log(1 - r) for r in rate]))
+    vocabulary = {w: (weight, absent) for _, w, weight, absent in sorted(vocabulary)[: mixing.VOCABULARY]}
+    base = [math.log((sizes[k] + 1) / (sum(sizes) + 3)) + sum(a[k] for _, a in vocabulary.values()) for k in range(3)]
+    for i, t in rows:
+        e = [math.exp(base[k] + sum(vocabulary[w][0][k] for w in set(t.split()) & vocabulary.keys()) - max(base)) for k in range(3)]
+        assert np.allclose(got[i], [x / sum(e) for x in e], atol=1e-9)
+
+
 def test_mixing_of_odd_rows(spark, documents):
     rows, labels = corpus(60)
     table = spark.createDataFrame(labels, LABELS)
@@ -224,7 +249,8 @@ def test_mixing_of_odd_rows(spark, documents):
     assert got.where("tokens = 0").count() == 3 and got.count() == len(rows) + len(ODD)
     out = mixing.apply(docs, got)
     assert out.columns == docs.columns
-    assert mixing.mix(docs.where("false"), table).count() == 0
+    with pytest.warns(UserWarning, match="mixing: no tokens at all"):
+        assert mixing.mix(docs.where("false"), table).count() == 0
     assert mixing.mix(docs, table.where("false")).count() == len(rows) + len(ODD)
 
 

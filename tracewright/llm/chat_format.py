@@ -34,8 +34,9 @@ def format_chats(conversations: DataFrame, keep_rest: bool = True) -> DataFrame:
     count as empty, and a null conv_id is a conversation like another. Repeated rows are
     repeated turns. With keep_rest, a conversation that does not end with an assistant turn
     also gives a row without a loss (trainable false) that holds all its turns, so that
-    nothing is lost. Other columns are ignored. The rows of one conversation meet in one
-    task, as they do in the last example itself.
+    nothing is lost. Very long texts are kept whole. An empty table gives no rows. Other
+    columns are ignored. The rows of one conversation meet in one task, as they do in the last
+    example itself.
     """
     rows = conversations.select(
         "conv_id",

@@ -107,6 +107,8 @@ def fit_rates(soft: DataFrame, weights: list[float], scratch: Scratch, most: flo
     stats = soft.agg(*(F.sum(x).alias(f"t{k}") for k, x in enumerate(t))).first()
     have = [stats[f"t{k}"] or 0.0 for k in range(n)]
     share = [w / sum(weights) for w in weights]
+    if missing := [k for k, (h, s) in enumerate(zip(have, share)) if s > 0 and h <= 0]:
+        warnings.warn(f"mixing: no tokens at all in domains {missing}, which have weights; the others share all", stacklevel=2)
     sizes = [(s, h / s) for h, s in zip(have, share) if s > 0 and h > 0]
     scale = (min(x for _, x in sizes) if most is None else max(sizes)[1]) if sizes else 0.0
     target = [min(h, scale * s) for h, s in zip(have, share)]
