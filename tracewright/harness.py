@@ -138,7 +138,7 @@ def run_suite(spark: SparkSession, name: str, cases: list[Case], taxonomy: Regis
         traces = traces_of(ingested)
         find_candidates(traces, patterns).join(wanted, ["trace_id", "pattern_pos"], "left_semi").count()
         lap("matching")
-        findings = match_and_ground(traces, patterns, ids=False).join(wanted, ["trace_id", "pattern_pos"], "left_semi")
+        findings = match_and_ground(traces, patterns, ids=False, fields=("status",)).join(wanted, ["trace_id", "pattern_pos"], "left_semi")
         for r in findings.select("trace_id", "pattern_pos", "candidate_pos", "status", "pattern_family").orderBy("trace_id", "pattern_pos", "candidate_pos").collect():
             found.setdefault((r["trace_id"], r["pattern_pos"]), []).append(r)
     lap("grounding")

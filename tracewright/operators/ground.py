@@ -100,23 +100,23 @@ def _one_call(facts: Column) -> Column:
     return F.size(F.array_distinct(F.transform(facts, lambda f: f["call_id"]))) == 1
 
 
-def grounding(p: Pattern, facts: dict[int, Column | None], cited: Column) -> Column:
-    """The result for the citations of one candidate."""
+def grounding(p: Pattern, facts: dict[int, Column | None], cited: Column, fields: tuple[str, ...] | None = None) -> Column:
+    """The result for the citations of one candidate; only `fields` of it, if they are named."""
 
     def of(i: int) -> Column:
         return F.get(F.filter(cited, lambda b: b["clause"] == i), F.lit(0))
 
     chain = F.array(*(_clause(p, i, facts[i], of(i)) for i in range(len(p.clauses))))
     # `chain` is used many times below; a one-element transform computes it once.
-    return F.get(F.transform(F.array(chain), lambda c: _result(p, c)), F.lit(0))
+    return F.get(F.transform(F.array(chain), lambda c: _result(p, c, fields)), F.lit(0))
 
 
-def _result(p: Pattern, chain: Column) -> Column:
+def _result(p: Pattern, chain: Column, fields: tuple[str, ...] | None) -> Column:
     outcomes = F.struct(_group(chain, p.sequence, _in_order).alias("sequence"), _group(chain, p.same_call, _one_call).alias("same_call"))
-    return F.get(F.transform(F.array(outcomes), lambda o: _status(p, chain, o["sequence"], o["same_call"])), F.lit(0))
+    return F.get(F.transform(F.array(outcomes), lambda o: _status(p, chain, o["sequence"], o["same_call"], fields)), F.lit(0))
 
 
-def _status(p: Pattern, chain: Column, sequence: Column, same_call: Column) -> Column:
+def _status(p: Pattern, chain: Column, sequence: Column, same_call: Column, fields: tuple[str, ...] | None) -> Column:
     uncertain = (UNAVAILABLE, UNSUPPORTED)
     required = F.filter(chain, lambda e: e["required"])
     groups = [(g, name) for g, name, used in ((sequence, "sequence", p.sequence), (same_call, "same_call", p.same_call)) if used]
@@ -152,13 +152,14 @@ def _status(p: Pattern, chain: Column, sequence: Column, same_call: Column) -> C
         F.lit(" required evidence clauses verified)."), note(sequence, "sequence ordering", p.sequence), note(same_call, "same_call correlation", p.same_call),
     )
     unresolved = F.flatten(F.transform(chain, lambda e: F.transform(e["unresolved"], lambda a: F.struct(e["clause"].alias("clause"), a.alias("attribute")))))
-    return F.struct(
-        status.alias("status"), sequence.alias("sequence_outcome"), same_call.alias("same_call_outcome"),
-        total.alias("required_total"), verified.alias("required_verified"), count(False).alias("optional_total"), count(False, True).alias("optional_verified"),
-        ids(VERIFIED).alias("verified"), ids(FAILED).alias("failed"), ids(UNAVAILABLE).alias("unavailable"), ids(UNSUPPORTED).alias("unsupported"),
-        F.when(status == ABSTAIN, reasons).otherwise(none).alias("abstain_reasons"),
-        F.array_distinct(unresolved).alias("unresolved_attributes"), explanation.alias("explanation"), chain.alias("chain"),
-    )
+    made = {
+        "status": status, "sequence_outcome": sequence, "same_call_outcome": same_call,
+        "required_total": total, "required_verified": verified, "optional_total": count(False), "optional_verified": count(False, True),
+        "verified": ids(VERIFIED), "failed": ids(FAILED), "unavailable": ids(UNAVAILABLE), "unsupported": ids(UNSUPPORTED),
+        "abstain_reasons": F.when(status == ABSTAIN, reasons).otherwise(none), "unresolved_attributes": F.array_distinct(unresolved),
+        "explanation": explanation, "chain": chain,
+    }
+    return F.struct(*(made[k].alias(k) for k in fields or made))
 
 
 def _check(patterns: list[Pattern]) -> None:
@@ -169,11 +170,11 @@ def _check(patterns: list[Pattern]) -> None:
             p.polarity(i)  # a contradiction is an error, whatever the traces
 
 
-def _findings(pos: int, p: Pattern, cited: Column, facts: dict[int, Column | None]) -> Column:
+def _findings(pos: int, p: Pattern, cited: Column, facts: dict[int, Column | None], fields: tuple[str, ...] | None = None) -> Column:
     """An array with the finding of each candidate."""
 
     def finding(c: Column, i: Column) -> Column:
-        g = grounding(p, facts, c)
+        g = grounding(p, facts, c, fields)
         named = {"pattern_pos": pos, "pattern_id": p.id, "pattern_version": p.version, "pattern_family": p.family, "pattern_severity": p.severity}
         return F.struct(*(F.lit(v).alias(k) for k, v in named.items()), i.alias("candidate_pos"), c.alias("bindings"), g.alias("g"))
 
@@ -183,7 +184,7 @@ def _findings(pos: int, p: Pattern, cited: Column, facts: dict[int, Column | Non
 _FLAT = ("trace_id", "pattern_pos", "pattern_id", "pattern_version", "pattern_family", "pattern_severity", "candidate_pos", "bindings", "g.*")
 
 
-def _found(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
+def _found(traces: DataFrame, patterns: list[Pattern], fields: tuple[str, ...] | None) -> DataFrame:
     """Trace rows with the findings of pattern i in column _found{i}."""
     _check(patterns)
     rows, facts = with_facts(traces, [p.check_bounds() for p in patterns])
@@ -195,13 +196,14 @@ def _found(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
         return None if c.kind not in VERIFIERS else F.col(f"_seen{i}_{k}") if f"_seen{i}_{k}" in others else facts[i][k]
 
     return rows.withColumns(
-        {f"_found{i}": _findings(i, p, F.col(f"_cited{i}"), {k: seen(i, k, c) for k, c in enumerate(p.clauses)}) for i, p in enumerate(patterns)}
+        {f"_found{i}": _findings(i, p, F.col(f"_cited{i}"), {k: seen(i, k, c) for k, c in enumerate(p.clauses)}, fields) for i, p in enumerate(patterns)}
     )
 
 
-def match_and_ground(traces: DataFrame, patterns: list[Pattern], ids: bool = True) -> DataFrame:
-    """One row for each candidate of each pattern, with its grounding: one projection of the traces, no shuffle."""
-    found = _found(traces, patterns).select("trace_id", F.inline(F.concat(*(f"_found{i}" for i in range(len(patterns))))))
+def match_and_ground(traces: DataFrame, patterns: list[Pattern], ids: bool = True, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each candidate of each pattern, with its grounding: one projection of the traces, no
+    shuffle. Where only some fields of the grounding are wanted, naming them saves making the others."""
+    found = _found(traces, patterns, fields).select("trace_id", F.inline(F.concat(*(f"_found{i}" for i in range(len(patterns))))))
     return candidate_id(found.select(*_FLAT)) if ids else found.select(*_FLAT)
 
 
@@ -217,7 +219,7 @@ def outcomes(traces: DataFrame, patterns: list[Pattern]) -> DataFrame:
         family = F.when(F.size(statuses) > 0, p.family)
         return F.struct(F.lit(i).alias("pattern_pos"), family.alias("pattern_family"), F.size(statuses).cast("long").alias("candidates"), best.alias("actual"))
 
-    return _found(traces, patterns).select("trace_id", F.inline(F.array(*(one(i, p) for i, p in enumerate(patterns)))))
+    return _found(traces, patterns, ("status",)).select("trace_id", F.inline(F.array(*(one(i, p) for i, p in enumerate(patterns)))))
 
 
 class GroundingError(ValueError):

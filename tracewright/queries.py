@@ -257,7 +257,8 @@ def _candidate_query(p: Callable[[], Pattern], source: Query = lens.traces) -> Q
 
 def _grounding_query(p: Callable[[], Pattern], source: Query = lens.traces) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = match_and_ground(source(spark, sf_dir), [p()], ids=False)
+        wanted = ("status", "required_total", "required_verified", "explanation", "abstain_reasons")
+        found = match_and_ground(source(spark, sf_dir), [p()], ids=False, fields=wanted)
         return found.select("trace_id", "candidate_pos", "status", "required_total", "required_verified", "explanation", F.size("abstain_reasons").alias("n_reasons"))
 
     return run
@@ -305,7 +306,7 @@ def grounding_fabricated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shipped patterns on all traces: statuses, and the registry entries of their families."""
     patterns = list(shipped())
-    counts = match_and_ground(lens.traces(spark, sf_dir), patterns, ids=False).groupBy("pattern_id", "pattern_family", "status").agg(F.count("*").alias("n"))
+    counts = match_and_ground(lens.traces(spark, sf_dir), patterns, ids=False, fields=("status",)).groupBy("pattern_id", "pattern_family", "status").agg(F.count("*").alias("n"))
     named = DEFAULT.attach(counts, [p.family for p in patterns])
     return named.select("pattern_id", "status", "n", F.array_join(F.transform("taxonomy", lambda t: t["code"]), ",").alias("codes"))
 
@@ -349,7 +350,7 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By grouping findings, as a suite does; scored_results has the same without a shuffle."""
     traces = lens.traces(spark, sf_dir)
-    best = metrics.strongest(match_and_ground(traces, _scored(), ids=False), "trace_id", "pattern_pos")
+    best = metrics.strongest(match_and_ground(traces, _scored(), ids=False, fields=("status",)), "trace_id", "pattern_pos")
     every = traces.select("trace_id", F.explode(F.array(*(F.lit(i) for i in range(len(SCORED))))).alias("pattern_pos"))
     rows = every.join(best, ["trace_id", "pattern_pos"], "left")
     names = F.array(*map(F.lit, SCORED))
