@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where the session names none, a temporary one if all runs on one machine; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewright-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
