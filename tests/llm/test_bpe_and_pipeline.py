@@ -145,5 +145,5 @@ def test_run_keeps_clean_documents(spark, tables):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert ngram_join.NGRAM == 3 and line_dedup.MIN_DOCS == 3 and byte_bpe.WINDOW > byte_bpe.OVERLAP

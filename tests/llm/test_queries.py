@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "labels"):
+    for t in ("documents", "embeddings", "conversations", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     wanted = con.sql(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, DIR).toPandas()[list(wanted.columns)]
