@@ -92,6 +92,26 @@ def test_runs_settle_and_compact(spark):
         runs.add(keys((d, 3, 3)))
     assert len(runs.levels) >= 2
     assert sorted((r["h1"], r["max_doc"]) for r in runs.compact().collect()) == [(1, 9), (2, 9), (3, 7)]
+    runs.drop()
+    assert not left_over(spark)
+
+
+def left_over(spark):
+    return [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_no_run_is_left_where_a_batch_fails(spark, documents, monkeypatch):
+    added = line_dedup.LineRuns.add
+
+    def add(runs, keys):
+        if runs.runs:
+            raise RuntimeError("lost")
+        added(runs, keys)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", add)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.dedup_lines(documents([(i, f"a line that is long enough, {i % 2}") for i in range(20)]))
+    assert not left_over(spark)
 
 
 @pytest.mark.parametrize("heavy", [line_dedup.HEAVY, 0])
@@ -102,4 +122,4 @@ def test_heavy_lines_are_dropped_alike_and_no_table_is_left(spark, documents, mo
     rows = [(i, f"line number {i} of its own\n{common}\nsecond line shared by some, {i % 7}") for i in range(60)] + [(None, common), (3, common), (99, None)]
     got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(documents(rows)).collect()), key=repr)
     assert got == plain_dedup(rows)
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    assert not left_over(spark)

@@ -19,7 +19,7 @@ from .common import WHITESPACE, Scratch, ascii_lower, parallelism
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
-HEAVY = 1024  # keys that hold over one in so many of all lines: fewer than so many keys, whatever the input
+HEAVY = 1024  # keys that hold over one in so many of the repeated lines: fewer than so many keys, whatever the input
 HASH = ["h1", "h2"]
 
 
@@ -116,18 +116,8 @@ def _batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return [*out, docs.where((F.col("doc_id") < cuts[-1]) | F.col("doc_id").isNull())]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (without the dropped lines), n_lines, n_dropped and the columns `keep`, for each row.
-
-    A line whose key at least `min_docs` documents hold stays only in the document with the
-    largest id that holds it (there, all its copies stay). Rows that share an id count as one
-    document but are returned one by one; all rows without an id count as one document, with
-    an id below any other. Null and empty text is one empty line; of very long texts every
-    line counts. Other columns are ignored. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
-    runs = LineRuns(spark, min_docs)
+def _dropped(docs: DataFrame, runs: LineRuns, min_chars: int, batches: int) -> DataFrame:
+    """doc_id, body, gone (places of the lines that go) for texts that lose any; all batches are added to `runs`."""
     for part in _batches(docs, batches):
         runs.add(line_keys(part, min_chars).select("doc_id", *HASH).distinct())  # a document holds a key once
     hot = runs.compact()
@@ -140,14 +130,30 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     spread = F.when(F.col("top").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "body", "pos"))
     lines = lines.select("doc_id", "body", "pos", "top", spread.alias("h1"), F.when(F.col("top").isNull(), F.col("h2")).alias("h2"))
     last = F.coalesce("top", "max_doc")
-    gone = (
+    return (
         lines.join(hot, HASH, "left")
         .where(last.isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < last)))
         .groupBy("doc_id", "body")
         .agg(F.collect_set("pos").alias("gone"))
     )
-    gone = runs.scratch.save(gone, "gone")
-    runs.drop()
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (without the dropped lines), n_lines, n_dropped and the columns `keep`, for each row.
+
+    A line whose key at least `min_docs` documents hold stays only in the document with the
+    largest id that holds it (there, all its copies stay). Rows that share an id count as one
+    document but are returned one by one; all rows without an id count as one document, with
+    an id below any other. Null and empty text is one empty line; of very long texts every
+    line counts. Other columns are ignored. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
+    runs = LineRuns(spark, min_docs)
+    try:
+        gone = runs.scratch.save(_dropped(docs, runs, min_chars, batches), "gone")
+    finally:
+        runs.drop()
     whole = docs.withColumn("body", F.xxhash64("text")).alias("d")
     joined = whole.join(
         gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.body") == F.col("g.body")), "left"
