@@ -221,6 +221,15 @@ def test_passages_are_found_to_their_edges(spark, documents):
     assert all(got[i] == ([at[i][0]], [at[i][1]], [i - 1]) for i in got)
 
 
+@pytest.mark.parametrize("even", [20_000, 50_000, 100_000])
+def test_repeats_go_on_over_long_stretches_without_a_cut(spark, documents, even):
+    rng = random.Random(even)
+    passage = f"{_random_text(rng, 40)} {'=' * even} {_random_text(rng, 40)}"
+    rows = [(1, f"{_random_text(rng, 30)}\n{passage}\n{_random_text(rng, 30)}"), (2, f"{_random_text(rng, 50)}\t{passage}\t{_random_text(rng, 20)}")]
+    (r,) = substring_dedup.repeated_spans(documents(rows)).collect()
+    assert rows[1][1].encode()[r["span_starts"][0] : r["span_ends"][-1]].decode() == passage and r["n_spans"] == 1
+
+
 def test_texts_that_share_an_id_have_spans_of_their_own(spark, documents):
     rng = random.Random(12)
     passage = _random_text(rng, 60)

@@ -81,7 +81,7 @@ def before(data: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 
 def marks(texts: DataFrame, mean: int, least: int, size: int) -> DataFrame:
     """digest (of the `size` bytes before a cut), doc_id, t, at, gaps (bytes to the cuts before and
-    after, in two halves) for each cut of each text; of cuts of one text with equal digests the first."""
+    after, in the upper and lower half) for each cut of each text; of cuts of one text with equal digests the first."""
 
     def run(batches):
         for b in batches:
@@ -92,16 +92,16 @@ def marks(texts: DataFrame, mean: int, least: int, size: int) -> DataFrame:
                 for i, (doc, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("t").to_pylist())):
                     own = data[offsets[i] : offsets[i + 1]]
                     ends = cuts(own, mean, least)
-                    gap = np.minimum(np.diff(ends, prepend=0, append=len(own)), 0x7FFF)
+                    gap = np.diff(ends, prepend=0, append=len(own)).astype(np.int64)
                     keep = ends >= size
-                    ends, gap = ends[keep], ((gap[:-1] << 16) | gap[1:])[keep]
+                    ends, gap = ends[keep], ((gap[:-1] << 32) | gap[1:])[keep]
                     digest, first = np.unique(before(own, ends, size), return_index=True)
-                    gaps.append(gap[first].astype(np.int32))
+                    gaps.append(gap[first])
                     h.append(digest.view(np.int64)), at.append(ends[first].astype(np.int32))
                     ids.append(np.full(len(digest), doc, np.int64)), own_t.append(np.full(len(digest), t, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, ids, own_t, at, gaps)], ["digest", "doc_id", "t", "at", "gaps"])
 
-    return texts.select("doc_id", "t", "text").mapInArrow(run, "digest long, doc_id long, t long, at int, gaps int")
+    return texts.select("doc_id", "t", "text").mapInArrow(run, "digest long, doc_id long, t long, at int, gaps long")
 
 
 RUNS = "doc_id long, t long, first_doc long, first_t long, shift int, start int, end int, back int, ahead int"
@@ -122,7 +122,7 @@ def _runs(size: int, least: int):
                 at, first, first_t, shift, gaps = at[order], first[order], first_t[order], shift[order], gaps[order]
                 same = (first[1:] == first[:-1]) & (first_t[1:] == first_t[:-1]) & (shift[1:] == shift[:-1]) & (np.diff(at) <= size)
                 starts, ends = np.flatnonzero(np.append(True, ~same)[: len(at)]), np.flatnonzero(np.append(~same, True)[: len(at)])
-                back, ahead = np.maximum(gaps[starts] >> 16, least - size), np.maximum(gaps[ends] & 0x7FFF, least - size)
+                back, ahead = np.maximum(gaps[starts] >> 32, least - size), np.maximum(gaps[ends] & 0xFFFFFFFF, least - size)
                 rows += zip([doc] * len(starts), [t] * len(starts), *(x[starts].tolist() for x in (first, first_t, shift, at)), at[ends].tolist(), back.tolist(), ahead.tolist())
             yield _batch(rows, RUNS)
 
