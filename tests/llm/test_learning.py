@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import mixing, quality, toxicity
 from tracewright.llm.common import WORD_CLASS, hash_words, held_out, words
@@ -147,7 +148,7 @@ def test_ftrl_steps_and_dot_products_are_those_of_plain_code(spark, documents):
     rows, labels = corpus(60)
     table = spark.createDataFrame(labels, LABELS)
     model = quality.train(documents(rows), table, bits=10)
-    sample = {r["place"]: r for r in bounded_sample(documents(rows), labelled(table, "quality", 1000), 1000).collect()}
+    sample = {r["place"]: r for r in bounded_sample(documents(rows), labelled(documents(rows), table, "quality", 1000), 1000).collect()}
     make = lambda text: next((f.tolist(), v.tolist()) for _, _, f, v in quality.features(pa.array([text]), 10))
     ftrl, z, s, ys = Ftrl(10), {}, {}, [sample[p]["y"] for p in sorted(sample)]
     prior = math.log(np.mean(ys) / (1 - np.mean(ys)))
@@ -178,7 +179,7 @@ def test_ftrl_steps_and_dot_products_are_those_of_plain_code(spark, documents):
 
 def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     table = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, 1, 0)], LABELS)
-    ids = labelled(table, "quality", 100)
+    ids = labelled(spark.range(9).withColumnRenamed("id", "doc_id"), table, "quality", 100)
     many = spark.range(50_000).selectExpr("1L AS doc_id", "concat('text ', id % 40000) AS text")
     assert bounded_sample(many, ids, 100).count() == 100
     again = bounded_sample(many.repartition(13), ids, 100)
@@ -190,6 +191,17 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     assert 4 <= len(got) <= 5 and sum(got) <= 2_100_000
 
 
+def test_the_sample_is_of_documents_that_are_there(spark, documents):
+    """With a hundred labels for each document, samples are as large as their bounds let them be."""
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 3 = 0 AS INT) AS toxic")
+    docs = documents([(i * 97, f"some text of document {i}") for i in range(1_000)])
+    free = docs.where(~held_out(F.col("doc_id"))).count()
+    assert free > 600
+    assert bounded_sample(docs, labelled(docs, labels, "quality", 500), 500).count() == 500
+    assert bounded_sample(docs, labelled(docs, labels, "toxic", 5_000), 5_000).count() == free
+    assert mixing.sample(docs, labels, mixing.DOMAINS, 500).count() == 500
+
+
 def test_mixing_meets_targets(spark, documents):
     rows, labels = corpus(400)
     table = spark.createDataFrame(labels, LABELS)

@@ -44,7 +44,7 @@ def sample(docs: DataFrame, labels: DataFrame, domains: dict[str, str], most: in
     ids = (
         labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-        .select("doc_id", place.alias("k")).where("k IS NOT NULL")
+        .select("doc_id", place.alias("k")).where("k IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     return bounded_sample(docs, ids, most)
@@ -122,7 +122,7 @@ def fit_rates(soft: DataFrame, weights: list[float], scratch: Scratch, most: flo
     def project(r: Column) -> Column:
         return F.greatest(F.lit(0.0), r) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r))
 
-    state = scratch.save(soft.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "rates")
+    state = written = scratch.save(soft.select("*", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")), "rates")
     momentum, done, push = 1.0, False, 0.0
     for step in range(MOST_STEPS):
         now = state.agg(*(F.sum(F.col("ahead") * x).alias(f"t{k}") for k, x in enumerate(t))).first()
@@ -140,6 +140,8 @@ def fit_rates(soft: DataFrame, weights: list[float], scratch: Scratch, most: flo
         state = moved.withColumn("ahead", project(F.col("next") + (F.col("next") - F.col("rate")) * push)).withColumn("rate", F.col("next")).drop("next")
         if done or (step + 1) % STEPS == 0:
             state = scratch.save(state, "rates")
+            scratch.drop(written)
+            written = state
         if done:
             break
     if off >= TOLERANCE:

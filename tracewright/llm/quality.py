@@ -40,7 +40,7 @@ def featured(sample: DataFrame, bits: int = BITS) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS) -> dict[str, np.ndarray]:
     """Weights from at most `most_rows` labelled documents outside the held-out fold; zeros if there are none."""
     scratch = Scratch(docs.sparkSession)
-    sample = bounded_sample(docs, labelled(labels, label, most_rows), most_rows)
+    sample = bounded_sample(docs, labelled(docs, labels, label, most_rows), most_rows)
     return learn(scratch.save(featured(sample, bits), "features"), Ftrl(bits))
 
 

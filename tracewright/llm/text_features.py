@@ -85,16 +85,17 @@ class Ftrl:
         return out
 
 
-def labelled(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, y of at most `most` labelled ids outside the held-out fold, those with the smallest hashes.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, y of at most `most` labelled ids of `docs` outside the held-out fold, those with the smallest hashes.
 
-    Labels that are null, or that contradict each other for one id, are left out.
+    Labels that are null, or that contradict each other for one id, or of documents that aren't there, are left out.
     """
     return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min(label).alias("y"), F.max(label).alias("top"))
         .where("y = top")
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .select("doc_id", F.col("y").cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)

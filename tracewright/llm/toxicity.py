@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sample = scratch.save(bounded_sample(docs, labelled(labels, label, most_rows), most_rows), "sample")
+    sample = scratch.save(bounded_sample(docs, labelled(docs, labels, label, most_rows), most_rows), "sample")
     shared = spark.sparkContext.broadcast(mine(sample))
 
     def featured(b: pa.RecordBatch, h: np.ndarray, w: np.ndarray) -> list[pa.Array]:
