@@ -8,10 +8,10 @@ from traces import CORPUS, OTHER, SENDER, TRANSFER, VICTIM, call, document, log,
 
 from tracewright.functions import hexcodec
 from tracewright.functions.hexcodec import KIND_CLASSES
-from tracewright.model import CALL, columns_of, to_relations
+from tracewright.model import CALL, array_type, columns_of, to_relations
 from tracewright.operators.enrich import enrich_traces
 from tracewright.sources.calltracer import convert, ingest_call_tracer
-from tracewright.sources.documents import Files, IngestionError, errors_of, flatten, in_memory, ingest, ingest_from, read_files, traces_of
+from tracewright.sources.documents import Files, IngestionError, errors_of, in_memory, ingest, ingest_from, read_files, traces_of
 
 ROOT = call("call", SENDER, VICTIM, writes=[write(VICTIM)], logs=[log(VICTIM, [word(1)], "0x00", 3)])
 
@@ -26,17 +26,36 @@ def changed(path: str, value) -> str:
     return json.dumps(doc)
 
 
-@pytest.mark.parametrize(
-    "doc, kind",
-    [
+def flat(spark, docs):
+    """Ingested rows by trace id, from texts by trace id."""
+    return {r["trace_id"]: r for r in ingest(in_memory(spark, docs)).collect()}
+
+
+def test_errors(spark):
+    wanted = [
         ("{", "MalformedInput"),
         ("[]", "MalformedInput"),
+        ("7", "MalformedInput"),
+        ("", "MalformedInput"),
+        (text(ROOT) + " {}", "MalformedInput"),
+        (text(ROOT) + "]", "MalformedInput"),
+        (text(ROOT) + "}", "MalformedInput"),
+        (text(ROOT) + "], [{}", "MalformedInput"),
+        (text(ROOT).replace('"block"', '"block": {}, "block"'), "MalformedInput"),
         (changed("transaction.extra", 1), "MalformedInput"),
         (changed("root.calls", None), "MalformedInput"),
+        (changed("root.calls", [7]), "MalformedInput"),
+        (changed("root.logs", {}), "MalformedInput"),
+        (changed("root.logs.0.topics", [1]), "MalformedInput"),
+        (changed("root.storageChanges.0.more", "x"), "MalformedInput"),
+        (changed("root.from", 5), "MalformedInput"),
+        (changed("root.from", None), "MalformedInput"),
+        (changed("block", "x"), "MalformedInput"),
         (changed("root.succeeded", "yes"), "MalformedInput"),
         (changed("transaction.hash", "0x12"), "MalformedField"),
         (changed("transaction.status", "Success"), "MalformedField"),
         (changed("transaction.nonce", "0x1" + "0" * 16), "MalformedField"),
+        (changed("transaction.nonce", "0x1\n"), "MalformedField"),
         (changed("transaction.value", "0X1"), "MalformedField"),
         (changed("block.number", ""), "MalformedField"),
         (changed("root.kind", "jump"), "UnsupportedFeature"),
@@ -45,48 +64,84 @@ def changed(path: str, value) -> str:
         (changed("root.value", "0x1" + "0" * 32), "MalformedField"),
         (changed("root.storageChanges.0.contract", OTHER), "InvalidStorageOwnership"),
         (changed("root.logs.0.topics", [word(1)] * 5), "MalformedField"),
+        (changed("root.logs.0.topics", [word(1), "0x1"]), "MalformedField"),
         (changed("root.logs.0.logIndex", "0x100000000"), "MalformedField"),
         (changed("root.logs", [log(VICTIM, [], "0x", 1), log(VICTIM, [], "0x", 1)]), "DuplicateLogIndex"),
         (text(call("call", SENDER, VICTIM, call("staticcall", VICTIM, OTHER, value=1))), "ArenaConstruction"),
-    ],
-)
-def test_errors(doc, kind):
-    with pytest.raises(IngestionError) as e:
-        flatten(doc)
-    assert e.value.kind == kind
+        (changed("root.to", None), "InvalidStorageOwnership"),
+        (changed("block.baseFee", "0xff"), None),
+    ]
+    got = flat(spark, {str(i): doc for i, (doc, _) in enumerate(wanted)})
+    assert [(doc, got[str(i)]["error_kind"]) for i, (doc, _) in enumerate(wanted)] == wanted
+    assert all((got[str(i)]["calls"] is None) == (kind is not None) for i, (_, kind) in enumerate(wanted))
 
 
-def test_first_error_wins():
+def test_first_error_wins(spark):
     doc = document(call("jump", "no", VICTIM, writes=[write(OTHER)]))
-    with pytest.raises(IngestionError, match="jump"):
-        flatten(json.dumps(doc))
-    doc["transaction"]["hash"] = "zz"
-    with pytest.raises(IngestionError, match="transaction.hash"):
-        flatten(json.dumps(doc))
-
-
-def test_ids_depth_and_context_follow_the_tree():
-    inner = call("delegatecall", VICTIM, OTHER, call("callcode", VICTIM, OTHER, writes=[write(VICTIM)]))
-    got = flatten(text(call("call", SENDER, VICTIM, inner, call("create", VICTIM, None, writes=[write(VICTIM, 1)]), data="0xA9059CBB00")))
+    later = copy.deepcopy(doc)
+    later["transaction"]["hash"] = "zz"
+    deep = document(call("call", SENDER, VICTIM, call("call", SENDER, "zz"), call("jump", SENDER, VICTIM), writes=[write(VICTIM, 2) | {"slot": "0x2"}], logs=[log("0x", [], "0x")]))
+    unchanged = copy.deepcopy(deep)
+    unchanged["root"]["storageChanges"] = []
+    unlogged = copy.deepcopy(unchanged)
+    unlogged["root"]["logs"] = []
+    got = flat(spark, {k: json.dumps(d) for k, d in {"kind": doc, "hash": later, "slot": deep, "log": unchanged, "call": unlogged}.items()})
+    assert [k for k, part in (("kind", "jump"), ("hash", "transaction.hash"), ("slot", "storageChange.slot"), ("log", "log.address"), ("call", "call.to")) if part not in got[k]["error"]] == []
+
+
+def test_ids_depth_and_context_follow_the_tree(spark):
+    inner = call("delegatecall", VICTIM, OTHER, call("callcode", VICTIM, OTHER, writes=[write(VICTIM)], logs=[log(OTHER, [], "0x", 4)]))
+    got = flat(spark, {"t": text(call("call", SENDER, VICTIM, inner, call("create", VICTIM, None, writes=[write(VICTIM, 1)], logs=[log(OTHER, [], "0xAB", 2)]), data="0xA9059CBB00"))})["t"]
     assert [(c["call_id"], c["parent_id"], c["depth"], c["kind"]) for c in got["calls"]] == [
         (0, None, 0, "Call"), (1, 0, 1, "DelegateCall"), (2, 1, 2, "CallCode"), (3, 0, 1, "Create"),
     ]
     assert got["calls"][0]["selector"] == "0xa9059cbb" and got["calls"][1]["selector"] is None
     assert [(s["id"], s["call_id"]) for s in got["storage_changes"]] == [(0, 2), (1, 3)]
+    assert [(x["id"], x["call_id"], x["log_index"], x["data"]) for x in got["logs"]] == [(0, 2, 4, ""), (1, 3, 2, "ab")]
 
 
-def test_depth_limit():
-    def deep(n):
-        f = call("call", SENDER, VICTIM)
-        for _ in range(n):
-            f = call("call", SENDER, VICTIM, f)
-        return document(f)
+def _plain_tree(frame, parent=None, depth=0, outer=None, out=None):
+    """A recursive walk: (parent, depth, kind, context) of each call, in visiting order."""
+    out = [] if out is None else out
+    me, context = len(out), outer if frame["kind"] in ("delegatecall", "callcode") else frame["to"] or frame["from"]
+    out.append((parent, depth, frame["kind"], context))
+    for c in frame["calls"]:
+        _plain_tree(c, me, depth + 1, context, out)
+    return out
 
-    from tracewright.sources.documents import flatten_document
 
-    assert len(flatten_document(deep(1024))["calls"]) == 1025
-    with pytest.raises(IngestionError, match="deeper"):
-        flatten_document(deep(1025))
+def test_random_trees_against_a_plain_walk(spark):
+    """Wide, deep and large trees; each call writes to its own context, or the document is refused."""
+    rng, addresses = random.Random(6), [SENDER, VICTIM, OTHER, "0x" + "dd" * 20]
+
+    def tree(n, pick):
+        frames = [call("call" if i == 0 else rng.choice(["call", "delegatecall", "callcode", "create", "staticcall"]), rng.choice(addresses), rng.choice([*addresses, None]) if i else VICTIM) for i in range(n)]
+        for i in range(1, n):
+            frames[pick(i)]["calls"].append(frames[i])
+        return frames[0]
+
+    trees = {f"random{k}": tree(40, lambda i: rng.randrange(i)) for k in range(8)} | {"chain": tree(120, lambda i: i - 1), "wide": tree(300, lambda i: 0), "large": tree(2000, lambda i: rng.randrange(max(0, i - 50), i))}
+    for root in trees.values():
+        left = [(root, None)]
+        while left:
+            f, outer = left.pop()
+            context = outer if f["kind"] in ("delegatecall", "callcode") else f["to"] or f["from"]
+            f["storageChanges"] = [write(context)]
+            left += [(c, context) for c in f["calls"]]
+    got = flat(spark, {k: text(t) for k, t in trees.items()})
+    for k, root in trees.items():
+        wanted = _plain_tree(root)
+        assert got[k]["error"] is None
+        assert [(c["parent_id"], c["depth"], c["kind"].lower()) for c in got[k]["calls"]] == [w[:3] for w in wanted], k
+        assert [(s["call_id"], s["contract"]) for s in got[k]["storage_changes"]] == [(i, w[3]) for i, w in enumerate(wanted)], k
+
+
+def test_nesting_beyond_the_parser_is_malformed(spark):
+    frame, end = text(ROOT).split('"calls": []')
+    docs = {str(n): frame.split('"root": ')[0] + '"root": ' + (json.dumps(call("call", SENDER, VICTIM)).replace('"calls": []}', '"calls": [')) * n + json.dumps(call("call", SENDER, VICTIM)) + "]}" * n + "}" for n in (400, 700)}
+    got = flat(spark, docs)
+    assert len(got["400"]["calls"]) == 401 and got["400"]["calls"][400]["depth"] == 400
+    assert got["700"]["error_kind"] == "MalformedInput"
 
 
 def test_bulk_ingestion_keeps_errors_apart(spark, tmp_path):
@@ -130,14 +185,46 @@ def test_call_tracer(spark):
     frame = {"type": "CALL", "from": SENDER, "to": VICTIM, "value": "0x1", "gas": "0x10", "gasUsed": "0x8", "input": "0xa9059cbb", "calls": [inner]}
     got = convert(json.dumps({"jsonrpc": "2.0", "id": 1, "result": frame}), word(9), "0x2", "0x1")
     assert got["transaction"]["status"] == "success" and got["block"]["timestamp"] == "0x0" and got["root"]["calls"][0]["succeeded"] is False
-    flat = flatten(json.dumps(got))
-    assert [c["value_hex"][-1] for c in flat["calls"]] == ["1", "0"] and flat["calls"][0]["selector"] == "0xa9059cbb"
+    assert [c["value_hex"][-1] for c in flat(spark, {"t": json.dumps(got)})["t"]["calls"]] == ["1", "0"]
     with pytest.raises(IngestionError):
         convert(json.dumps(frame | {"type": "JUMP"}), word(9), "0x2", "0x1")
     with pytest.raises(IngestionError):
         convert("{}", word(9), "0x2", "0x1")
-    rows = ingest_call_tracer(in_memory(spark, {word(9): json.dumps(frame), "bad": "[]"})).collect()
-    assert {r["trace_id"]: r["error_kind"] for r in rows} == {word(9): None, "bad": "MalformedInput"}
+    docs = {word(9): frame, word(8): {"result": frame}, "odd": [], "kind": frame | {"type": "JUMP"}, "gas": frame | {"gas": 5}, "calls": frame | {"calls": {}}, "short": frame}
+    given = [(k, json.dumps(d)) for k, d in docs.items()] + [(None, json.dumps(frame)), (None, None), ("none", None)]
+    rows = ingest_call_tracer(spark.createDataFrame(given, "trace_id string, doc string")).collect()
+    assert sorted((str(r["trace_id"]), r["error_kind"]) for r in rows if r["error_kind"]) == [
+        ("None", "SourceUnavailable"), ("calls", "MalformedInput"), ("gas", "MalformedInput"), ("kind", "UnsupportedFeature"), ("none", "SourceUnavailable"), ("odd", "MalformedInput"),
+    ]
+    good = {r["trace_id"]: r for r in rows if not r["error_kind"]}
+    assert set(good) == {word(9), word(8), "short", None} and good[None]["tx"]["tx_hash"] == word(0) and good[word(9)]["tx"]["tx_hash"] == word(9)
+    assert all([(c["kind"], c["depth"], c["succeeded"], c["selector"]) for c in r["calls"]] == [("Call", 0, True, "0xa9059cbb"), ("StaticCall", 1, False, None)] for r in good.values())
+
+
+def test_a_tracers_context_comes_by_hash(spark):
+    frame = {"type": "CALL", "from": SENDER, "to": VICTIM, "gas": "0x10", "gasUsed": "0x8"}
+    docs = in_memory(spark, {word(1): json.dumps(frame), word(2)[2:].upper(): json.dumps(frame), word(3): json.dumps(frame), "x": json.dumps(frame)})
+    context = spark.createDataFrame(
+        [(word(1), "0x5", "0x6", "0x7", "0x8"), (word(2), "0x9", None, "0x1", None), (word(2), "0xa", "0x1", "0x1", "0x1"), (word(3), "zz", "0x1", "0x1", "0x1"), (None, "0x1", "0x1", "0x1", "0x1"), ("x", "0x1", "0x1", "0x1", "0x1")],
+        "tx_hash string, nonce string, block_number string, block_ts string, chain_id string",
+    )
+    got = {r["trace_id"]: r for r in ingest_call_tracer(docs, "0x20", "0x30", context).collect()}
+    told = {k: r["tx"] and [int(r["tx"][c]) for c in ("nonce", "block_number", "block_ts", "chain_id")] for k, r in got.items()}
+    assert told == {word(1): [5, 6, 7, 8], word(2)[2:].upper(): [9, 32, 1, 48], word(3): None, "x": [0, 32, 0, 48]}
+    assert got[word(3)]["error_kind"] == "MalformedField"
+
+
+def test_a_trace_with_unsound_parents_has_no_facts(spark):
+    """Parents that are not there, come later or go round, next to sound traces in one batch: nothing leaks and nothing hangs."""
+    names = columns_of(CALL)
+
+    def trace(parents):
+        return [tuple({"call_id": i, "parent_id": p, "kind": "Call", "from_addr": "0x1", "to_addr": "0x2", "succeeded": True}.get(n) for n in names) for i, p in enumerate(parents)]
+
+    given = {"good": [None, 0, 1], "missing": [None, 3], "circle": [None, 2, 1], "self": [None, 1], "below": [None, -2], "forward": [None, 2, 0], "last": [None, 0]}
+    rows = spark.createDataFrame([(k, trace(p)) for k, p in given.items()], f"trace_id string, calls {array_type('calls')}").coalesce(1)
+    got = {r["trace_id"]: r["calls"] and [c["reentrant"] for c in r["calls"]] for r in enrich_traces(rows).collect()}
+    assert got == {k: None for k in given} | {"good": [False, True, True], "last": [False, True]}
 
 
 def _plain_facts(calls):

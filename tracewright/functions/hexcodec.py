@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_U128_HEX = "f" * 32
-_NUMBER = r"^(?:0x)?\+?([0-9a-fA-F]+)$"
+_NUMBER = r"^(?:0x)?\+?([0-9a-fA-F]+)\z"
 
 
 def digits(c: Column) -> Column:
@@ -38,7 +38,7 @@ def u128_decimal(amount: Column) -> Column:
 
 
 def _fixed(c: Column, width: int) -> Column:
-    found = F.regexp_extract(c, f"^(?:0x)?([0-9a-fA-F]{{{width}}})$", 1)
+    found = F.regexp_extract(c, rf"^(?:0x)?([0-9a-fA-F]{{{width}}})\z", 1)
     return F.when(found != "", F.concat(F.lit("0x"), F.lower(found)))
 
 
@@ -50,16 +50,21 @@ def word(c: Column) -> Column:
     return _fixed(c, 64)
 
 
+def byte_digits(data: Column) -> Column:
+    """The lower-case digits of whole bytes; null for an odd number of digits or other characters."""
+    d = F.regexp_replace(data, "^0x", "")
+    return F.when((F.length(d) % 2 == 0) & ~d.rlike("[^0-9a-fA-F]"), F.lower(d))
+
+
 def selector(data: Column) -> Column:
     """The first four bytes of call data, where there are as many."""
-    found = F.regexp_extract(data, r"^(?:0x)?([0-9a-fA-F]{8})(?:[0-9a-fA-F]{2})*$", 1)
-    return F.when(found != "", F.concat(F.lit("0x"), F.lower(found)))
+    d = byte_digits(data)
+    return F.when(F.length(d) >= 8, F.concat(F.lit("0x"), F.substring(d, 1, 8)))
 
 
 def raw(data: Column) -> Column:
     """Bytes; null for an odd number of digits or other characters."""
-    d = F.regexp_replace(data, "^0x", "")
-    return F.when(F.length(d) % 2 == 0, F.try_to_binary(d, F.lit("hex")))
+    return F.unhex(byte_digits(data))
 
 
 # The call kinds of a trace, and the class by which patterns name them.

@@ -47,18 +47,24 @@ def _walked(calls: pa.Array) -> pa.Array:
     first = np.concatenate([[0], np.cumsum(size)])
     flat, start = calls.flatten(), np.repeat(first[:-1], size)
     field = lambda k, empty: pc.fill_null(flat.field(k), empty).to_numpy(zero_copy_only=False)
-    parent = field("parent_id", -1).astype(np.int64)
-    parent = np.where(parent >= 0, parent + start, -1)
+    parent, own = field("parent_id", -1).astype(np.int64), np.arange(len(flat)) - start
+    unsound = ((parent < 0) & pc.is_valid(flat.field("parent_id")).to_numpy(zero_copy_only=False)) | (parent >= own) & (parent >= 0)
+    broken = np.zeros(len(size), bool)
+    broken[np.repeat(np.arange(len(size)), size)[unsound]] = True
+    parent = np.where((parent >= 0) & ~unsound, parent + start, -1)
     target = pc.fill_null(flat.field("to_addr").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
     reentrant, above, context = walk_up(parent, target, field("bit", 0).astype(np.int32), field("borrowed", False).astype(bool))
     parts = [pa.array(reentrant), pa.array(above, pa.int32()), pa.array((context - start).astype(np.int32))]
     found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(_WALKED)))
-    return pc.if_else(pc.is_valid(calls), found, pa.scalar(None, pa.list_(_WALKED))) if calls.null_count else found
+    good = pc.and_(pc.is_valid(calls), pa.array(~broken))
+    return found if broken.sum() + calls.null_count == 0 else pc.if_else(good, found, pa.scalar(None, pa.list_(_WALKED)))
 
 
 def enrich_traces(traces: DataFrame) -> DataFrame:
     """Trace rows whose calls have, besides their own fields, reentrant, above (classes of the calls
-    above, as bits), parent_kind and context. Ids of calls are dense, from 0."""
+    above, as bits), parent_kind and context. Ids of calls are dense, from 0. A trace in which a
+    parent does not come before its call (later, missing, or in a circle) has null calls, and with that
+    no findings; integrity.first_error names what is wrong with it."""
     slim = F.transform(
         "calls",
         lambda c: F.struct(c["parent_id"].alias("parent_id"), c["to_addr"].alias("to_addr"), kind_bit(c["kind"]).alias("bit"), F.coalesce(c["kind"].isin(*BORROWED), F.lit(False)).alias("borrowed")),

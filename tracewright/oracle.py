@@ -243,6 +243,43 @@ ORACLE_SQL["ingest_calls"] = _sql(
 FROM k JOIN e USING (trace_id) JOIN c r ON r.trace_id = k.trace_id AND r.call_id = 0 WHERE e.error_kind = 'none'""",
     _DOCUMENTS,
 )
+_TREE = """, tree(trace_id, call_id, path, depth, ctx) AS (
+  SELECT trace_id, call_id, [call_id], 0, to_n FROM k WHERE parent_id IS NULL
+  UNION ALL
+  SELECT k.trace_id, k.call_id, list_append(tree.path, k.call_id), tree.depth + 1,
+         CASE WHEN k.kind IN ('DelegateCall', 'CallCode') THEN tree.ctx ELSE k.to_n END
+  FROM tree JOIN k ON k.trace_id = tree.trace_id AND k.parent_id = tree.call_id
+), visited AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INTEGER) AS place FROM tree
+)"""
+ORACLE_SQL["ingest_nested_calls"] = _sql(
+    """SELECT v.trace_id, v.place AS call_id, k.kind, v.depth, '0x' || lpad(lower(to_hex(k.sel)), 8, '0') AS selector, lpad(lower(to_hex(k.amount)), 32, '0') AS value_hex,
+  '0x' || lpad(lower(to_hex(v.ctx)), 40, '0') AS context, coalesce(p.place, -1) AS parent_id,
+  CAST((SELECT count(*) FROM st WHERE st.trace_id = v.trace_id AND st.call_id = v.call_id) AS INTEGER) AS n_changes
+FROM visited v JOIN k USING (trace_id, call_id) LEFT JOIN visited p ON p.trace_id = v.trace_id AND p.call_id = k.parent_id""",
+    _TREE,
+)
+ORACLE_SQL["ingest_call_tracer"] = _sql(
+    """SELECT '0x' || lpad(lower(to_hex(o.o_orderkey)), 64, '0') AS trace_id, e.error_kind,
+  CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 0 ELSE o.o_custkey END AS nonce,
+  CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 7 ELSE CAST(floor(o.o_totalprice) AS BIGINT) END AS block_number,
+  CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 0 ELSE CAST(epoch(o.o_orderdate) AS BIGINT) END AS block_ts,
+  CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 1 ELSE 5 END AS chain_id,
+  CASE WHEN e.error_kind <> 'none' THEN 'none' WHEN r.succeeded THEN 'Success' ELSE 'Reverted' END AS status,
+  CASE WHEN e.error_kind <> 'none' THEN '' ELSE e.calls END AS calls
+FROM orders o JOIN k r ON r.trace_id = o.o_orderkey AND r.call_id = 0 JOIN e ON e.trace_id = o.o_orderkey""",
+    _TREE
+    + """, e AS (
+  SELECT v.trace_id, CASE WHEN v.trace_id % 7 = 3 THEN 'MalformedInput' WHEN v.trace_id % 11 = 3 THEN 'UnsupportedFeature' ELSE 'none' END AS error_kind,
+         string_agg(v.depth || ':' || lower(k.kind) || ':' || k.succeeded, ';' ORDER BY v.place) AS calls
+  FROM visited v JOIN k USING (trace_id, call_id) GROUP BY v.trace_id
+)""",
+)
+ORACLE_SQL["broken_relations"] = _sql(
+    """SELECT trace_id, error, CAST(CASE WHEN error = 'none' THEN n ELSE -1 END AS INTEGER) AS n_reentrant FROM (
+  SELECT trace_id, count(*) FILTER (reentrant) AS n, CASE WHEN trace_id % 6 IN (1, 3) AND count(*) > 1 OR trace_id % 6 = 2 AND count(*) > 1 THEN 'forward-parent' ELSE 'none' END AS error
+  FROM ec GROUP BY trace_id)"""
+)
 ORACLE_SQL["evidence_chain"] = _sql(
     """SELECT trace_id, candidate_pos, clause, name, outcome, CASE WHEN outcome = 'Verified' THEN fact END AS fact, category FROM (
   SELECT p.*, q.clause, q.name, CASE WHEN q.clause = 0 OR b LIKE '%Log%' THEN 'Verified' ELSE 'Unavailable' END AS outcome,

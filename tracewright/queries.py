@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hexcodec import kind_class
-from .model import Relations, to_relations
+from .model import Relations, to_relations, to_traces
 from .operators import integrity, metrics
-from .operators.enrich import enriched_calls
+from .operators.enrich import enrich_traces, enriched_calls
 from .operators.ground import ground, match_and_ground, outcomes
 from .operators.match import find_candidates
 from .operators.predicates import SOURCES, select_facts
 from .operators.taxonomy import DEFAULT
 from .plans.compiler import Pattern, compile_pattern
 from .sources import lens
+from .sources.calltracer import ingest_call_tracer
 from .sources.documents import ingest, traces_of
 from .sources.library import EXAMPLES, SHIPPED, load_pattern_file, load_patterns
 
@@ -219,6 +220,46 @@ def ingest_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select(F.col("trace_id").cast("long").alias("trace_id"), "call_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "kind", "depth", "succeeded", "selector", "value_hex", "context")
 
 
+@query("ingest_nested_calls")
+def ingest_nested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose calls nest as they were made: ids in visiting order, contexts inherited over levels."""
+    found = traces_of(ingest(lens.nested_documents(lens.raw_traces(spark, sf_dir))))
+    changes = lambda c: F.size(F.filter("storage_changes", lambda s: (s["call_id"] == c["call_id"]) & (s["contract"] == c["context"])))
+    rows = found.select(F.col("trace_id").cast("long").alias("trace_id"), F.explode(F.transform("calls", lambda c: F.struct(c.alias("c"), changes(c).alias("n_changes")))).alias("x"))
+    named = {n: F.col(f"x.c.{n}") for n in ("call_id", "kind", "depth", "selector", "value_hex", "context")}
+    return rows.select("trace_id", *(c.alias(n) for n, c in named.items()), F.coalesce("x.c.parent_id", F.lit(-1)).alias("parent_id"), "x.n_changes")
+
+
+@query("ingest_call_tracer")
+def ingest_tracer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tracer's output with receipts joined by hash. One in five transactions has no receipt; one in seven documents is cut short, one in eleven has another kind of call at its root."""
+    docs = lens.tracer_documents(lens.raw_traces(spark, sf_dir))
+    k = F.conv(F.substring("trace_id", -12, 12), 16, 10).cast("long")
+    doc = F.col("doc")
+    spoiled = docs.withColumn("doc", F.when(k % 7 == 3, F.substring(doc, F.lit(1), F.length(doc) - 1)).when(k % 11 == 3, F.regexp_replace(doc, '"result":\\{"type":"CALL"', '"result":{"type":"JUMP"')).otherwise(doc))
+    known = lens.receipts(spark, sf_dir).where(F.conv(F.substring("tx_hash", -12, 12), 16, 10).cast("long") % 5 != 0)
+    rows = ingest_call_tracer(spoiled, block_number="0x7", context=known)
+    number = lambda c: F.coalesce(F.col(f"tx.{c}").cast("long"), F.lit(-1))
+    calls = F.transform("calls", lambda c: F.concat_ws(":", c["depth"].cast("string"), F.lower(c["kind"]), c["succeeded"].cast("string")))
+    return rows.select(
+        "trace_id", F.coalesce("error_kind", F.lit("none")).alias("error_kind"), number("nonce").alias("nonce"), number("block_number").alias("block_number"),
+        number("block_ts").alias("block_ts"), number("chain_id").alias("chain_id"), F.coalesce("tx.status", F.lit("none")).alias("status"), F.coalesce(F.array_join(calls, ";"), F.lit("")).alias("calls"),
+    )
+
+
+@query("broken_relations")
+def broken_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations in which one trace in six has a call whose parent comes later, one in six a circle of two, one in six a parent
+    that is not there: error rows, and no facts; the others have their re-entries."""
+    r = lens.relations(spark, sf_dir)
+    k, own = F.col("trace_id") % 6, F.col("call_id")
+    parent = F.when((k == 1) & (own == 1), own + 1).when((k == 2) & own.isin(1, 2), 3 - own).when((k == 3) & (own == 1), 1000).otherwise(F.col("parent_id"))
+    rows = to_traces(Relations(r.tx, r.calls.withColumn("parent_id", parent), r.storage_changes, r.logs, r.token_transfers))
+    checked = enrich_traces(rows.withColumn("error", integrity.first_error(check_depth=False)))
+    again = F.size(F.filter("calls", lambda c: c["reentrant"]))
+    return checked.select("trace_id", F.coalesce("error", F.lit("none")).alias("error"), F.coalesce(again, F.lit(-1)).alias("n_reentrant"))
+
+
 # ------------------------------------------------------------------ matching and grounding
 
 _TRANSFER = lens.TRANSFER_TOPIC

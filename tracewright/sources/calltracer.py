@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .documents import _KINDS, IngestionError, _decode, flatten_document, ingest
+from ..functions.hexcodec import KIND_CLASSES, word
+from ..model import fields_of
+from .documents import FRAMES, WRITTEN, IngestionError, error, facts_of, fields, list_of, parse, part, text_of, unfolded, with_made
 
+_KINDS = {k.lower() for k in KIND_CLASSES}
 _CALL_FIELDS = {"to": "to", "input": "input"}
 
 
@@ -51,13 +55,52 @@ def _frame(root: dict) -> dict:
     return out
 
 
-def ingest_call_tracer(documents: DataFrame, block_number: str = "0x0", chain_id: str = "0x1") -> DataFrame:
-    """Rows of (trace_id, doc); the trace id is taken for the transaction hash if it is one, else the hash is zero."""
+# Fields of a tracer's frame that must be texts, and those that may be missing or null.
+NEEDED, OPTIONAL = ("type", "from", "gas", "gasUsed"), ("to", "value", "input")
+ZERO_HASH = "0x" + "0" * 64
 
-    def read(text: str, trace: str) -> dict:
-        given = trace.lower().removeprefix("0x")
-        tx_hash = "0x" + (given if len(given) == 64 and set(given) <= set("0123456789abcdef") else "0" * 64)
-        document = convert(text, tx_hash, block_number, chain_id)
-        return flatten_document(_decode(json.dumps(document)), trace)
 
-    return ingest(documents, read)
+def tracer_frame(x: Column) -> list[Column]:
+    """The columns of documents.WRITTEN for a tracer's frame."""
+    kind = lambda n: F.schema_of_variant(part(x, n))
+    odd = [F.when(~F.coalesce(kind(n) == "STRING", F.lit(False)), n) for n in NEEDED]
+    odd += [F.when(part(x, n).isNotNull() & ~kind(n).isin("STRING", "VOID"), n) for n in OPTIONAL]
+    odd.append(F.when(part(x, "calls").isNotNull() & list_of(x, "calls").isNull() & (kind("calls") != "VOID"), "calls"))
+    named = {
+        "kind": F.lower(text_of(x, "type")), "from": text_of(x, "from"), "to": text_of(x, "to"), "value": F.coalesce(F.nullif(text_of(x, "value"), F.lit("")), F.lit("0x0")),
+        "gasLimit": text_of(x, "gas"), "gasUsed": text_of(x, "gasUsed"), "succeeded": F.coalesce(kind("error") == "VOID", F.lit(True)), "input": text_of(x, "input"),
+        "changes": F.lit(None), "logs": F.lit(None), "malformed": F.concat(F.lit("not a call tracer frame: field `"), F.coalesce(*odd), F.lit("`")),
+    }
+    return [c.cast(kind).alias(n) for (n, c), (_, kind) in zip(named.items(), fields_of(WRITTEN))]
+
+
+def ingest_call_tracer(documents: DataFrame, block_number: str = "0x0", chain_id: str = "0x1", context: DataFrame | None = None) -> DataFrame:
+    """Rows of (trace_id, doc); the trace id is taken for the transaction hash if it is one, else the hash is zero.
+
+    `context` has what the tracer does not say: rows of tx_hash, nonce, block_number, block_ts, chain_id (texts in
+    hex, as receipts and blocks have them), joined by hash. Where it has no row, or null, nonce and time are zero
+    and block and chain the ones given. Of several rows for a hash the smallest counts. A null document is an
+    error row, a null trace id no hash.
+    """
+    own = documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc")
+    own = own.withColumn("tx_hash", F.coalesce(word(F.col("trace_id")), F.lit(ZERO_HASH)))
+    told = ("nonce", "block_number", "block_ts", "chain_id")
+    if context is None:
+        own = own.withColumns({k: F.lit(None).cast("string") for k in told})
+    else:
+        rows = context.select(word(F.col("tx_hash")).alias("tx_hash"), F.struct(*told).alias("c")).where("tx_hash IS NOT NULL")
+        own = own.join(rows.groupBy("tx_hash").agg(F.min("c").alias("c")), "tx_hash", "left").select("trace_id", "doc", "tx_hash", "c.*")
+    reply = parse(F.col("doc"))
+    frame = F.when(fields(part(F.col("reply"), "result")).isNotNull(), part(F.col("reply"), "result")).otherwise(F.col("reply"))
+    rows = with_made(with_made(own, v=reply).withColumnRenamed("v", "reply"), v=frame)
+    malformed = F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null")).when(F.col("v").isNull(), error("MalformedInput", "not a call tracer frame"))
+    rows = with_made(rows, malformed=malformed)
+    frames = F.when(F.col("malformed").isNull(), unfolded(F.col("v"), F.col("doc"), tracer_frame)).otherwise(F.array().cast(FRAMES))
+    rows = with_made(rows, frames=frames)
+    root = F.get("frames", F.lit(0))
+    zero = {"nonce": "0x0", "block_number": block_number, "block_ts": "0x0", "chain_id": chain_id}
+    given = {
+        "tx_hash": F.col("tx_hash"), "from_addr": root["from"], "to_addr": root["to"], "value_hex": root["value"], "gas_used": root["gasUsed"],
+        "status": F.when(root["succeeded"], "success").otherwise("reverted"), "base_fee_hex": F.lit(None).cast("string"), **{k: F.coalesce(F.col(k), F.lit(v)) for k, v in zero.items()},
+    }
+    return facts_of(rows.select("trace_id", "malformed", "frames", F.struct(*(v.alias(k) for k, v in given.items())).alias("given")))

@@ -1,41 +1,44 @@
-"""Trace documents (JSON text) to trace rows.
+"""Trace documents (JSON text) to trace rows, in columns.
 
-A document is a recursive tree of call frames, which no fixed schema can describe, and the
-first error in document order must win; so one Arrow-batched pass reads each document,
-checks it strictly and lays it flat. What needs no recursion (decoding transfers, the facts
-that depend on ancestors) follows as column expressions.
+A document is a tree of call frames. It is parsed to a variant and unfolded level by level inside
+its row: the frames of a level are read, their children are the next level, each with its path.
+Sorted by path, frames stand in the order in which a walk through the tree visits them; one fold in
+that order gives parents, storage contexts and ids. Checks are columns, too: the first that fails, in
+the document's order, is the row's error.
 """
 
 from __future__ import annotations
 
-import json
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hexcodec import KIND_CLASSES, topic_address
-from ..model import TRANSFER, TX, array_type, struct_type
-from ..operators.enrich import enrich_traces
+from ..functions.hexcodec import address, byte_digits, call_kind, selector, topic_address, u64, u128, word
+from ..model import CALL, LOG, STORAGE, TX, array_type, columns_of, struct_type
+from ..operators.enrich import BORROWED, enrich_traces
 
 MAX_DEPTH = 1024
 # Fixed value: the signature hash of Transfer(address,address,uint256).
 TRANSFER_TOPIC = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
-_KINDS = {k.lower(): k for k in KIND_CLASSES}
-_STATUS = {"success": "Success", "reverted": "Reverted"}
-
-_FIELDS = {  # (required, optional) fields of each object
-    "document": ({"transaction", "block", "root"}, set()),
-    "transaction": ({"hash", "from", "value", "nonce", "gasUsed", "status"}, {"to"}),
-    "block": ({"number", "timestamp", "chainId"}, {"baseFee"}),
-    "call": ({"kind", "from", "value", "gasLimit", "gasUsed", "succeeded"}, {"to", "input", "storageChanges", "logs", "calls"}),
-    "storage change": ({"contract", "slot", "before", "after"}, set()),
-    "log": ({"address", "topics", "data", "logIndex"}, set()),
-}
+ERROR = "struct<kind: string, detail: string>"
+
+# Fields of each object: their type, with ? where they may be missing; nullable ones may be null as well.
+OBJECTS = {
+    "document": {"transaction": "object", "block": "object", "root": "object"},
+    "transaction": {"hash": "text", "from": "text", "to": "text?", "value": "text", "nonce": "text", "gasUsed": "text", "status": "text"},
+    "block": {"number": "text", "timestamp": "text", "chainId": "text", "baseFee": "text?"},
+    "call": {
+        "kind": "text", "from": "text", "to": "text?", "value": "text", "gasLimit": "text", "gasUsed": "text", "succeeded": "flag", "input": "text?",
+        "storageChanges": "list?", "logs": "list?", "calls": "list?",
+    },
+    "storage change": {"contract": "text", "slot": "text", "before": "text", "after": "text"},
+    "log": {"address": "text", "topics": "list", "data": "text", "logIndex": "text"},
+}
+NULLABLE = ("to", "baseFee", "input")
 
 
 class IngestionError(ValueError):
@@ -47,201 +50,266 @@ class IngestionError(ValueError):
         super().__init__(f"{kind}: {detail}")
 
 
-def _bad(name: str, value: object, why: str) -> IngestionError:
-    return IngestionError("MalformedField", f"field `{name}` has an invalid value `{value}`: {why}")
-
-
-def _number(name: str, value: str, bits: int) -> int:
-    m = re.fullmatch(r"(?:0x)?\+?([0-9a-fA-F]+)", value, re.ASCII)
-    if not m:
-        raise _bad(name, value, "not a hex number")
-    if (n := int(m[1], 16)) >> bits:
-        raise _bad(name, value, f"does not fit {bits} bits")
-    return n
-
-
-def _fixed(name: str, value: str, size: int) -> str:
-    m = re.fullmatch(rf"(?:0x)?([0-9a-fA-F]{{{2 * size}}})", value, re.ASCII)
-    if not m:
-        raise _bad(name, value, f"not {size} bytes of hex")
-    return "0x" + m[1].lower()
-
-
-def _bytes(name: str, value: str) -> str:
-    m = re.fullmatch(r"(?:0x)?((?:[0-9a-fA-F]{2})*)", value, re.ASCII)
-    if not m:
-        raise _bad(name, value, "not whole bytes of hex")
-    return m[1].lower()
-
-
-def _amount(name: str, value: str) -> str:
-    return f"{_number(name, value, 128):032x}"
-
-
-def _shape(x: object, kind: str, nullable: tuple[str, ...] = ("to", "baseFee", "input")) -> dict:
-    required, optional = _FIELDS[kind]
-    if not isinstance(x, dict):
-        raise IngestionError("MalformedInput", f"a {kind} must be an object")
-    if unknown := x.keys() - required - optional:
-        raise IngestionError("MalformedInput", f"unknown field `{min(unknown)}` in a {kind}")
-    if missing := required - x.keys():
-        raise IngestionError("MalformedInput", f"missing field `{min(missing)}` in a {kind}")
-    for k, v in x.items():
-        lists = {"storageChanges", "logs", "calls", "topics"}
-        want = list if k in lists else bool if k == "succeeded" else dict if k in ("transaction", "block", "root") else str
-        if not isinstance(v, want) and not (v is None and k in nullable and k in optional):
-            raise IngestionError("MalformedInput", f"field `{k}` of a {kind} has the wrong type")
-    return x
-
-
-def _decode(text: str) -> dict:
-    """Strict JSON, checked through all levels before anything is read from it."""
-
-    def once(pairs):
-        if len(d := dict(pairs)) < len(pairs):
-            raise IngestionError("MalformedInput", "duplicate field")
-        return d
-
-    try:
-        doc = _shape(json.loads(text, object_pairs_hook=once), "document")
-    except (ValueError, RecursionError, TypeError) as e:
-        raise e if isinstance(e, IngestionError) else IngestionError("MalformedInput", str(e) or type(e).__name__) from None
-    _shape(doc["transaction"], "transaction"), _shape(doc["block"], "block")
-    left = [doc["root"]]
-    while left:
-        frame = _shape(left.pop(), "call")
-        for x in frame.get("storageChanges", ()):
-            _shape(x, "storage change")
-        for x in frame.get("logs", ()):
-            if not all(isinstance(t, str) for t in _shape(x, "log")["topics"]):
-                raise IngestionError("MalformedInput", "topics must be strings")
-        left += reversed(frame.get("calls", ()))
-    return doc
-
-
-def flatten(text: str, source: str = "") -> dict:
-    """One document to {tx, calls, storage_changes, logs}. The first error in document order is raised."""
-    return flatten_document(_decode(text), source)
-
-
-def flatten_document(doc: dict, source: str = "") -> dict:
-    t, b = doc["transaction"], doc["block"]
-    tx = {
-        "tx_hash": _fixed("transaction.hash", t["hash"], 32),
-        "from_addr": _fixed("transaction.from", t["from"], 20),
-        "to_addr": None if t.get("to") is None else _fixed("transaction.to", t["to"], 20),
-        "value_hex": _amount("transaction.value", t["value"]),
-        "nonce": _number("transaction.nonce", t["nonce"], 64),
-        "gas_used": _number("transaction.gasUsed", t["gasUsed"], 64),
-    }
-    if t["status"] not in _STATUS:
-        raise _bad("transaction.status", t["status"], "neither success nor reverted")
-    tx |= {
-        "status": _STATUS[t["status"]],
-        "block_number": _number("block.number", b["number"], 64),
-        "block_ts": _number("block.timestamp", b["timestamp"], 64),
-        "chain_id": _number("block.chainId", b["chainId"], 64),
-        "base_fee_hex": None if b.get("baseFee") is None else _amount("block.baseFee", b["baseFee"]),
-        "source": source,
-    }
-    calls, changes, logs, used = [], [], [], set()
-    left: list[tuple[dict, int | None, int, str | None, str]] = [(doc["root"], None, 0, None, "root")]
-    while left:
-        f, parent, depth, outer, path = left.pop()
-        if depth > MAX_DEPTH:
-            raise IngestionError("UnsupportedFeature", f"calls nest deeper than {MAX_DEPTH}")
-        kind = _KINDS.get(f["kind"].lower())
-        if kind is None:
-            raise IngestionError("UnsupportedFeature", f"call kind `{f['kind']}`")
-        me = len(calls)
-        call = {
-            "call_id": me, "parent_id": parent, "kind": kind, "depth": depth,
-            "from_addr": _fixed("call.from", f["from"], 20),
-            "to_addr": None if f.get("to") is None else _fixed("call.to", f["to"], 20),
-            "value_hex": _amount("call.value", f["value"]),
-            "gas_limit": _number("call.gasLimit", f["gasLimit"], 64),
-            "gas_used": _number("call.gasUsed", f["gasUsed"], 64),
-            "succeeded": f["succeeded"],
-        }
-        data = _bytes("call.input", f["input"]) if f.get("input") is not None else ""
-        calls.append(call | {"selector": "0x" + data[:8] if len(data) >= 8 else None})
-        if kind in ("DelegateCall", "CallCode"):
-            if outer is None:
-                raise IngestionError("UnsupportedFeature", "the root call borrows code, so it has no storage context")
-            context = outer
-        else:
-            context = call["to_addr"] or call["from_addr"]
-        for s in f.get("storageChanges", ()):
-            contract = _fixed("storageChange.contract", s["contract"], 20)
-            if contract != context:
-                raise IngestionError("InvalidStorageOwnership", f"the call at {path} declares {contract}; its storage context is {context}")
-            words = {k: _fixed(f"storageChange.{k}", s[k], 32) for k in ("slot", "before", "after")}
-            changes.append({"id": len(changes), "call_id": me, "contract": contract} | words)
-        for x in f.get("logs", ()):
-            index = _number("log.logIndex", x["logIndex"], 64)
-            if index in used:
-                raise IngestionError("DuplicateLogIndex", f"log index {index} appears more than once")
-            used.add(index)
-            log = {"id": len(logs), "call_id": me, "address": _fixed("log.address", x["address"], 20), "topics": [_fixed("log.topics", w, 32) for w in x["topics"]]}
-            if len(x["topics"]) > 4:
-                raise _bad("log.topics", len(x["topics"]), "more than four topics")
-            log["data"] = _bytes("log.data", x["data"])
-            if index >> 32:
-                raise _bad("log.logIndex", x["logIndex"], "does not fit 32 bits")
-            logs.append(log | {"log_index": index})
-        left += [(c, me, depth + 1, context, f"{path}.{i}") for i, c in reversed(list(enumerate(f.get("calls", ()))))]
-    for c in calls:
-        if c["kind"] == "StaticCall" and int(c["value_hex"], 16):
-            raise IngestionError("ArenaConstruction", f"static call {c['call_id']} carries value")
-    return {"tx": tx, "calls": calls, "storage_changes": changes, "logs": logs}
-
-
-_ARROW = {
-    "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "decimal(20,0)": pa.decimal128(20, 0), "array<string>": pa.list_(pa.string()),
-}
+# ------------------------------------------------------------------ variants
+
+
+def parse(text: Column) -> Column:
+    """A text that is one JSON object, as a variant; else null. Fields that come twice are no JSON here.
+
+    The parser stops after the first value; so the text is parsed inside a list and inside an object,
+    and what follows a value can be right in one of them only.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    nested = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = F.get(listed, F.lit(0))
+    return F.when((F.size(listed) == 1) & nested.isNotNull() & fields(one).isNotNull(), one)
+
+
+def fields(x: Column) -> Column:
+    """The names of an object's fields; null if it is none."""
+    return F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+
+
+def part(x: Column, name: str) -> Column:
+    return F.try_variant_get(x, f"$.{name}", "variant")
+
+
+def text_of(x: Column, name: str) -> Column:
+    """A field's text; null if it is missing or no text."""
+    return F.when(F.schema_of_variant(part(x, name)) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
 
 
-def _arrow(schema: str) -> pa.DataType:
-    from ..model import fields_of
+def list_of(x: Column, name: str) -> Column:
+    return F.try_variant_get(x, f"$.{name}", "array<variant>")
 
-    return pa.struct([(name, _ARROW[kind]) for name, kind in fields_of(schema)])
 
+def _of_type(x: Column, name: str, kind: str) -> Column:
+    if kind == "list":
+        return list_of(x, name).isNotNull()
+    if kind == "object":
+        return fields(part(x, name)).isNotNull()
+    return F.schema_of_variant(part(x, name)) == {"text": "STRING", "flag": "BOOLEAN"}[kind]
 
-def flatten_batches(read):
-    """An Arrow pass over (trace_id, doc) rows; `read` turns a text and its trace id into facts."""
-    from decimal import Decimal
 
-    from ..model import CALL, LOG, STORAGE
+def misshapen(x: Column, what: str) -> Column:
+    """What is wrong with an object's fields; null if nothing is."""
+    spec, names = OBJECTS[what], fields(x)
+    needed = [n for n, kind in spec.items() if not kind.endswith("?")]
+    unknown = F.get(F.array_sort(F.array_except(names, F.array(*map(F.lit, spec)))), F.lit(0))
+    missing = F.get(F.array_sort(F.array_except(F.array(*map(F.lit, needed)), names)), F.lit(0))
+    wrong = []
+    for n, kind in spec.items():
+        fits = _of_type(x, n, kind.rstrip("?"))
+        if n in NULLABLE:
+            fits = fits | (F.schema_of_variant(part(x, n)) == "VOID")
+        if kind.endswith("?"):
+            fits = fits | part(x, n).isNull()
+        wrong.append(F.when(~F.coalesce(fits, F.lit(False)), f"field `{n}` of a {what} has the wrong type"))
+    return F.coalesce(
+        F.when(names.isNull(), f"a {what} must be an object"),
+        F.concat(F.lit("unknown field `"), unknown, F.lit(f"` in a {what}")),
+        F.concat(F.lit("missing field `"), missing, F.lit(f"` in a {what}")),
+        *wrong,
+    )
 
-    def exact(row: dict, names: tuple[str, ...]) -> dict:
-        return row | {n: Decimal(row[n]) for n in names}
 
-    def run(batches):
-        for b in batches:
-            columns: dict[str, list] = {k: [] for k in ("tx", "calls", "storage_changes", "logs", "error_kind", "error")}
-            for trace, text in zip(b.column("trace_id").to_pylist(), b.column("doc")):
-                try:
-                    if (doc := text.as_py()) is None:
-                        raise IngestionError("SourceUnavailable", "the document is null")
-                    facts = read(doc, trace)
-                    facts["tx"] = exact(facts["tx"], ("nonce", "gas_used", "block_number", "block_ts", "chain_id"))
-                    facts["calls"] = [exact(c, ("gas_limit", "gas_used")) for c in facts["calls"]]
-                    found = facts | {"error_kind": None, "error": None}
-                except IngestionError as e:
-                    found = {"tx": None, "calls": None, "storage_changes": None, "logs": None, "error_kind": e.kind, "error": e.detail.encode(errors="replace").decode()}
-                for k in columns:
-                    columns[k].append(found[k])
-            types = {"tx": _arrow(TX), "calls": pa.list_(_arrow(CALL)), "storage_changes": pa.list_(_arrow(STORAGE)), "logs": pa.list_(_arrow(LOG))}
-            arrays = [pa.array(v, types.get(k, pa.string())) for k, v in columns.items()]
-            yield pa.RecordBatch.from_arrays([b.column("trace_id"), *arrays], ["trace_id", *columns])
+def first_of(found: Column) -> Column:
+    """The first element that is not null."""
+    return F.get(F.filter(found, lambda e: e.isNotNull()), F.lit(0))
 
-    return run
 
+# ------------------------------------------------------------------ frames as they are written
 
-ROW = (
-    f"trace_id string, tx {struct_type(TX)}, calls {array_type('calls')}, storage_changes {array_type('storage_changes')}, "
-    f"logs {array_type('logs')}, error_kind string, error string"
+CHANGE_TEXTS, LOG_TEXTS = ("contract", "slot", "before", "after"), ("address", "data", "logIndex")
+WRITTEN = (
+    "kind string, from string, to string, value string, gasLimit string, gasUsed string, succeeded boolean, input string, "
+    "changes array<struct<contract: string, slot: string, before: string, after: string>>, "
+    "logs array<struct<topics: array<string>, address: string, data: string, logIndex: string>>, malformed string"
 )
+_LEVEL = "array<struct<path: array<int>, frame: variant>>"
+FRAMES = f"array<{struct_type('path array<int>, ' + WRITTEN)}>"
+
+
+def document_frame(x: Column) -> list[Column]:
+    """The columns of WRITTEN for a document's frame."""
+
+    def texts(y: Column, names) -> list[Column]:
+        return [text_of(y, n).alias(n) for n in names]
+
+    topics = lambda y: F.transform(list_of(y, "topics"), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")))
+    changes, logs = list_of(x, "storageChanges"), list_of(x, "logs")
+    inside = lambda y: F.coalesce(misshapen(y, "log"), F.when(F.exists(topics(y), lambda t: t.isNull()), "topics must be strings"))
+    return [
+        *texts(x, ("kind", "from", "to", "value", "gasLimit", "gasUsed")), F.try_variant_get(x, "$.succeeded", "boolean").alias("succeeded"), text_of(x, "input").alias("input"),
+        F.transform(changes, lambda y: F.struct(*texts(y, CHANGE_TEXTS))).alias("changes"),
+        F.transform(logs, lambda y: F.struct(topics(y).alias("topics"), *texts(y, LOG_TEXTS))).alias("logs"),
+        F.coalesce(misshapen(x, "call"), first_of(F.transform(changes, lambda y: misshapen(y, "storage change"))), first_of(F.transform(logs, inside))).alias("malformed"),
+    ]
+
+
+def unfolded(root: Column, text: Column, frame: Callable[[Column], list[Column]]) -> Column:
+    """All frames below a root, in visiting order: path and WRITTEN. No level is without a bracket in the text."""
+
+    def read(level: Column) -> Column:
+        return F.transform(level, lambda x: F.struct(x["path"].alias("path"), *frame(x["frame"])))
+
+    def below(level: Column) -> Column:
+        def children(x: Column) -> Column:
+            own = F.coalesce(list_of(x["frame"], "calls"), F.array().cast("array<variant>"))
+            return F.transform(own, lambda c, i: F.struct(F.array_append(x["path"], i).alias("path"), c.alias("frame")))
+
+        return F.flatten(F.transform(level, children))
+
+    start = F.struct(F.array().cast(FRAMES).alias("done"), F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("frame"))).cast(_LEVEL).alias("next"))
+    step = lambda at: F.struct(F.concat(at["done"], read(at["next"])).cast(FRAMES).alias("done"), below(at["next"]).cast(_LEVEL).alias("next"))
+    levels = F.sequence(F.lit(0), F.least(F.lit(MAX_DEPTH + 1), F.regexp_count(text, F.lit(r"\["))))
+    return F.aggregate(levels, start, lambda at, _: F.when(F.size(at["next"]) == 0, at).otherwise(step(at)), lambda at: F.array_sort(at["done"]))
+
+
+def with_made(rows: DataFrame, **made: Column) -> DataFrame:
+    """Rows with more columns, each made once. As generated columns they are not written out again in
+    every expression, or pushed filter, that names them."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in made.items())))))
+
+
+# ------------------------------------------------------------------ facts and errors of a row
+
+_PLACE = "struct<parent: int, context: string, changes: int, logs: int>"
+_ABOVE = "array<struct<id: int, context: string>>"
+
+
+def placed(frames: Column) -> Column:
+    """For each frame, in visiting order: its parent, its storage context (none for a root that borrows code), and the
+    changes and logs before it. The frames above the one at hand are kept as a stack."""
+
+    def step(at: Column, f: Column) -> Column:
+        me, depth = F.size(at["out"]), F.size(f["path"])
+        up = F.get(at["above"], depth - 1)
+        borrowed = F.coalesce(call_kind(f["kind"]).isin(*BORROWED), F.lit(False))
+        context = F.when(borrowed, up["context"]).otherwise(F.coalesce(address(f["to"]), address(f["from"])))
+        place = F.struct(up["id"].alias("parent"), context.alias("context"), at["changes"].alias("changes"), at["logs"].alias("logs"))
+        n = lambda name: (at[name] + F.greatest(F.lit(0), F.size(f[name]))).cast("int").alias(name)
+        above = F.array_append(F.slice(at["above"], F.lit(1), depth), F.struct(me.alias("id"), context.alias("context")))
+        return F.struct(above.cast(_ABOVE).alias("above"), n("changes"), n("logs"), F.array_append(at["out"], place.cast(_PLACE)).alias("out"))
+
+    start = F.struct(F.array().cast(_ABOVE).alias("above"), F.lit(0).alias("changes"), F.lit(0).alias("logs"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    return F.aggregate(frames, start, step, lambda at: at["out"])
+
+
+def error(kind: str, *detail: Column | str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.concat(*(F.lit(d) if isinstance(d, str) else F.coalesce(d, F.lit("")) for d in detail)).alias("detail"))
+
+
+def _field(name: str, given: Column, value: Column, why: str) -> Column:
+    """The error of a field that is there but could not be read."""
+    return F.when(given.isNotNull() & value.isNull(), error("MalformedField", f"field `{name}` has an invalid value `", given, f"`: {why}"))
+
+
+_U64, _U128, _ADDRESS, _WORD, _BYTES = (
+    (u64, "no hex number of 64 bits"), (u128, "no hex number of 128 bits"), (address, "no 20 bytes of hex"), (word, "no 32 bytes of hex"), (byte_digits, "no whole bytes of hex"),
+)
+
+
+def _status(c: Column) -> Column:
+    return F.when(c == "success", "Success").when(c == "reverted", "Reverted")
+
+
+# How each field of a transaction is read: its name in TX and in a document.
+_TX = {
+    "tx_hash": ("transaction.hash", _WORD), "from_addr": ("transaction.from", _ADDRESS), "to_addr": ("transaction.to", _ADDRESS), "value_hex": ("transaction.value", _U128),
+    "nonce": ("transaction.nonce", _U64), "gas_used": ("transaction.gasUsed", _U64), "status": ("transaction.status", (_status, "neither success nor reverted")),
+    "block_number": ("block.number", _U64), "block_ts": ("block.timestamp", _U64), "chain_id": ("block.chainId", _U64), "base_fee_hex": ("block.baseFee", _U128),
+}
+# A call's fields in CALL, in the order in which they are checked: the name in a document, and how they are read.
+_CALL = {
+    "from_addr": ("from", _ADDRESS), "to_addr": ("to", _ADDRESS), "value_hex": ("value", _U128), "gas_limit": ("gasLimit", _U64), "gas_used": ("gasUsed", _U64),
+    "selector": ("input", (byte_digits, _BYTES[1])),
+}
+
+
+def _change_error(given: Column, s: Column, path: Column, context: Column) -> Column:
+    own = F.when(s["contract"] != context, error("InvalidStorageOwnership", "the call at ", path, " declares ", s["contract"], "; its storage context is ", context))
+    contract = _field("storageChange.contract", given["contract"], s["contract"], _ADDRESS[1])
+    return F.coalesce(contract, own, *(_field(f"storageChange.{k}", given[k], s[k], _WORD[1]) for k in ("slot", "before", "after")))
+
+
+def _log_error(given: Column, x: Column, indexes: Column, many: Column) -> Column:
+    """indexes: of all of the trace's logs, looked through only where some come twice."""
+    index = x["log_index"]
+    again = F.when(many, F.array_position(indexes, index) <= x["id"])
+    topic = F.get(given["topics"], F.array_position(F.transform(x["topics"], lambda t: t.isNull()), F.lit(True)).cast("int") - 1)
+    return F.coalesce(
+        _field("log.logIndex", given["logIndex"], index, _U64[1]),
+        F.when(F.coalesce(again, F.lit(False)), error("DuplicateLogIndex", "log index ", index.cast("string"), " appears more than once")),
+        _field("log.address", given["address"], x["address"], _ADDRESS[1]),
+        F.when(topic.isNotNull(), error("MalformedField", "field `log.topics` has an invalid value `", topic, f"`: {_WORD[1]}")),
+        F.when(F.size(x["topics"]) > 4, error("MalformedField", "field `log.topics` has more than four topics")),
+        _field("log.data", given["data"], x["data"], _BYTES[1]),
+        F.when(index >= 1 << 32, error("MalformedField", "field `log.logIndex` has an invalid value `", given["logIndex"], "`: no hex number of 32 bits")),
+    )
+
+
+def _frame_error(f: Column, c: Column, p: Column) -> Column:
+    """f: the frame as it is written, c: the call made of it, p: its place. Its changes and logs follow those of the frames before it."""
+    path = F.concat_ws(".", F.lit("root"), F.transform(f["path"], lambda i: i.cast("string")))
+    values = [(name, c[k] if k != "selector" else byte_digits(f[name]), how[1]) for k, (name, how) in _CALL.items()]
+    return F.coalesce(
+        F.when(F.size(f["path"]) > MAX_DEPTH, error("UnsupportedFeature", f"calls nest deeper than {MAX_DEPTH}")),
+        F.when(c["kind"].isNull(), error("UnsupportedFeature", "call kind `", f["kind"], "`")),
+        *(_field(f"call.{name}", f[name], value, why) for name, value, why in values),
+        F.when(c["kind"].isin(*BORROWED) & p["context"].isNull(), error("UnsupportedFeature", "the root call borrows code, so it has no storage context")),
+        first_of(F.transform(f["changes"], lambda s, i: _change_error(s, F.get("storage_changes", p["changes"] + i), path, p["context"]))),
+        first_of(F.transform(f["logs"], lambda x, i: _log_error(x, F.get("read_logs", p["logs"] + i), F.col("indexes"), F.col("many")))),
+    )
+
+
+def _call(f: Column, p: Column, me: Column) -> Column:
+    made = {k: how[0](f[name]) for k, (name, how) in _CALL.items()}
+    made |= {"call_id": me, "parent_id": p["parent"], "kind": call_kind(f["kind"]), "depth": F.size(f["path"]), "succeeded": f["succeeded"], "selector": selector(f["input"])}
+    return F.struct(*(made[k].alias(k) for k in columns_of(CALL)))
+
+
+def _change(s: Column, p: Column, me: Column, i: Column) -> Column:
+    made = {"id": p["changes"] + i, "call_id": me, "contract": address(s["contract"]), "slot": word(s["slot"]), "before": word(s["before"]), "after": word(s["after"])}
+    return F.struct(*(made[k].alias(k) for k in columns_of(STORAGE)))
+
+
+def _log(x: Column, p: Column, me: Column, i: Column) -> Column:
+    made = {"id": p["logs"] + i, "call_id": me, "address": address(x["address"]), "topics": F.transform(x["topics"], word), "data": byte_digits(x["data"]), "log_index": u64(x["logIndex"])}
+    return F.struct(*(made[k].alias(k) for k in columns_of(LOG)))
+
+
+def facts_of(rows: DataFrame) -> DataFrame:
+    """Rows of trace_id, given (the fields of TX as they are written), frames and malformed (an error found on reading;
+    null: none) to rows of trace_id, the trace's facts, error_kind and error. A trace with an error has no facts."""
+    f, places = F.col("frames"), F.col("places")
+    given = lambda k: F.col(f"given.{k}")
+
+    def all_of(name: str, one) -> Column:
+        own = F.transform(f, lambda x, me: F.transform(x[name], lambda y, i: one(y, F.get(places, me), me, i)))
+        return F.flatten(F.filter(own, lambda a: a.isNotNull()))
+
+    tx = {k: how[0](given(k)) for k, (_, how) in _TX.items()} | {"source": F.col("trace_id")}
+    read = with_made(
+        with_made(rows, places=placed(f)),
+        tx=F.struct(*(tx[k].alias(k) for k in columns_of(TX))), calls=F.transform(f, lambda x, me: _call(x, F.get(places, me), me)),
+        storage_changes=all_of("changes", _change), read_logs=all_of("logs", _log),
+    )
+    read = with_made(read, indexes=F.transform("read_logs", lambda x: x["log_index"]))
+    read = with_made(read, many=F.size(F.array_distinct("indexes")) < F.size("indexes"))
+    static = F.get(F.filter("calls", lambda c: (c["kind"] == "StaticCall") & (c["value_hex"] != "0" * 32)), F.lit(0))["call_id"]
+    problem = F.coalesce(
+        F.col("malformed"),
+        first_of(F.transform(f, lambda x: F.when(x["malformed"].isNotNull(), error("MalformedInput", x["malformed"])))),
+        *(_field(name, given(k), F.col(f"tx.{k}"), how[1]) for k, (name, how) in _TX.items()),
+        first_of(F.transform(f, lambda x, me: _frame_error(x, F.get("calls", me), F.get(places, me)))),
+        F.when(static.isNotNull(), error("ArenaConstruction", "static call ", static.cast("string"), " carries value")),
+    )
+    logs = F.transform("read_logs", lambda x: x.withField("log_index", x["log_index"].cast("long"))).cast(array_type("logs"))
+    made = {"tx": F.col("tx").cast(struct_type(TX)), "calls": F.col("calls").cast(array_type("calls")), "storage_changes": F.col("storage_changes").cast(array_type("storage_changes")), "logs": logs}
+    good = F.col("problem").isNull()
+    out = with_made(read, problem=problem).select("trace_id", *(F.when(good, c).alias(k) for k, c in made.items()), F.col("problem.kind").alias("error_kind"), F.col("problem.detail").alias("error"))
+    return out.withColumn("token_transfers", decode_transfers(F.col("logs")))
 
 
 def decode_transfers(logs: Column) -> Column:
@@ -265,10 +333,20 @@ def decode_transfers(logs: Column) -> Column:
     ).cast(array_type("token_transfers"))
 
 
-def ingest(documents: DataFrame, read=flatten) -> DataFrame:
+def ingest(documents: DataFrame) -> DataFrame:
     """(trace_id, doc) to rows of trace_id, error_kind, error and the trace; a trace with an error has no facts."""
-    flat = documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc").mapInArrow(flatten_batches(read), ROW)
-    return flat.withColumn("token_transfers", decode_transfers(F.col("logs")))
+    v = F.col("v")
+    parsed = with_made(documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc"), v=parse(F.col("doc")))
+    shapes = [misshapen(v, "document"), *(misshapen(part(v, k), k) for k in ("transaction", "block"))]
+    malformed = (
+        F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null"))
+        .when(v.isNull(), error("MalformedInput", "not one JSON object"))
+        .otherwise(F.when(F.coalesce(*shapes).isNotNull(), error("MalformedInput", F.coalesce(*shapes))))
+    )
+    given = [text_of(part(v, name.split(".")[0]), name.split(".")[1]).alias(k) for k, (name, _) in _TX.items()]
+    read = with_made(parsed, malformed=malformed, given=F.struct(*given), root=part(v, "root"))
+    frames = F.when(F.col("malformed").isNull(), unfolded(F.col("root"), F.col("doc"), document_frame)).otherwise(F.array().cast(FRAMES))
+    return facts_of(with_made(read, frames=frames).select("trace_id", "malformed", "given", "frames"))
 
 
 def traces_of(ingested: DataFrame) -> DataFrame:
@@ -307,9 +385,9 @@ class InMemory:
         return spark.createDataFrame(list(self.texts.items()), "trace_id string, doc string")
 
 
-def ingest_from(spark: SparkSession, source: TraceSource, read=flatten) -> DataFrame:
+def ingest_from(spark: SparkSession, source: TraceSource) -> DataFrame:
     """The documents of a source, ingested."""
-    return ingest(source.documents(spark), read)
+    return ingest(source.documents(spark))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

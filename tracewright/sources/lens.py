@@ -133,3 +133,80 @@ def documents(rows: DataFrame) -> DataFrame:
     root = F.struct(*frame(F.get("calls", F.lit(0))), inner.alias("calls"))
     doc = F.struct(F.struct(*(v.alias(k) for k, v in transaction.items())).alias("transaction"), F.struct(*(v.alias(k) for k, v in block.items())).alias("block"), root.alias("root"))
     return rows.select("trace_id", F.to_json(doc).alias("doc"))
+
+
+# ------------------------------------------------------------------ trees of calls
+
+
+def contexts(calls: Column) -> Column:
+    """The storage context of each call of sound traces, by a fold: parents come first."""
+
+    def own(seen: Column, c: Column) -> Column:
+        borrowed = F.coalesce(c["kind"].isin(*BORROWED), F.lit(False)) & c["parent_id"].isNotNull()
+        return F.array_append(seen, F.when(borrowed, F.get(seen, c["parent_id"])).otherwise(F.coalesce(c["to_addr"], c["from_addr"])))
+
+    return F.aggregate(calls, F.array().cast("array<string>"), own)
+
+
+def nested(calls: Column, objects: Column) -> Column:
+    """The objects (JSON texts) of a trace's calls as one text: each holds those of its own calls. Made from the last call backwards."""
+
+    def step(held: Column, i: Column) -> Column:
+        own, parent = F.get(objects, i), F.coalesce(F.get(calls, i)["parent_id"], F.lit(-1))
+        text = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"calls":['), F.get(held, i), F.lit("]}"))
+
+        def put(x: Column, j: Column) -> Column:
+            return F.when(j == parent, F.concat(text, F.when(x == "", "").otherwise(","), x)).when((parent < 0) & (j == i), text).otherwise(x)
+
+        return F.transform(held, put)
+
+    n = F.size(calls)
+    return F.get(F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), F.transform(objects, lambda _: F.lit("")), step), F.lit(0))
+
+
+def nested_documents(rows: DataFrame) -> DataFrame:
+    """Trace rows as documents (trace_id, doc) whose calls nest as they were made."""
+    t = F.col("tx")
+
+    def frame(c: Column, i: Column) -> Column:
+        changes = F.transform(
+            F.filter("storage_changes", lambda s: s["call_id"] == c["call_id"]),
+            lambda s: F.struct(F.get("contexts", i).alias("contract"), s["slot"].alias("slot"), s["before"].alias("before"), s["after"].alias("after")),
+        )
+        named = {
+            "kind": F.lower(c["kind"]), "from": c["from_addr"], "to": c["to_addr"], "value": F.concat(F.lit("0x"), c["value_hex"]), "gasLimit": F.lit("0x0"), "gasUsed": F.lit("0x0"),
+            "succeeded": c["succeeded"], "input": c["selector"], "storageChanges": changes,
+        }
+        return F.to_json(F.struct(*(v.alias(k) for k, v in named.items())))
+
+    transaction = {"hash": t["tx_hash"], "from": t["from_addr"], "value": F.lit("0x0"), "nonce": F.lit("0x0"), "gasUsed": F.lit("0x0"), "status": F.lower(t["status"])}
+    head = F.struct(*(v.alias(k) for k, v in transaction.items()))
+    block = F.struct(F.concat(F.lit("0x"), F.hex(t["block_number"].cast("long"))).alias("number"), F.lit("0x0").alias("timestamp"), F.lit("0x1").alias("chainId"))
+    made = rows.withColumn("contexts", contexts(F.col("calls"))).withColumn("objects", F.transform("calls", frame))
+    parts = (F.lit('{"transaction":'), F.to_json(head), F.lit(',"block":'), F.to_json(block), F.lit(',"root":'), nested(F.col("calls"), F.col("objects")), F.lit("}"))
+    return made.select("trace_id", F.concat(*parts).alias("doc"))
+
+
+def tracer_documents(rows: DataFrame) -> DataFrame:
+    """Trace rows as a call tracer writes them: (trace_id: the transaction's hash, doc)."""
+
+    def frame(c: Column) -> Column:
+        named = {
+            "type": F.upper(c["kind"]), "from": c["from_addr"], "to": c["to_addr"], "value": F.concat(F.lit("0x"), F.ltrim(c["value_hex"], F.lit("0")), F.when(c["value_hex"] == "0" * 32, "0").otherwise("")),
+            "gas": F.lit("0x5208"), "gasUsed": F.lit("0x1"), "input": F.concat(c["selector"], F.lit("00")), "output": F.lit("0x"), "error": F.when(~c["succeeded"], "execution reverted"),
+        }
+        return F.to_json(F.struct(*(v.alias(k) for k, v in named.items())))
+
+    made = rows.withColumn("objects", F.transform("calls", frame))
+    reply = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"result":'), nested(F.col("calls"), F.col("objects")), F.lit("}"))
+    return made.select(F.col("tx.tx_hash").alias("trace_id"), reply.alias("doc"))
+
+
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tracer does not say of a transaction, from the orders: tx_hash, nonce, block_number, block_ts, chain_id."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = lambda c: F.concat(F.lit("0x"), F.hex(c))
+    return orders.select(
+        _word(F.col("o_orderkey")).alias("tx_hash"), text(F.col("o_custkey").cast("long")).alias("nonce"), text(F.floor("o_totalprice")).alias("block_number"),
+        text(F.unix_timestamp("o_orderdate")).alias("block_ts"), F.lit("0x5").alias("chain_id"),
+    )
