@@ -1,13 +1,17 @@
 """Matching and grounding on hand-written traces, against outcomes and against plain Python."""
 
+import bisect
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from traces import CORPUS, HELPER, OTHER, SENDER, VICTIM, call, log, text, word, write
 
 from tracewright import analysis
+from tracewright.model import CALL, STORAGE, TX, array_type, columns_of, struct_type
 from tracewright.operators import ground as grounding
+from tracewright.operators.enrich import enrich_traces
 from tracewright.operators.fingerprint import fnv1a, message
 from tracewright.operators.ground import GroundingError, ground, match_and_ground
 from tracewright.operators.match import find_candidates
@@ -192,21 +196,54 @@ def test_random_trees_against_plain_walks(spark):
 def test_large_traces(spark):
     a, b = f"0x{1:040x}", f"0x{2:040x}"
     chain = None
-    for i in range(1000):
+    for i in range(450):
         up, to = (a, b) if i % 2 else (b, a)
         chain = call("call", up, to, *([chain] if chain else []), writes=[write(to)])
-    from traces import document
-
-    from tracewright.sources.documents import ROW, decode_transfers, flatten_batches, flatten_document
-
-    deep = document(chain)
-    rows = spark.createDataFrame([("deep", "x")], "trace_id string, doc string").mapInArrow(flatten_batches(lambda _t, _i: flatten_document(deep)), ROW)
-    rows = traces_of(rows.withColumn("token_transfers", decode_transfers(F.col("logs"))))
-    assert find_candidates(rows, [pattern("required a: call(kind: External, reentrant: true) required s: storage(changed: true)", "sequence: [a, s]")]).count() == 998
+    rows = traces(spark, chain)
+    assert find_candidates(rows, [pattern("required a: call(kind: External, reentrant: true) required s: storage(changed: true)", "sequence: [a, s]")]).count() == 448
     wide = call("call", SENDER, a, *(call("call", a, b, call("call", SENDER, a, writes=[write(a)])) for _ in range(200)))
     assert match_and_ground(traces(spark, wide), load_patterns()).where("pattern_id = 'classic_reentrancy'").count() == 200
 
 
+def _facts_row(spark, calls, changes):
+    """A trace row of calls (kind by call) and storage changes (call by change), with thousands of each."""
+    kinds = spark.createDataFrame([(list(calls), list(changes))], "kinds array<string>, changes array<int>")
+    call_of = {"call_id": lambda k, i: i, "parent_id": lambda k, i: F.when(i > 0, 0), "kind": lambda k, i: k, "to_addr": lambda k, i: F.lit(SENDER), "from_addr": lambda k, i: F.lit(SENDER), "succeeded": lambda k, i: F.lit(True)}
+    change_of = {"id": lambda c, i: i, "call_id": lambda c, i: c, "before": lambda c, i: F.lit("0"), "after": lambda c, i: F.lit("1")}
+
+    def made(name, source, schema, of):
+        return F.transform(source, lambda x, i: F.struct(*(of[k](x, i).alias(k) if k in of else F.lit(None).alias(k) for k in columns_of(schema)))).cast(array_type(name))
+
+    row = kinds.select(
+        F.lit("t0").alias("trace_id"), F.lit(None).cast(struct_type(TX)).alias("tx"), made("calls", "kinds", CALL, call_of).alias("calls"),
+        made("storage_changes", "changes", STORAGE, change_of).alias("storage_changes"),
+        F.array().cast(array_type("logs")).alias("logs"), F.array().cast(array_type("token_transfers")).alias("token_transfers"),
+    )
+    return enrich_traces(row)
+
+
+@pytest.mark.parametrize("n", [10, 300, 10_000])
+def test_sequences_and_calls_against_plain_loops(spark, n):
+    """Few and very many facts in one trace: a sequence binds the earliest facts not before, same_call the first of the call."""
+    rng = random.Random(n)
+    kinds = ["Call"] + [rng.choice(["Call", "Create", "Selfdestruct", "StaticCall"]) for _ in range(n - 1)]
+    changes = sorted(rng.randrange(n) for _ in range(n))
+    rows = _facts_row(spark, kinds, changes)
+    evidence = "required a: call(kind: Create) required b: storage(changed: true) required c: call(kind: SelfDestruct)"
+    began = time.perf_counter()
+    got = [b for _, b in found(find_candidates(rows, [pattern(evidence, "sequence: [a, b, c]")]))]
+    wanted = []
+    for i, k in enumerate(kinds):
+        s = bisect.bisect_left(changes, i) if k == "Create" else n
+        gone = next((j for j in range(changes[s], n) if kinds[j] == "Selfdestruct"), None) if s < n else None
+        wanted += [] if gone is None else [[(0, "Call", i), (1, "StorageChange", s), (2, "Call", gone)]]
+    assert got == wanted
+    got = [b for _, b in found(find_candidates(rows, [pattern(evidence.replace("c: call(kind: SelfDestruct)", "c: call(kind: External)"), "same_call: [a, b]")]))]
+    first = {c: s for s, c in reversed(list(enumerate(changes)))}
+    assert [b[:2] for b in got] == [[(0, "Call", i), (1, "StorageChange", first[i])] for i, k in enumerate(kinds) if k == "Create" and i in first]
+    assert time.perf_counter() - began < 60
+
+
 def test_report_on_one_trace(spark, tmp_path):
     path = tmp_path / "t.json"
     path.write_text(CORPUS["reentrancy"][0])

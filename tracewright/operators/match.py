@@ -33,6 +33,25 @@ def _cite(clause: int, b: Column) -> Column:
     return F.struct(F.lit(clause).alias("clause"), b["fact_kind"].alias("fact_kind"), b["fact_id"].alias("fact_id"))
 
 
+FEW = 16  # facts among which the first of an order is found by looking at each
+
+
+def first_from(facts: Column, least: Column) -> Column:
+    """The place of the first fact whose order is `least` or more, or none. Facts stand in order, so where there
+    are more than FEW their places are halved until one is left: the cost for many candidates of a large trace
+    is theirs times the logarithm of the facts. A fact of the transaction has no order and always comes first."""
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["low"] + at["high"], 1)
+        found = F.get(facts, mid)["ord"] >= least
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(found, at["low"]).otherwise(mid + 1).alias("low"), F.when(found, mid).otherwise(at["high"]).alias("high")))
+
+    all_places = F.struct(F.lit(0).alias("low"), F.size(facts).alias("high"))
+    searched = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(facts)))), all_places, halve, lambda at: at["low"])
+    seen = F.array_position(F.transform(facts, lambda b: F.coalesce(b["ord"] >= least, F.lit(True))), F.lit(True)).cast("int") - 1
+    return F.when(F.size(facts) > FEW, searched).otherwise(F.when(seen >= 0, seen).otherwise(F.size(facts)))
+
+
 def candidates(p: Pattern, facts: dict[int, Column]) -> Column:
     """array<CITED>: the citations of each candidate, in anchor order. facts: each clause's bindings."""
     anchor = p.anchor
@@ -62,7 +81,7 @@ def candidates(p: Pattern, facts: dict[int, Column]) -> Column:
         return F.filter(F.transform(made, add), lambda c: c[field(clause)].isNotNull())
 
     def next_after(step: int):
-        return lambda c: F.get(F.filter(facts[step], lambda b: b["ord"].isNull() | (b["ord"] >= c["upto"])), F.lit(0))
+        return lambda c: F.get(facts[step], first_from(facts[step], c["upto"]))
 
     for step in p.sequence[1:] if p.sequence else ():
         made = extend(made, step, next_after(step), True)
@@ -74,7 +93,11 @@ def candidates(p: Pattern, facts: dict[int, Column]) -> Column:
         target = (lambda c: c[field(fixed[0])]["call_id"]) if fixed else (lambda c: F.get(facts[min(p.same_call)], F.lit(0))["call_id"])
 
         def in_call(member: int):
-            return lambda c: F.get(F.filter(facts[member], lambda b: b["call_id"] == target(c)), F.lit(0))
+            def first(c: Column) -> Column:
+                found = F.get(facts[member], first_from(facts[member], target(c)))
+                return F.when(found["call_id"] == target(c), found)
+
+            return first
 
         for m in sorted(free):
             made = extend(made, m, in_call(m), False)
