@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hexcodec import kind_class
-from .model import Relations, to_relations, to_traces
+from .model import Relations, rows_of, to_relations, to_traces
 from .operators import integrity, metrics
 from .operators.enrich import enrich_traces, enriched_calls
 from .operators.ground import ground, match_and_ground, outcomes
 from .operators.match import find_candidates
-from .operators.predicates import SOURCES, select_facts
+from .operators.predicates import SOURCES, bindings, select_facts
 from .operators.taxonomy import DEFAULT
 from .plans.compiler import Pattern, compile_pattern
 from .sources import lens
@@ -74,17 +74,30 @@ PREDICATES = {
 }
 
 
+# Predicates that stay joins of relations: with the transaction, and a semi-join with the transfers.
+JOINED = ("call_value_flow_in", "log_decoded_true")
+# Fields of calls that a predicate reads, where they have other names than its attributes.
+_READ = {"selector": {"selector"}, "succeeded": {"succeeded"}, "min_value": {"value_hex"}, "min": {"value_hex"}, "max": {"value_hex"}}
+
+
 def _predicate_query(name: str, predicate: str) -> Query:
+    """A predicate's facts, as a projection of trace rows in which only the fields it reads are made; or as joins of relations."""
     clause = compile_pattern(_text(name, f"required fact: {predicate}")).clauses[0]
+    read = set().union(*(_READ.get(k, set()) for k in clause.attributes)) | ({"value_hex"} if clause.kind == "value_flow" else set()) | lens.WALKED
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = lens.relations(spark, sf_dir)
+        facts = {"calls": r.calls, "storage_changes": r.storage_changes, "logs": r.logs, "token_transfers": r.token_transfers}
+        return select_facts(clause, facts[SOURCES[clause.kind].array], r.tx, r.calls, r.token_transfers)
+
+    def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
         deep = {"reentrant", "ancestor_kind", "parent_kind"} & clause.attributes.keys()
-        calls = enriched_calls(lens.traces(spark, sf_dir)) if deep else r.calls
-        facts = {"calls": calls, "storage_changes": r.storage_changes, "logs": r.logs, "token_transfers": r.token_transfers}
-        own = r.tx if clause.kind == "transaction" else facts[SOURCES[clause.kind].array]
-        found = select_facts(clause, own, r.tx, r.calls, r.token_transfers)
-        return found.withColumn("ord", F.coalesce("ord", F.lit(-1)))  # -1: a fact of the transaction, without a place in order
+        rows = (lens.traces if deep else lens.raw_traces)(spark, sf_dir, read)
+        return rows.select("trace_id", rows_of(bindings(clause)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = (joined if name in JOINED else projected)(spark, sf_dir)
+        return found.select("trace_id", "fact_kind", "fact_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "call_id")  # -1: a fact of the transaction, without a place in order
 
     return run
 
@@ -97,7 +110,7 @@ for _name, _predicate in PREDICATES.items():
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enriched_calls(lens.traces(spark, sf_dir))
+    return enriched_calls(lens.traces(spark, sf_dir, lens.WALKED))
 
 
 @query("parent_join")
@@ -119,7 +132,7 @@ def storage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth by the fold's own rule: a call is one deeper than its parent."""
     up = F.aggregate("calls", F.array().cast("array<int>"), lambda acc, c: F.array_append(acc, F.coalesce(F.get(acc, c["parent_id"]) + 1, F.lit(0))))
-    return lens.raw_traces(spark, sf_dir).select("trace_id", F.posexplode(up).alias("call_id", "depth"))
+    return lens.raw_traces(spark, sf_dir, {"parent_id"}).select("trace_id", F.posexplode(up).alias("call_id", "depth"))
 
 
 @query("transfer_decode")
@@ -140,7 +153,7 @@ def value_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("net_value_extracted")
 def net_value_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = metrics.net_values(lens.relations(spark, sf_dir).calls)
+    net = metrics.net_values(to_relations(lens.raw_traces(spark, sf_dir, {"from_addr", "to_addr", "value_hex"})).calls)
     return net.select("trace_id", "address", F.col("net").cast("long").alias("net"))
 
 

@@ -20,25 +20,33 @@ REST = ["l_quantity", "l_returnflag", "l_linestatus"]
 # Fixed values of the lens.
 KINDS = ["Call"] * 5 + ["StaticCall", "DelegateCall", "CallCode", "Create", "Selfdestruct"]
 OTHER_TOPIC = "0x" + "1" * 64
+SMALL = 64
 
 
 def _hex(c: Column, digits: int) -> Column:
-    return F.lower(F.lpad(F.hex(c.cast("long")), digits, "0"))
+    """Lower-case digits. Most numbers of the lens are small: theirs are looked up in a constant, others are made."""
+    known = F.array(*(F.lit(f"{i:0{digits}x}") for i in range(SMALL)))
+    return F.coalesce(F.get(known, c.cast("int")), F.lower(F.lpad(F.hex(c.cast("long")), digits, "0")))
+
+
+def _prefixed(c: Column, digits: int) -> Column:
+    known = F.array(*(F.lit(f"0x{i:0{digits}x}") for i in range(SMALL)))
+    return F.coalesce(F.get(known, c.cast("int")), F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(c.cast("long")), digits, "0"))))
 
 
 def _address(c: Column) -> Column:
-    return F.concat(F.lit("0x"), _hex(c, 40))
+    return _prefixed(c, 40)
 
 
 def _word(c: Column) -> Column:
-    return F.concat(F.lit("0x"), _hex(c, 64))
+    return _prefixed(c, 64)
 
 
 def _to(line: Column) -> Column:
     return _address(line["l_suppkey"] % 4)
 
 
-def _call(x: Column, n: Column) -> Column:
+def _call(x: Column, n: Column, only: set[str] | None) -> Column:
     parent = F.when(n == 0, F.lit(None)).when(x["l_linenumber"] % 2 == 0, n - 1).otherwise(F.floor((n - 1) / 2)).cast("int")
     kind = F.when(n == 0, "Call").otherwise(F.get(F.array(*map(F.lit, KINDS)), (x["l_partkey"] % 10).cast("int")))
     value = F.when((x["l_suppkey"] % 2 == 1) & (kind != "StaticCall"), F.floor(x["l_quantity"])).otherwise(0)
@@ -46,9 +54,9 @@ def _call(x: Column, n: Column) -> Column:
         "call_id": n, "parent_id": parent, "kind": kind, "depth": F.lit(None).cast("int"),
         "from_addr": F.when(n == 0, _address(F.col("o_custkey") % 7)).otherwise(_to(F.get("lines", parent))), "to_addr": _to(x),
         "value_hex": _hex(value, 32), "gas_limit": F.lit(0).cast("decimal(20,0)"), "gas_used": F.lit(0).cast("decimal(20,0)"),
-        "succeeded": x["l_linestatus"] == "F", "selector": F.concat(F.lit("0x"), _hex(x["l_partkey"] % 16, 8)),
+        "succeeded": x["l_linestatus"] == "F", "selector": _prefixed(x["l_partkey"] % 16, 8),
     }
-    return F.struct(*(c.alias(k) for k, c in fields.items()))
+    return F.struct(*((c if only is None or k in only else F.lit(None)).alias(k) for k, c in fields.items()))
 
 
 def _storage_change(x: Column, i: Column) -> Column:
@@ -71,8 +79,8 @@ def _log(x: Column, i: Column) -> Column:
     return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
-def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace rows: one for each order with lines."""
+def raw_traces(spark: SparkSession, sf_dir: str, call_fields: set[str] | None = None) -> DataFrame:
+    """Trace rows: one for each order with lines. With `call_fields`, the other fields of calls are null and cost nothing."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey IS NOT NULL")
     gathered = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ORDER, *REST))).alias("lines"))
@@ -91,16 +99,19 @@ def raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rows.select(
         F.col("o_orderkey").alias("trace_id"),
         F.struct(*(tx[k].alias(k) for k in columns_of(TX))).cast(struct_type(TX)).alias("tx"),
-        F.transform("lines", _call).cast(array_type("calls")).alias("calls"),
+        F.transform("lines", lambda x, n: _call(x, n, call_fields)).cast(array_type("calls")).alias("calls"),
         F.transform(flagged("R"), _storage_change).cast(array_type("storage_changes")).alias("storage_changes"),
         F.transform(flagged("A"), _log).cast(array_type("logs")).alias("logs"),
     )
     return made.withColumn("token_transfers", decode_transfers(F.col("logs")))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trace rows, enriched."""
-    return enrich_traces(raw_traces(spark, sf_dir))
+WALKED = {"call_id", "parent_id", "kind", "from_addr", "to_addr"}  # fields of calls that facts about the calls above come from
+
+
+def traces(spark: SparkSession, sf_dir: str, call_fields: set[str] | None = None) -> DataFrame:
+    """Trace rows, enriched; with `call_fields`, of these fields of calls and of those that are WALKED."""
+    return enrich_traces(raw_traces(spark, sf_dir, call_fields and call_fields | WALKED))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> Relations:
