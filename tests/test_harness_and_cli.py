@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from traces import CORPUS, SENDER, VICTIM, call, text
@@ -71,6 +72,21 @@ def test_net_value(spark):
     assert got == {(1, "a"): -4, (1, "b"): 3, (2, "a"): None, (2, "b"): None}
 
 
+def test_net_values_are_exact_to_128_signed_bits(spark):
+    rng, most = random.Random(1), (1 << 128) - 1
+    rows = [(1, "a", "b", 1 << 127), (2, "a", "b", (1 << 127) - 1), (3, "a", "b", (1 << 127) + 1), (4, "a", "b", 17 * 10**37), (5, "a", "b", 10**18), (5, "b", "a", 10**18 - 1)]
+    rows += [(6, "a", "b", most), (6, "b", "a", most), (7, "a", "b", most), (7, "b", "a", 1 << 127), (8, "a", "b", 10**36), (8, "a", "c", 1)]
+    rows += [(9 + t, rng.choice("abc"), rng.choice("abc"), rng.choice([rng.randrange(1 << rng.randint(1, 128)), 10**18, 1 << 64])) for t in range(60) for _ in range(rng.randint(1, 5))]
+    calls = spark.createDataFrame([(t, f, to, f"{v:032x}") for t, f, to, v in rows], "trace_id long, from_addr string, to_addr string, value_hex string")
+    got = {(r["trace_id"], r["address"]): r["net_digits"] for r in metrics.net_values(calls).collect()}
+    wanted: dict = {}
+    for t, f, to, v in rows:
+        if v:
+            wanted[t, to] = wanted.get((t, to), 0) + v
+            wanted[t, f] = wanted.get((t, f), 0) - v
+    assert got == {k: str(v) if -(1 << 127) <= v < 1 << 127 else None for k, v in wanted.items()}
+
+
 def test_cli(spark, suite, tmp_path, capsys):
     trace = tmp_path / "t.json"
     trace.write_text(CORPUS["reentrancy"][0])

@@ -29,11 +29,46 @@ def u128(c: Column) -> Column:
     return F.when(F.length(d) <= 32, F.lpad(d, 32, "0"))
 
 
+def u128_halves(amount: Column) -> tuple[Column, Column]:
+    """The upper and the lower 64 bits of a 32-digit amount, as numbers whose sums stay exact over any number of rows."""
+    return tuple(F.conv(F.substring(amount, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
+
+
+# 2^64, the unit in which wide numbers are written, and 2^127 in such units.
+_WORD, PART = 1 << 64, 10**18
+_TOP, _LOW = divmod(1 << 127, PART)
+
+
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
+def signed_digits(high: Column, low: Column) -> Column:
+    """The decimal digits of high * 2^64 + low (sums of halves, with a sign), as a text; null beyond 128 signed bits.
+
+    Such a number may have 39 digits, one more than a decimal column; so it is made of two: of units of 10^18 and of the rest.
+    """
+    exact = lambda c: c.cast("decimal(38,0)")
+    part = lambda c: exact(F.pmod(c, _whole(PART)))
+    floor = lambda c: exact(exact(c - part(c)) / _whole(PART))
+    high, low = exact(high), exact(low)
+    units = exact(floor(high) * _whole(_WORD))
+    rest = exact(exact(part(high) * _whole(_WORD)) + low)
+    units, rest = exact(units + floor(rest)), part(rest)
+    top, low_end = _whole(_TOP), _whole(-_TOP - 1)
+    fits = ((units < top) | ((units == top) & (rest < _whole(_LOW)))) & ((units > low_end) | ((units == low_end) & (rest >= _whole(PART - _LOW))))
+    negative = units < 0
+    borrowed = negative & (rest > 0)
+    units = F.when(negative, exact(-units) - borrowed.cast("int")).otherwise(units).cast("decimal(38,0)")
+    rest = F.when(borrowed, exact(_whole(PART) - rest)).otherwise(rest).cast("decimal(38,0)")
+    digits = F.when(units == 0, rest.cast("string")).otherwise(F.concat(units.cast("string"), F.lpad(rest.cast("string"), 18, "0")))
+    return F.when(fits, F.concat(F.when(negative, "-").otherwise(""), digits))
+
+
 def u128_decimal(amount: Column) -> Column:
     """The number of a 32-digit amount; null from 10^38."""
-    low = F.conv(F.substring(amount, 17, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")
-    high = F.conv(F.substring(amount, 1, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")
-    shifted = F.try_multiply(high, F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(38,0)")
+    high, low = (c.cast("decimal(38,0)") for c in u128_halves(amount))
+    shifted = F.try_multiply(high, F.lit(str(_WORD)).cast("decimal(20,0)")).cast("decimal(38,0)")
     return F.try_add(shifted, low).cast("decimal(38,0)")
 
 

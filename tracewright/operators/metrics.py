@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hexcodec import signed_digits, u128_halves
+
 # Outcomes, strongest first.
 OUTCOMES = ("grounded", "abstain", "ungrounded", "no-match")
 
@@ -83,16 +85,18 @@ def per_family(results: DataFrame) -> DataFrame:
 
 
 def net_values(calls: DataFrame) -> DataFrame:
-    """trace_id, address, net: value in less value out; null beyond 38 digits. A transfer to oneself nets to nothing."""
-    from ..functions.hexcodec import u128_decimal
-
-    amount = u128_decimal(F.col("value_hex"))
-    flows = calls.where(F.col("value_hex") != "0" * 32).select("trace_id", "from_addr", "to_addr", amount.alias("v"))
-    moves = flows.select("trace_id", F.explode(F.array(
-        F.struct(F.col("to_addr").alias("address"), F.col("v").alias("v")), F.struct(F.col("from_addr").alias("address"), F.try_subtract(F.lit(0).cast("decimal(38,0)"), F.col("v")).cast("decimal(38,0)").alias("v")),
-    )).alias("m")).select("trace_id", "m.*").where("address IS NOT NULL")
-    whole = F.when(F.count("v") == F.count("*"), F.try_sum("v").cast("decimal(38,0)"))
-    return moves.groupBy("trace_id", "address").agg(whole.alias("net"))
+    """trace_id, address, net, net_digits: value in less value out. A transfer to oneself nets to nothing.
+
+    The halves of the amounts are summed apart, so totals are exact whatever their size. net_digits has
+    them as text, null beyond 128 signed bits; net as a number, null beyond 38 digits.
+    """
+    high, low = u128_halves(F.col("value_hex"))
+    flows = calls.where(F.col("value_hex") != "0" * 32).select("trace_id", "from_addr", "to_addr", high.alias("h"), low.alias("l"))
+    move = lambda who, sign: F.struct(F.col(who).alias("address"), (F.col("h") * sign).cast("decimal(21,0)").alias("h"), (F.col("l") * sign).cast("decimal(21,0)").alias("l"))
+    moves = flows.select("trace_id", F.inline(F.array(move("to_addr", 1), move("from_addr", -1)))).where("address IS NOT NULL")
+    summed = moves.groupBy("trace_id", "address").agg(F.sum("h").alias("h"), F.sum("l").alias("l"))
+    digits = signed_digits(F.col("h"), F.col("l"))
+    return summed.select("trace_id", "address", digits.alias("net_digits")).select("trace_id", "address", F.expr("try_cast(net_digits AS DECIMAL(38,0))").alias("net"), "net_digits")
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:

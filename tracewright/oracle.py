@@ -223,6 +223,13 @@ AS UBIGINT))), 16, '0') AS candidate_id FROM m""",
 )""",
 )
 
+ORACLE_SQL["net_value_wide"] = _sql(
+    """SELECT trace_id, '0x' || lpad(lower(to_hex(n)), 40, '0') AS address,
+  CASE WHEN abs(sum(v)) < 256 THEN CAST(CAST(sum(v) AS HUGEINT) * 664613997892457936451903530140172288 AS VARCHAR) WHEN sum(v) = -256 THEN '-170141183460469231731687303715884105728' ELSE 'none' END AS net_digits FROM (
+  SELECT trace_id, to_n AS n, amount AS v FROM calls WHERE amount <> 0 UNION ALL SELECT trace_id, from_n, -amount FROM calls WHERE amount <> 0
+) GROUP BY trace_id, n"""
+)
+
 _DOCUMENTS = """, d AS (
   SELECT trace_id, (SELECT count(*) FROM c WHERE c.trace_id = tx.trace_id) AS n_calls, (SELECT count(*) FROM st WHERE st.trace_id = tx.trace_id) AS n_changes,
          (SELECT count(*) FROM lg WHERE lg.trace_id = tx.trace_id) AS n_logs, (SELECT count(*) FROM tt WHERE tt.trace_id = tx.trace_id) AS n_transfers,
