@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .operators.metrics import OUTCOMES
-from .operators.taxonomy import SCWE, SWC
 
 LENS = """
 tx AS (
@@ -307,20 +306,27 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + x + "'" for x in row) + ")" for row in rows)
 
 
-_CODES = f"""SELECT family, string_agg(code, ',' ORDER BY place) AS codes, 'SCWE' = min(taxonomy) AS scwe, 'SWC' = max(taxonomy) AS swc FROM (
-  SELECT family, code, 'SCWE' AS taxonomy, 1 AS place FROM (VALUES {_values(r[:2] for r in SCWE)}) s(family, code)
-  UNION ALL SELECT family, code, 'SWC', 2 FROM (VALUES {_values(r[:2] for r in SWC)}) s(family, code)) GROUP BY family"""
+# The codes of the public registries, stated here on their own.
+_CODES = """SELECT family, string_agg(code, ',' ORDER BY code) AS codes, bool_or(code LIKE 'SCWE-%') AS scwe, bool_or(code LIKE 'SWC-%') AS swc FROM (VALUES
+  ('Reentrancy', 'SCWE-046'), ('OracleManipulation', 'SCWE-028'), ('UnauthorizedUpgrade', 'SCWE-005'), ('UncheckedExternalCall', 'SCWE-048'),
+  ('DelegatecallStorageCollision', 'SCWE-150'), ('UnsafeSelfdestruct', 'SCWE-050'), ('DelegatecallReachableSelfdestruct', 'SCWE-038'), ('SpoofedTransferEvent', 'SCWE-063'),
+  ('Reentrancy', 'SWC-107'), ('UncheckedExternalCall', 'SWC-104'), ('DelegatecallStorageCollision', 'SWC-112'), ('UnsafeSelfdestruct', 'SWC-106'),
+  ('DelegatecallReachableSelfdestruct', 'SWC-106')) s(family, code) GROUP BY family"""
 _FAMILIES = {
     "classic_reentrancy": "Reentrancy", "delegatecall_reachable_selfdestruct": "DelegatecallReachableSelfdestruct",
     "delegatecall_reachable_selfdestruct_transitive": "DelegatecallReachableSelfdestruct", "delegatecall_storage_collision": "DelegatecallStorageCollision",
     "oracle_manipulation": "OracleManipulation", "spoofed_transfer_event": "SpoofedTransferEvent", "unchecked_external_call": "UncheckedExternalCall",
     "unsafe_selfdestruct": "UnsafeSelfdestruct",
 }
-_ASKED = _values([(f,) for f in dict.fromkeys([*_FAMILIES.values(), "UnknownFamily"])])
 
-ORACLE_SQL["taxonomy_join"] = f"""WITH e AS ({_CODES})
-SELECT q.family AS pattern_family, coalesce(codes, '') AS codes, CASE WHEN codes IS NULL THEN 'SCWE,SWC' WHEN NOT swc THEN 'SWC' WHEN NOT scwe THEN 'SCWE' ELSE '' END AS unmapped
-FROM (VALUES {_ASKED}) q(family) LEFT JOIN e ON e.family = q.family"""
+ORACLE_SQL["taxonomy_join"] = f"""WITH e AS ({_CODES}), q AS (
+  SELECT CASE o_orderkey % 11 WHEN 0 THEN 'Reentrancy' WHEN 1 THEN 'OracleManipulation' WHEN 2 THEN 'UnauthorizedUpgrade' WHEN 3 THEN 'UncheckedExternalCall'
+    WHEN 4 THEN 'DelegatecallStorageCollision' WHEN 5 THEN 'UnsafeSelfdestruct' WHEN 6 THEN 'DelegatecallReachableSelfdestruct' WHEN 7 THEN 'SpoofedTransferEvent'
+    WHEN 8 THEN 'UnknownFamily' WHEN 9 THEN 'reentrancy' ELSE '' END AS family, o_orderstatus FROM orders
+)
+SELECT q.family AS pattern_family, o_orderstatus AS status, coalesce(codes, '') AS codes,
+  CASE WHEN codes IS NULL THEN 'SCWE,SWC' WHEN NOT swc THEN 'SWC' WHEN NOT scwe THEN 'SCWE' ELSE '' END AS unmapped, count(*) AS n
+FROM q LEFT JOIN e ON e.family = q.family GROUP BY ALL"""
 ORACLE_SQL["flagship"] = _sql(
     f"""SELECT f.id AS pattern_id, CASE WHEN f.id = 'oracle_manipulation' THEN 'abstain' ELSE 'grounded' END AS status, count(*) AS n, any_value(e.codes) AS codes
 FROM found JOIN (VALUES {_values(_FAMILIES.items())}) f(id, family) ON f.id = found.id JOIN e ON e.family = f.family GROUP BY f.id""",

@@ -18,7 +18,7 @@ from .operators.enrich import enrich_traces, enriched_calls
 from .operators.ground import ground, match_and_ground, outcomes
 from .operators.match import find_candidates
 from .operators.predicates import SOURCES, bindings, select_facts
-from .operators.taxonomy import DEFAULT
+from .operators.taxonomy import DEFAULT, SCWE
 from .plans.compiler import Pattern, compile_pattern
 from .sources import lens
 from .sources.calltracer import ingest_call_tracer
@@ -388,9 +388,15 @@ def candidate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("taxonomy_join")
 def taxonomy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = [p.family for p in shipped()] + ["UnknownFamily"]
-    rows = DEFAULT.frame(spark, families)
-    return rows.select("pattern_family", F.array_join(F.transform("taxonomy", lambda t: t["code"]), ",").alias("codes"), F.array_join("unmapped", ",").alias("unmapped"))
+    """Each order stands for a finding of a family by its number, some of families that no registry knows; its codes, and the registries without one."""
+    names = [e[0] for e in SCWE] + ["UnknownFamily", "reentrancy", ""]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    family = F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names)).cast("int"))
+    found = orders.select(family.alias("pattern_family"), F.col("o_orderstatus").alias("status"))
+    named = DEFAULT.attach(found, names).select(
+        "pattern_family", "status", F.array_join(F.transform("taxonomy", lambda t: t["code"]), ",").alias("codes"), F.array_join("unmapped", ",").alias("unmapped")
+    )
+    return named.groupBy(*named.columns).agg(F.count("*").alias("n"))
 
 
 SCORED = ("unsafe_selfdestruct", "delegatecall_reachable_selfdestruct", "unchecked_external_call", "oracle_manipulation")
