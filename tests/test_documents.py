@@ -214,6 +214,14 @@ def test_a_tracers_context_comes_by_hash(spark):
     assert got[word(3)]["error_kind"] == "MalformedField"
 
 
+def test_facts_by_key(spark):
+    rows = traces_of(ingest(in_memory(spark, {n: CORPUS[n][0] for n in ("reentrancy", "price")})))
+    r = to_relations(rows)
+    keys = spark.createDataFrame([("reentrancy", 2), ("reentrancy", 2), ("reentrancy", 3), ("price", 0), (None, 0), ("x", 0)], "trace_id string, id int")
+    assert sorted((x["trace_id"], x["call_id"], x["level"]) for x in to_relations(rows).lookup("calls", keys).collect()) == [("price", 0, 0), ("reentrancy", 2, 2)]
+    assert [x["slot"] for x in r.fact("storage_changes", "price", 0).collect()] == [word(7)] and r.fact("logs", "price", 5).count() == 0
+
+
 def test_a_trace_with_unsound_parents_has_no_facts(spark):
     """Parents that are not there, come later or go round, next to sound traces in one batch: nothing leaks and nothing hangs."""
     names = columns_of(CALL)

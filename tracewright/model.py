@@ -76,6 +76,15 @@ class Relations:
             "trace_id", "call_id", "from_addr", "to_addr", F.col("value_hex").alias("amount_hex")
         )
 
+    def lookup(self, relation: str, keys: DataFrame) -> DataFrame:
+        """The facts of a relation that (trace_id, id) keys name; keys that name nothing give nothing, a key that comes twice one row."""
+        own = keys.select("trace_id", F.col("id").alias(_KEY.get(relation, "id")))
+        return getattr(self, relation).join(own, own.columns, "left_semi")
+
+    def fact(self, relation: str, trace_id, id_: int) -> DataFrame:
+        """One fact by its key, or no row. The key is a filter, which reaches the scan of a written relation."""
+        return getattr(self, relation).where((F.col("trace_id") == trace_id) & (F.col(_KEY.get(relation, "id")) == id_))
+
     def children_of(self, parent: int) -> DataFrame:
         return self.calls.where(F.col("parent_id") == parent)
 

@@ -19,26 +19,27 @@ from ..functions.hexcodec import kind_bit
 from ..model import CALL, columns_of, rows_of
 
 BORROWED = ("DelegateCall", "CallCode")
-ADDED = ("reentrant", "above", "parent_kind", "context")
-_WALKED = pa.struct([("reentrant", pa.bool_()), ("above", pa.int32()), ("context_of", pa.int32())])
+ADDED = ("reentrant", "above", "parent_kind", "context", "level")
+_WALKED = pa.struct([("reentrant", pa.bool_()), ("above", pa.int32()), ("context_of", pa.int32()), ("level", pa.int32())])
 
 
-def walk_up(parent: np.ndarray, target: np.ndarray, bits: np.ndarray, borrowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each call: does a call above have its target (-1: none), the bits of all calls above, and
-    the call whose storage it works on. parent: -1 for a root."""
+def walk_up(parent: np.ndarray, target: np.ndarray, bits: np.ndarray, borrowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each call: does a call above have its target (-1: none), the bits of all calls above,
+    the call whose storage it works on, and how many calls are above. parent: -1 for a root."""
     n = len(parent)
-    reentrant, above, at = np.zeros(n, bool), np.zeros(n, np.int32), parent.copy()
+    reentrant, above, level, at = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int32), parent.copy()
     left = np.flatnonzero(at >= 0)
     while len(left):
         up = at[left]
         reentrant[left] |= (target[up] == target[left]) & (target[left] >= 0)
         above[left] |= bits[up]
+        level[left] += 1
         at[left] = parent[up]
         left = left[at[left] >= 0]
     context = np.where(borrowed & (parent >= 0), parent, np.arange(n))
     while ((further := context[context]) != context).any():
         context = further
-    return reentrant, above, context
+    return reentrant, above, context, level
 
 
 @F.arrow_udf(from_arrow_type(pa.list_(_WALKED)))
@@ -53,8 +54,8 @@ def _walked(calls: pa.Array) -> pa.Array:
     broken[np.repeat(np.arange(len(size)), size)[unsound]] = True
     parent = np.where((parent >= 0) & ~unsound, parent + start, -1)
     target = pc.fill_null(flat.field("to_addr").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-    reentrant, above, context = walk_up(parent, target, field("bit", 0).astype(np.int32), field("borrowed", False).astype(bool))
-    parts = [pa.array(reentrant), pa.array(above, pa.int32()), pa.array((context - start).astype(np.int32))]
+    reentrant, above, context, level = walk_up(parent, target, field("bit", 0).astype(np.int32), field("borrowed", False).astype(bool))
+    parts = [pa.array(reentrant), pa.array(above, pa.int32()), pa.array((context - start).astype(np.int32)), pa.array(level)]
     found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(_WALKED)))
     good = pc.and_(pc.is_valid(calls), pa.array(~broken))
     return found if broken.sum() + calls.null_count == 0 else pc.if_else(good, found, pa.scalar(None, pa.list_(_WALKED)))
@@ -62,7 +63,7 @@ def _walked(calls: pa.Array) -> pa.Array:
 
 def enrich_traces(traces: DataFrame) -> DataFrame:
     """Trace rows whose calls have, besides their own fields, reentrant, above (classes of the calls
-    above, as bits), parent_kind and context. Ids of calls are dense, from 0. A trace in which a
+    above, as bits), parent_kind, context and level (how many calls are above). Ids of calls are dense, from 0. A trace in which a
     parent does not come before its call (later, missing, or in a circle) has null calls, and with that
     no findings; integrity.first_error names what is wrong with it."""
     slim = F.transform(
@@ -72,7 +73,7 @@ def enrich_traces(traces: DataFrame) -> DataFrame:
 
     def merged(c: Column, f: Column) -> Column:
         own = F.get("calls", f["context_of"])
-        facts = f["reentrant"], f["above"], F.get("calls", c["parent_id"])["kind"], F.coalesce(own["to_addr"], own["from_addr"])
+        facts = f["reentrant"], f["above"], F.get("calls", c["parent_id"])["kind"], F.coalesce(own["to_addr"], own["from_addr"]), f["level"]
         return F.struct(*(c[x].alias(x) for x in columns_of(CALL)), *(x.alias(name) for x, name in zip(facts, ADDED)))
 
     names = traces.columns

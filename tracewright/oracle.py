@@ -229,6 +229,8 @@ ORACLE_SQL["net_value_wide"] = _sql(
 ) GROUP BY trace_id, n"""
 )
 
+ORACLE_SQL["fact_lookup"] = _sql("SELECT trace_id, id, call_id, kind FROM st WHERE id = trace_id % 3")
+
 _DOCUMENTS = """, d AS (
   SELECT trace_id, (SELECT count(*) FROM c WHERE c.trace_id = tx.trace_id) AS n_calls, (SELECT count(*) FROM st WHERE st.trace_id = tx.trace_id) AS n_changes,
          (SELECT count(*) FROM lg WHERE lg.trace_id = tx.trace_id) AS n_logs, (SELECT count(*) FROM tt WHERE tt.trace_id = tx.trace_id) AS n_transfers,

@@ -130,9 +130,8 @@ def storage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("depth")
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth by the fold's own rule: a call is one deeper than its parent."""
-    up = F.aggregate("calls", F.array().cast("array<int>"), lambda acc, c: F.array_append(acc, F.coalesce(F.get(acc, c["parent_id"]) + 1, F.lit(0))))
-    return lens.raw_traces(spark, sf_dir, {"parent_id"}).select("trace_id", F.posexplode(up).alias("call_id", "depth"))
+    """How many calls are above each."""
+    return _calls(spark, sf_dir).select("trace_id", "call_id", F.col("level").alias("depth"))
 
 
 @query("transfer_decode")
@@ -146,6 +145,16 @@ def children_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.relations(spark, sf_dir).children_of(1).select("trace_id", "call_id", "parent_id")
 
 
+@query("fact_lookup")
+def fact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the storage change that its number names, and the call that made it; orders that name none are left out."""
+    r = lens.relations(spark, sf_dir)
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("trace_id"), (F.col("o_orderkey") % 3).cast("int").alias("id"))
+    changes = r.lookup("storage_changes", keys)
+    made = r.lookup("calls", changes.select("trace_id", F.col("call_id").alias("id")).distinct())
+    return changes.select("trace_id", "id", "call_id").join(made.select("trace_id", "call_id", "kind"), ["trace_id", "call_id"])
+
+
 @query("value_flows")
 def value_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens.relations(spark, sf_dir).value_flows()
