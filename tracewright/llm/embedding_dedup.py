@@ -163,7 +163,8 @@ def near_duplicates(
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows
     without label or id, link with nothing: n_links 0, their own component, kept. Rows that
-    share an id are vectors each. Ties don't matter. Other columns are ignored.
+    share an id are vectors each. Ties don't matter. Other columns are ignored, whatever their
+    names. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)

@@ -164,7 +164,8 @@ def mix(
     Null and empty text has no tokens: its posterior is the prior, and its rate follows. A
     null id is an id like another. Documents with equal posteriors get equal rates; repeated
     rows share one row. Without labels all domains have even priors and no tokens tell them
-    apart. Empty docs give no rows. Other columns are ignored. Domains are DOMAINS unless given;
+    apart. Empty docs give no rows. Very long texts count with all their tokens
+    (they take no part in fitting the classifier). Other columns are ignored. Domains are DOMAINS unless given;
     with `most` they are CLEANED, as such a mix follows the removal of toxic documents.
     """
     domains = domains or (DOMAINS if most is None else CLEANED)

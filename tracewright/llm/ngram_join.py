@@ -379,7 +379,9 @@ def join_components(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int =
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than n words is
     one shingle; null, empty and blank texts have none and are linked with nothing: their
     component is their own id. A row without an id is linked with nothing and has no
-    component. Rows that share an id are one document. Repeated rows come back as often.
+    component. Rows that share an id are one document. Repeated rows come back as often. Texts
+    are taken whole, very long ones too. Other columns are ignored, whatever their names. An empty
+    table gives no rows.
     """
     rows, links = link(docs, n, num, den)
     found = components(links)
