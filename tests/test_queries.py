@@ -67,13 +67,21 @@ def test_scans_read_only_what_they_need(spark):
     assert columns_read(plan, "o") == {"o_orderkey"}  # a trace is an order with lines
 
 
-@pytest.mark.parametrize("name", ["flagship", "precision_recall_f1", "reentrancy", "sequence", "ingest_calls"])
+NARROW = ["storage_call_kind", "log_decoded_false", "token_transfer_direction", "call_value_flow_out", "net_value_extracted"]
+
+
+@pytest.mark.parametrize("name", ["flagship", "precision_recall_f1", "reentrancy", "sequence", "ingest_calls", "ingest_nested_calls", *NARROW])
 def test_tables_are_read_once_and_traces_built_once(spark, name):
     plan = plan_of(engine.QUERIES[name](spark, DIR))
     assert plan.count("orders.parquet") == 1 and plan.count("lineitem.parquet") == 1
     assert len(re.findall(r"Exchange (?:hash|range|single)", plan)) <= 5
 
 
+def test_documents_are_read_without_python(spark):
+    for name in ("ingest_outcomes", "ingest_call_tracer"):
+        assert not re.search("Python|Arrow|InPandas", plan_of(engine.QUERIES[name](spark, DIR)))
+
+
 def test_matching_needs_no_shuffle(spark):
     """Patterns are matched above the exchange that builds traces, and need none of their own."""
     rows = lens.traces(spark, DIR)
