@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import metrics
-from .operators.ground import match_and_ground
+from .operators.ground import ground, match_and_ground
 from .operators.match import find_candidates
 from .operators.taxonomy import DEFAULT, Registry
 from .plans.compiler import Pattern, compile_pattern
@@ -136,11 +136,16 @@ def run_suite(spark: SparkSession, name: str, cases: list[Case], taxonomy: Regis
         pairs = [(c.id, place[p.to_json()]) for c in cases for p in c.patterns if p.to_json() in place]
         wanted = spark.createDataFrame(pairs, "trace_id string, pattern_pos int").distinct()
         traces = traces_of(ingested)
-        find_candidates(traces, patterns).join(wanted, ["trace_id", "pattern_pos"], "left_semi").count()
+        candidates = find_candidates(traces, patterns).join(wanted, ["trace_id", "pattern_pos"], "left_semi").persist()
+        candidates.count()
         lap("matching")
-        findings = match_and_ground(traces, patterns, ids=False, fields=("status",)).join(wanted, ["trace_id", "pattern_pos"], "left_semi")
+        if len({(p.id, p.version) for p in patterns}) == len(patterns):
+            findings = ground(traces, patterns, candidates, strict=False)  # of the candidates at hand, so its time is its own
+        else:  # two patterns of one name and version: candidates don't say of which they are
+            findings = match_and_ground(traces, patterns, ids=False, fields=("status",)).join(wanted, ["trace_id", "pattern_pos"], "left_semi")
         for r in findings.select("trace_id", "pattern_pos", "candidate_pos", "status", "pattern_family").orderBy("trace_id", "pattern_pos", "candidate_pos").collect():
             found.setdefault((r["trace_id"], r["pattern_pos"]), []).append(r)
+        candidates.unpersist()
     lap("grounding")
     ingested.unpersist()
     out = []
