@@ -294,6 +294,10 @@ def test_sources(spark, tmp_path):
         ingest_from(spark, Files(str(tmp_path / "nothing")))
     (tmp_path / "a.json").write_text(text(ROOT))
 
+    (tmp_path / "bytes").mkdir()
+    (tmp_path / "bytes" / "b.json").write_bytes(text(ROOT).encode().replace(b'"success"', b'"succ\xffss"'))
+    assert [r["error_kind"] for r in ingest_from(spark, Files(str(tmp_path / "bytes"))).collect()] == ["MalformedInput"]
+
     class Twice:
         def documents(self, spark):
             rows = Files(str(tmp_path)).documents(spark)

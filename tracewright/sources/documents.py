@@ -54,7 +54,7 @@ class IngestionError(ValueError):
 
 
 def parse(text: Column) -> Column:
-    """A text that is one JSON object, as a variant; else null. Fields that come twice are no JSON here.
+    """A text that is one JSON object, as a variant; else null. Fields that come twice are no JSON here, nor are bytes that are no UTF-8.
 
     The parser stops after the first value; so the text is parsed inside a list and inside an object,
     and what follows a value can be right in one of them only.
@@ -62,7 +62,7 @@ def parse(text: Column) -> Column:
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     nested = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
     one = F.get(listed, F.lit(0))
-    return F.when((F.size(listed) == 1) & nested.isNotNull() & fields(one).isNotNull(), one)
+    return F.when(F.is_valid_utf8(text) & (F.size(listed) == 1) & nested.isNotNull() & fields(one).isNotNull(), one)
 
 
 def fields(x: Column) -> Column:
