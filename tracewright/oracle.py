@@ -224,7 +224,7 @@ AS UBIGINT))), 16, '0') AS candidate_id FROM m""",
 
 ORACLE_SQL["net_value_wide"] = _sql(
     """SELECT trace_id, '0x' || lpad(lower(to_hex(n)), 40, '0') AS address,
-  CASE WHEN abs(sum(v)) < 256 THEN CAST(CAST(sum(v) AS HUGEINT) * 664613997892457936451903530140172288 AS VARCHAR) WHEN sum(v) = -256 THEN '-170141183460469231731687303715884105728' ELSE 'none' END AS net_digits FROM (
+  CASE WHEN abs(sum(v)) < 64 THEN CAST(CAST(sum(v) AS HUGEINT) * 2658455991569831745807614120560689152 AS VARCHAR) WHEN sum(v) = -64 THEN '-170141183460469231731687303715884105728' ELSE 'none' END AS net_digits FROM (
   SELECT trace_id, to_n AS n, amount AS v FROM calls WHERE amount <> 0 UNION ALL SELECT trace_id, from_n, -amount FROM calls WHERE amount <> 0
 ) GROUP BY trace_id, n"""
 )
@@ -272,7 +272,7 @@ ORACLE_SQL["ingest_call_tracer"] = _sql(
   CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 0 ELSE o.o_custkey END AS nonce,
   CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 7 ELSE CAST(floor(o.o_totalprice) AS BIGINT) END AS block_number,
   CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 0 ELSE CAST(epoch(o.o_orderdate) AS BIGINT) END AS block_ts,
-  CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 1 ELSE 5 END AS chain_id,
+  CAST(CASE WHEN e.error_kind <> 'none' THEN -1 WHEN o.o_orderkey % 5 = 0 THEN 1 ELSE 5 END AS BIGINT) AS chain_id,
   CASE WHEN e.error_kind <> 'none' THEN 'none' WHEN r.succeeded THEN 'Success' ELSE 'Reverted' END AS status,
   CASE WHEN e.error_kind <> 'none' THEN '' ELSE e.calls END AS calls
 FROM orders o JOIN k r ON r.trace_id = o.o_orderkey AND r.call_id = 0 JOIN e ON e.trace_id = o.o_orderkey""",

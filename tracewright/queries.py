@@ -168,11 +168,10 @@ def net_value_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("net_value_wide")
 def net_value_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts of 2^119 and its multiples: totals beyond 38 digits, and some beyond 128 signed bits."""
+    """Amounts of 2^121 and its multiples: totals beyond 38 digits, and some beyond 128 signed bits."""
     calls = to_relations(lens.raw_traces(spark, sf_dir, {"from_addr", "to_addr", "value_hex"})).calls
-    halved = F.when(F.substring("value_hex", 32, 1).isin(*"13579bdf"), "8").otherwise("0")  # times 2^119: 30 digits, less one bit
-    shifted = F.lpad(F.conv(F.floor(F.conv(F.substring("value_hex", 31, 2), 16, 10).cast("int") / 2).cast("string"), 10, 16), 2, "0")
-    wide = F.concat(F.lower(shifted), halved, F.lit("0" * 29))
+    units = F.conv(F.substring("value_hex", 31, 2), 16, 10).cast("long")
+    wide = F.concat(F.lower(F.lpad(F.hex(units * 2), 2, "0")), F.lit("0" * 30))
     net = metrics.net_values(calls.withColumn("value_hex", wide))
     return net.select("trace_id", "address", F.coalesce("net_digits", F.lit("none")).alias("net_digits"))
 
