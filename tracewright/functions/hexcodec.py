@@ -2,6 +2,8 @@
 
 Addresses and words are lower-case with 0x; unsigned 128-bit amounts are 32 lower-case hex
 digits, so that text order is numeric order; 64-bit counts are decimal(20, 0).
+
+Inside of lambdas an expression is evaluated as often as it is written, so patterns are written once or twice.
 """
 
 from __future__ import annotations
@@ -10,23 +12,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_U128_HEX = "f" * 32
-_NUMBER = r"^(?:0x)?\+?([0-9a-fA-F]+)\z"
 
 
-def digits(c: Column) -> Column:
-    """The significant hex digits of an unsigned number; null if it isn't one."""
-    found = F.regexp_extract(c, _NUMBER, 1)
-    return F.when(found != "", F.lower(F.regexp_replace(found, "^0+(?=.)", "")))
+def _number(width: int) -> str:
+    """An unsigned number of so many significant hex digits at most, which are its group."""
+    return rf"^(?:0x)?\+?0*([0-9a-fA-F]{{1,{width}}})\z"
 
 
 def u64(c: Column) -> Column:
-    d = digits(c)
-    return F.when(F.length(d) <= 16, F.conv(d, 16, 10).cast("decimal(20,0)"))
+    return F.conv(F.regexp_extract(c, _number(16), 1), 16, 10).cast("decimal(20,0)")  # conv of no digits is null
 
 
 def u128(c: Column) -> Column:
-    d = digits(c)
-    return F.when(F.length(d) <= 32, F.lpad(d, 32, "0"))
+    return F.when(c.rlike(_number(32)), F.lower(F.lpad(F.regexp_extract(c, _number(32), 1), 32, "0")))
 
 
 def u128_halves(amount: Column) -> tuple[Column, Column]:
@@ -73,8 +71,7 @@ def u128_decimal(amount: Column) -> Column:
 
 
 def _fixed(c: Column, width: int) -> Column:
-    found = F.regexp_extract(c, rf"^(?:0x)?([0-9a-fA-F]{{{width}}})\z", 1)
-    return F.when(found != "", F.concat(F.lit("0x"), F.lower(found)))
+    return F.when(c.rlike(rf"^(?:0x)?[0-9a-fA-F]{{{width}}}\z"), F.concat(F.lit("0x"), F.lower(F.substring(c, -width, width))))
 
 
 def address(c: Column) -> Column:
@@ -87,8 +84,8 @@ def word(c: Column) -> Column:
 
 def byte_digits(data: Column) -> Column:
     """The lower-case digits of whole bytes; null for an odd number of digits or other characters."""
-    d = F.regexp_replace(data, "^0x", "")
-    return F.when((F.length(d) % 2 == 0) & ~d.rlike("[^0-9a-fA-F]"), F.lower(d))
+    whole = (F.length(data) % 2 == 0) & data.rlike(r"^(?:0x)?[0-9a-fA-F]*\z")
+    return F.when(whole, F.lower(F.when(data.startswith("0x"), F.substring(data, 3, (1 << 31) - 1)).otherwise(data)))
 
 
 def selector(data: Column) -> Column:
@@ -115,10 +112,8 @@ KIND_CLASSES = {
 
 
 def call_kind(c: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind in KIND_CLASSES:
-        out = out.when(F.lower(c) == kind.lower(), kind)
-    return out
+    known = F.create_map(*(F.lit(x) for kind in KIND_CLASSES for x in (kind.lower(), kind)))
+    return F.try_element_at(known, F.lower(c))
 
 
 def kind_class(kind: Column) -> Column:

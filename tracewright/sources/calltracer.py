@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hexcodec import KIND_CLASSES, word
-from ..model import fields_of
-from .documents import FRAMES, WRITTEN, IngestionError, error, facts_of, fields, list_of, parse, part, text_of, unfolded, with_made
+from ..model import columns_of, fields_of
+from .documents import FRAMES, READ, WRITTEN, IngestionError, all_read, error, facts_of, fields, frame_type, held, in_order, list_of, parse, part, present, text_of, unfolded, with_made, written
 
 _KINDS = {k.lower() for k in KIND_CLASSES}
 _CALL_FIELDS = {"to": "to", "input": "input"}
@@ -74,6 +74,24 @@ def tracer_frame(x: Column) -> list[Column]:
     return [c.cast(kind).alias(n) for (n, c), (_, kind) in zip(named.items(), fields_of(WRITTEN))]
 
 
+# What is read by a schema: a reply, with these texts in its frames.
+_TEXTS = (*NEEDED, *OPTIONAL, "output", "error", "revertReason")
+_REPLY = f"struct<jsonrpc: string, id: bigint, result: {frame_type(', '.join(f'`{n}`: string' for n in _TEXTS))}, bad: string>"
+
+
+def _holds(x: Column) -> Column:
+    """What a frame of _REPLY holds; null if it lacks what it needs."""
+    texts, lists = present(*(x[n] for n in _TEXTS)), x["lists"].cast("int")
+    return F.when(present(*(x[n] for n in NEEDED)) == len(NEEDED), held(texts + lists, texts, F.lit(1), lists))
+
+
+def _written(x: Column) -> list[Column]:
+    """The columns of WRITTEN for a frame of _REPLY."""
+    own = {"from": x["from"], "to": x["to"], "gasUsed": x["gasUsed"], "input": x["input"]}
+    own |= {"kind": F.lower(x["type"]), "value": F.coalesce(F.nullif(x["value"], F.lit("")), F.lit("0x0")), "gasLimit": x["gas"], "succeeded": x["error"].isNull()}
+    return [own.get(n, F.lit(None)).alias(n) for n in columns_of(WRITTEN)]
+
+
 def ingest_call_tracer(documents: DataFrame, block_number: str = "0x0", chain_id: str = "0x1", context: DataFrame | None = None) -> DataFrame:
     """Rows of (trace_id, doc); the trace id is taken for the transaction hash if it is one, else the hash is zero.
 
@@ -90,12 +108,23 @@ def ingest_call_tracer(documents: DataFrame, block_number: str = "0x0", chain_id
     else:
         rows = context.select(word(F.col("tx_hash")).alias("tx_hash"), F.struct(*told).alias("c")).where("tx_hash IS NOT NULL")
         own = own.join(rows.groupBy("tx_hash").agg(F.min("c").alias("c")), "tx_hash", "left").select("trace_id", "doc", "tx_hash", "c.*")
-    reply = parse(F.col("doc"))
+    t = F.col("t")
+    around = held(present(t["jsonrpc"], t["id"], t["result"]), present(t["jsonrpc"]), F.lit(1), F.lit(0))
+    rows = with_made(own, t=F.from_json("doc", _REPLY, READ))
+    rows = with_made(rows, alone=F.when(t["result"].isNull(), F.from_json(F.concat(F.lit('{"result":'), F.col("doc"), F.lit("}")), _REPLY, READ)))
+    one = F.when(t["result"].isNull(), F.col("alone")).otherwise(t)
+    rows = with_made(rows, read=F.when(one["bad"].isNull() & one["result"].isNotNull(), in_order(F.coalesce(t["result"], F.col("alone.result")), _TEXTS)))
+    around = F.when(t["result"].isNull(), held(*[F.lit(0)] * 4)).otherwise(around)
+    rows = with_made(rows, plain=all_read(F.col("doc"), F.col("read"), _holds, around))
+    reply = F.when(~F.col("plain"), parse(F.col("doc")))
     frame = F.when(fields(part(F.col("reply"), "result")).isNotNull(), part(F.col("reply"), "result")).otherwise(F.col("reply"))
-    rows = with_made(with_made(own, v=reply).withColumnRenamed("v", "reply"), v=frame)
-    malformed = F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null")).when(F.col("v").isNull(), error("MalformedInput", "not a call tracer frame"))
+    rows = with_made(with_made(rows, reply=reply), v=frame)
+    malformed = (
+        F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null"))
+        .when(~F.col("plain") & F.col("v").isNull(), error("MalformedInput", "not a call tracer frame"))
+    )
     rows = with_made(rows, malformed=malformed)
-    frames = F.when(F.col("malformed").isNull(), unfolded(F.col("v"), F.col("doc"), tracer_frame)).otherwise(F.array().cast(FRAMES))
+    frames = F.when(F.col("plain"), written(F.col("read"), _written)).when(F.col("malformed").isNull(), unfolded(F.col("v"), F.col("doc"), tracer_frame)).otherwise(F.array().cast(FRAMES))
     rows = with_made(rows, frames=frames)
     root = F.get("frames", F.lit(0))
     zero = {"nonce": "0x0", "block_number": block_number, "block_ts": "0x0", "chain_id": chain_id}

@@ -5,6 +5,9 @@ its row: the frames of a level are read, their children are the next level, each
 Sorted by path, frames stand in the order in which a walk through the tree visits them; one fold in
 that order gives parents, storage contexts and ids. Checks are columns, too: the first that fails, in
 the document's order, is the row's error.
+
+Most documents need no variant: they are read by a schema, in one pass, where the fields read account
+for every mark of the text (see all_read). All others take the way above; the rows are the same.
 """
 
 from __future__ import annotations
@@ -166,6 +169,109 @@ def unfolded(root: Column, text: Column, frame: Callable[[Column], list[Column]]
     return F.aggregate(levels, start, lambda at, _: F.when(F.size(at["next"]) == 0, at).otherwise(step(at)), lambda at: F.array_sort(at["done"]))
 
 
+# ------------------------------------------------------------------ frames read by a schema
+
+LEVELS, SHORT = 10, 1 << 20  # calls above each other, bytes of text; what has more takes the other way
+READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false"}
+HELD = "struct<members: int, strings: int, objects: int, arrays: int>"
+
+
+def frame_type(own: str) -> str:
+    """A frame of these fields with LEVELS levels of calls below it."""
+    kind = f"struct<{own}>"
+    for _ in range(LEVELS):
+        kind = f"struct<{own}, calls: array<{kind}>>"
+    return kind
+
+
+def present(*cs: Column) -> Column:
+    """How many are not null."""
+    return sum((c.isNotNull().cast("int") for c in cs), F.lit(0))
+
+
+def held(members: Column, strings: Column, objects: Column, arrays: Column) -> Column:
+    return F.struct(members.alias("members"), strings.alias("strings"), objects.alias("objects"), arrays.alias("arrays")).cast(HELD)
+
+
+def in_order(root: Column, names: list[str]) -> Column:
+    """All frames of a root of frame_type, in visiting order: path, these of their fields, and whether they list calls.
+    Each level is written out in the plan, so what is said about a frame is said afterwards, about the list."""
+
+    def walk(x: Column, path: Column, left: int) -> Column:
+        lists = x["calls"].isNotNull() if left else F.lit(False)
+        own = F.array(F.struct(path.alias("path"), *(x[n].alias(n) for n in names), lists.alias("lists")))
+        if not left:
+            return own
+        below = F.flatten(F.transform(x["calls"], lambda c, i: walk(c, F.array_append(path, i), left - 1)))
+        return F.when(x["calls"].isNull(), own).otherwise(F.concat(own, below))
+
+    return walk(root, F.array().cast("array<int>"), LEVELS)
+
+
+def all_read(text: Column, read: Column, holds: Callable[[Column], Column], around: Column) -> Column:
+    """Is a text one JSON object of which nothing is left out, or taken for another type?
+
+    read: its frames; holds: how many members, strings, objects and lists a frame has (null if something is missing); around:
+    those outside of frames. Where no quote is escaped, all quotes are those of names and strings; marks inside of strings can only
+    make the text's count the larger one. So if the counts are equal, each member (or double) was read, each text is a string,
+    each object and list is known; and with all braces in the first value and one at the end, nothing follows it.
+    """
+    add = lambda a, b: F.struct(*((a[k] + b[k]).alias(k) for k in ("members", "strings", "objects", "arrays"))).cast(HELD)
+    total = F.aggregate(F.transform(read, holds), around, lambda a, x: F.when(a.isNotNull() & x.isNotNull(), add(a, x)))
+    marks = lambda mark: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+    bare = F.btrim(text, F.lit(" \t\r\n"))
+
+    def equal(n: Column) -> Column:
+        return (
+            (marks(":") == n["members"]) & (marks('"') == 2 * (n["members"] + n["strings"])) & (marks("{") == n["objects"])
+            & (marks("}") == n["objects"]) & (marks("[") == n["arrays"])
+        )
+
+    plain = (F.octet_length(text) <= SHORT) & F.is_valid_utf8(text) & bare.startswith("{") & bare.endswith("}") & ~text.contains('\\"')
+    return F.coalesce(plain & F.exists(F.array(total), equal), F.lit(False))
+
+
+_SCALARS = [n for n, kind in OBJECTS["call"].items() if kind.startswith("text")]
+_FIELDS = [n for n in OBJECTS["call"] if n != "calls"]
+_texts = lambda what: ", ".join(f"`{n}`: string" for n, kind in OBJECTS[what].items() if kind.startswith("text"))
+_DOCUMENT = (
+    f"struct<transaction: struct<{_texts('transaction')}>, block: struct<{_texts('block')}>, root: "
+    + frame_type(f"{_texts('call')}, succeeded: boolean, storageChanges: array<struct<{_texts('storage change')}>>, logs: array<struct<topics: array<string>, {_texts('log')}>>")
+    + ", bad: string>"
+)
+
+
+def _needed(x: Column, what: str) -> Column:
+    """Has an object all it needs?"""
+    out = x.isNotNull()
+    for n, kind in OBJECTS[what].items():
+        out = out if kind.endswith("?") else out & x[n].isNotNull()
+    return out
+
+
+def _holds(x: Column) -> Column:
+    """What a frame of _DOCUMENT holds; null if it lacks what it needs."""
+    changes, logs = x["storageChanges"], x["logs"]
+    n_changes, n_logs = F.greatest(F.lit(0), F.size(changes)), F.greatest(F.lit(0), F.size(logs))
+    n_topics = F.when(n_logs == 0, 0).otherwise(F.aggregate(logs, F.lit(0), lambda n, y: n + F.size(y["topics"])))
+    texts, lists = present(*(x[n] for n in _SCALARS)), present(changes, logs) + x["lists"].cast("int")
+    whole = (
+        _needed(x, "call") & F.coalesce(F.forall(changes, lambda y: _needed(y, "storage change")), F.lit(True))
+        & F.coalesce(F.forall(logs, lambda y: _needed(y, "log") & F.forall(y["topics"], lambda t: t.isNotNull())), F.lit(True))
+    )
+    return F.when(whole, held(texts + 1 + lists + 4 * (n_changes + n_logs), texts + 4 * n_changes + 3 * n_logs + n_topics, 1 + n_changes + n_logs, lists + n_logs))
+
+
+def _written(x: Column) -> list[Column]:
+    """The columns of WRITTEN for a frame of _DOCUMENT."""
+    from_ = {"changes": x["storageChanges"], "malformed": F.lit(None).cast("string")}
+    return [(from_[n] if n in from_ else x[n]).alias(n) for n in columns_of(WRITTEN)]
+
+
+def written(read: Column, frame: Callable[[Column], list[Column]]) -> Column:
+    return F.transform(read, lambda x: F.struct(x["path"].alias("path"), *frame(x))).cast(FRAMES)
+
+
 def with_made(rows: DataFrame, **made: Column) -> DataFrame:
     """Rows with more columns, each made once. As generated columns they are not written out again in
     every expression, or pushed filter, that names them."""
@@ -335,18 +441,25 @@ def decode_transfers(logs: Column) -> Column:
 
 def ingest(documents: DataFrame) -> DataFrame:
     """(trace_id, doc) to rows of trace_id, error_kind, error and the trace; a trace with an error has no facts."""
-    v = F.col("v")
-    parsed = with_made(documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc"), v=parse(F.col("doc")))
+    v, t = F.col("v"), F.col("t")
+    rows = with_made(documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc"), t=F.from_json("doc", _DOCUMENT, READ))
+    rows = with_made(rows, read=F.when(t["bad"].isNull() & t["root"].isNotNull(), in_order(t["root"], _FIELDS)))
+    outer = [t[what][n] for what in ("transaction", "block") for n in OBJECTS[what]]
+    around = F.when(_needed(t["transaction"], "transaction") & _needed(t["block"], "block"), held(present(*outer) + 3, present(*outer), F.lit(3), F.lit(0)))
+    rows = with_made(rows, plain=all_read(F.col("doc"), F.col("read"), _holds, around))
+    parsed = with_made(rows, v=F.when(~F.col("plain"), parse(F.col("doc"))))
     shapes = [misshapen(v, "document"), *(misshapen(part(v, k), k) for k in ("transaction", "block"))]
     malformed = (
         F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null"))
+        .when(F.col("plain"), F.lit(None))
         .when(v.isNull(), error("MalformedInput", "not one JSON object"))
         .otherwise(F.when(F.coalesce(*shapes).isNotNull(), error("MalformedInput", F.coalesce(*shapes))))
     )
-    given = [text_of(part(v, name.split(".")[0]), name.split(".")[1]).alias(k) for k, (name, _) in _TX.items()]
-    read = with_made(parsed, malformed=malformed, given=F.struct(*given), root=part(v, "root"))
-    frames = F.when(F.col("malformed").isNull(), unfolded(F.col("root"), F.col("doc"), document_frame)).otherwise(F.array().cast(FRAMES))
-    return facts_of(with_made(read, frames=frames).select("trace_id", "malformed", "given", "frames"))
+    places = {k: name.split(".") for k, (name, _) in _TX.items()}
+    given = [F.when(F.col("plain"), t[what][n]).otherwise(text_of(part(v, what), n)).alias(k) for k, (what, n) in places.items()]
+    made = with_made(parsed, malformed=malformed, given=F.struct(*given), root=F.when(~F.col("plain"), part(v, "root")))
+    frames = F.when(F.col("plain"), written(F.col("read"), _written)).when(F.col("malformed").isNull(), unfolded(F.col("root"), F.col("doc"), document_frame)).otherwise(F.array().cast(FRAMES))
+    return facts_of(with_made(made, frames=frames).select("trace_id", "malformed", "given", "frames"))
 
 
 def traces_of(ingested: DataFrame) -> DataFrame:
