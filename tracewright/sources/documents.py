@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hexcodec import address, byte_digits, call_kind, selector, topic_address, u64, u128, word
+from ..functions.hexcodec import KIND_CLASSES, address, byte_digits, call_kind, selector, topic_address, u64, u128, word
 from ..model import CALL, LOG, STORAGE, TX, array_type, columns_of, struct_type
 from ..operators.enrich import BORROWED, enrich_traces
 
@@ -194,12 +194,12 @@ def held(members: Column, strings: Column, objects: Column, arrays: Column) -> C
 
 
 def in_order(root: Column, names: list[str]) -> Column:
-    """All frames of a root of frame_type, in visiting order: path, these of their fields, and whether they list calls.
+    """All frames of a root of frame_type, in visiting order: path, these of their fields, whether they list calls, and how many.
     Each level is written out in the plan, so what is said about a frame is said afterwards, about the list."""
 
     def walk(x: Column, path: Column, left: int) -> Column:
-        lists = x["calls"].isNotNull() if left else F.lit(False)
-        own = F.array(F.struct(path.alias("path"), *(x[n].alias(n) for n in names), lists.alias("lists")))
+        lists, calls = (x["calls"].isNotNull(), F.size(x["calls"])) if left else (F.lit(False), F.lit(None).cast("int"))
+        own = F.array(F.struct(path.alias("path"), *(x[n].alias(n) for n in names), lists.alias("lists"), calls.alias("n_calls")))
         if not left:
             return own
         below = F.flatten(F.transform(x["calls"], lambda c, i: walk(c, F.array_append(path, i), left - 1)))
@@ -208,10 +208,10 @@ def in_order(root: Column, names: list[str]) -> Column:
     return walk(root, F.array().cast("array<int>"), LEVELS)
 
 
-def all_read(text: Column, read: Column, holds: Callable[[Column], Column], around: Column) -> Column:
+def all_read(text: Column, read: Column, holds: Callable[[Column], Column], around: Column, quick: Column | None = None) -> Column:
     """Is a text one JSON object of which nothing is left out, or taken for another type?
 
-    read: its frames; holds: how many members, strings, objects and lists a frame has (null if something is missing); around:
+    quick: a sign that it is one, so that marks need no counting; read: its frames; holds: how many members, strings, objects and lists a frame has (null if something is missing); around:
     those outside of frames. Where no quote is escaped, all quotes are those of names and strings; marks inside of strings can only
     make the text's count the larger one. So if the counts are equal, each member (or double) was read, each text is a string,
     each object and list is known; and with all braces in the first value and one at the end, nothing follows it.
@@ -228,7 +228,8 @@ def all_read(text: Column, read: Column, holds: Callable[[Column], Column], arou
         )
 
     plain = (F.octet_length(text) <= SHORT) & F.is_valid_utf8(text) & bare.startswith("{") & bare.endswith("}") & ~text.contains('\\"')
-    return F.coalesce(plain & F.exists(F.array(total), equal), F.lit(False))
+    counted = F.coalesce(plain & F.exists(F.array(total), equal), F.lit(False))
+    return counted if quick is None else F.when(quick, F.lit(True)).otherwise(counted)
 
 
 _SCALARS = [n for n, kind in OBJECTS["call"].items() if kind.startswith("text")]
@@ -272,6 +273,88 @@ def written(read: Column, frame: Callable[[Column], list[Column]]) -> Column:
     return F.transform(read, lambda x: F.struct(x["path"].alias("path"), *frame(x))).cast(FRAMES)
 
 
+# ------------------------------------------------------------------ usual documents, checked as a whole
+
+# Stands between values. In a text it is written in six bytes, so no value that holds it passes for one of its length.
+_GAP = "\x01"
+_SURE = r"(?:0x|[a-eghj-mo-su-zA-HJ-MO-Z])[!-~&&[^!\x22\x5c]]*+"  # is no number, flag, list or object that was read as a text
+_HEX = "[0-9a-fA-F]"
+_EXACT = {
+    "address": f"0x{_HEX}{{40}}", "word": f"0x{_HEX}{{64}}", "amount": f"0x{_HEX}{{1,32}}", "count": f"0x{_HEX}{{1,16}}", "index": f"0x{_HEX}{{1,8}}",
+    "bytes": f"0x(?:{_HEX}{{2}})*+", "kind": f"(?i:{'|'.join(sorted(KIND_CLASSES, key=len, reverse=True))})",
+}
+# The texts of frames, of storage changes and of logs, with what they have to be.
+_VALUES = {
+    "call": {"kind": "kind", "from": "address", "to": "address", "value": "amount", "gasLimit": "count", "gasUsed": "count", "input": "bytes"},
+    "storage change": {"contract": "address", "slot": "word", "before": "word", "after": "word"},
+    "log": {"address": "address", "data": "bytes", "logIndex": "index"},
+}
+
+
+def _all(joined: Column, one: str) -> Column:
+    """Is each of the joined texts of this form?"""
+    return joined.rlike(rf"^(?:{one}(?:\x01++|\z))*+\z")
+
+
+def _less_empty(lists: Column, name: str, inside: Column) -> Column:
+    """The bytes of lists of this name and of the commas between what they hold."""
+    return F.size(F.filter(lists, lambda x: x.isNotNull())) * (len(name) + 6) - F.size(F.filter(lists, lambda x: F.size(x) > 0)) + inside
+
+
+def with_checks(rows: DataFrame) -> DataFrame:
+    """Rows of doc, t and read with: quick (the text holds what was read and nothing else) and exact (all texts of its frames are valid).
+
+    A text has at least the bytes of all that was read of it: names, values, their marks. If it has no more (white space apart),
+    nothing was left out; which holds where each text that was read must have been a string. Fields are looked at for all frames
+    at once, joined to one text by gaps as long as the marks and the name of one value.
+    """
+    read, t = F.col("read"), F.col("t")
+    flat = {"call": read}
+    for what, name in (("storage change", "storageChanges"), ("log", "logs")):
+        flat[what] = F.flatten(F.filter(read[name], lambda a: a.isNotNull()))
+    rows = rows.withColumns({f"_{what}": own for what, own in flat.items() if what != "call"})
+    flat = {what: read if what == "call" else F.col(f"_{what}") for what in flat}
+    joined, marks, kinds, blank = {}, {}, {}, F.lit(False)
+    for what, values in _VALUES.items():
+        for n, kind in values.items():
+            gap = _GAP * (len(n) + 6)
+            own = flat[what][n]
+            joined[f"_{what} {n}"] = F.concat_ws(gap, own) if OBJECTS[what][n].endswith("?") else F.array_join(own, gap, "!")
+            marks[f"_{what} {n}"], kinds[f"_{what} {n}"] = len(n) + 6, kind
+            if kind != "bytes":
+                blank = blank | F.coalesce(F.array_contains(own, ""), F.lit(False))
+    topics = flat["log"]["topics"]
+    blank = blank | F.coalesce(F.array_contains(F.flatten(topics), ""), F.lit(False)) | F.coalesce(F.exists(topics, lambda x: F.size(x) > 4), F.lit(False))
+    joined["_topics"], marks["_topics"], kinds["_topics"] = F.array_join(F.flatten(topics), _GAP * 2, "!"), 2, "word"
+    joined["_succeeded"], marks["_succeeded"] = F.array_join(read["succeeded"].cast("array<string>"), _GAP * 13, "!"), 13
+    joined["_outer"] = F.concat_ws(_GAP, *(t[what][n] for what in ("transaction", "block") for n in OBJECTS[what]))
+    rows = rows.withColumns(joined)
+
+    col = lambda n: F.col(f"`{n}`")
+    strings = sum((F.octet_length(col(n)) + F.when(F.octet_length(col(n)) > 0, m).otherwise(0) for n, m in marks.items()), F.lit(0))
+    outer = sum((F.coalesce(F.octet_length(t[what][n]) + len(n) + 6, F.lit(0)) for what in ("transaction", "block") for n in OBJECTS[what]), F.lit(0))
+    lists = _less_empty(read["storageChanges"], "storageChanges", F.size(flat["storage change"])) + _less_empty(read["logs"], "logs", F.size(flat["log"]))
+    calls = read["n_calls"]
+    lists += F.size(F.filter(calls, lambda n: n.isNotNull())) * (len("calls") + 6) - F.size(F.filter(calls, lambda n: n > 0)) + F.size(read) - 1
+    lists += _less_empty(topics, "topics", F.size(F.flatten(topics)))
+    objects = F.size(read) + F.size(flat["storage change"]) + F.size(flat["log"]) + sum(len(n) + 4 for n in OBJECTS["document"]) + 3
+    wanted = strings + outer + lists + objects
+
+    of_kind = {kind: [col(n) for n, k in kinds.items() if k == kind] for kind in _EXACT}
+    together = {kind: F.concat_ws(_GAP, *(F.nullif(c, F.lit("")) for c in own)) for kind, own in of_kind.items()}
+    rows = rows.select("trace_id", "doc", "t", "read", col("_outer"), col("_succeeded"), wanted.alias("_wanted"), blank.alias("_blank"), *(c.alias(f"_all {k}") for k, c in together.items()))
+    exact = ~F.col("_blank")
+    for kind, form in _EXACT.items():
+        exact = exact & _all(col(f"_all {kind}"), form)
+    rows = rows.withColumn("exact", F.coalesce(exact, F.lit(False)))
+    sure = _all(col("_outer"), _SURE) & ~col("_succeeded").contains("!") & (F.col("exact") | _all(F.concat_ws(_GAP, *(F.nullif(col(f"_all {k}"), F.lit("")) for k in _EXACT)), _SURE))
+    size = F.octet_length("doc")
+    whole = (size == F.col("_wanted")) | ((size > F.col("_wanted")) & (F.octet_length(F.regexp_replace("doc", r"[ \t\r\n]+", "")) == F.col("_wanted")))
+    needed = _needed(t["transaction"], "transaction") & _needed(t["block"], "block")
+    quick = F.coalesce((size <= SHORT) & needed & sure & whole, F.lit(False))
+    return rows.select("trace_id", "doc", "t", "read", "exact", quick.alias("quick"))
+
+
 def with_made(rows: DataFrame, **made: Column) -> DataFrame:
     """Rows with more columns, each made once. As generated columns they are not written out again in
     every expression, or pushed filter, that names them."""
@@ -357,7 +440,7 @@ def _log_error(given: Column, x: Column, indexes: Column, many: Column) -> Colum
 
 def _frame_error(f: Column, c: Column, p: Column) -> Column:
     """f: the frame as it is written, c: the call made of it, p: its place. Its changes and logs follow those of the frames before it."""
-    path = F.concat_ws(".", F.lit("root"), F.transform(f["path"], lambda i: i.cast("string")))
+    path = _path_of(f)
     values = [(name, c[k] if k != "selector" else byte_digits(f[name]), how[1]) for k, (name, how) in _CALL.items()]
     return F.coalesce(
         F.when(F.size(f["path"]) > MAX_DEPTH, error("UnsupportedFeature", f"calls nest deeper than {MAX_DEPTH}")),
@@ -385,30 +468,124 @@ def _log(x: Column, p: Column, me: Column, i: Column) -> Column:
     return F.struct(*(made[k].alias(k) for k in columns_of(LOG)))
 
 
+# Frames of a document whose texts are all valid: nothing is checked here but what depends on other frames.
+
+
+def _exact_places(read: Column) -> Column:
+    """For each frame, in visiting order: its parent and its storage context, as in placed."""
+
+    def step(at: Column, x: Column) -> Column:
+        depth = F.size(x["path"])
+        up = F.get(at["above"], depth - 1)
+        context = F.when(F.lower(x["kind"]).isin(*(k.lower() for k in BORROWED)), up["context"]).otherwise(F.lower(F.coalesce(x["to"], x["from"])))
+        me = F.struct(F.size(at["out"]).alias("id"), context.alias("context"))
+        above = F.array_append(F.slice(at["above"], F.lit(1), depth), me)
+        place = F.struct(up["id"].alias("parent"), F.get(above, depth)["context"].alias("context"), F.lit(0).alias("changes"), F.lit(0).alias("logs")).cast(_PLACE)
+        return F.struct(above.cast(_ABOVE).alias("above"), F.array_append(at["out"], place).alias("out"))
+
+    start = F.struct(F.array().cast(_ABOVE).alias("above"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    return F.aggregate(read, start, step, lambda at: at["out"])
+
+
+def _count(c: Column) -> Column:
+    return F.conv(F.substring(c, 3, 16), 16, 10).cast("decimal(20,0)")
+
+
+def _exact_calls(read: Column, places: Column) -> Column:
+    def call(x: Column, me: Column) -> Column:
+        made = {
+            "call_id": me, "parent_id": F.get(places, me)["parent"], "kind": call_kind(x["kind"]), "depth": F.size(x["path"]), "from_addr": F.lower(x["from"]), "to_addr": F.lower(x["to"]),
+            "value_hex": F.lpad(F.lower(F.substring(x["value"], 3, 32)), 32, "0"), "gas_limit": _count(x["gasLimit"]), "gas_used": _count(x["gasUsed"]), "succeeded": x["succeeded"],
+            "selector": F.when(F.octet_length(x["input"]) >= 10, F.lower(F.substring(x["input"], 1, 10))),
+        }
+        return F.struct(*(made[k].alias(k) for k in columns_of(CALL)))
+
+    return F.transform(read, call)
+
+
+def _numbered(read: Column, name: str, made: Callable[[Column], dict[str, Column]], names: list[str]) -> Column:
+    """What the frames hold under a name, one after the other: its place, its call and what is made of it."""
+    whose = F.filter(F.transform(read, lambda x, me: F.struct(me.alias("me"), x[name].alias("own"))), lambda x: F.size(x["own"]) > 0)
+    own = F.flatten(F.transform(whose, lambda x: F.transform(x["own"], lambda y: F.struct(x["me"].alias("me"), y.alias("y")))))
+
+    def one(x: Column, i: Column) -> Column:
+        fields_ = {"id": i, "call_id": x["me"]} | made(x["y"])
+        return F.struct(*(fields_[k].alias(k) for k in names))
+
+    return F.transform(own, one)
+
+
+def _exact_changes(read: Column) -> Column:
+    return _numbered(read, "storageChanges", lambda s: {k: F.lower(s[k]) for k in ("contract", "slot", "before", "after")}, columns_of(STORAGE))
+
+
+def _exact_logs(read: Column) -> Column:
+    def log(x: Column) -> dict[str, Column]:
+        return {"address": F.lower(x["address"]), "topics": F.transform(x["topics"], F.lower), "data": F.lower(F.substring(x["data"], 3, (1 << 31) - 1)), "log_index": _count(x["logIndex"])}
+
+    return _numbered(read, "logs", log, columns_of(LOG))
+
+
+def _path_of(frame: Column) -> Column:
+    return F.concat_ws(".", F.lit("root"), F.transform(frame["path"], lambda i: i.cast("string")))
+
+
+def _exact_error(read: Column) -> Column:
+    """The first storage change that is not its context's, or log whose index came before."""
+    place = lambda s: F.get("places", s["call_id"])["context"]
+    foreign = F.get(F.filter("storage_changes", lambda s: s["contract"] != place(s)), F.lit(0))
+    again = F.when(F.col("many"), F.get(F.filter("read_logs", lambda x: F.array_position("indexes", x["log_index"]) <= x["id"]), F.lit(0)))
+
+    def said(s: Column, x: Column) -> Column:
+        own = error("InvalidStorageOwnership", "the call at ", _path_of(F.get(read, s["call_id"])), " declares ", s["contract"], "; its storage context is ", place(s))
+        twice = error("DuplicateLogIndex", "log index ", x["log_index"].cast("string"), " appears more than once")
+        return F.when(s.isNotNull() & (x.isNull() | (s["call_id"] <= x["call_id"])), own).when(x.isNotNull(), twice)
+
+    return F.get(F.transform(F.array(F.struct(foreign.alias("s"), again.alias("x"))), lambda b: said(b["s"], b["x"])), F.lit(0))
+
+
+def tx_of(source: Column, given: Column) -> Column:
+    """The transaction of its fields as they are written."""
+    tx = {k: how[0](given[k]) for k, (_, how) in _TX.items()} | {"source": source}
+    return F.struct(*(tx[k].alias(k) for k in columns_of(TX)))
+
+
+def tx_problem(given: Column, tx: Column) -> Column:
+    return F.coalesce(*(_field(name, given[k], tx[k], how[1]) for k, (name, how) in _TX.items()))
+
+
 def facts_of(rows: DataFrame) -> DataFrame:
     """Rows of trace_id, given (the fields of TX as they are written), frames and malformed (an error found on reading;
-    null: none) to rows of trace_id, the trace's facts, error_kind and error. A trace with an error has no facts."""
+    null: none) to rows of trace_id, the trace's facts, error_kind and error. A trace with an error has no facts.
+    Rows that were checked as a whole may have made (tx and its error), and exact and read instead of frames."""
     f, places = F.col("frames"), F.col("places")
-    given = lambda k: F.col(f"given.{k}")
 
     def all_of(name: str, one) -> Column:
         own = F.transform(f, lambda x, me: F.transform(x[name], lambda y, i: one(y, F.get(places, me), me, i)))
         return F.flatten(F.filter(own, lambda a: a.isNotNull()))
 
-    tx = {k: how[0](given(k)) for k, (_, how) in _TX.items()} | {"source": F.col("trace_id")}
-    read = with_made(
-        with_made(rows, places=placed(f)),
-        tx=F.struct(*(tx[k].alias(k) for k in columns_of(TX))), calls=F.transform(f, lambda x, me: _call(x, F.get(places, me), me)),
-        storage_changes=all_of("changes", _change), read_logs=all_of("logs", _log),
-    )
+    checked = "exact" in rows.columns
+    if not checked:
+        rows = with_made(rows, tx=tx_of(F.col("trace_id"), F.col("given")))
+        rows = with_made(rows, wrong=tx_problem(F.col("given"), F.col("tx"))).drop("given")
+    calls = F.transform(f, lambda x, me: _call(x, F.get(places, me), me))
+    changes, logs = all_of("changes", _change), all_of("logs", _log)
+    where = placed(f)
+    if checked:
+        exact = F.col("exact")
+        where = F.when(exact, _exact_places(F.col("read"))).otherwise(where)
+        calls = F.when(exact, _exact_calls(F.col("read"), places)).otherwise(calls)
+        changes, logs = F.when(exact, _exact_changes(F.col("read"))).otherwise(changes), F.when(exact, _exact_logs(F.col("read"))).otherwise(logs)
+    read = with_made(with_made(rows, places=where), calls=calls, storage_changes=changes, read_logs=logs)
     read = with_made(read, indexes=F.transform("read_logs", lambda x: x["log_index"]))
     read = with_made(read, many=F.size(F.array_distinct("indexes")) < F.size("indexes"))
     static = F.get(F.filter("calls", lambda c: (c["kind"] == "StaticCall") & (c["value_hex"] != "0" * 32)), F.lit(0))["call_id"]
+    found = first_of(F.transform(f, lambda x, me: _frame_error(x, F.get("calls", me), F.get(places, me))))
     problem = F.coalesce(
         F.col("malformed"),
         first_of(F.transform(f, lambda x: F.when(x["malformed"].isNotNull(), error("MalformedInput", x["malformed"])))),
-        *(_field(name, given(k), F.col(f"tx.{k}"), how[1]) for k, (name, how) in _TX.items()),
-        first_of(F.transform(f, lambda x, me: _frame_error(x, F.get("calls", me), F.get(places, me)))),
+        F.col("wrong"),
+        F.when(F.col("exact"), _exact_error(F.col("read"))).otherwise(found) if checked else found,
         F.when(static.isNotNull(), error("ArenaConstruction", "static call ", static.cast("string"), " carries value")),
     )
     logs = F.transform("read_logs", lambda x: x.withField("log_index", x["log_index"].cast("long"))).cast(array_type("logs"))
@@ -441,25 +618,33 @@ def decode_transfers(logs: Column) -> Column:
 
 def ingest(documents: DataFrame) -> DataFrame:
     """(trace_id, doc) to rows of trace_id, error_kind, error and the trace; a trace with an error has no facts."""
-    v, t = F.col("v"), F.col("t")
+    v, t, plain, exact = F.col("v"), F.col("t"), F.col("plain"), F.col("exact")
     rows = with_made(documents.select(F.col("trace_id").cast("string").alias("trace_id"), "doc"), t=F.from_json("doc", _DOCUMENT, READ))
     rows = with_made(rows, read=F.when(t["bad"].isNull() & t["root"].isNotNull(), in_order(t["root"], _FIELDS)))
     outer = [t[what][n] for what in ("transaction", "block") for n in OBJECTS[what]]
     around = F.when(_needed(t["transaction"], "transaction") & _needed(t["block"], "block"), held(present(*outer) + 3, present(*outer), F.lit(3), F.lit(0)))
-    rows = with_made(rows, plain=all_read(F.col("doc"), F.col("read"), _holds, around))
-    parsed = with_made(rows, v=F.when(~F.col("plain"), parse(F.col("doc"))))
+    rows = with_checks(rows)
+    rows = with_made(rows, plain=all_read(F.col("doc"), F.col("read"), _holds, around, F.col("quick")))
+    parsed = with_made(rows, v=F.when(~plain, parse(F.col("doc"))))
     shapes = [misshapen(v, "document"), *(misshapen(part(v, k), k) for k in ("transaction", "block"))]
     malformed = (
         F.when(F.col("doc").isNull(), error("SourceUnavailable", "the document is null"))
-        .when(F.col("plain"), F.lit(None))
+        .when(plain, F.lit(None))
         .when(v.isNull(), error("MalformedInput", "not one JSON object"))
         .otherwise(F.when(F.coalesce(*shapes).isNotNull(), error("MalformedInput", F.coalesce(*shapes))))
     )
     places = {k: name.split(".") for k, (name, _) in _TX.items()}
-    given = [F.when(F.col("plain"), t[what][n]).otherwise(text_of(part(v, what), n)).alias(k) for k, (what, n) in places.items()]
-    made = with_made(parsed, malformed=malformed, given=F.struct(*given), root=F.when(~F.col("plain"), part(v, "root")))
-    frames = F.when(F.col("plain"), written(F.col("read"), _written)).when(F.col("malformed").isNull(), unfolded(F.col("root"), F.col("doc"), document_frame)).otherwise(F.array().cast(FRAMES))
-    return facts_of(with_made(made, frames=frames).select("trace_id", "malformed", "given", "frames"))
+    given = [F.when(plain, t[what][n]).otherwise(text_of(part(v, what), n)).alias(k) for k, (what, n) in places.items()]
+    made = with_made(parsed, malformed=malformed, given=F.struct(*given), root=F.when(~plain, part(v, "root")))
+    made = with_made(made.drop("t", "v"), tx=tx_of(F.col("trace_id"), F.col("given")))
+    made = with_made(made, wrong=tx_problem(F.col("given"), F.col("tx")))
+    borrows = F.coalesce(F.lower(F.get("read", F.lit(0))["kind"]).isin(*(k.lower() for k in BORROWED)), F.lit(False))
+    found = F.col("wrong").isNotNull()  # so nothing is asked of the frames
+    made = made.withColumn("exact", plain & F.col("quick") & exact & ~found & ~borrows)
+    none = F.array().cast(FRAMES)
+    frames = F.when(exact | plain & found, none).when(plain, written(F.col("read"), _written)).when(F.col("malformed").isNull(), unfolded(F.col("root"), F.col("doc"), document_frame)).otherwise(none)
+    made = with_made(made, frames=frames).select("trace_id", "malformed", "tx", "wrong", "exact", F.when(exact, F.col("read")).alias("read"), "frames")
+    return facts_of(made)
 
 
 def traces_of(ingested: DataFrame) -> DataFrame:
